@@ -47,7 +47,7 @@ def market_columns(m: Column) -> dict[str, Column]:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_trades(spark, os.path.join(sf, "events.parquet"))
+    return scan_trades(spark, os.path.join(sf, "events.parquet"), schema=EVENT_SCHEMA)
 
 
 def fx_markets(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,8 +54,13 @@ def flat(spark: SparkSession, sf: str) -> DataFrame:
     return inv.flatten_inventory(fx.fx_cases(spark, sf))
 
 
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index as a stored table, which is how the later stages get it."""
+    return stage(fx.fx_index(spark, sf), "index")
+
+
 def windowed(spark: SparkSession, sf: str) -> DataFrame:
-    return prenews.prenews_trades(fx.fx_trades(spark, sf), fx.fx_index(spark, sf))
+    return prenews.prenews_trades(fx.fx_trades(spark, sf), index(spark, sf))
 
 
 def wallet_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +118,7 @@ def stage_sink(spark, sf):
 @query
 def report_csv(spark, sf):
     path = new_path(spark, "report")
-    report = resolutions.validate_resolutions(fx.fx_index(spark, sf), fx.fx_resolutions(spark, sf))
+    report = resolutions.validate_resolutions(index(spark, sf), fx.fx_resolutions(spark, sf))
     sinks.write_report(report, path)
     back = spark.read.option("header", "true").csv(path)
     return back.select("market_id_prefix", "condition_id", "is_leaked", F.expr("nullif(case_id, '')").alias("case_id"),
@@ -215,11 +220,11 @@ def prenews_trades(spark, sf):
 
 @query
 def prenews_trades_24h(spark, sf):
-    return prenews.prenews_trades(fx.fx_trades(spark, sf), fx.fx_index(spark, sf), prenews.WINDOW_24H)
+    return prenews.prenews_trades(fx.fx_trades(spark, sf), index(spark, sf), prenews.WINDOW_24H)
 
 
 def _report(spark, sf):
-    return resolutions.validate_resolutions(fx.fx_index(spark, sf), fx.fx_resolutions(spark, sf))
+    return resolutions.validate_resolutions(index(spark, sf), fx.fx_resolutions(spark, sf))
 
 
 def _payout_text(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tapewatch.constants import CATEGORY_TAGS, CONTROL_MULTIPLIER, DEFAULT_TAGS,
 from tapewatch.functions.ids import market_prefix
 from tapewatch.functions.timestamps import or_else, parse_timestamp, utc_date
 from tapewatch.operators.joins import lookup_join
+from tapewatch.operators.market_index import least_values
 
 
 def category_tags(category: Column) -> Column:
@@ -66,9 +67,8 @@ def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes:
         F.col("resolved_at").cast("string").alias("resolved_at"))
     offered = lookup_join(in_reach, wanted.drop("cluster_date"), ["category", "trade_date"])
     keys = ["cluster_no", "cluster_category", "n_needed", "cluster_news", "days_ago", "condition_id"]
-    markets = offered.select(*keys, "category", "market_slug", "resolved_at").distinct().groupBy(*keys).agg(
-        F.min("category").alias("market_category"), F.min("market_slug").alias("slug"),
-        F.min("resolved_at").alias("resolved_at"))
+    markets = least_values(offered.select(*keys, "category", "market_slug", "resolved_at"), keys,
+                           ["category", "market_slug", "resolved_at"])
     daily = Window.partitionBy("cluster_no", "days_ago").orderBy("condition_id")
     listed = markets.withColumn("place", F.row_number().over(daily)).where(
         (F.col("place") <= 2 * most + 10) & (F.col("place") <= 2 * F.col("n_needed") + 10)).drop("place")
@@ -83,7 +83,7 @@ def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes:
         (F.col("place") <= most) & (F.col("place") <= F.col("n_needed")))
     return chosen.select(
         "cluster_no", "market_id_prefix", "condition_id", F.col("cluster_category").alias("category"),
-        "market_category", "slug",
+        F.col("category").alias("market_category"), F.col("market_slug").alias("slug"),
         or_else(parse_timestamp(F.col("resolved_at")), F.col("cluster_news")).alias("resolved_at"))
 
 

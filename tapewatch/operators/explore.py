@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,19 +53,12 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def feature_corr(df: DataFrame, cols: list[str] = PROFILE_FEATURES) -> DataFrame:
-    """Pearson correlations of all pairs, both ways, in one pass: (f1, f2, r); NULL for constants."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    stats = df.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                     for i, (a, b) in enumerate(pairs)])
-    at = {pair: F.col(f"`{i}`") for i, pair in enumerate(pairs)}
-    rows = []
-    for a, b in pairs:
-        r = at[a, b] / F.nullif(F.sqrt(at[a, a]) * F.sqrt(at[b, b]), F.lit(0.0))
-        r = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-        rows.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), r.alias("r")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("f1"), F.lit(a).alias("f2"), r.alias("r")))
-    return stats.select(F.inline(F.array(*rows)))
+    """Pearson correlations of all pairs, both ways: (f1, f2, r); NULL for constants."""
+    vectors = VectorAssembler(inputCols=cols, outputCol="vector").transform(df.select(*cols)).select("vector")
+    matrix = Correlation.corr(vectors, "vector").first()[0].toArray()
+    rows = [(a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
 
 
 def histogram(df: DataFrame, value: str, keys: list[str], bins: int, low: Column | float | None = None,

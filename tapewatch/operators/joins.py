@@ -12,9 +12,21 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether `df` has at most `max_rows` rows; counting stops just beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return df.limit(limit + 1).count() <= limit
+
+
+def count_and_lengths(dim: DataFrame, prefix: str, max_rows: int | None = None) -> tuple[bool, list[int]]:
+    """Whether `dim` is small, and the prefix lengths in use, in one job for a small table."""
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    length = F.length(prefix)
+    row = dim.limit(limit + 1).agg(
+        F.count("*").alias("n"), F.collect_set(F.when(length > 0, length)).alias("lengths")).first()
+    if row.n <= limit:
+        return True, sorted(row.lengths)
+    return False, prefix_lengths(dim, prefix)
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -24,15 +36,17 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-                condition: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                condition: Column | None = None, max_rows: int | None = None,
+                small: bool | None = None) -> DataFrame:
     """Join `fact` with `dim` on equal `keys` (and `condition`), safe against hot keys.
 
     A lookup table proven small is broadcast: no shuffle of `fact`. Beyond that, each key is dealt out
     over `SALTS` groups on the fact side and repeated that often on the lookup side, so one key
     with a third of all rows is spread. `how` is inner, left, left_semi or left_anti. Columns of the
-    two tables must differ but for the keys, which come out once.
+    two tables must differ but for the keys, which come out once. `small` passes on a count already made.
     """
-    small = is_small(dim, max_rows)
+    if small is None:
+        small = is_small(dim, max_rows)
     if not small:
         fact = fact.withColumn("_salt", F.pmod(row_hash(fact), F.lit(SALTS)).cast("int"))
         dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -46,13 +60,13 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "in
 
 
 def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str,
-                condition: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                condition: Column | None = None, max_rows: int | None = None) -> DataFrame:
     """Inner join where the identifier starts with the prefix, planned as an equality join.
 
     The start of the identifier is cut to each prefix length in use (normally one), which turns the
     LIKE of a nested loop into a hash join. `prefix_col` must not be a column of `fact`.
     """
-    lengths = prefix_lengths(dim, prefix_col)
+    small, lengths = count_and_lengths(dim, prefix_col, max_rows)
     if not lengths:
         keyed = fact.withColumn("_key", F.lit(None).cast("string"))
     elif len(lengths) == 1:
@@ -60,7 +74,7 @@ def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str,
     else:
         keyed = fact.withColumn("_key", F.explode(prefix_keys(F.col(id_col), lengths)))
     dim = dim.withColumn("_key", F.col(prefix_col))
-    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows).drop("_key")
+    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows, small).drop("_key")
 
 
 def counted_join(fact: DataFrame, dim: DataFrame, keys: list[str], counts: DataFrame, rows: str) -> DataFrame:

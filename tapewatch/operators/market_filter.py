@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.constants import PREFIX_LENGTH
-from tapewatch.functions.ids import market_prefix, prefix_lengths
-from tapewatch.operators.joins import lookup_join
+from tapewatch.functions.ids import market_prefix
+from tapewatch.operators.joins import count_and_lengths, is_small, lookup_join
 
 
 def _starts(prefixes: DataFrame, prefix_col: str, extra: list[str]) -> DataFrame:
@@ -24,21 +24,23 @@ def market_filter(trades: DataFrame, ids: DataFrame | None = None, prefixes: Dat
     checks = []
     if ids is not None:
         keys = ids.select(F.lower(ids.columns[0]).alias("_k")).where("_k is not null").distinct()
-        checks.append((F.lower(id_col), keys))
+        checks.append((F.lower(id_col), keys, is_small(keys)))
     if prefixes is not None:
         starts = _starts(prefixes, prefix_col, []).distinct()
-        for n in prefix_lengths(starts, "prefix"):
+        small, lengths = count_and_lengths(starts, "prefix")
+        for n in lengths:
             keys = starts.where(F.length("prefix") == n).select(F.col("prefix").alias("_k"))
-            checks.append((market_prefix(F.col(id_col), n), keys))
+            checks.append((market_prefix(F.col(id_col), n), keys, small or None))
     if not checks:
         return trades.where(F.lit(False))
     if len(checks) == 1:
-        key, keys = checks[0]
-        return lookup_join(trades.withColumn("_k", key), keys, ["_k"], "left_semi").drop("_k")
+        key, keys, small = checks[0]
+        return lookup_join(trades.withColumn("_k", key), keys, ["_k"], "left_semi", small=small).drop("_k")
     hit = F.lit(False)
     marked = trades
-    for i, (key, keys) in enumerate(checks):
-        marked = lookup_join(marked.withColumn("_k", key), keys.withColumn(f"_hit{i}", F.lit(True)), ["_k"], "left")
+    for i, (key, keys, small) in enumerate(checks):
+        marked = lookup_join(marked.withColumn("_k", key), keys.withColumn(f"_hit{i}", F.lit(True)), ["_k"], "left",
+                             small=small)
         hit = hit | F.coalesce(F.col(f"_hit{i}"), F.lit(False))
     return marked.where(hit).select(*[F.col(f"`{c}`") for c in trades.columns])
 
@@ -48,10 +50,12 @@ def route_prefix(trades: DataFrame, prefixes: DataFrame, order_col: str, id_col:
     """The first prefix in list order that the id starts with, else its first ten characters."""
     listed = _starts(prefixes, prefix_col, [order_col]).groupBy("prefix").agg(F.min(order_col).alias("ord"))
     routed, found = trades, []
-    for n in prefix_lengths(listed, "prefix"):
+    small, lengths = count_and_lengths(listed, "prefix")
+    for n in lengths:
         keys = listed.where(F.length("prefix") == n).select(
             F.col("prefix").alias("_k"), F.struct("ord", "prefix").alias(f"_first{n}"))
-        routed = lookup_join(routed.withColumn("_k", market_prefix(F.col(id_col), n)), keys, ["_k"], "left").drop("_k")
+        keyed = routed.withColumn("_k", market_prefix(F.col(id_col), n))
+        routed = lookup_join(keyed, keys, ["_k"], "left", small=small or None).drop("_k")
         found.append(F.col(f"_first{n}"))
     if not found:
         return routed.withColumn(out, market_prefix(F.col(id_col), PREFIX_LENGTH))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewatch.constants import BAND_DAYS, CONTROL_MULTIPLIER, DAY_SECONDS, PREFIX_LENGTH
 from tapewatch.functions.ids import market_prefix
 from tapewatch.functions.timestamps import parse_timestamp
-from tapewatch.operators.joins import lookup_join, prefix_join
+from tapewatch.operators.joins import count_and_lengths, lookup_join, prefix_join
 
 INDEX_COLUMNS = [
     "market_id_prefix", "condition_id", "is_leaked", "case_id", "case_title", "category",
@@ -25,19 +25,27 @@ def with_windows(df: DataFrame) -> DataFrame:
 
 def market_metadata(trades: DataFrame, tags: tuple[str, ...] = ("category", "category_refined", "resolved_at",
                                                               "market_slug")) -> DataFrame:
-    """One row per market: the least non-NULL value of each descriptive column.
-
-    Distinct combinations first: that is a hash aggregate that shrinks the trades to a few rows
-    per market before the string minima, which need sorting.
-    """
+    """One row per market: the least non-NULL value of each descriptive column."""
     have = [c for c in tags if c in trades.columns]
     rows = trades.where("condition_id is not null").select(
-        F.lower("condition_id").alias("condition_id"), *[F.col(c).cast("string").alias(c) for c in have]).distinct()
-    metadata = rows.groupBy("condition_id").agg(*[F.min(c).alias(c) for c in have])
+        F.lower("condition_id").alias("condition_id"), *[F.col(c).cast("string").alias(c) for c in have])
+    metadata = least_values(rows, ["condition_id"], have)
     absent = [F.lit(None).cast("string").alias(c) for c in tags if c not in have]
     return metadata.select("condition_id", *have, *absent).select("condition_id", *tags)
 
 
+def least_values(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The least value of string columns per key.
+
+    Equal rows are counted first: that is a hash aggregate that shrinks the trades of a market to a few
+    rows, before the minima of strings, which sort their input. The count is asked for above so
+    that the optimizer keeps this order; without it, it drops the first step as needless for a minimum.
+    """
+    counted = rows.groupBy(*keys, *cols).agg(F.count("*").alias("_rows"))
+    least = counted.groupBy(*keys).agg(*[F.min(c).alias(c) for c in cols], F.sum("_rows").alias("_rows"))
+    return least.where("_rows > 0").drop("_rows")
+
+
 def resolve_ids(inventory: DataFrame, metadata: DataFrame) -> DataFrame:
     """The full id of each inventory prefix, found in a catalogue of markets; the least one on ties."""
     wanted = inventory.select(F.lower("market_id_prefix").alias("market_id_prefix")).where(
@@ -58,7 +66,7 @@ def leaked_markets(inventory: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def near_news(markets: DataFrame, news: DataFrame, days: int, time_col: str = "news_timestamp",
-              keys: tuple[str, ...] = ("category",)) -> DataFrame:
+              keys: tuple[str, ...] = ("category",), small: bool | None = None) -> DataFrame:
     """Markets with some `news` row of the same keys at most `days` days away, both ends included.
 
     `news` is cut into slots of that length. A market always matches news of its own slot, and
@@ -80,17 +88,20 @@ def near_news(markets: DataFrame, news: DataFrame, days: int, time_col: str = "n
         | F.coalesce(F.col(time_col) - F.col("_before") <= band, F.lit(False))
         | F.coalesce(F.col("_after") - F.col(time_col) <= band, F.lit(False))
     )
-    return lookup_join(markets.withColumn("_slot", slot), seen_from, [*keys, "_slot"], "left_semi", near).drop("_slot")
+    slotted = markets.withColumn("_slot", slot)
+    return lookup_join(slotted, seen_from, [*keys, "_slot"], "left_semi", near, small=small).drop("_slot")
 
 
 def not_leaked(markets: DataFrame, leaked: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Drop markets that are leaked by id, or whose id starts with a leaked prefix."""
     ids = (leaked if ids is None else ids).select("condition_id").where("condition_id is not null").distinct()
     starts = leaked.select(F.col("market_id_prefix").alias("_start")).where("_start <> ''").distinct()
+    small, lengths = count_and_lengths(starts, "_start")
     kept = lookup_join(markets, ids, ["condition_id"], "left_anti")
-    for n in [r.n for r in starts.select(F.length("_start").alias("n")).distinct().collect()]:
+    for n in lengths:
         cut = kept.withColumn("_start", market_prefix(F.col("condition_id"), n))
-        kept = lookup_join(cut, starts.where(F.length("_start") == n), ["_start"], "left_anti").drop("_start")
+        kept = lookup_join(cut, starts.where(F.length("_start") == n), ["_start"], "left_anti",
+                           small=small or None).drop("_start")
     return kept
 
 
