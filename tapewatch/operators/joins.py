@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewatch.functions.ids import prefix_keys, prefix_lengths
+from tapewatch.functions.ids import prefix_keys
 
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -18,15 +18,15 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def count_and_lengths(dim: DataFrame, prefix: str, max_rows: int | None = None) -> tuple[bool, list[int]]:
-    """Whether `dim` is small, and the prefix lengths in use, in one job for a small table."""
+def survey(dim: DataFrame, prefix: str, max_rows: int | None = None, **extra: Column) -> Row:
+    """One job over a lookup table: is it `small`, the prefix `lengths` in use, and `extra` aggregates."""
     limit = BROADCAST_ROWS if max_rows is None else max_rows
     length = F.length(prefix)
-    row = dim.limit(limit + 1).agg(
-        F.count("*").alias("n"), F.collect_set(F.when(length > 0, length)).alias("lengths")).first()
-    if row.n <= limit:
-        return True, sorted(row.lengths)
-    return False, prefix_lengths(dim, prefix)
+    found = dim.agg(
+        (F.count("*") <= limit).alias("small"),
+        F.sort_array(F.collect_set(F.when(length > 0, length))).alias("lengths"),
+        *[column.alias(name) for name, column in extra.items()])
+    return found.first()
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -59,14 +59,16 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "in
     return joined.drop("_salt", *[f"_dim_{k}" for k in keys])
 
 
-def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str,
-                condition: Column | None = None, max_rows: int | None = None) -> DataFrame:
+def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str, condition: Column | None = None,
+                max_rows: int | None = None, facts: Row | None = None) -> DataFrame:
     """Inner join where the identifier starts with the prefix, planned as an equality join.
 
     The start of the identifier is cut to each prefix length in use (normally one), which turns the
-    LIKE of a nested loop into a hash join. `prefix_col` must not be a column of `fact`.
+    LIKE of a nested loop into a hash join. `prefix_col` must not be a column of `fact`; `facts` passes on
+    a survey already made.
     """
-    small, lengths = count_and_lengths(dim, prefix_col, max_rows)
+    facts = facts or survey(dim, prefix_col, max_rows)
+    lengths = facts.lengths
     if not lengths:
         keyed = fact.withColumn("_key", F.lit(None).cast("string"))
     elif len(lengths) == 1:
@@ -74,7 +76,7 @@ def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str,
     else:
         keyed = fact.withColumn("_key", F.explode(prefix_keys(F.col(id_col), lengths)))
     dim = dim.withColumn("_key", F.col(prefix_col))
-    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows, small).drop("_key")
+    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows, facts.small).drop("_key")
 
 
 def counted_join(fact: DataFrame, dim: DataFrame, keys: list[str], counts: DataFrame, rows: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.constants import PREFIX_LENGTH
 from tapewatch.functions.ids import market_prefix
-from tapewatch.operators.joins import count_and_lengths, is_small, lookup_join
+from tapewatch.operators.joins import is_small, lookup_join, survey
 
 
 def _starts(prefixes: DataFrame, prefix_col: str, extra: list[str]) -> DataFrame:
@@ -27,10 +27,10 @@ def market_filter(trades: DataFrame, ids: DataFrame | None = None, prefixes: Dat
         checks.append((F.lower(id_col), keys, is_small(keys)))
     if prefixes is not None:
         starts = _starts(prefixes, prefix_col, []).distinct()
-        small, lengths = count_and_lengths(starts, "prefix")
-        for n in lengths:
+        facts = survey(starts, "prefix")
+        for n in facts.lengths:
             keys = starts.where(F.length("prefix") == n).select(F.col("prefix").alias("_k"))
-            checks.append((market_prefix(F.col(id_col), n), keys, small or None))
+            checks.append((market_prefix(F.col(id_col), n), keys, facts.small or None))
     if not checks:
         return trades.where(F.lit(False))
     if len(checks) == 1:
@@ -50,12 +50,12 @@ def route_prefix(trades: DataFrame, prefixes: DataFrame, order_col: str, id_col:
     """The first prefix in list order that the id starts with, else its first ten characters."""
     listed = _starts(prefixes, prefix_col, [order_col]).groupBy("prefix").agg(F.min(order_col).alias("ord"))
     routed, found = trades, []
-    small, lengths = count_and_lengths(listed, "prefix")
-    for n in lengths:
+    facts = survey(listed, "prefix")
+    for n in facts.lengths:
         keys = listed.where(F.length("prefix") == n).select(
             F.col("prefix").alias("_k"), F.struct("ord", "prefix").alias(f"_first{n}"))
         keyed = routed.withColumn("_k", market_prefix(F.col(id_col), n))
-        routed = lookup_join(keyed, keys, ["_k"], "left", small=small or None).drop("_k")
+        routed = lookup_join(keyed, keys, ["_k"], "left", small=facts.small or None).drop("_k")
         found.append(F.col(f"_first{n}"))
     if not found:
         return routed.withColumn(out, market_prefix(F.col(id_col), PREFIX_LENGTH))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewatch.constants import BAND_DAYS, CONTROL_MULTIPLIER, DAY_SECONDS, PREFIX_LENGTH
 from tapewatch.functions.ids import market_prefix
 from tapewatch.functions.timestamps import parse_timestamp
-from tapewatch.operators.joins import count_and_lengths, lookup_join, prefix_join
+from tapewatch.operators.joins import lookup_join, prefix_join, survey
 
 INDEX_COLUMNS = [
     "market_id_prefix", "condition_id", "is_leaked", "case_id", "case_title", "category",
@@ -96,12 +96,12 @@ def not_leaked(markets: DataFrame, leaked: DataFrame, ids: DataFrame | None = No
     """Drop markets that are leaked by id, or whose id starts with a leaked prefix."""
     ids = (leaked if ids is None else ids).select("condition_id").where("condition_id is not null").distinct()
     starts = leaked.select(F.col("market_id_prefix").alias("_start")).where("_start <> ''").distinct()
-    small, lengths = count_and_lengths(starts, "_start")
+    facts = survey(starts, "_start")
     kept = lookup_join(markets, ids, ["condition_id"], "left_anti")
-    for n in lengths:
+    for n in facts.lengths:
         cut = kept.withColumn("_start", market_prefix(F.col("condition_id"), n))
         kept = lookup_join(cut, starts.where(F.length("_start") == n), ["_start"], "left_anti",
-                           small=small or None).drop("_start")
+                           small=facts.small or None).drop("_start")
     return kept
 
 

@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tapewatch.operators.joins import prefix_join
+from tapewatch.functions.timestamps import utc_date
+from tapewatch.operators.joins import prefix_join, survey
 
 WINDOW_24H = "window_start_24h"
 WINDOW_48H = "window_start_48h"
 
 
-def prenews_trades(trades: DataFrame, index: DataFrame, window_col: str = WINDOW_48H) -> DataFrame:
+def prenews_trades(trades: DataFrame, index: DataFrame, window_col: str = WINDOW_48H,
+                   date_col: str | None = None) -> DataFrame:
     """Trades of indexed markets with window start <= block_timestamp < news_timestamp.
 
     A trade that falls under several index rows is repeated. The index columns replace columns of the
-    same name in `trades`; `resolved_at` and `category` are dropped when present.
+    same name in `trades`; `resolved_at` and `category` are dropped when present. The span of all
+    windows reaches the scan as a plain filter on time, which skips row groups; name the table's partition
+    column of UTC days in `date_col` to skip whole days.
     """
     taken = ["is_leaked", "case_id", "case_title", "news_timestamp", "market_id_prefix"]
     have = [c for c in taken if c in index.columns]
     dim = index.select(*have, F.col(window_col).cast("long").alias("window_start"))
-    facts = trades.drop("resolved_at", "category", "window_start", *taken)
+    facts = survey(dim, "market_id_prefix", first=F.min("window_start"), last=F.max("news_timestamp"))
+    if facts.first is None or facts.last is None:
+        return _joined(trades.where(F.lit(False)), dim, have, taken, facts)
+    time = F.col("block_timestamp")
+    spanned = trades.where((time >= facts.first) & (time < facts.last))
+    if date_col is not None:
+        ends = [utc_date(F.lit(facts.first)), utc_date(F.lit(facts.last - 1))]
+        spanned = spanned.where(F.col(date_col).between(*ends))
+    return _joined(spanned, dim, have, taken, facts)
+
+
+def _joined(trades: DataFrame, dim: DataFrame, have: list[str], taken: list[str], facts: Row) -> DataFrame:
+    trades = trades.drop("resolved_at", "category", "window_start", *taken)
     in_window = (F.col("block_timestamp") >= F.col("window_start")) & (
         F.col("block_timestamp") < F.col("news_timestamp"))
-    joined = prefix_join(facts, dim, "condition_id", "market_id_prefix", in_window)
-    return joined.select(*[F.col(f"`{c}`") for c in facts.columns], *have, "window_start")
+    joined = prefix_join(trades, dim, "condition_id", "market_id_prefix", in_window, facts=facts)
+    return joined.select(*[F.col(f"`{c}`") for c in trades.columns], *have, "window_start")
 
 
 def mins_before_news(trades: DataFrame, out: str = "mins_before_news") -> DataFrame:

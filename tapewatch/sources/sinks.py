@@ -9,8 +9,11 @@ from pyspark.sql import types as T
 
 from tapewatch.functions.ids import market_prefix
 from tapewatch.operators.joins import row_hash
+from tapewatch.session import stage
 
 ROWS_PER_FILE = 2_000_000
+FILES_PER_MARKET = 16
+PRUNED_MARKETS = 2_000
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
@@ -41,13 +44,13 @@ def write_prefixes(prefixes: DataFrame, resolved: DataFrame, path: str) -> None:
 def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: str = "market_id_prefix") -> DataFrame:
     """Append trades to the partition of their market, once per `key`; returns the whole table.
 
-    A trade already present is not written again, so a repeated run changes nothing. Big markets are
-    split over several files (and tasks) by the hash of the row.
+    A trade already present is not written again, so a repeated run changes nothing; `key` must not be
+    NULL. Big markets are split over several files (and tasks) by the hash of the row.
     """
     spark = trades.sparkSession
     if prefix_col not in trades.columns:
         trades = trades.withColumn(prefix_col, market_prefix(F.col("condition_id")))
-    fresh = trades.dropDuplicates(key)
+    fresh = stage(trades.dropDuplicates(key), "fresh")
     try:
         present = spark.read.parquet(path)
     except AnalysisException as error:
@@ -55,9 +58,12 @@ def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: s
             raise
         present = None  # no table yet
     if present is not None:
-        known = present.select(prefix_col, *key)
+        known = present.select(prefix_col, *[k for k in key if k != prefix_col])
+        touched = [r[0] for r in fresh.select(prefix_col).distinct().limit(PRUNED_MARKETS + 1).collect()]
+        if len(touched) <= PRUNED_MARKETS:
+            known = known.where(F.col(prefix_col).isin(touched))  # reads the partitions of these markets only
         fresh = fresh.join(known, list(dict.fromkeys([prefix_col, *key])), "left_anti")
-    dealt = fresh.withColumn("_deal", F.pmod(row_hash(fresh), F.lit(16)))
+    dealt = fresh.withColumn("_deal", F.pmod(row_hash(fresh), F.lit(FILES_PER_MARKET)))
     (
         dealt.repartition(prefix_col, "_deal").drop("_deal")
         .write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(prefix_col).parquet(path)
