@@ -312,7 +312,7 @@ def histogram_sql(rows: str, keys: list[str], bins: int, needs: list[str], head:
     return with_ctes(f"""{'' if needs else 'WITH'}, src AS ({rows}), span AS ({span}),
 counts AS (SELECT {sk}, CAST(least(floor((r.v - s.lo) / s.width), {bins - 1}) AS INT) AS bin, count(*) AS n
   FROM src r JOIN span s ON {on} GROUP BY ALL)
-SELECT {head}{gk}, CAST(g.bin AS INT) AS bin, round(lo + g.bin * width, 6) AS lo, round(lo + (g.bin + 1) * width, 6) AS hi,
+SELECT {head}{gk}, CAST(g.bin AS INT) AS bin, round(lo + g.bin * width, 9) AS lo, round(lo + (g.bin + 1) * width, 9) AS hi,
   coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / (total * width), 9) AS density
 FROM (SELECT s.*, unnest(range({bins})) AS bin FROM span s) g LEFT JOIN counts c ON {join} AND g.bin = c.bin""", *needs)
 
@@ -353,7 +353,7 @@ def _unpivot(columns: str, cols: list[str], source: str) -> str:
 
 
 def _quantiles() -> str:
-    parts = [f"SELECT '{f}' AS feature, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(CAST({f} AS DOUBLE), {p}), 6) "
+    parts = [f"SELECT '{f}' AS feature, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(CAST({f} AS DOUBLE), {p}), 9) "
              f"AS quantile FROM stored" for f in PROFILE_FEATURES for p in (0.01, 0.99)]
     return ", stored AS MATERIALIZED (SELECT * FROM profiles) " + " UNION ALL ".join(parts)
 

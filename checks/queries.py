@@ -382,10 +382,10 @@ def feature_corr(spark, sf):
 
 @query
 def feature_quantiles(spark, sf):
-    return rounded(curves.exact_quantiles(features(spark, sf), PROFILE_FEATURES, [0.01, 0.99]), {"quantile": 6})
+    return rounded(curves.exact_quantiles(features(spark, sf), PROFILE_FEATURES, [0.01, 0.99]), {"quantile": 9})
 
 
-HISTOGRAM = {"lo": 6, "hi": 6, "density": 9}
+HISTOGRAM = {"lo": 9, "hi": 9, "density": 9}
 
 
 @query
@@ -465,7 +465,7 @@ def ensemble_scores(spark, sf):
 
 @lru_cache(maxsize=4)
 def _scaled(spark, sf):
-    return stage(scaling.scale_features(stage(wallet_profiles(spark, sf), "profiles")), "scaled")
+    return scaling.model_input(stage(wallet_profiles(spark, sf), "profiles"))
 
 
 @lru_cache(maxsize=4)

@@ -14,7 +14,8 @@ def normalise_id(col: Column) -> Column:
 
 
 def market_prefix(col: Column, length: int = PREFIX_LENGTH) -> Column:
-    return F.substring(F.lower(col), 1, length)
+    """The first characters, lower-cased; cut first, which is cheaper on every trade."""
+    return F.lower(F.substring(col, 1, length))
 
 
 def prefix_lengths(dim: DataFrame, prefix: str) -> list[int]:
@@ -25,7 +26,7 @@ def prefix_lengths(dim: DataFrame, prefix: str) -> list[int]:
 
 def prefix_keys(id_col: Column, lengths: list[int], with_id: bool = False) -> Column:
     """Every start of the identifier that could equal a prefix, as a duplicate-free array."""
-    starts = [F.substring(F.lower(id_col), 1, n) for n in lengths]
+    starts = [market_prefix(id_col, n) for n in lengths]
     if with_id:
         starts.append(F.lower(id_col))
     return F.array_distinct(F.array(*starts))

@@ -16,7 +16,7 @@ from pyspark.taskcontext import TaskContext
 from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import with_rank
 from tapewatch.operators.sampling import SEED, split_controls
-from tapewatch.operators.scaling import scale_features
+from tapewatch.operators.scaling import model_input
 from tapewatch.session import new_path, stage
 
 # Layer widths between input and output, and the training settings.
@@ -164,7 +164,7 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
     net = Network(len(features))
     if n == 0:
         raise ValueError("no control wallets to train on")
-    schema = "train_rows long, val_rows long, val_sum double, step double, state array<double>"
+    schema = "train_rows long, val_rows long, val_sum double, step double, state binary"
 
     def run_epoch(state: State, rate: float, epoch: int, train: bool) -> list:
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +183,7 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
                     mine.update(net.gradient(mine.w, x[at:at + BATCH_ROWS], rng), rate)
             packed = np.concatenate([mine.w, mine.m, mine.v])
             yield pd.DataFrame({"train_rows": [train_rows], "val_rows": [val_rows], "val_sum": [val_sum],
-                                "step": [mine.step], "state": [packed]})
+                                "step": [mine.step], "state": [packed.tobytes()]})
 
         return table.mapInPandas(work, schema).collect()
 
@@ -214,7 +214,7 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
         if weight.sum() == 0:
             raise ValueError("no training rows")
         weight /= weight.sum()
-        packed = sum(share * np.asarray(r.state) for share, r in zip(weight, rows))
+        packed = sum(share * np.frombuffer(r.state) for share, r in zip(weight, rows))
         w, m, v = np.split(packed, 3)
         state = State(w, m, v, float(sum(share * r.step for share, r in zip(weight, rows))))
     return model
@@ -236,7 +236,7 @@ def reconstruction_error(scaled: DataFrame, weights: np.ndarray, features: list[
 
 def run_autoencoder(profiles: DataFrame, model_path: str | None = None, epochs: int = EPOCHS) -> DataFrame:
     """Profiles in, scores out; the weights are saved as Parquet when a path is given."""
-    scaled = stage(scale_features(profiles), "scaled")
+    scaled = model_input(profiles)
     model = fit_autoencoder(scaled, epochs=epochs)
     if model_path is not None:
         model.save(profiles.sparkSession, model_path)

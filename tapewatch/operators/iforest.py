@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import exact_quantiles, with_rank
 from tapewatch.operators.sampling import SEED
-from tapewatch.operators.scaling import is_control, scale_features
+from tapewatch.operators.scaling import is_control, model_input
 from tapewatch.session import stage
 
 # Trees, rows per tree, share of training rows taken as anomalous.
@@ -122,8 +122,10 @@ class Forest:
         own = np.arange(len(nodes))
         self.feature = np.where(leaf, 0, nodes["feature"].to_numpy())
         self.cut = np.where(leaf, np.inf, nodes["cut"].to_numpy())
-        self.left = np.where(leaf, own, nodes["left"].to_numpy() + start)
-        self.right = np.where(leaf, own, nodes["right"].to_numpy() + start)
+        # Node i goes on to child[2i], or to child[2i + 1] above the cut; a leaf stays where it is.
+        self.child = np.empty(2 * len(nodes), dtype=np.int64)
+        self.child[0::2] = np.where(leaf, own, nodes["left"].to_numpy() + start)
+        self.child[1::2] = np.where(leaf, own, nodes["right"].to_numpy() + start)
         self.length = nodes["depth"].to_numpy() + mean_path(nodes["rows"].to_numpy())
         self.depth = int(nodes["depth"].max()) if len(nodes) else 0
         used = int(nodes["rows"].to_numpy()[self.roots].max()) if len(nodes) else 0
@@ -132,12 +134,14 @@ class Forest:
     def score(self, x: np.ndarray) -> np.ndarray:
         """2^(-mean path / expected path) per row, in (0, 1]; higher is more anomalous."""
         total = np.zeros(len(x))
-        row = np.arange(len(x))
+        values = np.ascontiguousarray(x).ravel()
+        row = np.arange(len(x)) * x.shape[1]
         for root in self.roots:
             at = np.full(len(x), root)
             for _ in range(self.depth):
-                at = np.where(x[row, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
-            total += self.length[at]
+                above = values.take(row + self.feature.take(at)) > self.cut.take(at)
+                at = self.child.take(2 * at + above)
+            total += self.length.take(at)
         return np.exp2(-total / (max(len(self.roots), 1) * self.norm))
 
 
@@ -171,7 +175,7 @@ def score_forest(scaled: DataFrame, nodes: DataFrame, features: list[str] = MODE
 
 def run_isolation_forest(profiles: DataFrame, model_path: str | None = None, trees: int = TREES) -> DataFrame:
     """Profiles in, scores out; the forest is saved as Parquet when a path is given."""
-    scaled = stage(scale_features(profiles), "scaled")
+    scaled = model_input(profiles)
     nodes = stage(fit_forest(scaled, trees=trees), "forest")
     if model_path is not None:
         nodes.write.mode("overwrite").parquet(model_path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewatch.functions.ids import prefix_keys
+from tapewatch.functions.ids import market_prefix, prefix_keys
 
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -72,7 +72,7 @@ def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str, c
     if not lengths:
         keyed = fact.withColumn("_key", F.lit(None).cast("string"))
     elif len(lengths) == 1:
-        keyed = fact.withColumn("_key", F.substring(F.lower(id_col), 1, lengths[0]))
+        keyed = fact.withColumn("_key", market_prefix(F.col(id_col), lengths[0]))
     else:
         keyed = fact.withColumn("_key", F.explode(prefix_keys(F.col(id_col), lengths)))
     dim = dim.withColumn("_key", F.col(prefix_col))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.constants import LABEL, MODEL_FEATURES
+from tapewatch.session import stage
+
+ROWS_PER_FILE = 50_000
 
 
 def is_control() -> Column:
@@ -29,3 +32,8 @@ def scale_features(profiles: DataFrame, features: list[str] = MODEL_FEATURES,
     return fitted.select(*keep, *[
         ((F.col(f).cast("double") - F.col(f"_scaler.{f}.mean")) / F.col(f"_scaler.{f}.std")).alias(f)
         for f in features])
+
+
+def model_input(profiles: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
+    """Scaled features as a stored table that the models' passes read, in files of a few seconds' work."""
+    return stage(scale_features(profiles, features), "scaled", ROWS_PER_FILE)

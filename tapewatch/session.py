@@ -47,12 +47,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Use it where several passes must see the very same rows, or where recomputing would be dear. The
-    files outlive lost executors, keep column pruning, and give the planner the true size.
+    files outlive lost executors, keep column pruning, and give the planner the true size. A limit of
+    `rows_per_file` lets a small table be read by many tasks when the work per row is heavy.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,6 +68,19 @@ def test_plans(spark):
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_span_of_windows_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    trades = small_trades(spark, 199, 200, 999, 1000).withColumn("day", F.lit("1970-01-01").cast("date"))
+    trades.unionByName(trades.withColumn("day", F.lit("1970-01-02").cast("date"))).write.partitionBy("day").parquet(path)
+    got = prenews_trades(spark.read.parquet(path), small_index(spark), date_col="day")
+    text = plan(got)
+    assert "GreaterThanOrEqual(block_timestamp,200)" in text and "LessThan(block_timestamp,1000)" in text
+    assert "PartitionFilters: [isnotnull(day" in text
+    assert rows(got, "block_timestamp", "trade_id") == [(200, 1), (999, 2)]
+    columns = text.split("ReadSchema: ")[1].split("\n")[0]
+    assert "category" not in columns
+
+
 def test_plans_beyond_the_broadcast_bound(spark, salted):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
