@@ -16,7 +16,7 @@ from pyspark.taskcontext import TaskContext
 from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import with_rank
 from tapewatch.operators.sampling import SEED, split_controls
-from tapewatch.operators.scaling import model_input
+from tapewatch.operators.scaling import fit_scaler, model_input
 from tapewatch.session import new_path, stage
 
 # Layer widths between input and output, and the training settings.
@@ -131,12 +131,16 @@ class Model:
             [(i, loss, rate) for i, (loss, rate) in enumerate(zip(self.history, self.rates), 1)],
             "epoch int, val_loss double, learning_rate double")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.weights_frame(spark).write.mode("overwrite").parquet(path)
+    def save(self, scaler: DataFrame, path: str) -> None:
+        """Weights, history and the scaler they belong to, as Parquet."""
+        spark = scaler.sparkSession
+        parts = {"weights": self.weights_frame(spark), "history": self.history_frame(spark), "scaler": scaler}
+        for name, part in parts.items():
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_weights(spark: SparkSession, path: str) -> np.ndarray:
-    return spark.read.parquet(path).orderBy("position").toPandas()["weight"].to_numpy()
+    return spark.read.parquet(f"{path}/weights").orderBy("position").toPandas()["weight"].to_numpy()
 
 
 def _training_table(scaled: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
@@ -234,11 +238,23 @@ def reconstruction_error(scaled: DataFrame, weights: np.ndarray, features: list[
     return scaled.withColumn(out, error(*features))
 
 
+def rank_errors(scaled: DataFrame, weights: np.ndarray) -> DataFrame:
+    scores = reconstruction_error(scaled, weights).select("taker", LABEL, "case_id", "anomaly_score_ae")
+    return with_rank(stage(scores, "ae_scores"), "anomaly_score_ae", "rank_ae")
+
+
 def run_autoencoder(profiles: DataFrame, model_path: str | None = None, epochs: int = EPOCHS) -> DataFrame:
-    """Profiles in, scores out; the weights are saved as Parquet when a path is given."""
-    scaled = model_input(profiles)
+    """Profiles in, scores out; scaler, weights and history are saved as Parquet when a path is given."""
+    scaler = stage(fit_scaler(profiles), "scaler")
+    scaled = model_input(profiles, scaler=scaler)
     model = fit_autoencoder(scaled, epochs=epochs)
     if model_path is not None:
-        model.save(profiles.sparkSession, model_path)
-    scores = reconstruction_error(scaled, model.weights).select("taker", LABEL, "case_id", "anomaly_score_ae")
-    return with_rank(stage(scores, "ae_scores"), "anomaly_score_ae", "rank_ae")
+        model.save(scaler, model_path)
+    return rank_errors(scaled, model.weights)
+
+
+def score_saved_autoencoder(profiles: DataFrame, model_path: str) -> DataFrame:
+    """Scores of new profiles under saved weights."""
+    spark = profiles.sparkSession
+    scaler = spark.read.parquet(f"{model_path}/scaler")
+    return rank_errors(model_input(profiles, scaler=scaler), load_weights(spark, model_path))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import exact_quantiles, with_rank
 from tapewatch.operators.sampling import SEED
-from tapewatch.operators.scaling import is_control, model_input
+from tapewatch.operators.scaling import fit_scaler, is_control, model_input
 from tapewatch.session import stage
 
 # Trees, rows per tree, share of training rows taken as anomalous.
@@ -164,19 +164,33 @@ def flag_threshold(raw: DataFrame, contamination: float = CONTAMINATION) -> Data
 
 
 def score_forest(scaled: DataFrame, nodes: DataFrame, features: list[str] = MODEL_FEATURES,
-                 contamination: float = CONTAMINATION) -> DataFrame:
-    """Anomaly score (positive: flagged) and rank of every wallet."""
+                 contamination: float = CONTAMINATION, threshold: DataFrame | None = None) -> DataFrame:
+    """Anomaly score (positive: flagged) and rank of every wallet.
+
+    The flagging threshold is taken from the controls of the table, or from a `threshold` found before.
+    """
     raw = stage(raw_scores(scaled, nodes, features).select("taker", LABEL, "case_id", "if_raw"), "if_raw")
+    offset = flag_threshold(raw, contamination) if threshold is None else threshold
     scores = raw.select(
         "taker", LABEL, "case_id",
-        (F.col("if_raw") - flag_threshold(raw, contamination).scalar()).alias("anomaly_score_if"))
+        (F.col("if_raw") - offset.select("threshold").scalar()).alias("anomaly_score_if"))
     return with_rank(scores, "anomaly_score_if", "rank_if")
 
 
 def run_isolation_forest(profiles: DataFrame, model_path: str | None = None, trees: int = TREES) -> DataFrame:
-    """Profiles in, scores out; the forest is saved as Parquet when a path is given."""
-    scaled = model_input(profiles)
+    """Profiles in, scores out; scaler, forest and threshold are saved as Parquet when a path is given."""
+    scaler = stage(fit_scaler(profiles), "scaler")
+    scaled = model_input(profiles, scaler=scaler)
     nodes = stage(fit_forest(scaled, trees=trees), "forest")
     if model_path is not None:
-        nodes.write.mode("overwrite").parquet(model_path)
+        threshold = flag_threshold(stage(raw_scores(scaled.where(is_control()), nodes), "if_raw"))
+        for name, part in (("scaler", scaler), ("nodes", nodes), ("threshold", threshold)):
+            part.write.mode("overwrite").parquet(f"{model_path}/{name}")
     return score_forest(scaled, nodes)
+
+
+def score_saved_forest(profiles: DataFrame, model_path: str) -> DataFrame:
+    """Scores of new profiles under a saved forest."""
+    scaler, nodes, threshold = (
+        profiles.sparkSession.read.parquet(f"{model_path}/{name}") for name in ("scaler", "nodes", "threshold"))
+    return score_forest(model_input(profiles, scaler=scaler), nodes, threshold=threshold)

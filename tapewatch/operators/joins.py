@@ -98,4 +98,5 @@ def counted_join(fact: DataFrame, dim: DataFrame, keys: list[str], counts: DataF
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod("_hash", "_deals"), F.lit(0)).cast("int"))
     dealt = dealt.drop("_hash", "_deals", *[f"_hot_{k}" for k in keys])
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), deals - 1))).drop(rows)
-    return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    added = [c for c in dim.columns if c not in (*keys, rows)]
+    return dealt.join(spread, [*keys, "_salt"], "left").select(*[F.col(f"`{c}`") for c in (*fact.columns, *added)])

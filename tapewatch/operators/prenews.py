@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tapewatch.constants import PREFIX_LENGTH
 from tapewatch.functions.timestamps import utc_date
 from tapewatch.operators.joins import prefix_join, survey
 
+PRUNED_MARKETS = 2_000
 WINDOW_24H = "window_start_24h"
 WINDOW_48H = "window_start_48h"
 
 
 def prenews_trades(trades: DataFrame, index: DataFrame, window_col: str = WINDOW_48H,
-                   date_col: str | None = None) -> DataFrame:
+                   date_col: str | None = None, prefix_col: str | None = None) -> DataFrame:
     """Trades of indexed markets with window start <= block_timestamp < news_timestamp.
 
     A trade that falls under several index rows is repeated. The index columns replace columns of the
     same name in `trades`; `resolved_at` and `category` are dropped when present. The span of all
-    windows reaches the scan as a plain filter on time, which skips row groups; name the table's partition
-    column of UTC days in `date_col` to skip whole days.
+    windows reaches the scan as a plain filter on time, which skips row groups. Name the table's partition
+    column of UTC days in `date_col` to skip whole days, or that of ten-character market prefixes in
+    `prefix_col` to skip whole markets.
     """
     taken = ["is_leaked", "case_id", "case_title", "news_timestamp", "market_id_prefix"]
     have = [c for c in taken if c in index.columns]
@@ -32,6 +35,10 @@ def prenews_trades(trades: DataFrame, index: DataFrame, window_col: str = WINDOW
     if date_col is not None:
         ends = [utc_date(F.lit(facts.first)), utc_date(F.lit(facts.last - 1))]
         spanned = spanned.where(F.col(date_col).between(*ends))
+    if prefix_col is not None and facts.lengths == [PREFIX_LENGTH]:
+        listed = dim.select("market_id_prefix").distinct().limit(PRUNED_MARKETS + 1).collect()
+        if len(listed) <= PRUNED_MARKETS:
+            spanned = spanned.where(F.col(prefix_col).isin([r[0] for r in listed]))
     return _joined(spanned, dim, have, taken, facts)
 
 

@@ -26,14 +26,15 @@ def fit_scaler(profiles: DataFrame, features: list[str] = MODEL_FEATURES) -> Dat
 
 
 def scale_features(profiles: DataFrame, features: list[str] = MODEL_FEATURES,
-                   keep: tuple[str, ...] = ("taker", LABEL, "case_id")) -> DataFrame:
-    """All rows scaled by the controls' mean and deviation."""
-    fitted = profiles.withColumn("_scaler", fit_scaler(profiles, features).scalar())
-    return fitted.select(*keep, *[
+                   keep: tuple[str, ...] = ("taker", LABEL, "case_id"), scaler: DataFrame | None = None) -> DataFrame:
+    """All rows scaled by the controls' mean and deviation, or by a `scaler` fitted before."""
+    fitted = fit_scaler(profiles, features) if scaler is None else scaler
+    scaled = profiles.withColumn("_scaler", fitted.select("scaler").scalar())
+    return scaled.select(*keep, *[
         ((F.col(f).cast("double") - F.col(f"_scaler.{f}.mean")) / F.col(f"_scaler.{f}.std")).alias(f)
         for f in features])
 
 
-def model_input(profiles: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
+def model_input(profiles: DataFrame, features: list[str] = MODEL_FEATURES, scaler: DataFrame | None = None) -> DataFrame:
     """Scaled features as a stored table that the models' passes read, in files of a few seconds' work."""
-    return stage(scale_features(profiles, features), "scaled", ROWS_PER_FILE)
+    return stage(scale_features(profiles, features, scaler=scaler), "scaled", ROWS_PER_FILE)

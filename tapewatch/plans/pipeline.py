@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.operators import autoencoder, iforest
@@ -18,6 +18,7 @@ from tapewatch.operators.profiles import build_profiles
 from tapewatch.operators.quality import require_complete
 from tapewatch.operators.resolutions import resolution_consistency, validate_resolutions
 from tapewatch.session import stage
+from tapewatch.sources.sinks import read_stage, write_report, write_stage
 from tapewatch.sources.trades import union_by_name
 
 
@@ -46,26 +47,47 @@ def market_trades(trades: DataFrame, inventory: DataFrame, resolved: DataFrame)
                          controls.drop("market_id_prefix"))
 
 
-def score_models(profiles: DataFrame, epochs: int = autoencoder.EPOCHS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Both models, their ensemble and the summary of all three."""
-    if_scores = stage(iforest.run_isolation_forest(profiles), "if_scores")
-    ae_scores = stage(autoencoder.run_autoencoder(profiles, epochs=epochs), "ae_scores")
-    ensemble = stage(ensemble_scores(if_scores, ae_scores), "ensemble")
-    summary = model_summary({
+def summarise(if_scores: DataFrame, ae_scores: DataFrame, ensemble: DataFrame) -> DataFrame:
+    """The report rows of both models and their ensemble."""
+    return model_summary({
         "isolation_forest": (if_scores, "anomaly_score_if"),
         "autoencoder": (ae_scores, "anomaly_score_ae"),
         "ensemble": (ensemble, "anomaly_score_ensemble"),
     })
-    return if_scores, ae_scores, ensemble, summary
+
+
+def score_models(profiles: DataFrame, epochs: int = autoencoder.EPOCHS,
+                 model_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores of both models, which are saved below `model_path` when it is given."""
+    forest_path, weights_path = (f"{model_path}/{m}" if model_path else None for m in ("forest", "autoencoder"))
+    if_scores = stage(iforest.run_isolation_forest(profiles, forest_path), "if_scores")
+    return if_scores, stage(autoencoder.run_autoencoder(profiles, weights_path, epochs), "ae_scores")
+
+
+def save(run: Run, folder: str) -> None:
+    """Write every table of the run: Parquet per stage, and the resolution report as CSV."""
+    for name in ("market_index", "trades", "profiles", "if_scores", "ae_scores", "ensemble", "summary"):
+        write_stage(getattr(run, name), f"{folder}/{name}")
+    if run.resolutions is not None:
+        write_report(run.resolutions, f"{folder}/resolutions")
+
+
+def load_and_evaluate(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary once more from saved scores, without training."""
+    if_scores, ae_scores = (read_stage(spark, f"{folder}/{name}") for name in ("if_scores", "ae_scores"))
+    return summarise(if_scores, ae_scores, stage(ensemble_scores(if_scores, ae_scores), "ensemble"))
 
 
 def run(trades: DataFrame, inventory: DataFrame, resolved: DataFrame, resolutions: DataFrame | None = None,
-        window_col: str = WINDOW_48H, n_controls: int | None = None, epochs: int = autoencoder.EPOCHS) -> Run:
+        window_col: str = WINDOW_48H, n_controls: int | None = None, epochs: int = autoencoder.EPOCHS,
+        model_path: str | None = None) -> Run:
     """From raw trades and a flattened inventory to scores, summary and resolution report."""
     selected = stage(market_trades(trades, inventory, resolved), "selected")
     index = stage(build_market_index(inventory, resolved, market_metadata(selected), n_controls), "index")
     windowed = stage(prenews_trades(selected, index, window_col), "windowed")
     profiles = require_complete(stage(build_profiles(windowed), "profiles"))
-    if_scores, ae_scores, ensemble, summary = score_models(profiles, epochs)
+    if_scores, ae_scores = score_models(profiles, epochs, model_path)
+    ensemble = stage(ensemble_scores(if_scores, ae_scores), "ensemble")
+    summary = summarise(if_scores, ae_scores, ensemble)
     report = resolution_consistency(validate_resolutions(index, resolutions)) if resolutions is not None else None
     return Run(index, windowed, profiles, if_scores, ae_scores, ensemble, summary, report)

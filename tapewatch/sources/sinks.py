@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_stage(spark: SparkSession, path: str) -> DataFrame:
+    """A stage's output; a missing one raises an AnalysisException that names the path."""
+    return spark.read.parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """CSV with a header; nested columns become JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)

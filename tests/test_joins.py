@@ -81,6 +81,17 @@ def test_span_of_windows_reaches_the_scan(spark, tmp_path):
     assert "category" not in columns
 
 
+def test_markets_are_pruned_by_partition(spark, tmp_path):
+    from tapewatch.sources.sinks import append_by_market
+    both = small_trades(spark, 500).unionByName(small_trades(spark, 500, 600, cid=P2 + "01").withColumn(
+        "trade_id", F.col("trade_id") + 10))
+    table = append_by_market(both, str(tmp_path / "m"), ["trade_id"])
+    got = prenews_trades(table, small_index(spark), prefix_col="market_id_prefix")
+    filters = plan(got).split("PartitionFilters: [")[1].split("]")[0]
+    assert f"market_id_prefix" in filters and P1 in filters
+    assert rows(got, "trade_id", "market_id_prefix") == [(0, P1)]
+
+
 def test_plans_beyond_the_broadcast_bound(spark, salted):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -133,11 +133,27 @@ def test_autoencoder_in_several_tasks(spark, scaled, monkeypatch):
     assert model.history[-1] < model.history[0]
 
 
-def test_saved_weights_come_back(spark, scaled, tmp_path):
-    model = autoencoder.fit_autoencoder(scaled, epochs=1)
-    model.save(spark, str(tmp_path / "w"))
-    assert (autoencoder.load_weights(spark, str(tmp_path / "w")) == model.weights).all()
-    assert rows(model.history_frame(spark), "epoch", "learning_rate") == [(1, 0.001)]
+def test_saved_models_score_alike(spark, tmp_path):
+    profiles = wallets(spark, controls=300, leaked=20, outliers=2)
+    path = str(tmp_path / "forest")
+    first = rows(iforest.run_isolation_forest(profiles, path, trees=20))
+    assert rows(iforest.score_saved_forest(profiles, path)) == first
+    # Scaler and threshold are the saved ones, also for a table without controls.
+    some = profiles.where("is_leaked_market = 1")
+    assert rows(iforest.score_saved_forest(some, path), "taker", "anomaly_score_if") == sorted(
+        (r[0], r[3]) for r in first if r[1] == 1)
+    path = str(tmp_path / "autoencoder")
+    first = rows(autoencoder.run_autoencoder(profiles, path, epochs=2))
+    assert rows(autoencoder.score_saved_autoencoder(profiles, path)) == first
+    assert rows(spark.read.parquet(path + "/history"), "epoch", "learning_rate") == [(1, 0.001), (2, 0.001)]
+
+
+def test_loco_with_a_model(spark):
+    from tapewatch.operators.loco import leave_one_case_out
+    profiles = wallets(spark, controls=300, leaked=0, outliers=12)
+    got = leave_one_case_out(profiles, lambda p: iforest.run_isolation_forest(p, trees=20), "anomaly_score_if")
+    row = got.first()
+    assert row.case_id == "c" and row.roc_auc > 0.99 and row.precision_at_20 == 0.6
 
 
 def test_early_stop(spark, scaled, monkeypatch):

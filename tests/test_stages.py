@@ -179,15 +179,21 @@ def test_stream_equals_batch_on_a_growing_folder(spark, tmp_path):
     assert rows(run(), "trade_id", "condition_id", "taker") == rows(batch)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     inv = inventory.flatten_inventory(fx.fx_cases(spark, sf))
-    run = pipeline.run(fx.fx_trades(spark, sf), inv, fx.fx_resolved(spark, sf), fx.fx_resolutions(spark, sf), epochs=3)
+    run = pipeline.run(fx.fx_trades(spark, sf), inv, fx.fx_resolved(spark, sf), fx.fx_resolutions(spark, sf), epochs=3,
+                       model_path=str(tmp_path / "models"))
     assert rows(run.summary, "model") == [("autoencoder",), ("ensemble",), ("isolation_forest",)]
     n = run.profiles.count()
     assert n == run.if_scores.count() == run.ae_scores.count() == run.ensemble.count() > 100
     assert run.market_index.where("is_leaked = 1").count() == 32
     assert run.market_index.where("is_leaked = 0").count() > 0
     assert run.resolutions.count() >= run.market_index.count()
+    pipeline.save(run, str(tmp_path / "out"))
+    assert rows(pipeline.load_and_evaluate(spark, str(tmp_path / "out"))) == rows(run.summary)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "resolutions")).count() == run.resolutions.count()
+    with pytest.raises(Exception, match="nothing/if_scores"):
+        pipeline.load_and_evaluate(spark, str(tmp_path / "nothing"))
     with pytest.raises(Exception, match="empty"):
         pipeline.run(fx.fx_trades(spark, sf).where("false"), inv, fx.fx_resolved(spark, sf), epochs=1)
