@@ -326,14 +326,13 @@ def _metric_columns() -> str:
         *[f"round(precision_at_{k} / base_rate, 9) AS lift_at_{k}" for k in K_VALUES]])
 
 
-def _describe() -> str:
-    cols = ["trade_id", "usdc_amount", "D", "block_timestamp", "is_leaked", "news_timestamp", "window_start"]
+def _describe(source: str, cols: list[str], digits: int, quartile_digits: int) -> str:
     parts = []
     for c in cols:
         v = f'CAST("{c}" AS DOUBLE)'
-        parts.append(f"""SELECT '{c}' AS feature, count("{c}") AS n, round(avg({v}), 3) AS mean,
-  round(stddev_samp({v}), 3) AS std, min({v}) AS min, round(quantile_cont({v}, 0.25), 6) AS q25,
-  round(quantile_cont({v}, 0.5), 6) AS q50, round(quantile_cont({v}, 0.75), 6) AS q75, max({v}) AS max FROM windowed""")
+        parts.append(f"""SELECT '{c}' AS feature, count("{c}") AS n, round(avg({v}), {digits}) AS mean,
+  round(stddev_samp({v}), {digits}) AS std, min({v}) AS min, round(quantile_cont({v}, 0.25), {quartile_digits}) AS q25,
+  round(quantile_cont({v}, 0.5), {quartile_digits}) AS q50, round(quantile_cont({v}, 0.75), {quartile_digits}) AS q75, max({v}) AS max FROM {source}""")
     return " UNION ALL ".join(parts)
 
 
@@ -452,19 +451,26 @@ FROM fx_trades t JOIN candidates c ON lower(t.condition_id) LIKE c.market_id_pre
   0.5::DOUBLE AS by_nothing FROM windowed GROUP BY taker""", "windowed")
     put("buy_fraction", """SELECT taker, is_leaked, round(avg(CASE WHEN "D" = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 9)
   AS buy_fraction FROM windowed GROUP BY 1, 2""", "windowed")
-    put("inventory_summary", """SELECT case_id, count(DISTINCT case_id) AS cases, count(*) AS markets,
-  count(*) FILTER (WHERE trade_history_available = 'true') AS available FROM fx_inventory GROUP BY ROLLUP (case_id)""",
-        "fx_inventory")
+    put("inventory_summary", """SELECT case_id, date, category, title, count(DISTINCT case_id) AS cases, count(*) AS markets,
+  count(*) FILTER (WHERE trade_history_available = 'true') AS available FROM fx_inventory
+GROUP BY GROUPING SETS ((case_id, date, category, title), ())""", "fx_inventory")
     put("category_crosstab", """SELECT category, count(*) FILTER (WHERE is_leaked = 0) AS n_control,
   count(*) FILTER (WHERE is_leaked = 1) AS n_leaked FROM fx_index GROUP BY 1""", "fx_index")
     put("market_date_range", """SELECT strftime(make_timestamp(min(news_timestamp) * 1000000), '%Y-%m-%d %H:%M:%S') AS first_news,
   strftime(make_timestamp(max(news_timestamp) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_news FROM fx_index""", "fx_index")
     put("stage_counts", """SELECT count(*) AS n_trades, count(DISTINCT taker) AS n_takers,
   CAST(sum(is_leaked) AS BIGINT) AS n_leaked_trades FROM windowed""", "windowed")
+    put("label_counts", """SELECT 'market_index' AS stage, count(*) FILTER (WHERE is_leaked = 1) AS n_leaked,
+  count(*) FILTER (WHERE is_leaked = 0) AS n_control, count(*) AS n_total FROM fx_index
+UNION ALL SELECT 'profiles', count(*) FILTER (WHERE is_leaked_market = 1), count(*) FILTER (WHERE is_leaked_market = 0),
+  count(*) FROM raw_profiles""", "fx_index", "raw_profiles")
     put("profile_quality", f"""SELECT count(*) AS row_count, {", ".join(
         f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in ["taker", "is_leaked_market", "case_id", *PROFILE_FEATURES])}
 FROM raw_profiles""", "raw_profiles")
-    put("describe_trades", _describe(), "windowed")
+    put("describe_trades", _describe("windowed", ["trade_id", "usdc_amount", "D", "block_timestamp", "is_leaked",
+                                                  "news_timestamp", "window_start"], 3, 6), "windowed")
+    put("describe_profiles", ", stored AS MATERIALIZED (SELECT * FROM profiles) "
+        + _describe("stored", ["is_leaked_market", *PROFILE_FEATURES], 6, 9), "profiles")
     put("feature_corr", _corr(), "profiles")
     put("feature_quantiles", _quantiles(), "profiles")
     sql["histogram_clip"] = histogram_sql("""
@@ -522,6 +528,9 @@ FROM curve_a UNION ALL SELECT 'b', round(sum(pos * cum_pos / CAST(cum_n AS DOUBL
 ORDER BY abs(fpr - 0.01::DOUBLE), fpr, tpr LIMIT 1""", "curve_a")
     put("roc_points", f"""SELECT score AS threshold, round({FPR}, 9) AS fpr, round({TPR}, 9) AS tpr FROM curve_a
 WHERE {ON_ROC} UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE""", "curve_a")
+    put("roc_points_models", f"""SELECT model, score AS threshold, round({FPR}, 9) AS fpr, round({TPR}, 9) AS tpr
+FROM curve_models WHERE {ON_ROC} UNION ALL SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE
+FROM curve_models""", "curve_models")
     put("pr_points", f"""SELECT score AS threshold, round(cum_pos / CAST(cum_n AS DOUBLE), 9) AS precision,
   round({TPR}, 9) AS recall FROM curve_a UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE""", "curve_a")
     put("evaluate_model", f"SELECT {_metric_columns()} FROM metrics_models WHERE model = 'a'", "metrics_models")

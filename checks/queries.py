@@ -364,6 +364,13 @@ def stage_counts(spark, sf):
     return explore.stage_counts(windowed(spark, sf))
 
 
+@query
+def label_counts(spark, sf):
+    counted = {"market_index": (fx.fx_index(spark, sf), "is_leaked"), "profiles": (wallet_profiles(spark, sf), LABEL)}
+    return trades.union_by_name(*[
+        explore.label_counts(df, label).select(F.lit(name).alias("stage"), "*") for name, (df, label) in counted.items()])
+
+
 @query
 def profile_quality(spark, sf):
     return quality.missing_counts(wallet_profiles(spark, sf))
@@ -375,6 +382,12 @@ def describe_trades(spark, sf):
                    {"mean": 3, "std": 3, "q25": 6, "q50": 6, "q75": 6})
 
 
+@query
+def describe_profiles(spark, sf):
+    described = explore.describe_numeric(stage(features(spark, sf), "features"))
+    return rounded(described, {"mean": 6, "std": 6, "q25": 9, "q50": 9, "q75": 9})
+
+
 @query
 def feature_corr(spark, sf):
     return rounded(explore.feature_corr(features(spark, sf)), {"r": 6})
@@ -565,6 +578,14 @@ def _report_rows(df: DataFrame) -> DataFrame:
     return rounded(df, {c: 9 for c in df.columns if c not in counts})
 
 
+@query
+def roc_points_models(spark, sf):
+    scores = stage(fx.fx_scores(spark, sf), "scores")
+    curve = curves.score_curve(metrics.align_models({"a": (scores, "score_a"), "b": (scores, "score_b")}),
+                               "score", LABEL, ["model"])
+    return rounded(metrics.roc_points(curve, "score", ["model"]), {"fpr": 9, "tpr": 9})
+
+
 @query
 def evaluate_model(spark, sf):
     return _report_rows(metrics.evaluate_model(fx.fx_scores(spark, sf), "score_a", name="a"))

@@ -29,6 +29,12 @@ def market_date_range(index: DataFrame) -> DataFrame:
         F.timestamp_seconds(F.max("news_timestamp")).alias("last_news"))
 
 
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """One row: leaked, control and total."""
+    return df.agg(F.count_if(F.col(label) == 1).alias("n_leaked"), F.count_if(F.col(label) == 0).alias("n_control"),
+                  F.count("*").alias("n_total"))
+
+
 def stage_counts(trades: DataFrame) -> DataFrame:
     """Trades, wallets, and trades of leaked markets."""
     takers = trades.groupBy("taker").agg(F.count("*").alias("n"), F.sum("is_leaked").alias("leaked"))

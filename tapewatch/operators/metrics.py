@@ -131,19 +131,18 @@ def recall_at_fpr(df: DataFrame, score: str, label: str = LABEL, target_fpr: flo
 def evaluate_model(df: DataFrame, score: str, label: str = LABEL, name: str | None = "model",
                    k_values: list[int] = K_VALUES, tie: str = "taker") -> DataFrame:
     """The report row of a model; with `name=None`, one row per value of the column `model`."""
-    if name is not None:
-        df = df.withColumn("model", F.lit(name))
-    by = ["model"]
+    by = [] if name is not None else ["model"]
     metrics = curve_metrics(score_curve(df, score, label, by), score, by)
-    top = top_k(df, score, max(k_values), by, tie).groupBy(*by).agg(*[
-        F.avg(F.when(F.col("position") <= k, F.col(label).cast("double"))).alias(f"precision_at_{k}")
-        for k in k_values])
+    means = F.struct(*[
+        F.avg(F.when(F.col("position") <= k, F.col(label).cast("double"))).alias(f"precision_at_{k}") for k in k_values])
+    top = top_k(df, score, max(k_values), by, tie).groupBy(*by).agg(means.alias("top"))
+    report = metrics.join(top, by) if by else metrics.select(F.lit(name).alias("model"), "*", top.scalar().alias("top"))
     base = _share(F.col("n_positive"), F.col("n_total"))
-    return metrics.join(top, by).select(
+    return report.select(
         "model", "n_positive", "n_total", base.alias("base_rate"), "roc_auc", "pr_auc",
         F.col("recall_at_fpr").alias("recall_at_1pct_fpr"),
-        *[f"precision_at_{k}" for k in k_values],
-        *[_share(F.col(f"precision_at_{k}"), base).alias(f"lift_at_{k}") for k in k_values],
+        *[F.col(f"top.precision_at_{k}") for k in k_values],
+        *[_share(F.col(f"top.precision_at_{k}"), base).alias(f"lift_at_{k}") for k in k_values],
     )
 
 
@@ -156,6 +155,16 @@ def stack_models(scores: dict[str, tuple[DataFrame, str]], label: str = LABEL) -
     return stacked
 
 
+def align_models(scores: dict[str, tuple[DataFrame, str]], label: str = LABEL) -> DataFrame:
+    """Like `stack_models`, for the wallets all models have scored, under the labels of the first."""
+    names = list(scores)
+    joined = None
+    for name, (df, score) in scores.items():
+        part = df.select("taker", F.col(score).cast("double").alias(name), *([label] if joined is None else []))
+        joined = part if joined is None else joined.join(part, "taker")
+    return joined.unpivot(["taker", label], names, "model", "score")
+
+
 def model_summary(scores: dict[str, tuple[DataFrame, str]], label: str = LABEL) -> DataFrame:
     """One report row per model."""
     return evaluate_model(stack_models(scores, label), "score", label, name=None)

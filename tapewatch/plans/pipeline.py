@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tapewatch.operators import autoencoder, iforest
 from tapewatch.operators.controls import case_clusters, control_candidates, control_trades
@@ -19,7 +18,7 @@ from tapewatch.operators.quality import require_complete
 from tapewatch.operators.resolutions import resolution_consistency, validate_resolutions
 from tapewatch.session import stage
 from tapewatch.sources.sinks import read_stage, write_report, write_stage
-from tapewatch.sources.trades import union_by_name
+from tapewatch.sources.trades import union_by_name, with_trade_date
 
 
 @dataclass
@@ -38,13 +37,13 @@ class Run:
 
 def market_trades(trades: DataFrame, inventory: DataFrame, resolved: DataFrame) -> DataFrame:
     """Trades of the leaked markets and of the controls found for them."""
+    trades = with_trade_date(trades)
     inventory = stage(inventory, "inventory")
     clusters = stage(case_clusters(inventory), "clusters")
     leaked = market_filter(trades, resolved.select("condition_id"), inventory.select("market_id_prefix"))
     candidates = stage(control_candidates(trades, clusters, inventory), "candidates")
-    controls = control_trades(trades, clusters, candidates).withColumn("resolved_at", F.col("resolved_at").cast("string"))
-    return union_by_name(leaked.withColumn("resolved_at", F.col("resolved_at").cast("string")),
-                         controls.drop("market_id_prefix"))
+    controls = control_trades(trades, clusters, candidates).drop("market_id_prefix")
+    return union_by_name(leaked, controls, as_text=("resolved_at",))
 
 
 def summarise(if_scores: DataFrame, ae_scores: DataFrame, ensemble: DataFrame) -> DataFrame:

@@ -69,8 +69,12 @@ def read_resolved_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory_summary(cases: DataFrame) -> DataFrame:
-    """Markets and fully available markets per case, and in total (case_id NULL)."""
+    """Markets and fully available markets per case, and in total (all case columns NULL)."""
     markets = F.coalesce(F.col("markets"), F.array().cast(cases.schema["markets"].dataType))
     whole = F.filter(markets, lambda m: m["trade_history_available"] == "true")
-    return cases.withColumns({"n": F.size(markets).cast("long"), "ok": F.size(whole).cast("long")}).rollup("case_id").agg(
-        F.count("*").alias("cases"), F.sum("n").alias("markets"), F.sum("ok").alias("available"))
+    sizes = cases.select(
+        F.struct("case_id", "date", "category", "title").alias("case"),
+        F.size(markets).cast("long").alias("markets"), F.size(whole).cast("long").alias("available"))
+    return sizes.rollup("case").agg(
+        F.count("*").alias("cases"), F.sum("markets").alias("markets"), F.sum("available").alias("available"),
+    ).select("case.*", "cases", "markets", "available")

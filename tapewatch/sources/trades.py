@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewatch.functions.timestamps import utc_date
+
 
 def scan_trades(spark: SparkSession, *paths: str, merge: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """All Parquet files below the paths in one scan.
@@ -18,14 +20,25 @@ def scan_trades(spark: SparkSession, *paths: str, merge: bool = False, schema: T
     return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
 
 
-def union_by_name(*frames: DataFrame) -> DataFrame:
-    """All rows of all frames, columns matched by name and filled with NULL where absent."""
-    united = frames[0]
-    for df in frames[1:]:
-        united = united.unionByName(df, allowMissingColumns=True)
+def union_by_name(*frames: DataFrame, as_text: tuple[str, ...] = ()) -> DataFrame:
+    """All rows of all frames, columns matched by name and filled with NULL where absent.
+
+    Columns in `as_text` become text first; `resolved_at`, for one, is a number in some files.
+    """
+    united = None
+    for df in frames:
+        df = df.withColumns({c: F.col(c).cast("string") for c in as_text if c in df.columns})
+        united = df if united is None else united.unionByName(df, allowMissingColumns=True)
     return united
 
 
+def with_trade_date(trades: DataFrame, date_col: str = "trade_date") -> DataFrame:
+    """The UTC day of each trade, for tables that do not carry it as a partition column."""
+    if date_col in trades.columns:
+        return trades
+    return trades.withColumn(date_col, utc_date(F.col("block_timestamp")))
+
+
 def days_before(date: dt.date | str, first: int, last: int = 1) -> tuple[dt.date, dt.date]:
     """The days from `first` to `last` days ahead of `date`."""
     day = dt.date.fromisoformat(date) if isinstance(date, str) else date

@@ -1,6 +1,7 @@
 """Every registered query against its SQL in a second engine."""
 
 import pytest
+from helpers import plan
 
 from checks.compare import connect, differences
 from checks.oracles import oracles
@@ -32,6 +33,30 @@ def test_query_equals_sql_without_broadcast(spark, duck, salted, key):
     assert differences(QUERIES[key](spark, SF), duck, oracles()[key]) is None
 
 
+@pytest.mark.parametrize("key", sorted(set(oracles()) - {"stream_ingest"}))
+def test_no_query_pairs_all_rows(spark, monkeypatch, key):
+    """Neither the result nor any table written on the way is planned as a product of rows."""
+    from pyspark.sql import DataFrameWriter
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        plans.append(plan(self._df))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    plans.append(plan(QUERIES[key](spark, SF)))
+    for text in plans:
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    from checks import fixtures as fx
+    from tapewatch.operators.metrics import top_k
+    scores = fx.fx_scores(spark, SF)
+    assert "TakeOrderedAndProject" in plan(top_k(scores, "score_a", 200))
+    assert "WindowGroupLimit" in plan(top_k(scores, "score_a", 200, ["case_id"]))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
     top = entry.entry(spark)

@@ -37,7 +37,8 @@ def test_inventory(spark, tmp_path):
     assert rows(flat, "market_id_prefix", "ordinal", "news_timestamp", "trade_available", "label") == [
         ("0xaa", 0, 1704758400, True, "m"), ("0xbb", 1, 1700000000, True, "m"), ("0xcc", 3, 1704758400, False, "")]
     assert rows(inventory.inventory_summary(df)) == [
-        (None, 3, 4, 2), ("c1", 1, 4, 2), ("c2", 1, 0, 0), ("c3", 1, 0, 0)]
+        (None, None, None, None, 3, 4, 2), ("c1", "2024-01-09", "k", "One", 1, 4, 2), ("c2", None, None, None, 1, 0, 0),
+        ("c3", None, None, None, 1, 0, 0)]
 
 
 def test_resolved_ids(spark, tmp_path):
@@ -72,6 +73,18 @@ def test_union_by_name(spark):
     assert rows(trades.union_by_name(a, b)) == [(1, "x", None), (2, None, 0.5)]
 
 
+def test_mixed_types_become_text(spark):
+    a, b = spark.createDataFrame([(1, 5)], "k int, r long"), spark.createDataFrame([(2, "2024-01-05")], "k int, r string")
+    assert rows(trades.union_by_name(a, b, as_text=("r", "absent"))) == [(1, "5"), (2, "2024-01-05")]
+
+
+def test_trade_date(spark):
+    df = spark.createDataFrame([(1704412799,), (1704412800,)], "block_timestamp long")
+    assert [str(r[0]) for r in rows(trades.with_trade_date(df), "trade_date")] == ["2024-01-04", "2024-01-05"]
+    given = df.withColumn("trade_date", F.lit("x"))
+    assert trades.with_trade_date(given) is given
+
+
 def test_append_is_repeatable_and_widens(spark, tmp_path):
     path = str(tmp_path / "m")
     first = spark.createDataFrame([(1, "0xAAAAAAAA01"), (2, "0xbbbbbbbb01")], "id int, condition_id string")
