@@ -156,7 +156,7 @@ DEPENDS = {
     "wallet_hhi": ["wallet_markets"], "wallet_first": ["windowed"], "raw_profiles": ["wallet_hhi", "wallet_first"],
     "profiles": ["raw_profiles"], "metadata": ["fx_trades"], "leaked": ["fx_flat", "fx_resolved"],
     "controls": ["metadata", "leaked"], "controls_1d": ["metadata", "leaked"], "index_built": ["controls"],
-    "clusters": ["fx_flat"], "candidates": ["clusters", "fx_trades"], "curve_a": ["fx_scores"],
+    "clusters": ["fx_flat"], "offers": ["clusters", "fx_trades"], "turns": ["offers"], "chosen": ["turns"], "candidates": ["offers", "chosen"], "curve_a": ["fx_scores"],
     "curve_b": ["fx_scores"], "both_scores": ["fx_scores"], "report": ["fx_index", "fx_resolutions"],
     "scaled": ["profiles"], "curve_models": ["both_scores"], "metrics_models": ["curve_models"],
 }
@@ -194,23 +194,36 @@ FROM (
     row_number() OVER (PARTITION BY category, cluster_date ORDER BY case_id, ordinal) AS rn
   FROM (SELECT *, CAST(make_timestamp(news_timestamp * 1000000) AS DATE) AS cluster_date FROM fx_flat WHERE trade_available) f
   WINDOW w AS (PARTITION BY category, cluster_date)) z WHERE rn = 1"""
+CTES["offers"] = f"""
+SELECT cluster_no, market_id_prefix, min(days_ago) AS days_ago, arg_min(z, (days_ago, condition_id)) AS z FROM (
+  SELECT *, substr(condition_id, 1, 10) AS market_id_prefix, struct_pack(n_needed, cluster_news, cluster_date, category,
+    condition_id, market_category, slug, resolved_at) AS z FROM (
+    SELECT *, row_number() OVER (PARTITION BY cluster_no, days_ago ORDER BY condition_id) AS listed FROM (
+      SELECT c.cluster_no, c.category, c.n_needed, c.cluster_news, c.cluster_date, d.days_ago,
+        lower(t.condition_id) AS condition_id, min(t.category) AS market_category, min(t.market_slug) AS slug,
+        min(t.resolved_at) AS resolved_at
+      FROM (SELECT *, {_tags_cases()} AS tags FROM clusters) c CROSS JOIN (VALUES (0), (7)) d(days_ago)
+      JOIN fx_trades t ON list_contains(c.tags, t.category) AND t.trade_date = c.cluster_date - d.days_ago
+      GROUP BY ALL) a) b WHERE listed <= 2 * n_needed + 10) e
+WHERE NOT EXISTS (SELECT 1 FROM fx_flat l WHERE l.market_id_prefix = e.market_id_prefix)
+GROUP BY cluster_no, market_id_prefix"""
+# Clusters choose in turn: the recursion carries what earlier ones have taken.
+CTES["turns"] = """
+SELECT c.cluster_no, c.n_needed, coalesce(list(o.market_id_prefix ORDER BY o.days_ago, o.z.condition_id)
+  FILTER (WHERE o.market_id_prefix IS NOT NULL), []) AS offered
+FROM clusters c LEFT JOIN offers o ON c.cluster_no = o.cluster_no GROUP BY c.cluster_no, c.n_needed"""
+CTES["chosen"] = """
+SELECT CAST(0 AS BIGINT) AS cluster_no, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS mine
+UNION ALL
+SELECT t.cluster_no, list_concat(r.taken, list_slice(list_filter(t.offered, lambda p: NOT list_contains(r.taken, p)), 1, t.n_needed)),
+  list_slice(list_filter(t.offered, lambda p: NOT list_contains(r.taken, p)), 1, t.n_needed)
+FROM chosen r JOIN turns t ON t.cluster_no = r.cluster_no + 1"""
 CTES["candidates"] = f"""
-SELECT cluster_no, market_id_prefix, condition_id, category, market_category, slug,
-  coalesce(nullif({parse_sql('resolved_at')}, 0), cluster_news) AS resolved_at, cluster_date
-FROM (
-  SELECT *, row_number() OVER (PARTITION BY cluster_no ORDER BY days_ago, condition_id) AS place FROM (
-    SELECT *, row_number() OVER (PARTITION BY market_id_prefix ORDER BY cluster_no, days_ago, condition_id) AS turn FROM (
-      SELECT *, substr(condition_id, 1, 10) AS market_id_prefix FROM (
-        SELECT *, row_number() OVER (PARTITION BY cluster_no, days_ago ORDER BY condition_id) AS listed FROM (
-          SELECT c.cluster_no, c.category, c.n_needed, c.cluster_news, c.cluster_date, d.days_ago,
-            lower(t.condition_id) AS condition_id, min(t.category) AS market_category, min(t.market_slug) AS slug,
-            min(t.resolved_at) AS resolved_at
-          FROM (SELECT *, {_tags_cases()} AS tags FROM clusters) c CROSS JOIN (VALUES (0), (7)) d(days_ago)
-          JOIN fx_trades t ON list_contains(c.tags, t.category) AND t.trade_date = c.cluster_date - d.days_ago
-          GROUP BY ALL) a) b WHERE listed <= 2 * n_needed + 10) e
-    WHERE NOT EXISTS (SELECT 1 FROM fx_flat l WHERE l.market_id_prefix = e.market_id_prefix)) f
-  WHERE turn = 1) g
-WHERE place <= n_needed"""
+SELECT o.cluster_no, o.market_id_prefix, z.condition_id AS condition_id, z.category AS category,
+  z.market_category AS market_category, z.slug AS slug,
+  coalesce(nullif({parse_sql('z.resolved_at')}, 0), z.cluster_news) AS resolved_at, z.cluster_date AS cluster_date
+FROM offers o JOIN (SELECT cluster_no, unnest(mine) AS market_id_prefix FROM chosen) m
+  ON o.cluster_no = m.cluster_no AND o.market_id_prefix = m.market_id_prefix"""
 
 
 def _curve(source: str, score: str, by: str = "") -> str:
@@ -282,7 +295,7 @@ def with_ctes(body: str, *needs: str) -> str:
         add(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body
 
 
 TRADES = ('trade_id, condition_id, taker, usdc_amount, "D", taker_direction, block_timestamp, trade_date, category, '

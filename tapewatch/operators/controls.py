@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from tapewatch.functions.timestamps import or_else, parse_timestamp, utc_date
 from tapewatch.operators.joins import lookup_join
 from tapewatch.operators.market_index import least_values
 
+# Workers get the functions of this module with the task, so the package need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def category_tags(category: Column) -> Column:
     """The market tags that count as an inventory category."""
@@ -48,11 +54,24 @@ def _extent(clusters: DataFrame) -> tuple[dt.date | None, dt.date | None, int]:
     return row[0], row[1], row[2] or 0
 
 
+def _hand_out(listed: pd.DataFrame) -> pd.DataFrame:
+    listed = listed.sort_values(["cluster_no", "days_ago", "condition_id"])
+    taken, wanted, keep = set(), {}, []
+    for row in listed.itertuples():
+        open_places = wanted.setdefault(row.cluster_no, row.n_needed)
+        chosen = open_places > 0 and row.market_id_prefix not in taken
+        if chosen:
+            taken.add(row.market_id_prefix)
+            wanted[row.cluster_no] = open_places - 1
+        keep.append(chosen)
+    return listed[keep]
+
+
 def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes: DataFrame) -> DataFrame:
     """Control markets per cluster: traded under one of its tags on its day, or else a week before.
 
-    Each (cluster, day) offers its first 2n+10 markets in order of id, leaked ones are dropped, a
-    market goes to the first cluster that offers it, and each cluster keeps the n it needs.
+    Each (cluster, day) offers its first 2n+10 markets in order of id and leaked ones are dropped. The clusters
+    choose in turn: each takes the first n it needs of those that no earlier one has taken.
     """
     first_day, last_day, most = _extent(clusters)
     if first_day is None:
@@ -76,11 +95,8 @@ def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes:
     open_ones = lookup_join(
         listed.withColumn("market_id_prefix", F.substring("condition_id", 1, PREFIX_LENGTH)), starts,
         ["market_id_prefix"], "left_anti")
-    once = Window.partitionBy("market_id_prefix").orderBy("cluster_no", "days_ago", "condition_id")
-    free = open_ones.withColumn("place", F.row_number().over(once)).where("place = 1").drop("place")
-    queue = Window.partitionBy("cluster_no").orderBy("days_ago", "condition_id")
-    chosen = free.withColumn("place", F.row_number().over(queue)).where(
-        (F.col("place") <= most) & (F.col("place") <= F.col("n_needed")))
+    # At most 12 rows per leaked market and 20 per cluster are left, so one task can hand them out in turn.
+    chosen = open_ones.groupBy().applyInPandas(_hand_out, open_ones.schema)
     return chosen.select(
         "cluster_no", "market_id_prefix", "condition_id", F.col("cluster_category").alias("category"),
         F.col("category").alias("market_category"), F.col("market_slug").alias("slug"),

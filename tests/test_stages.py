@@ -164,10 +164,10 @@ def test_control_discovery(spark):
              (14, "0xcccccc0001", "Politics", "2024-01-09", "s", None), (15, "0xcccccc0001", "x", "2024-01-10", "s", None)]
     table = spark.createDataFrame(data, schema).withColumn("trade_date", F.col("trade_date").cast("date"))
     chosen = control_candidates(table, clusters, inv)
-    # Cluster 1 takes the first three of its day; its other two are not offered again; cluster 2 gets 0xee.
+    # Cluster 1 takes the first three of its day; cluster 2 the two left over, then one of a week before.
     assert rows(chosen, "cluster_no", "market_id_prefix", "resolved_at") == [
         (1, "0xcccccc00", day * DAY + 5), (1, "0xcccccc01", day * DAY + 5), (1, "0xcccccc02", day * DAY + 5),
-        (2, "0xeeeeeeee", 1705708800)]
+        (2, "0xcccccc03", day * DAY + 9), (2, "0xcccccc04", day * DAY + 9), (2, "0xdddddddd", 1700000000)]
     got = control_trades(table, clusters, chosen)
     assert rows(got, "trade_id", "category", "resolved_at") == [
         (13, "regulatory_decision", day * DAY + 5), (15, "regulatory_decision", day * DAY + 5)]
