@@ -35,7 +35,8 @@ ADAM_BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
 ROWS_PER_TASK = 1_000_000
-MAX_TASKS = 128
+MAX_TASKS = 1_024
+MERGED_STATES = 32
 
 # Workers get the functions of this module with the task, so the package need not be installed there.
 register_pickle_by_value(sys.modules[__name__])
@@ -144,7 +145,7 @@ def load_weights(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def _training_table(scaled: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
-    """Control rows dealt out by hash, written once: one file per task, a million rows each, 128 at most."""
+    """Control rows dealt out by hash, written once: one file per task, a million rows each until 1 024 tasks."""
     spark = scaled.sparkSession
     split = split_controls(scaled).select("taker", "is_validation", *features)
     n = split.count()
@@ -154,26 +155,41 @@ def _training_table(scaled: DataFrame, features: list[str]) -> tuple[DataFrame,
     return spark.read.schema(split.drop("taker").schema).parquet(path).coalesce(tasks), n
 
 
+STATE_SCHEMA = "task int, train_rows long, val_rows long, val_sum double, step double, state binary"
+
+
+def merge_states(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for several: sums of the counts and losses, states and steps averaged by training rows."""
+    share = rows["train_rows"].to_numpy(dtype=float)
+    share = share / share.sum() if share.sum() else np.full(len(rows), 1.0 / len(rows))
+    state = sum(s * np.frombuffer(packed) for s, packed in zip(share, rows["state"]))
+    return pd.DataFrame({
+        "task": [int(rows["task"].min())], "train_rows": [int(rows["train_rows"].sum())],
+        "val_rows": [int(rows["val_rows"].sum())], "val_sum": [float(rows["val_sum"].sum())],
+        "step": [float((share * rows["step"]).sum())], "state": [state.tobytes()]})
+
+
 def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epochs: int = EPOCHS,
                     seed: int = SEED) -> Model:
     """Train on the control wallets of a scaled table; weights with the lowest validation loss win.
 
     One Spark job per epoch: every task measures the validation loss of the weights it was given, takes
-    Adam steps over its training rows batch by batch, and returns its state; the driver averages the
-    states (about 160 kB each, 128 at most) by row count. The loss of an epoch is thus known one job
-    later, which is when the learning rate and the early stop react to it.
+    Adam steps over its training rows batch by batch, and returns its state. States are averaged by row
+    count: first in groups on the cluster, so that at most 32 of them (about 160 kB each) reach the driver. The
+    loss of an epoch is thus known one job later, which is when the learning rate and the early stop react.
     """
     spark = scaled.sparkSession
     table, n = _training_table(scaled, features)
     net = Network(len(features))
     if n == 0:
         raise ValueError("no control wallets to train on")
-    schema = "train_rows long, val_rows long, val_sum double, step double, state binary"
+    many = table.rdd.getNumPartitions() > MERGED_STATES
 
-    def run_epoch(state: State, rate: float, epoch: int, train: bool) -> list:
+    def run_epoch(state: State, rate: float, epoch: int, train: bool) -> pd.Series:
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mine = State(state.w, state.m, state.v, state.step)
-            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+            task = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed, epoch, task])
             train_rows, val_rows, val_sum = 0, 0, 0.0
             for batch in batches:
                 x = batch[features].to_numpy(dtype=float)
@@ -186,20 +202,25 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
                 for at in range(0, len(x) if train else 0, BATCH_ROWS):
                     mine.update(net.gradient(mine.w, x[at:at + BATCH_ROWS], rng), rate)
             packed = np.concatenate([mine.w, mine.m, mine.v])
-            yield pd.DataFrame({"train_rows": [train_rows], "val_rows": [val_rows], "val_sum": [val_sum],
-                                "step": [mine.step], "state": [packed.tobytes()]})
+            yield pd.DataFrame({"task": [task], "train_rows": [train_rows], "val_rows": [val_rows],
+                                "val_sum": [val_sum], "step": [mine.step], "state": [packed.tobytes()]})
 
-        return table.mapInPandas(work, schema).collect()
+        states = table.mapInPandas(work, STATE_SCHEMA)
+        if many:
+            group = F.pmod("task", F.lit(MERGED_STATES))
+            states = states.groupBy(group).applyInPandas(lambda rows: merge_states(rows.sort_values("task")), STATE_SCHEMA)
+        return merge_states(states.toPandas().sort_values("task")).iloc[0]
 
     zeros = np.zeros(net.size)
     state = State(net.initial(seed), zeros, zeros)
     model = Model(features, state.w)
     rate, best, since_best, since_gain, gain_mark = LEARNING_RATE, np.inf, 0, 0, np.inf
     for epoch in range(1, epochs + 2):
-        rows = run_epoch(state, rate, epoch, train=epoch <= epochs)
+        result = run_epoch(state, rate, epoch, train=epoch <= epochs)
+        if result.train_rows == 0:
+            raise ValueError("no training rows")
         if epoch > 1:
-            held = sum(r.val_rows for r in rows)
-            loss = sum(r.val_sum for r in rows) / held if held else 0.0
+            loss = float(result.val_sum / result.val_rows) if result.val_rows else 0.0
             model.history.append(loss)
             model.rates.append(rate)
             if loss < best:
@@ -214,13 +235,8 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
                 since_gain += 1
                 if since_gain > PLATEAU_PATIENCE:
                     rate, since_gain = rate * PLATEAU_FACTOR, 0
-        weight = np.array([r.train_rows for r in rows], dtype=float)
-        if weight.sum() == 0:
-            raise ValueError("no training rows")
-        weight /= weight.sum()
-        packed = sum(share * np.frombuffer(r.state) for share, r in zip(weight, rows))
-        w, m, v = np.split(packed, 3)
-        state = State(w, m, v, float(sum(share * r.step for share, r in zip(weight, rows))))
+        w, m, v = np.split(np.frombuffer(result.state), 3)
+        state = State(w, m, v, float(result.step))
     return model
 
 

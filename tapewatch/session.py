@@ -43,8 +43,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; one folder per application, to remove when it has ended."""
+    application = f"tapewatch-{spark.sparkContext.applicationId}"
+    return os.path.join(checkpoint_root(spark), application, f"{name}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:

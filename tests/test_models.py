@@ -128,9 +128,13 @@ def test_autoencoder_learns_and_repeats(spark, scaled):
 
 
 def test_autoencoder_in_several_tasks(spark, scaled, monkeypatch):
-    monkeypatch.setattr(autoencoder, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(autoencoder, "ROWS_PER_TASK", 80)
     model = autoencoder.fit_autoencoder(scaled, epochs=8)
     assert model.history[-1] < model.history[0]
+    monkeypatch.setattr(autoencoder, "MERGED_STATES", 2)
+    merged = autoencoder.fit_autoencoder(scaled, epochs=8)
+    assert merged.history == pytest.approx(model.history)
+    assert np.allclose(merged.weights, model.weights)
 
 
 def test_saved_models_score_alike(spark, tmp_path):
