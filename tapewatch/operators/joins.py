@@ -29,26 +29,27 @@ def survey(dim: DataFrame, prefix: str, max_rows: int | None = None, **extra: Co
     return found.first()
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A repeatable hash of the row, so that a retried task deals rows out as before."""
-    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.xxhash64(*plain)
+def row_hash(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """A repeatable hash of the row (or of `cols`), so that a retried task deals rows out as before."""
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in cols or plain])
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
                 condition: Column | None = None, max_rows: int | None = None,
-                small: bool | None = None) -> DataFrame:
+                small: bool | None = None, spread: list[str] | None = None) -> DataFrame:
     """Join `fact` with `dim` on equal `keys` (and `condition`), safe against hot keys.
 
     A lookup table proven small is broadcast: no shuffle of `fact`. Beyond that, each key is dealt out
     over `SALTS` groups on the fact side and repeated that often on the lookup side, so one key
     with a third of all rows is spread. `how` is inner, left, left_semi or left_anti. Columns of the
-    two tables must differ but for the keys, which come out once. `small` passes on a count already made.
+    two tables must differ but for the keys, which come out once. `small` passes on a count already made; `spread` names
+    columns that tell the rows of a key apart, so that the others need not be read for dealing them out.
     """
     if small is None:
         small = is_small(dim, max_rows)
     if not small:
-        fact = fact.withColumn("_salt", F.pmod(row_hash(fact), F.lit(SALTS)).cast("int"))
+        fact = fact.withColumn("_salt", F.pmod(row_hash(fact, spread), F.lit(SALTS)).cast("int"))
         dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keys = [*keys, "_salt"]
     dim = dim.withColumnsRenamed({k: f"_dim_{k}" for k in keys})
@@ -60,7 +61,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "in
 
 
 def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str, condition: Column | None = None,
-                max_rows: int | None = None, facts: Row | None = None) -> DataFrame:
+                max_rows: int | None = None, facts: Row | None = None, spread: list[str] | None = None) -> DataFrame:
     """Inner join where the identifier starts with the prefix, planned as an equality join.
 
     The start of the identifier is cut to each prefix length in use (normally one), which turns the
@@ -76,7 +77,7 @@ def prefix_join(fact: DataFrame, dim: DataFrame, id_col: str, prefix_col: str, c
     else:
         keyed = fact.withColumn("_key", F.explode(prefix_keys(F.col(id_col), lengths)))
     dim = dim.withColumn("_key", F.col(prefix_col))
-    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows, facts.small).drop("_key")
+    return lookup_join(keyed, dim, ["_key"], "inner", condition, max_rows, facts.small, spread).drop("_key")
 
 
 def counted_join(fact: DataFrame, dim: DataFrame, keys: list[str], counts: DataFrame, rows: str) -> DataFrame:

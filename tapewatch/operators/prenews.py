@@ -46,7 +46,8 @@ def _joined(trades: DataFrame, dim: DataFrame, have: list[str], taken: list[str]
     trades = trades.drop("resolved_at", "category", "window_start", *taken)
     in_window = (F.col("block_timestamp") >= F.col("window_start")) & (
         F.col("block_timestamp") < F.col("news_timestamp"))
-    joined = prefix_join(trades, dim, "condition_id", "market_id_prefix", in_window, facts=facts)
+    spread = [c for c in ("taker", "block_timestamp", "usdc_amount") if c in trades.columns]
+    joined = prefix_join(trades, dim, "condition_id", "market_id_prefix", in_window, facts=facts, spread=spread)
     return joined.select(*[F.col(f"`{c}`") for c in trades.columns], *have, "window_start")
 
 

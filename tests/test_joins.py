@@ -101,6 +101,13 @@ def test_plans_beyond_the_broadcast_bound(spark, salted):
     assert "SortMergeJoin" in text and "_salt" in text and "Broadcast" not in text
 
 
+def test_salting_does_not_read_more_columns(spark, salted, tmp_path):
+    small_trades(spark, 500).withColumn("market_slug", F.lit("s")).write.parquet(str(tmp_path / "t"))
+    got = prenews_trades(spark.read.parquet(str(tmp_path / "t")), small_index(spark)).select("taker", "case_id")
+    columns = plan(got).split("ReadSchema: ")[1].split("\n")[0]
+    assert "block_timestamp" in columns and "market_slug" not in columns
+
+
 def test_salts_spread_one_hot_key(spark, salted):
     trades = spark.range(20_000).select(
         F.col("id").cast("int").alias("trade_id"), F.lit(P1 + "01").alias("condition_id"), F.lit("w").alias("taker"),
