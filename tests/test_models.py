@@ -39,6 +39,10 @@ def test_split_and_sample_repeat(spark):
     assert split.count() == 2000 and 0.16 < share < 0.24
     a = rows(sampling.sample_controls(df, 50), "taker", "is_leaked_market")
     assert len(a) == 50 and a == rows(sampling.sample_controls(df.repartition(7), 50), "taker", "is_leaked_market")
+    import hashlib
+    least = sorted((f"w{i:05d}" for i in range(2000)), key=lambda w: hashlib.md5(f"42-{w}".encode()).hexdigest())[:50]
+    assert [r[0] for r in a] == sorted(least)
+    assert sampling.sample_controls(df, 3000).count() == 2000
     assert sampling.sample_controls(df, 50, seed=7).join(sampling.sample_controls(df, 50), "taker").count() < 20
 
 
