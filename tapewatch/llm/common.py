@@ -53,9 +53,9 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], by: Sequen
     parts = stage(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "parts")
     totals = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = stage(totals.select(
         *[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_at"),
-        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums]), "offsets")
     here = F.col("_part") == F.col("_at")
     for b in by:
         here = here & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
