@@ -10,6 +10,7 @@ from tapewatch.llm.elias_fano import op10_elias_fano
 from tapewatch.llm.exact_dedup import op1_radix_dedup
 from tapewatch.llm.packing import op4_min_bin_slack
 from tapewatch.llm.sharding import op5_hilbert_sharding
+from tapewatch.llm.simhash import op8_simhash_bktree
 from tapewatch.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_min_bin_slack": op4_min_bin_slack,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_token_counts": op6_token_counts,
+    "op8_simhash_bktree": op8_simhash_bktree,
     "op10_elias_fano": op10_elias_fano,
 }
 
