@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import partitions, read_table
-from tapewatch.llm.tokens import WordEncoder, utf8
+from tapewatch.llm.tokens import shared_encoder, utf8
 from tapewatch.session import new_path
 
 END = 1
@@ -110,7 +110,7 @@ def _segments(vocabulary: str | None, end: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(vocabulary)
+        part, encoder = TaskContext.get().partitionId(), shared_encoder(vocabulary)
         stop = struct.pack("<I", end)
         number = done = 0
         ids: list[bytes] = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import numbered, read_table, running
-from tapewatch.llm.tokens import WordEncoder, utf8
+from tapewatch.llm.tokens import shared_encoder, utf8
 
 CAPACITY = 2048
 END = 0
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     def pieces(batches):
         import pyarrow as pa
 
-        encoder, stop, step = WordEncoder(vocabulary), struct.pack("<I", end), 4 * capacity
+        encoder, stop, step = shared_encoder(vocabulary), struct.pack("<I", end), 4 * capacity
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:

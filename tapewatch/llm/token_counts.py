@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import read_table, running
-from tapewatch.llm.tokens import WordEncoder, utf8
+from tapewatch.llm.tokens import shared_encoder, utf8
 from tapewatch.session import stage
 
 
@@ -24,7 +24,7 @@ def document_lengths(docs: DataFrame, text: str = "text", vocabulary: str | None
     """One row per document: its number of tokens, `length`."""
     def lengths(batches):
         import pyarrow as pa
-        encoder = WordEncoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         for batch in batches:
             counts = [len(ids) // 4 for ids in encoder.each(utf8(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["length"])

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker, about 170 bytes each.
-LIMIT = 600_000
+LIMIT = 900_000
 #: Texts are looked up together up to so many bytes, new words encoded together up to so many words.
 GROUP_BYTES, GROUP_WORDS = 4 << 20, 20_000
 #: A character that is a token of its own between spaces; it tells words apart that are encoded together.
@@ -109,6 +110,12 @@ class WordEncoder:
         self._shrink()
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str | None = None) -> WordEncoder:
+    """One encoder per Python worker: its cache serves all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def utf8(column) -> list[bytes | None]:
     """An Arrow string column as bytes, without decoding."""
     import pyarrow as pa
