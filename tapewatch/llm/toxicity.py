@@ -36,7 +36,9 @@ from tapewatch.session import stage
 SAMPLE, FEATURES, SIGNIFICANT = 15_000, 2_000, 2.0
 #: Bytes of a word's beginning that are features, in ascending order.
 BEGINNINGS = (4, 5, 6, 7, 8)
-RIDGE, FAIR, STEPS = 1e-6, 1.0, 800
+RIDGE, FAIR, STEPS = 1e-5, 1.0, 400
+#: The intercept stays at or above this: without any toxic word a text still scores 3 %.
+FLOOR = -3.5
 THRESHOLD = 0.7
 #: Names of groups of people by kind. Fixed values.
 GROUPS = (
@@ -185,7 +187,7 @@ def fit_weights(y: np.ndarray, lists: Sequence[Sequence[int]], swaps: Sequence[t
                 ridge: float = RIDGE, fair: float = FAIR, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all examples at once, with a ridge and the counterfactual penalty.
 
-    Weights below zero are set to zero after each step.
+    After each step weights below zero are set to zero and the intercept to `FLOOR` at least.
     """
     at, col = _sparse(lists)
     weight = np.where(y == 1, share[1] / max(y.mean(), 1e-12), share[0] / max(1 - y.mean(), 1e-12)) / len(y)
@@ -207,6 +209,7 @@ def fit_weights(y: np.ndarray, lists: Sequence[Sequence[int]], swaps: Sequence[t
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-10)
         np.maximum(w[:n], 0, out=w[:n])
+        w[n] = max(w[n], FLOOR)
     return w[:n], float(w[n])
 
 
