@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapewatch.llm.elias_fano import op10_elias_fano
 from tapewatch.llm.exact_dedup import op1_radix_dedup
+from tapewatch.llm.html_text import op3_dom_messages
 from tapewatch.llm.mixing import op2_weighted_mix
 from tapewatch.llm.packing import op4_min_bin_slack
 from tapewatch.llm.sharding import op5_hilbert_sharding
 from tapewatch.llm.simhash import op8_simhash_bktree
 from tapewatch.llm.token_counts import op6_token_counts
+from tapewatch.llm.topk import op7_pivot_distance
+from tapewatch.llm.toxicity import op9_fair_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_radix_dedup": op1_radix_dedup,
     "op2_weighted_mix": op2_weighted_mix,
+    "op3_dom_messages": op3_dom_messages,
     "op4_min_bin_slack": op4_min_bin_slack,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_pivot_distance": op7_pivot_distance,
     "op8_simhash_bktree": op8_simhash_bktree,
+    "op9_fair_toxicity": op9_fair_toxicity,
     "op10_elias_fano": op10_elias_fano,
 }
 

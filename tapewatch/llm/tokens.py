@@ -16,7 +16,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker, about 170 bytes each.
-LIMIT = 900_000
+LIMIT = 1_200_000
 #: Texts are looked up together up to so many bytes, new words encoded together up to so many words.
 GROUP_BYTES, GROUP_WORDS = 4 << 20, 20_000
 #: A character that is a token of its own between spaces; it tells words apart that are encoded together.
@@ -57,6 +57,7 @@ class WordEncoder:
         self.limit = limit
         self.cache = _Cache()
         self.mark = self._ids(MARK)
+        self.tails = {p: self._ids(p.decode()).tobytes() for p in (b",", b".")}
         if len(self.mark) != 1:
             raise ValueError("the vocabulary must have one token for the mark between words")
 
@@ -66,11 +67,15 @@ class WordEncoder:
 
     def _fill(self) -> None:
         """Encode the words noted since the last call, many in one text."""
-        odd = [w for w in self.cache.new if MARK.encode() in w]
-        plain = [w for w in self.cache.new if MARK.encode() not in w] if odd else self.cache.new
+        plain, new = [], self.cache.new
         self.cache.new = []
-        for word in odd:
-            self._set(word, self._ids(word.decode()).tobytes())
+        for word in new:
+            if MARK.encode() in word:
+                self._set(word, self._ids(word.decode()).tobytes())
+            elif word[-1:] in self.tails and word[-2:-1].isalnum() and (core := self.cache.get(word[:-1])):
+                self._set(word, core + self.tails[word[-1:]])  # punctuation after an ASCII letter stands alone
+            else:
+                plain.append(word)
         between = f" {MARK} ".encode()
         for k in range(0, len(plain), GROUP_WORDS):
             words = plain[k:k + GROUP_WORDS]
