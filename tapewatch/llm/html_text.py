@@ -8,7 +8,8 @@ text of nodes that are more likely content than not is returned.
 Potentials are trained: counts on pages labelled by their own markup (what one `article` or `main` element holds
 is content), on at most `SAMPLE` pages with the least hash of their id. Counts of a small sample of layouts
 say nothing about markup it doesn't hold, so well-known tags and names of menus, notices, adverts, comments and
-the like enter as prior evidence (`BOILER`, `NAMED`), strong enough that a long comment stays a comment.
+the like enter as prior evidence (`BOILER`, `NAMED`) that no number of children outweighs: many comments stay
+comments.
 
 Pages are parsed and solved one by one in the tasks, whole. Defined results: null and empty pages, and pages
 without content, give an empty text. Broken markup is repaired as browsers do in simple cases: paragraphs, list
@@ -34,8 +35,11 @@ from tapewatch.session import stage
 
 #: Labelled pages in the training, at most.
 SAMPLE = 2_000
-#: Evidence in nats of prior knowledge; pseudo-counts of the trained tables.
-KNOWN, PSEUDO = 60.0, 5.0
+#: Nats of evidence: for what is known not to be content, for marked content and the page itself, and the most that a
+#: trained feature has, as the sample holds few layouts.
+KNOWN, MARKED, LIMIT = 1e6, 20.0, 2.0
+#: Pseudo-counts of the trained tables, and that of content in other parts.
+PSEUDO, NEVER = 5.0, 1e-40
 # Elements of HTML by role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +51,7 @@ SCOPE = frozenset("html body table ul ol dl td th article section main div nav a
 KEEPS_P = frozenset("li dt dd option tr td th".split())  # inside a paragraph only in broken markup
 BOILER = frozenset("head nav aside footer form header button fieldset menu dialog figcaption input label".split())
 MAIN = frozenset("article main".split())
+ANY = frozenset("html body div section center table tbody thead tfoot tr td th ul ol li dl dt dd".split())  # hold anything
 #: Words of classes and ids of parts that are not main text.
 NAMED = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments cookie cookies consent "
@@ -169,8 +174,13 @@ def known_boiler(node: Node) -> bool:
     return node.tag not in ("html", "body", *MAIN) and not node.names.isdisjoint(NAMED)
 
 
+def prior(node: Node) -> float:
+    """Nats of evidence for content that are known beforehand."""
+    return -KNOWN if known_boiler(node) else MARKED if node.tag in MAIN or node.parent < 0 else 0.0
+
+
 def node_features(node: Node) -> list[str]:
-    found = [f"tag {node.tag}"]
+    found = [] if node.tag in ANY else [f"tag {node.tag}"]
     if node.chars:
         found.append(f"chars {min(4, node.chars.bit_length() // 2)}")
         found.append(f"links {min(3, 4 * node.linked // node.chars)}")
@@ -208,16 +218,16 @@ class Potentials:
     @classmethod
     def trained(cls, counts: dict[str, int]) -> Potentials:
         evidence = {}
-        total = [sum(n for k, n in counts.items() if k.startswith(f"{y} tag ")) + 2 * PSEUDO for y in (0, 1)]
-        for name in {k[2:] for k in counts if k[0] in "01"}:
+        total = [counts.get(f"{y} nodes", 0) + 2 * PSEUDO for y in (0, 1)]
+        for name in {k[2:] for k in counts if k[0] in "01"} - {"nodes"}:
             no, yes = (counts.get(f"{y} {name}", 0) + PSEUDO for y in (0, 1))
-            evidence[name] = log(yes / total[1]) - log(no / total[0])
+            evidence[name] = max(-LIMIT, min(LIMIT, log(yes / total[1]) - log(no / total[0])))
         pair = {}
         for kind in ("page", "main", "part"):
             table = []
             for p in (0, 1):
-                # A part of something that isn't content is hardly ever content.
-                a, b = ((PSEUDO, 1e-6) if not p else (PSEUDO, PSEUDO) if kind != "main" else (1e-2, PSEUDO))
+                # A part of something that isn't content is no content.
+                a, b = (PSEUDO, NEVER) if not p else {"page": (PSEUDO, PSEUDO), "part": (1.0, 9.0), "main": (1e-2, PSEUDO)}[kind]
                 no, yes = counts.get(f"> {kind} {p}0", 0) + a, counts.get(f"> {kind} {p}1", 0) + b
                 table.append((log(no / (no + yes)), log(yes / (no + yes))))
             pair[kind] = (table[0], table[1])
@@ -232,7 +242,7 @@ def count_page(html: str) -> Counter:
     if y is None:
         return found
     for i, node in enumerate(nodes):
-        found.update(f"{y[i]} {name}" for name in node_features(node))
+        found.update(f"{y[i]} {name}" for name in ["nodes", *node_features(node)])
         if node.parent >= 0:
             found[f"> {parent_kind(nodes[node.parent])} {y[node.parent]}{y[i]}"] += 1
     return found
@@ -247,7 +257,7 @@ def marginals(nodes: list[Node], model: Potentials) -> list[float]:
     n = len(nodes)
     local = [[0.0, 0.0] for _ in range(n)]
     for i, node in enumerate(nodes):
-        local[i][1] = sum(model.evidence.get(f, 0.0) for f in node_features(node)) - KNOWN * known_boiler(node)
+        local[i][1] = prior(node) + sum(model.evidence.get(f, 0.0) for f in node_features(node))
     pairs = [model.pair[parent_kind(nodes[node.parent])] if node.parent >= 0 else None for node in nodes]
     below = [x[:] for x in local]  # local evidence and messages from the children
     up = [(0.0, 0.0)] * n
