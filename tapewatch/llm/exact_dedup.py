@@ -1,7 +1,7 @@
 """Exact dedup by distributed most-significant-digit radix partitioning.
 
 Documents are equal when their texts are, without the white space `[\\x20\\x09-\\x0D]`. Groups are split by
-successive bytes: first by length and the first bytes, then each group by its next bytes, 16 times as many
+successive bytes: first by length and the first bytes, then each group by its next bytes, `GROWTH` times as many
 per level. A group with one member is done; so is one whose members have ended, and those are equal. No
 digest decides anything. At each level the members of a group are counted with partial sums and the counts
 joined back, so a group of a third of all rows is never in one task. After the first level only documents with
@@ -21,7 +21,7 @@ from tapewatch.llm.common import SPACES, read_table
 from tapewatch.session import stage
 
 #: Bytes in the first digit, and how many times more each later one takes.
-FIRST, GROWTH = 16, 16
+FIRST, GROWTH = 16, 64
 
 
 def normal_text(text: Column) -> Column:
@@ -51,33 +51,29 @@ def radix_groups(docs: DataFrame, payload: list[Column], text: str = "text", doc
     first = rows.withColumn("_length", length).withColumn("_digit", F.substring("_bytes", 1, FIRST))
     several = stage(first.groupBy("_length", "_digit").agg(F.count("*").alias("_n")).where("_n > 1").select(
         "_length", "_digit", F.lit(True).alias("_several")), "groups")
+    width = FIRST * GROWTH
     level = stage(
         first.join(several, ["_length", "_digit"], "left")
         .withColumn("_rid", F.monotonically_increasing_id())
-        .select(*carried, "_rid", "_several", "_length", F.when(F.col("_several"), F.col("_digit")).alias("_digit"),
-                F.when(F.col("_several"), F.expr(f"substring(_bytes, {FIRST + 1})")).alias("_rest")), "radix")
-    single = level.where("_several is null").select(
+        .select(*carried, "_rid", "_several", "_length", *[
+            F.when(F.col("_several"), part).alias(name) for name, part in (
+                ("_digit", F.col("_digit")), ("_next", F.substring("_bytes", FIRST + 1, width)),
+                ("_rest", F.expr(f"substring(_bytes, {FIRST + width + 1})")))]), "radix")
+    done = [level.where("_several is null").select(
         *payload_names(rows), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"))
-    members, key = level.where("_several").drop("_several"), ["_length", "_digit"]
-    longest = members.agg(F.max("_length")).first()[0] or 0
-
-    done, ended, width = [single], FIRST, FIRST
-    while longest:
-        # The next digit of each group; a group is named by its smallest row number from here on.
+        F.lit(True).alias("kept"))]
+    members, key, ended = level.where("_several").drop("_several"), ["_length", "_digit", "_next"], FIRST + width
+    while members.agg(F.max("_length")).first()[0] is not None:
+        # A group is named by its smallest row number; those that go on get their next digit.
         named = _split(members, key).withColumn("_over", (F.col("_n") == 1) | (F.col("_length") <= ended))
         width *= GROWTH
+        ended += width
         parts = stage(named.select(
             *carried, "_rid", "_length", "_over", F.col("_least").alias("_group"),
             F.when(~F.col("_over"), F.substring("_rest", 1, width)).alias("_digit"),
             F.when(~F.col("_over"), F.expr(f"substring(_rest, {width + 1})")).alias("_rest")), "radix")
         done.append(_decided(parts.where("_over"), payload_names(rows)))
         members, key = parts.where("not _over").drop("_over"), ["_group", "_digit"]
-        ended += width
-        longest = members.agg(F.max("_length")).first()[0] or 0
-    empty = members.where("_length = 0") if len(done) == 1 else None
-    if empty is not None:
-        done.append(_decided(empty.withColumn("_group", F.lit(0).cast("long")), payload_names(rows)))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

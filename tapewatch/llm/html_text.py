@@ -37,7 +37,7 @@ from tapewatch.session import stage
 SAMPLE = 2_000
 #: Nats of evidence: for what is known not to be content, for marked content and the page itself, and the most that a
 #: trained feature has, as the sample holds few layouts.
-KNOWN, MARKED, LIMIT = 1e6, 20.0, 2.0
+KNOWN, MARKED, LIMIT = 1e6, 1e5, 2.0
 #: Pseudo-counts of the trained tables, and that of content in other parts.
 PSEUDO, NEVER = 5.0, 1e-40
 # Elements of HTML by role.

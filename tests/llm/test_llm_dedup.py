@@ -43,9 +43,9 @@ def test_radix_groups_of_odd_documents(spark, odd_docs):
 def test_radix_groups_split_late(spark, make_docs):
     """Texts that part at, before and after the ends of digits, a hot group, and texts that are prefixes of others."""
     random.seed(2)
-    base = "".join(random.choices("ab", k=5000))
+    base = "".join(random.choices("ab", k=70_000))
     rows = [(i, base[:n] + tail) for i, (n, tail) in enumerate(
-        (n, t) for n in (0, 1, 15, 16, 17, 271, 272, 273, 4367, 4368, 4369, 4999) for t in ("", "a", "b", " a", "b ", "aa"))]
+        (n, t) for n in (0, 1, 15, 16, 17, 1039, 1040, 1041, 66_575, 66_576, 66_577, 69_999) for t in ("", "a", "b", " a", "b ", "aa"))]
     rows += [(1000 + i, base) for i in range(60)]
     docs = make_docs(rows)
     check_groups(groups(docs).collect(), docs.collect())
