@@ -198,13 +198,12 @@ CTES["offers"] = f"""
 SELECT cluster_no, market_id_prefix, min(days_ago) AS days_ago, arg_min(z, (days_ago, condition_id)) AS z FROM (
   SELECT *, substr(condition_id, 1, 10) AS market_id_prefix, struct_pack(n_needed, cluster_news, cluster_date, category,
     condition_id, market_category, slug, resolved_at) AS z FROM (
-    SELECT *, row_number() OVER (PARTITION BY cluster_no, days_ago ORDER BY condition_id) AS listed FROM (
       SELECT c.cluster_no, c.category, c.n_needed, c.cluster_news, c.cluster_date, d.days_ago,
         lower(t.condition_id) AS condition_id, min(t.category) AS market_category, min(t.market_slug) AS slug,
         min(t.resolved_at) AS resolved_at
       FROM (SELECT *, {_tags_cases()} AS tags FROM clusters) c CROSS JOIN (VALUES (0), (7)) d(days_ago)
       JOIN fx_trades t ON list_contains(c.tags, t.category) AND t.trade_date = c.cluster_date - d.days_ago
-      GROUP BY ALL) a) b WHERE listed <= 2 * n_needed + 10) e
+      GROUP BY ALL) a) e
 WHERE NOT EXISTS (SELECT 1 FROM fx_flat l WHERE l.market_id_prefix = e.market_id_prefix)
 GROUP BY cluster_no, market_id_prefix"""
 # Clusters choose in turn: the recursion carries what earlier ones have taken.

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-import sys
 
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.constants import CATEGORY_TAGS, CONTROL_MULTIPLIER, DEFAULT_TAGS, PREFIX_LENGTH
 from tapewatch.functions.ids import market_prefix
 from tapewatch.functions.timestamps import or_else, parse_timestamp, utc_date
+from tapewatch.operators.curves import accumulate, split_by_range
 from tapewatch.operators.joins import lookup_join
 from tapewatch.operators.market_index import least_values
+from tapewatch.session import stage
 
-# Workers get the functions of this module with the task, so the package need not be installed there.
-register_pickle_by_value(sys.modules[__name__])
+#: Groups in which the offers of one cluster are ranked before the best of all groups are.
+RANK_GROUPS = 64
 
 
 def category_tags(category: Column) -> Column:
@@ -42,62 +41,101 @@ def case_clusters(inventory: DataFrame) -> DataFrame:
         "category", utc_date(F.col("news_timestamp")).alias("cluster_date")).agg(
         F.count("*").alias("n_markets"), F.min(place).alias("place"),
         F.min_by("news_timestamp", place).alias("cluster_news"))
-    # The inventory is a hand-made list; its clusters are fewer still.
-    number = F.row_number().over(Window.orderBy("place"))
-    return clusters.select(
-        number.alias("cluster_no"), "category", "cluster_date", "n_markets",
+    # Numbered by a running count over ordered parts.
+    parts = split_by_range(clusters.withColumn("n", F.lit(1)), "place", [], descending=False)
+    numbers = stage(accumulate(parts, "place", ["n"], [], descending=False).select("place", "cum_n"), "numbers")
+    return clusters.join(numbers, "place").select(
+        F.col("cum_n").cast("int").alias("cluster_no"), "category", "cluster_date", "n_markets",
         (F.col("n_markets") * CONTROL_MULTIPLIER).alias("n_needed"), "cluster_news")
 
 
-def _extent(clusters: DataFrame) -> tuple[dt.date | None, dt.date | None, int]:
-    row = clusters.agg(F.min("cluster_date"), F.max("cluster_date"), F.max("n_needed")).first()
-    return row[0], row[1], row[2] or 0
+def on_days(trades: DataFrame, days: list[dt.date]) -> DataFrame:
+    """Trades of these UTC days.
 
-
-def _hand_out(listed: pd.DataFrame) -> pd.DataFrame:
-    listed = listed.sort_values(["cluster_no", "days_ago", "condition_id"])
-    taken, wanted, keep = set(), {}, []
-    for row in listed.itertuples():
-        open_places = wanted.setdefault(row.cluster_no, row.n_needed)
-        chosen = open_places > 0 and row.market_id_prefix not in taken
-        if chosen:
-            taken.add(row.market_id_prefix)
-            wanted[row.cluster_no] = open_places - 1
-        keep.append(chosen)
-    return listed[keep]
+    The days reach the scan twice: as values of the day column, which skips partitions, and, when the table has
+    the time of trades, as ranges of it, which skip row groups where the day is no partition column.
+    """
+    kept = trades.where(F.col("trade_date").isin(*sorted(days)) if days else F.lit(False))
+    if "block_timestamp" not in trades.columns or not days:
+        return kept
+    runs: list[list[dt.date]] = []
+    for day in sorted(days):
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    epoch, time = dt.date(1970, 1, 1), F.col("block_timestamp")
+    ranges = F.lit(False)
+    for first, last in runs:
+        ranges = ranges | ((time >= (first - epoch).days * 86_400) & (time < ((last - epoch).days + 1) * 86_400))
+    return kept.where(ranges)
+
+
+def wanted_days(clusters: DataFrame, days_ago: list[int]) -> list[dt.date]:
+    """The distinct days so many days before the clusters; at most as many as clusters times days."""
+    ago = F.explode(F.array(*[F.lit(d) for d in days_ago]))
+    days = clusters.select("cluster_date", ago.alias("ago")).select(F.date_sub("cluster_date", F.col("ago")).alias("day"))
+    return [r.day for r in days.where("day is not null").distinct().collect()]
+
+
+def _first_offers(offers: DataFrame) -> DataFrame:
+    """The first `n_needed` offers of each cluster, ranked within groups first so that none is large."""
+    order = [F.col("days_ago"), F.col("condition_id")]
+    group = F.pmod(F.xxhash64("condition_id"), F.lit(RANK_GROUPS))
+    part = F.row_number().over(Window.partitionBy("cluster_no", group).orderBy(*order))
+    some = offers.withColumn("place", part).where("place <= n_needed")
+    whole = F.row_number().over(Window.partitionBy("cluster_no").orderBy(*order))
+    return some.withColumn("place", whole).where("place <= n_needed").drop("place")
+
+
+def hand_out(offers: DataFrame) -> DataFrame:
+    """Each cluster's first `n_needed` offers that no earlier cluster has taken.
+
+    In rounds: every cluster asks for the first markets that it wasn't refused; a market stays with the lowest
+    cluster number that asks, the others are refused; it ends when nobody is. As all markets prefer clusters
+    alike, this gives what clusters get that choose one after the other. A round works on the offers asked for
+    and the refusals, of which there are at most `n_needed` per cluster and round.
+    """
+    offers = stage(offers, "offers")
+    pair, refused = ["cluster_no", "market_id_prefix"], None
+    while True:
+        left = offers if refused is None else offers.join(refused, pair, "left_anti")
+        asked = stage(_first_offers(left), "asked")
+        holders = asked.groupBy("market_id_prefix").agg(F.min("cluster_no").alias("_holder"))
+        losers = stage(asked.join(holders, "market_id_prefix").where("cluster_no > _holder").select(*pair), "refused")
+        if losers.isEmpty():
+            return asked
+        refused = losers if refused is None else refused.union(losers)
 
 
 def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes: DataFrame) -> DataFrame:
     """Control markets per cluster: traded under one of its tags on its day, or else a week before.
 
-    Each (cluster, day) offers its first 2n+10 markets in order of id and leaked ones are dropped. The clusters
+    Each cluster is offered all markets but leaked ones, those of the day itself first, in order of id. The clusters
     choose in turn: each takes the first n it needs of those that no earlier one has taken.
     """
-    first_day, last_day, most = _extent(clusters)
-    if first_day is None:
-        first_day = last_day = dt.date(1970, 1, 1)
     wanted = clusters.select(
         "cluster_no", F.col("category").alias("cluster_category"), "n_needed", "cluster_news", "cluster_date",
         F.explode(category_tags(F.col("category"))).alias("category"),
     ).select("*", F.explode(F.array(F.lit(0), F.lit(7))).alias("days_ago")).withColumn(
         "trade_date", F.date_sub("cluster_date", F.col("days_ago")))
-    in_reach = trades.where(F.col("trade_date").between(first_day - dt.timedelta(days=7), last_day)).select(
+    in_reach = on_days(trades, wanted_days(clusters, [0, 7])).select(
         F.lower("condition_id").alias("condition_id"), "category", "trade_date", "market_slug",
         F.col("resolved_at").cast("string").alias("resolved_at"))
     offered = lookup_join(in_reach, wanted.drop("cluster_date"), ["category", "trade_date"])
     keys = ["cluster_no", "cluster_category", "n_needed", "cluster_news", "days_ago", "condition_id"]
     markets = least_values(offered.select(*keys, "category", "market_slug", "resolved_at"), keys,
                            ["category", "market_slug", "resolved_at"])
-    daily = Window.partitionBy("cluster_no", "days_ago").orderBy("condition_id")
-    listed = markets.withColumn("place", F.row_number().over(daily)).where(
-        (F.col("place") <= 2 * most + 10) & (F.col("place") <= 2 * F.col("n_needed") + 10)).drop("place")
     starts = leaked_prefixes.select(F.lower("market_id_prefix").alias("market_id_prefix")).distinct()
     open_ones = lookup_join(
-        listed.withColumn("market_id_prefix", F.substring("condition_id", 1, PREFIX_LENGTH)), starts,
+        markets.withColumn("market_id_prefix", F.substring("condition_id", 1, PREFIX_LENGTH)), starts,
         ["market_id_prefix"], "left_anti")
-    # At most 12 rows per leaked market and 20 per cluster are left, so one task can hand them out in turn.
-    chosen = open_ones.groupBy().applyInPandas(_hand_out, open_ones.schema)
-    return chosen.select(
+    # A market is offered to a cluster once: for its first day, by its least id.
+    rest = [c for c in open_ones.columns if c not in ("cluster_no", "market_id_prefix")]
+    once = open_ones.groupBy("cluster_no", "market_id_prefix").agg(
+        F.min_by(F.struct(*rest), F.struct("days_ago", "condition_id")).alias("offer")).select(
+        "cluster_no", "market_id_prefix", "offer.*")
+    return hand_out(once).select(
         "cluster_no", "market_id_prefix", "condition_id", F.col("cluster_category").alias("category"),
         F.col("category").alias("market_category"), F.col("market_slug").alias("slug"),
         or_else(parse_timestamp(F.col("resolved_at")), F.col("cluster_news")).alias("resolved_at"))
@@ -105,14 +143,10 @@ def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes:
 
 def control_trades(trades: DataFrame, clusters: DataFrame, candidates: DataFrame, days: int = 5) -> DataFrame:
     """Trades of the chosen controls on the days ahead of their cluster, under its category and time."""
-    first_day, last_day, _ = _extent(clusters)
-    if first_day is None:
-        first_day = last_day = dt.date(1970, 1, 1)
     chosen = candidates.join(clusters.select("cluster_no", "cluster_date"), "cluster_no").select(
         "market_id_prefix", "cluster_date", F.col("category").alias("_category"),
         F.col("resolved_at").alias("_resolved_at"))
-    in_reach = trades.drop("market_id_prefix").where(
-        F.col("trade_date").between(first_day - dt.timedelta(days=days), last_day - dt.timedelta(days=1)))
+    in_reach = on_days(trades.drop("market_id_prefix"), wanted_days(clusters, list(range(1, days + 1))))
     keyed = in_reach.withColumn("market_id_prefix", market_prefix(F.col("condition_id")))
     ahead = (F.col("trade_date") >= F.date_sub("cluster_date", days)) & (F.col("trade_date") < F.col("cluster_date"))
     found = lookup_join(keyed, chosen, ["market_id_prefix"], "inner", ahead)

@@ -11,9 +11,7 @@ from tapewatch.functions.ids import market_prefix
 from tapewatch.operators.joins import row_hash
 from tapewatch.session import stage
 
-ROWS_PER_FILE = 2_000_000
-FILES_PER_MARKET = 16
-PRUNED_MARKETS = 2_000
+ROWS_PER_TASK = 2_000_000
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
@@ -46,31 +44,55 @@ def write_prefixes(prefixes: DataFrame, resolved: DataFrame, path: str) -> None:
     prefix_document(prefixes, resolved).write.mode("overwrite").json(path)
 
 
-def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: str = "market_id_prefix") -> DataFrame:
+def dealt_by_market(rows: DataFrame, prefix_col: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Repartition a written table by market, those with more rows over several partitions by their count."""
+    counts = rows.groupBy(F.col(prefix_col).alias("_busy")).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
+    busy = stage(counts.select("_busy", F.ceil(F.col("_n") / F.lit(rows_per_task)).alias("_deals")), "busy")
+    dealt = rows.join(busy, F.col(prefix_col) == F.col("_busy"), "left").withColumn(
+        "_deal", F.coalesce(F.pmod(row_hash(rows), F.col("_deals")), F.lit(0)))
+    return dealt.repartition(prefix_col, "_deal").drop("_busy", "_deals", "_deal")
+
+
+def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: str = "market_id_prefix",
+                     time_col: str = "block_timestamp", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Append trades to the partition of their market, once per `key`; returns the whole table.
 
-    A trade already present is not written again, so a repeated run changes nothing; `key` must not be
-    NULL. Big markets are split over several files (and tasks) by the hash of the row.
+    A trade already present is not written again, so a repeated run changes nothing; a NULL in `key` or in the prefix raises. Only
+    the markets of the batch are read again, and of these only the time span of the batch if the trades carry
+    `time_col`. A busy market is split over as many tasks and files as its rows need, a small one is written by one.
+    The returned table has the columns of all batches.
     """
     spark = trades.sparkSession
     if prefix_col not in trades.columns:
         trades = trades.withColumn(prefix_col, market_prefix(F.col("condition_id")))
-    fresh = stage(trades.dropDuplicates(key), "fresh")
+    known = {k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"key column {k} must not be NULL"))).otherwise(F.col(k))
+             for k in dict.fromkeys([prefix_col, *key])}
+    fresh = stage(trades.withColumns(known).dropDuplicates(key), "fresh")
+    present = _table(spark, path)
+    if present is not None:
+        old = present
+        if time_col in fresh.columns and time_col in old.columns:
+            first, last = fresh.agg(F.min(time_col), F.max(time_col)).first()
+            if first is not None and not fresh.where(F.col(time_col).isNull()).limit(1).count():
+                old = old.where(F.col(time_col).between(first, last))
+        # The filter makes the planner prune the table's partitions by this join, for any number of markets.
+        touched = fresh.select(F.col(prefix_col)).where(F.length(prefix_col) >= 0).distinct()
+        keys = list(dict.fromkeys([prefix_col, *key]))
+        fresh = fresh.join(old.join(touched, prefix_col, "left_semi").select(*keys), keys, "left_anti")
+        fresh = stage(fresh, "fresh")
+    (
+        dealt_by_market(fresh, prefix_col, rows_per_task)
+        .write.mode("append").option("maxRecordsPerFile", rows_per_task).partitionBy(prefix_col).parquet(path)
+    )
+    table = _table(spark, path)
+    return table if table is not None else trades.limit(0)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table below `path` with the columns of all its files; None if there is none yet."""
     try:
-        present = spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        present = None  # no table yet
-    if present is not None:
-        known = present.select(prefix_col, *[k for k in key if k != prefix_col])
-        touched = [r[0] for r in fresh.select(prefix_col).distinct().limit(PRUNED_MARKETS + 1).collect()]
-        if len(touched) <= PRUNED_MARKETS:
-            known = known.where(F.col(prefix_col).isin(touched))  # reads the partitions of these markets only
-        fresh = fresh.join(known, list(dict.fromkeys([prefix_col, *key])), "left_anti")
-    dealt = fresh.withColumn("_deal", F.pmod(row_hash(fresh), F.lit(FILES_PER_MARKET)))
-    (
-        dealt.repartition(prefix_col, "_deal").drop("_deal")
-        .write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(prefix_col).parquet(path)
-    )
-    return spark.read.schema(trades.schema).parquet(path)
+        return None

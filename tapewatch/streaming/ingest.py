@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tapewatch.functions.ids import market_prefix
-from tapewatch.operators.joins import row_hash
 from tapewatch.operators.market_filter import market_filter
-from tapewatch.session import new_path
+from tapewatch.session import stage
+from tapewatch.sources.sinks import ROWS_PER_TASK, dealt_by_market
 
-FILES_PER_MARKET = 4
+BATCH = "batch_id"
 
 
 def stream_trades(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
@@ -26,20 +26,26 @@ def stream_trades(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return reader.parquet(path)
 
 
-def ingest(trades: DataFrame, path: str, checkpoint: str | None = None, ids: DataFrame | None = None,
-           prefixes: DataFrame | None = None) -> StreamingQuery:
-    """Filter the stream to the chosen markets and append to one partition per market.
+def ingest(trades: DataFrame, path: str, ids: DataFrame | None = None, prefixes: DataFrame | None = None,
+           rows_per_task: int = ROWS_PER_TASK) -> StreamingQuery:
+    """Filter the stream to the chosen markets and append to partitions by batch and market.
 
-    Runs over all files not seen before and stops. The checkpoint remembers them and the sink's log
-    commits each batch once, so a repeated or interrupted run leaves no duplicates. Rows are dealt to a few
-    files per market, so that a busy market does not end up in one task.
+    Runs over all files not seen before and stops. The checkpoint lies in the table's own folder, so the two can't
+    come apart: leaving out or mixing up a checkpoint would skip files or write them again. Each batch has a
+    folder of its own that a repeated attempt replaces, so an interrupted run leaves no duplicates. Busy markets are
+    split over as many tasks and files as their rows need.
     """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (dealt_by_market(stage(batch, "batch"), "market_id_prefix", rows_per_task).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy("market_id_prefix").parquet(f"{path}/{BATCH}={batch_id}"))
+
     kept = market_filter(trades, ids, prefixes)
-    kept = kept.withColumn("market_id_prefix", market_prefix(F.col("condition_id")))
-    dealt = kept.withColumn("_deal", F.pmod(row_hash(kept), F.lit(FILES_PER_MARKET)))
     return (
-        dealt.repartition("market_id_prefix", "_deal").drop("_deal").writeStream
-        .format("parquet").partitionBy("market_id_prefix")
-        .option("checkpointLocation", checkpoint or new_path(trades.sparkSession, "ingest"))
-        .option("path", path).trigger(availableNow=True).outputMode("append").start()
+        kept.withColumn("market_id_prefix", market_prefix(F.col("condition_id"))).writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{path.rstrip('/')}/_checkpoint").trigger(availableNow=True).start()
     )
+
+
+def read_ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `ingest` has written, without the batch number."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(BATCH)

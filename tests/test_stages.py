@@ -1,13 +1,16 @@
 """Sources, sinks, streaming and the whole pipeline."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from tapewatch.operators.controls import case_clusters, category_tags, control_candidates, control_trades, tag_category
+from tapewatch.operators.controls import (case_clusters, category_tags, control_candidates, control_trades, hand_out, on_days,
+                                          tag_category, wanted_days)
 from tapewatch.operators.market_index import build_market_index, leaked_markets, market_metadata, resolve_ids
 from tapewatch.plans import pipeline
 from tapewatch.session import checkpoint_root, stage
@@ -173,15 +176,61 @@ def test_control_discovery(spark):
         (13, "regulatory_decision", day * DAY + 5), (15, "regulatory_decision", day * DAY + 5)]
 
 
+OFFERS = "trade_id int, condition_id string, category string, trade_date date, market_slug string, resolved_at string, block_timestamp long"
+
+
+def test_leaked_markets_do_not_use_up_the_offers(spark):
+    """The first 40 markets of the day are leaked ones; a cluster that wants 3 gets the 3 after them."""
+    day = 19_737
+    date = dt.date(1970, 1, 1) + dt.timedelta(days=day)
+    inv = flat(spark, ("c1", 0, "regulatory_decision", "0xffffffff", day * DAY, True),
+               *[("c0", i, "x", f"0xaaaaaa{i:02d}", day * DAY, False) for i in range(40)])
+    data = [(i, f"0xaaaaaa{i:02d}01", "Politics", date, "s", None, day * DAY) for i in range(40)]
+    data += [(100 + i, f"0xbbbbbb{i:02d}01", "Politics", date, "s", None, day * DAY) for i in range(5)]
+    chosen = control_candidates(spark.createDataFrame(data, OFFERS), case_clusters(inv), inv)
+    assert rows(chosen, "market_id_prefix") == [("0xbbbbbb00",), ("0xbbbbbb01",), ("0xbbbbbb02",)]
+
+
+def test_hand_out_equals_choosing_in_turn(spark):
+    rng = random.Random(6)
+    offers = {(c, f"p{rng.randrange(60):02d}"): (rng.choice([0, 7]), f"x{rng.randrange(10**6)}") for c in range(1, 13)
+              for _ in range(30)}
+    needed = {c: rng.randrange(1, 9) for c in range(1, 13)}
+    df = spark.createDataFrame([(c, p, needed[c], *o) for (c, p), o in offers.items()],
+                               "cluster_no int, market_id_prefix string, n_needed int, days_ago int, condition_id string")
+    taken, want = set(), []
+    for c in sorted(needed):
+        free = sorted((o, p) for (k, p), o in offers.items() if k == c and p not in taken)[:needed[c]]
+        want += [(c, p) for _, p in free]
+        taken |= {p for _, p in free}
+    assert rows(hand_out(df), "cluster_no", "market_id_prefix") == sorted(want)
+
+
+def test_control_scans_read_the_wanted_days_only(spark, tmp_path):
+    day = 19_737
+    date = [dt.date(1970, 1, 1) + dt.timedelta(days=day + i) for i in range(-20, 20)]
+    data = [(i, f"0xbbbbbb{i:02d}01", "Politics", d, "s", None, (day - 20 + i) * DAY) for i, d in enumerate(date)]
+    spark.createDataFrame(data, OFFERS).write.partitionBy("trade_date").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    inv = flat(spark, ("c1", 0, "regulatory_decision", "0xffffffff", day * DAY, True),
+               ("c2", 0, "regulatory_decision", "0xfffffffe", (day + 15) * DAY, True))
+    kept = on_days(table, wanted_days(case_clusters(inv), [0, 7]))
+    text = plan(kept)
+    assert len(kept.inputFiles()) and "PartitionFilters" in text and "block_timestamp" in text.split("PushedFilters")[1]
+    assert sorted(str(r.trade_date) for r in kept.collect()) == ["2024-01-08", "2024-01-15", "2024-01-23", "2024-01-30"]
+    found = plan(control_candidates(table, case_clusters(inv), inv))
+    assert "Python" not in found and "Pandas" not in found
+
+
 def test_stream_equals_batch_on_a_growing_folder(spark, tmp_path):
     rows_in = fx.fx_trades(spark, SF).select("trade_id", "condition_id", "taker")
     prefixes = fx.fx_index(spark, SF).where("is_leaked = 1").select("market_id_prefix")
-    source, sink, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen")
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
 
     def run():
         stream = ingest.stream_trades(spark, source, rows_in.schema, files_per_batch=1)
-        ingest.ingest(stream, sink, seen, prefixes=prefixes).awaitTermination()
-        return spark.read.parquet(sink)
+        ingest.ingest(stream, sink, prefixes=prefixes).awaitTermination()
+        return ingest.read_ingested(spark, sink)
 
     rows_in.where("trade_id < 400").repartition(3).write.parquet(source)
     first = run().count()
@@ -192,6 +241,36 @@ def test_stream_equals_batch_on_a_growing_folder(spark, tmp_path):
     assert rows(run(), "trade_id", "condition_id", "taker") == rows(batch)
 
 
+def test_second_ingest_loses_nothing(spark, tmp_path):
+    """10 rows, then 20 more with the same arguments, give 30; a busy market is written by several tasks."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    table = spark.range(30).selectExpr("id as trade_id", "concat('0xaaaaaaaa', id) as condition_id")
+    for part in ("trade_id < 10", "trade_id >= 10"):
+        table.where(part).write.mode("append").parquet(source)
+        prefixes = spark.createDataFrame([("0xaaaaaaaa",)], "market_id_prefix string")
+        ingest.ingest(ingest.stream_trades(spark, source, table.schema), sink, prefixes=prefixes).awaitTermination()
+    assert rows(ingest.read_ingested(spark, sink), "trade_id") == [(i,) for i in range(30)]
+    assert ingest.read_ingested(spark, sink).columns == ["trade_id", "condition_id", "market_id_prefix"]
+
+
+def test_hot_market_is_written_by_many_tasks(spark, tmp_path):
+    """A market with nine tenths of the rows is split, a tiny one is one file, and a column absent later survives."""
+    path = str(tmp_path / "m")
+    table = spark.range(200_000).selectExpr(
+        "id", "if(id % 10 = 0, concat('0x', lpad(id % 70, 8, '0')), '0xhothotho') as condition_id", "uuid() as note")
+    got = sinks.append_by_market(table, path, ["id"], rows_per_task=20_000)
+    files = [f.split("market_id_prefix=")[1].split("/")[0] for f in got.inputFiles()]
+    assert files.count("0xhothotho") >= 9 and files.count("0x00000010") == 1
+    more = sinks.append_by_market(table.where("id < 5").drop("note").withColumn("id", F.col("id") + 200_000), path, ["id"])
+    assert "note" in more.columns and more.count() == 200_005
+
+
+def test_append_refuses_null_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, "0xa"), (None, "0xb")], "id int, condition_id string")
+    with pytest.raises(Exception, match="must not be NULL"):
+        sinks.append_by_market(df, str(tmp_path / "m"), ["id"])
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     inv = inventory.flatten_inventory(fx.fx_cases(spark, sf))
