@@ -599,7 +599,7 @@ def model_summary(spark, sf):
 
 @query
 def loco_eval(spark, sf):
-    results = loco.evaluate_cases(stage(fx.fx_scores(spark, sf), "scores"), "score_a")
+    results = loco.evaluate_cases(stage(fx.fx_scores(spark, sf), "scores"), "score_a", sample=sampling.SAMPLE_SIZE)
     return rounded(results, {"precision_at_20": 9, "roc_auc": 9})
 
 

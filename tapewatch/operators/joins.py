@@ -9,21 +9,39 @@ from pyspark.sql import types as T
 from tapewatch.functions.ids import market_prefix, prefix_keys
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether `df` has at most `max_rows` rows; counting stops just beyond."""
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: the length of its texts, eight per plain value, nested ones as JSON."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def _fits(df: DataFrame, max_rows: int | None) -> Column:
     limit = BROADCAST_ROWS if max_rows is None else max_rows
-    return df.limit(limit + 1).count() <= limit
+    return (F.count("*") <= limit) & (F.coalesce(F.sum(row_bytes(df)), F.lit(0)) <= BROADCAST_BYTES)
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether `df` has at most `max_rows` rows and few enough bytes to be broadcast."""
+    return df.agg(_fits(df, max_rows)).first()[0]
 
 
 def survey(dim: DataFrame, prefix: str, max_rows: int | None = None, **extra: Column) -> Row:
     """One job over a lookup table: is it `small`, the prefix `lengths` in use, and `extra` aggregates."""
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
     length = F.length(prefix)
     found = dim.agg(
-        (F.count("*") <= limit).alias("small"),
+        _fits(dim, max_rows).alias("small"),
         F.sort_array(F.collect_set(F.when(length > 0, length))).alias("lengths"),
         *[column.alias(name) for name, column in extra.items()])
     return found.first()
@@ -40,17 +58,27 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "in
                 small: bool | None = None, spread: list[str] | None = None) -> DataFrame:
     """Join `fact` with `dim` on equal `keys` (and `condition`), safe against hot keys.
 
-    A lookup table proven small is broadcast: no shuffle of `fact`. Beyond that, each key is dealt out
-    over `SALTS` groups on the fact side and repeated that often on the lookup side, so one key
-    with a third of all rows is spread. `how` is inner, left, left_semi or left_anti. Columns of the
+    A lookup table proven small is broadcast: no shuffle of `fact`. Beyond that, keys with more than a thousandth of
+    all rows of `fact` (fewer than a thousand can) are dealt out over `SALTS` groups there and repeated that
+    often on the lookup side, so one key with a third of all rows is spread; all others shuffle as they are. `how` is inner, left, left_semi or left_anti. Columns of the
     two tables must differ but for the keys, which come out once. `small` passes on a count already made; `spread` names
     columns that tell the rows of a key apart, so that the others need not be read for dealing them out.
     """
     if small is None:
         small = is_small(dim, max_rows)
     if not small:
-        fact = fact.withColumn("_salt", F.pmod(row_hash(fact, spread), F.lit(SALTS)).cast("int"))
-        dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counts = fact.groupBy(*keys).agg(F.count("*").alias("_n"))
+        often = counts.where(F.col("_n") * 1000 > F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0)))
+        hot = F.broadcast(often.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(SALTS).alias("_salts")))
+        is_hot = F.lit(True)
+        for k in keys:
+            is_hot = is_hot & (F.col(k) == F.col(f"_hot_{k}"))
+        marks = [f"_hot_{k}" for k in keys]
+        salt = F.coalesce(F.pmod("_hash", "_salts"), F.lit(0)).cast("int")
+        fact = fact.withColumn("_hash", row_hash(fact, spread)).join(hot, is_hot, "left").withColumn("_salt", salt).drop(
+            "_hash", "_salts", *marks)
+        dim = dim.join(hot, is_hot, "left").withColumn("_salt", F.explode(F.sequence(
+            F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts", *marks)
         keys = [*keys, "_salt"]
     dim = dim.withColumnsRenamed({k: f"_dim_{k}" for k in keys})
     on = F.lit(True) if condition is None else condition

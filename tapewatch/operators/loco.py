@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tapewatch.constants import LABEL
 from tapewatch.operators.curves import accumulate, split_by_range
 from tapewatch.operators.joins import counted_join
-from tapewatch.operators.sampling import SAMPLE_SIZE, SEED, sample_controls
-from tapewatch.session import stage
+from tapewatch.operators.sampling import SEED, sample_controls
+from tapewatch.session import new_path, stage
+
+logger = logging.getLogger(__name__)
 
 
 def leaked_cases(profiles: DataFrame) -> DataFrame:
@@ -19,8 +22,9 @@ def leaked_cases(profiles: DataFrame) -> DataFrame:
     return profiles.where((F.col(LABEL) == 1) & (F.coalesce("case_id", F.lit("")) != "")).select("case_id").distinct()
 
 
-def evaluate_cases(scores: DataFrame, score: str, k: int = 20, sample: int = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    """Precision@k and ROC-AUC of each case's wallets against the same sampled controls.
+def evaluate_cases(scores: DataFrame, score: str, k: int = 20, sample: int | None = None,
+                   seed: int = SEED) -> DataFrame:
+    """Precision@k and ROC-AUC of each case's wallets against all controls, or the same `sample` of them.
 
     The controls are not repeated per case. For ROC-AUC a wallet needs to know how many controls score
     below it, which one running count over all scores tells. For precision@k it needs the controls
@@ -56,35 +60,38 @@ def evaluate_cases(scores: DataFrame, score: str, k: int = 20, sample: int = SAM
 
 
 def leave_one_case_out(profiles: DataFrame, train_fn: Callable[[DataFrame], DataFrame], score: str, k: int = 20,
-                       refit: bool = False, on_error: Callable[[str, Exception], None] | None = None) -> DataFrame:
-    """Train without each case in turn and score its wallets against sampled controls.
+                       refit: bool = False, sample: int | None = None,
+                       on_error: Callable[[str, Exception], None] | None = None) -> DataFrame:
+    """Train without each case in turn and score its wallets against the controls.
 
     Models train on control wallets only, which belong to no case, so every turn has the same training
     rows and one training serves all cases. `refit=True` calls `train_fn` per case all the same, with the
-    other cases' leaked wallets left out; a case whose training fails is reported and skipped.
+    other cases' leaked wallets left out; each result is written before the next turn. A case whose training fails
+    is logged, passed to `on_error`, and has a row with `error` and no metrics.
     `train_fn` gets profiles and returns (taker, score); labels are taken from the profiles.
     """
-    labels = profiles.select("taker", LABEL, "case_id")
+    spark, labels = profiles.sparkSession, profiles.select("taker", LABEL, "case_id")
+    schema = f"case_id string, precision_at_{k} double, roc_auc double, error string"
 
-    def scored(rows: DataFrame) -> DataFrame:
-        return labels.join(stage(train_fn(rows).select("taker", score), "scored"), "taker")
+    def evaluated(rows: DataFrame) -> DataFrame:
+        scored = labels.join(stage(train_fn(rows).select("taker", score), "scored"), "taker")
+        return evaluate_cases(scored, score, k, sample).withColumn("error", F.lit(None).cast("string"))
 
     if not refit:
-        return evaluate_cases(scored(profiles), score, k)
-    results = None
-    for row in leaked_cases(profiles).orderBy("case_id").collect():
+        return evaluated(profiles)
+    path = new_path(spark, "turns")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for row in leaked_cases(profiles).orderBy("case_id").toLocalIterator():
         turn = profiles.where((F.col(LABEL) == 0) | (F.col("case_id") == row.case_id))
         try:
-            result = evaluate_cases(scored(turn), score, k)
-        except Exception as error:
+            result = stage(evaluated(turn).where(F.col("case_id") == row.case_id), "turn")
+        except Exception as error:  # a trainer may fail in any way; the other cases go on
+            logger.warning("case %s: training failed: %s", row.case_id, error)
             if on_error is not None:
                 on_error(row.case_id, error)
-            continue
-        results = result if results is None else results.unionByName(result)
-    if results is None:
-        empty = f"case_id string, precision_at_{k} double, roc_auc double"
-        return profiles.sparkSession.createDataFrame([], empty)
-    return results
+            result = spark.createDataFrame([(row.case_id, None, None, str(error)[:1000])], schema)
+        result.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def loco_means(results: DataFrame, k: int = 20) -> DataFrame:

@@ -12,25 +12,15 @@ SEED = 42
 VALIDATION_SHARE = 0.2
 SAMPLE_SIZE = 5_000
 
-OVERSAMPLE = 4
-HEX_DIGITS = 12
-
 
 def _digest(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col("taker")))
 
 
-def sample_controls(profiles: DataFrame, size: int = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    """At most `size` control wallets: those with the least digests.
-
-    Of a large table only digests below a bound that about four times `size` wallets stay under are
-    sorted, so that the final task does not merge `size` rows of every partition.
-    """
+def sample_controls(profiles: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
+    """At most `size` control wallets: those with the least digests; all of them without a size."""
     controls = profiles.where(is_control())
-    bound = 16**HEX_DIGITS * OVERSAMPLE * size // max(controls.count(), 1)
-    if bound < 16**HEX_DIGITS:
-        controls = controls.where(F.substring(_digest(seed), 1, HEX_DIGITS) < F.lit(f"{bound:0{HEX_DIGITS}x}"))
-    return controls.orderBy(_digest(seed), "taker").limit(size)
+    return controls if size is None else controls.orderBy(_digest(seed), "taker").limit(size)
 
 
 def split_controls(profiles: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:

@@ -27,8 +27,8 @@ CASE = T.StructType([
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case of a JSON-lines inventory; blank lines are skipped."""
-    return spark.read.schema(CASE).json(path)
+    """One row per case of a JSON-lines inventory; blank lines are skipped, a broken line raises when it is read."""
+    return spark.read.schema(CASE).option("mode", "FAILFAST").json(path)
 
 
 def _text(name: str) -> Column:
@@ -56,15 +56,20 @@ def flatten_inventory(cases: DataFrame, parser=parse_timestamp) -> DataFrame:
     ).where("market_id_prefix <> ''")
 
 
-def read_resolved_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(market_id_prefix, condition_id) of a JSON object file, lower-cased; no file gives no rows."""
+def read_resolved_ids(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(market_id_prefix, condition_id) of a JSON object, lower-cased; no file gives no rows, a broken one raises.
+
+    The object is a hand-made list and read by one task. For a long list write JSON lines, each an object of
+    one or more pairs, and say so with `lines`; they are read by many.
+    """
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=not lines)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "market_id_prefix string, condition_id string")
-    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+    pairs = text.where(F.trim("value") != "").select(
+        F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("k", "v"))
     return pairs.select(F.lower("k").alias("market_id_prefix"), F.lower("v").alias("condition_id")).distinct()
 
 

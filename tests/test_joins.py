@@ -197,3 +197,18 @@ def test_resolutions(spark, mode):
         (P1, "both ways", True, "consistent"), (P2, "prefix one", True, "inconsistent"),
         (P2, "prefix two", False, "unknown"), ("0xcccccccc", "id only", False, "unknown"),
         ("0xeeeeeeee", None, False, "unknown")]
+
+
+def test_wide_lookups_are_not_small(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10_000)
+    table = spark.range(50).selectExpr("id", "repeat('x', 300) as note")
+    assert not joins.is_small(table) and joins.is_small(table.select("id")) and not joins.is_small(table.select("id"), 49)
+
+
+def test_only_hot_keys_of_a_large_lookup_are_repeated(spark):
+    fact = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as row")
+    dim = spark.range(30_000).selectExpr("id as k", "id * 2 as v")
+    joined = joins.lookup_join(fact, dim, ["k"], small=False)
+    assert joined.where("v = k * 2").count() == joined.count() == 30_000
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hot_k" in text and "Cartesian" not in plan(joined)

@@ -42,7 +42,8 @@ def test_split_and_sample_repeat(spark):
     import hashlib
     least = sorted((f"w{i:05d}" for i in range(2000)), key=lambda w: hashlib.md5(f"42-{w}".encode()).hexdigest())[:50]
     assert [r[0] for r in a] == sorted(least)
-    assert sampling.sample_controls(df, 3000).count() == 2000
+    assert sampling.sample_controls(df, 3000).count() == sampling.sample_controls(df, None).count() == 2000
+    assert [sampling.sample_controls(df, n, seed=s).count() for n in (1, 2) for s in range(6)] == [1] * 6 + [2] * 6
     assert sampling.sample_controls(df, 50, seed=7).join(sampling.sample_controls(df, 50), "taker").count() < 20
 
 

@@ -61,6 +61,19 @@ def test_date_filter_prunes_partitions(spark, tmp_path):
     assert [str(d) for d in got] == ["2024-01-11", "2024-01-15"]
 
 
+def test_broken_lists_raise(spark, tmp_path):
+    (tmp_path / "cut.jsonl").write_text('{"case_id": "a", "markets": []}\n\n{"case_id": "b", "mark')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        inventory.read_inventory(spark, str(tmp_path / "cut.jsonl")).collect()
+    (tmp_path / "ids.json").write_text('{"0xA": "0xA1"')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        inventory.read_resolved_ids(spark, str(tmp_path / "ids.json")).collect()
+    (tmp_path / "ids.jsonl").write_text('{"0xA": "0xA1"}\n\n{"0xB": "0xB1", "0xC": "0xC1"}\n')
+    got = inventory.read_resolved_ids(spark, str(tmp_path / "ids.jsonl"), lines=True)
+    assert rows(got) == [("0xa", "0xa1"), ("0xb", "0xb1"), ("0xc", "0xc1")]
+    assert inventory.read_resolved_ids(spark, str(tmp_path / "absent.json")).count() == 0
+
+
 def test_unreadable_files_are_passed_over_and_reported(spark, tmp_path):
     good = spark.createDataFrame([(1, "a")], "x int, y string")
     good.coalesce(1).write.parquet(str(tmp_path / "t" / "good"))
