@@ -37,6 +37,34 @@ ROUNDED = {
 }
 
 
+# A small forest over (score_a, score_b): tree, node, feature (-1: leaf), cut, left, right, rows, depth.
+FIXED_FOREST = [
+    (0, 0, 0, 8.0, 1, 2, 16, 0), (0, 1, 1, 2.5, 3, 4, 10, 1), (0, 2, -1, 0.0, -1, -1, 6, 1), (0, 3, -1, 0.0, -1, -1, 9, 2),
+    (0, 4, -1, 0.0, -1, -1, 1, 2), (1, 0, 1, 6.5, 1, 2, 16, 0), (1, 1, -1, 0.0, -1, -1, 14, 1), (1, 2, -1, 0.0, -1, -1, 2, 1)]
+FIXED_LAYERS = [3, 2, 3]
+
+
+def _path(node: int, x: tuple[str, str], tree: int) -> str:
+    """The path length below a node as nested cases."""
+    _, _, feature, cut, left, right, rows, depth = next(n for n in FIXED_FOREST if n[:2] == (tree, node))
+    if feature >= 0:
+        return f"CASE WHEN {x[feature]} > {cut} THEN {_path(right, x, tree)} ELSE {_path(left, x, tree)} END"
+    more = f"2 * (ln({rows - 1}) + 0.5772156649015329) - 2 * ({rows} - 1.0::DOUBLE) / {rows}" if rows > 2 else str(rows // 2)
+    return f"({depth} + {more})"
+
+
+def _layers_sql() -> str:
+    """The forward pass of the fixed network, a subquery per layer; ReLU but at code and output."""
+    widths, at, source = [2, *FIXED_LAYERS, 2], 0, "SELECT taker, score_a / 10 AS x0, score_b / 10 AS x1, score_a / 10 AS h0, score_b / 10 AS h1 FROM fx_scores"
+    for i, (a, b) in enumerate(zip(widths, widths[1:])):
+        w = [f"({(k * 7919 % 101 - 50)} / 250.0::DOUBLE)" for k in range(at, at + a * b + b)]
+        sums = [" + ".join([w[a * b + j], *[f"h{n} * {w[n * b + j]}" for n in range(a)]]) for j in range(b)]
+        relu = i not in (len(FIXED_LAYERS) // 2, len(widths) - 2)
+        cols = ", ".join(f"{f'greatest({t}, 0.0::DOUBLE)' if relu else t} AS h{j}" for j, t in enumerate(sums))
+        source, at = f"SELECT taker, x0, x1, {cols} FROM ({source}) l{i}", at + a * b + b
+    return source
+
+
 def feature_list(prefix: str = "") -> str:
     return ", ".join(
         f"round({prefix}{f}, {ROUNDED[f]}) AS {f}" if f in ROUNDED else f"{prefix}{f}" for f in PROFILE_FEATURES)
@@ -559,6 +587,34 @@ SELECT c AS case_id, round(avg(CAST(is_leaked_market AS DOUBLE)) FILTER (WHERE r
   AS roc_auc
 FROM placed GROUP BY c""", "fx_scores")
 
+    put("loco_hook", """, cases AS (SELECT DISTINCT case_id FROM fx_scores WHERE is_leaked_market = 1 AND case_id <> ''),
+universe AS (
+  SELECT case_id AS c, taker, is_leaked_market, score_a FROM fx_scores WHERE is_leaked_market = 1 AND case_id <> ''
+  UNION ALL SELECT k.case_id, taker, is_leaked_market, score_a FROM fx_scores CROSS JOIN cases k WHERE is_leaked_market = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score_a DESC, taker) AS rn FROM universe),
+per_case AS (
+  SELECT c AS case_id, avg(CAST(is_leaked_market AS DOUBLE)) FILTER (WHERE rn <= 20) AS p,
+    (SELECT avg(CASE WHEN p.score_a > n.score_a THEN 1.0::DOUBLE WHEN p.score_a = n.score_a THEN 0.5 ELSE 0.0 END)
+     FROM universe p JOIN universe n ON p.c = n.c WHERE p.c = placed.c AND p.is_leaked_market = 1 AND n.is_leaked_market = 0) AS a
+  FROM placed GROUP BY c),
+both_rows AS (SELECT * FROM per_case UNION ALL SELECT '(mean)', avg(p), avg(a) FROM per_case)
+SELECT turns, case_id, round(p, 9) AS precision_at_20, round(a, 9) AS roc_auc
+FROM both_rows CROSS JOIN (VALUES ('once'), ('each')) t(turns)""", "fx_scores")
+
+    # Fixed models, and what any fit must satisfy
+    x = ("score_a", "score_b")
+    norm = "(2 * (ln(15) + 0.5772156649015329) - 2 * 15.0::DOUBLE / 16)"
+    put("iforest_score_fixed", f"SELECT taker, round(pow(2.0::DOUBLE, -({_path(0, x, 0)} + {_path(0, x, 1)}) / (2 * {norm})), 9) "
+        "AS if_raw FROM fx_scores", "fx_scores")
+    put("iforest_threshold", "SELECT round(quantile_cont(score_a, 0.99), 9) AS threshold FROM fx_scores WHERE is_leaked_market = 0",
+        "fx_scores")
+    put("autoencoder_error_fixed", f"SELECT taker, round(((x0 - h0) * (x0 - h0) + (x1 - h1) * (x1 - h1)) / 2, 9) AS anomaly_score_ae "
+        f"FROM ({_layers_sql()}) z", "fx_scores")
+    put("iforest_shape", """SELECT CAST(300 AS BIGINT) AS trees, least(n, 256) AS least_rows, least(n, 256) AS most_rows,
+  CAST(0 AS BIGINT) AS broken FROM (SELECT count(*) AS n FROM profiles WHERE is_leaked_market = 0) z""", "profiles")
+    put("autoencoder_shape", "SELECT CAST(6618 AS BIGINT) AS weights, CAST(6617 AS INTEGER) AS last, CAST(0 AS BIGINT) AS undefined "
+        "FROM (SELECT count(*) AS n FROM events) z")
+
     # Streaming
     put("stream_ingest", """SELECT trade_id, condition_id, taker, usdc_amount, block_timestamp,
   substr(lower(condition_id), 1, 10) AS market_id_prefix FROM fx_trades t

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.oracles import ROUNDED
+from checks.oracles import FIXED_FOREST, FIXED_LAYERS, ROUNDED
 from tapewatch.constants import LABEL, MODEL_FEATURES, PROFILE_FEATURES
 from tapewatch.functions.ids import market_prefix, normalise_id
 from tapewatch.functions.timestamps import SHORT_FORMATS, parse_timestamp
@@ -473,20 +473,14 @@ def ensemble_scores(spark, sf):
     return rounded(both, {"score_if_norm": 9, "score_ae_norm": 9, "anomaly_score_ensemble": 9})
 
 
-# The models' queries share one training per session and table.
-
-
-@lru_cache(maxsize=4)
 def _scaled(spark, sf):
     return scaling.model_input(stage(wallet_profiles(spark, sf), "profiles"))
 
 
-@lru_cache(maxsize=4)
 def _forest(spark, sf):
     return stage(iforest.fit_forest(_scaled(spark, sf)), "forest")
 
 
-@lru_cache(maxsize=4)
 def _autoencoder(spark, sf):
     return autoencoder.fit_autoencoder(_scaled(spark, sf))
 
@@ -524,6 +518,51 @@ def autoencoder_history(spark, sf):
     return _autoencoder(spark, sf).history_frame(spark)
 
 
+# Scoring with fixed models, whose answers SQL can tell, and what any fit must satisfy.
+
+
+@query
+def iforest_score_fixed(spark, sf):
+    nodes = spark.createDataFrame(FIXED_FOREST, iforest.NODE_SCHEMA)
+    raw = iforest.raw_scores(stage(fx.fx_scores(spark, sf), "scores"), nodes, ["score_a", "score_b"])
+    return rounded(raw.select("taker", "if_raw"), {"if_raw": 9})
+
+
+@query
+def iforest_threshold(spark, sf):
+    raw = stage(fx.fx_scores(spark, sf).withColumnRenamed("score_a", "if_raw"), "raw")
+    return rounded(iforest.flag_threshold(raw), {"threshold": 9})
+
+
+@query
+def iforest_shape(spark, sf):
+    """Trees, rows at their roots, and inner nodes whose children don't add up."""
+    nodes = _forest(spark, sf)
+    up = nodes.where("feature >= 0").select("tree", F.explode(F.array("left", "right")).alias("node"),
+                                            F.col("node").alias("parent"), F.col("rows").alias("whole"))
+    parts = up.join(nodes.select("tree", "node", "rows"), ["tree", "node"]).groupBy("tree", "parent").agg(
+        F.sum("rows").alias("rows"), F.first("whole").alias("whole"))
+    roots = nodes.where("node = 0").agg(F.count("*").alias("trees"), F.min("rows").cast("long").alias("least_rows"),
+                                        F.max("rows").cast("long").alias("most_rows"))
+    broken = parts.where("rows != whole").agg(F.count("*").alias("broken"))
+    return roots.withColumn("broken", broken.scalar())
+
+
+@query
+def autoencoder_error_fixed(spark, sf):
+    weights = np.array([(k * 7919 % 101 - 50) / 250 for k in range(autoencoder.Network(2, FIXED_LAYERS).size)])
+    scaled = stage(fx.fx_scores(spark, sf), "scores").select("taker", (F.col("score_a") / 10).alias("x0"), (F.col("score_b") / 10).alias("x1"))
+    errors = autoencoder.reconstruction_error(scaled, weights, ["x0", "x1"], hidden=FIXED_LAYERS)
+    return rounded(errors.select("taker", "anomaly_score_ae"), {"anomaly_score_ae": 9})
+
+
+@query
+def autoencoder_shape(spark, sf):
+    weights = _autoencoder(spark, sf).weights_frame(spark)
+    return weights.agg(F.count("weight").alias("weights"), F.max("position").alias("last"),
+                       F.count(F.when(F.isnan("weight"), 1)).alias("undefined"))
+
+
 # Metrics -------------------------------------------------------------------------------------
 
 
@@ -603,6 +642,18 @@ def loco_eval(spark, sf):
     return rounded(results, {"precision_at_20": 9, "roc_auc": 9})
 
 
+@query
+def loco_hook(spark, sf):
+    """A fixed scorer as the trainer, trained once and per case, with the means."""
+    table, parts = stage(fx.fx_scores(spark, sf), "scores"), []
+    for turns, refit in (("once", False), ("each", True)):
+        got = loco.leave_one_case_out(table, lambda p: p.select("taker", "score_a"), "score_a", refit=refit)
+        means = loco.loco_means(got).select(F.lit("(mean)").alias("case_id"), F.col("mean_precision").alias("precision_at_20"),
+                                            F.col("mean_roc_auc").alias("roc_auc"), F.lit(None).cast("string").alias("error"))
+        parts.append(got.unionByName(means).select(F.lit(turns).alias("turns"), "*"))
+    return rounded(parts[0].unionByName(parts[1]).drop("error"), {"precision_at_20": 9, "roc_auc": 9})
+
+
 # Streaming -----------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Autoencoder trained data-parallel: each task takes one epoch over its rows, the results are averaged."""
+"""Autoencoder trained data-parallel: in each round every task takes some epochs over its rows, then all are averaged."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import with_rank
 from tapewatch.operators.sampling import SEED, split_controls
 from tapewatch.operators.scaling import fit_scaler, model_input
-from tapewatch.session import new_path, stage
+from tapewatch.session import stage
 
 # Layer widths between input and output, and the training settings.
 HIDDEN = [64, 32, 16, 32, 64]
@@ -34,8 +34,11 @@ PLATEAU_THRESHOLD = 1e-4
 ADAM_BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
-ROWS_PER_TASK = 1_000_000
-MAX_TASKS = 1_024
+# Tasks and epochs per round. The result depends on both, so they are parameters and never follow the table's size.
+TASKS = 4
+LOCAL_EPOCHS = 5
+# Rows a task holds, shuffles and passes over at a time.
+CHUNK_ROWS = 200_000
 MERGED_STATES = 32
 
 # Workers get the functions of this module with the task, so the package need not be installed there.
@@ -120,6 +123,7 @@ class Model:
     weights: np.ndarray
     history: list[float] = field(default_factory=list)
     rates: list[float] = field(default_factory=list)
+    epochs: list[int] = field(default_factory=list)
 
     def weights_frame(self, spark: SparkSession) -> DataFrame:
         """(position, weight): 6 618 rows for ten features."""
@@ -129,7 +133,7 @@ class Model:
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
-            [(i, loss, rate) for i, (loss, rate) in enumerate(zip(self.history, self.rates), 1)],
+            list(zip(self.epochs, self.history, self.rates)),
             "epoch int, val_loss double, learning_rate double")
 
     def save(self, scaler: DataFrame, path: str) -> None:
@@ -144,15 +148,10 @@ def load_weights(spark: SparkSession, path: str) -> np.ndarray:
     return spark.read.parquet(f"{path}/weights").orderBy("position").toPandas()["weight"].to_numpy()
 
 
-def _training_table(scaled: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
-    """Control rows dealt out by hash, written once: one file per task, a million rows each until 1 024 tasks."""
-    spark = scaled.sparkSession
-    split = split_controls(scaled).select("taker", "is_validation", *features)
-    n = split.count()
-    tasks = min(MAX_TASKS, max(1, -(-n // ROWS_PER_TASK)))
-    path = new_path(spark, "training")
-    split.repartition(tasks, F.xxhash64("taker")).drop("taker").write.parquet(path)
-    return spark.read.schema(split.drop("taker").schema).parquet(path).coalesce(tasks), n
+def _training_table(scaled: DataFrame, features: list[str], tasks: int) -> DataFrame:
+    """Control rows dealt out evenly over the tasks; kept by the executors, and made again from files if one is lost."""
+    split = stage(split_controls(scaled).select("is_validation", *features), "training")
+    return split.repartition(tasks).persist()
 
 
 STATE_SCHEMA = "task int, train_rows long, val_rows long, val_sum double, step double, state binary"
@@ -169,44 +168,63 @@ def merge_states(rows: pd.DataFrame) -> pd.DataFrame:
         "step": [float((share * rows["step"]).sum())], "state": [state.tobytes()]})
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= CHUNK_ROWS:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
 def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epochs: int = EPOCHS,
-                    seed: int = SEED) -> Model:
+                    seed: int = SEED, tasks: int = TASKS, local_epochs: int = LOCAL_EPOCHS) -> Model:
     """Train on the control wallets of a scaled table; weights with the lowest validation loss win.
 
-    One Spark job per epoch: every task measures the validation loss of the weights it was given, takes
-    Adam steps over its training rows batch by batch, and returns its state. States are averaged by row
-    count: first in groups on the cluster, so that at most 32 of them (about 160 kB each) reach the driver. The
-    loss of an epoch is thus known one job later, which is when the learning rate and the early stop react.
+    One Spark job per round: every task measures the validation loss of the weights it was given, takes
+    Adam steps over its shuffled training rows for `local_epochs` epochs, and returns its state. States are averaged
+    by row count: first in groups on the cluster, so that at most 32 of them (about 160 kB each) reach the
+    driver. The loss of a round is thus known one job later, which is when the learning rate and the early
+    stop, both counted in epochs, react.
     """
-    spark = scaled.sparkSession
-    table, n = _training_table(scaled, features)
+    table = _training_table(scaled, features, tasks)
+    try:
+        return _fit(table, features, epochs, seed, tasks, local_epochs)
+    finally:
+        table.unpersist()
+
+
+def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: int, local_epochs: int) -> Model:
     net = Network(len(features))
-    if n == 0:
-        raise ValueError("no control wallets to train on")
-    many = table.rdd.getNumPartitions() > MERGED_STATES
+    # Averaging smooths as a large batch does: with a quarter of its share of a batch, a task loses nothing by it.
+    step = max(16, BATCH_ROWS // (4 * tasks))
 
-    def run_epoch(state: State, rate: float, epoch: int, train: bool) -> pd.Series:
+    def run_round(state: State, rate: float, first: int, count: int) -> pd.Series:
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mine = State(state.w, state.m, state.v, state.step)
             task = TaskContext.get().partitionId()
-            rng = np.random.default_rng([seed, epoch, task])
+            rng = np.random.default_rng([seed, first, task])
             train_rows, val_rows, val_sum = 0, 0, 0.0
-            for batch in batches:
-                x = batch[features].to_numpy(dtype=float)
-                held = batch["is_validation"].to_numpy(dtype=bool)
+            for chunk in _chunks(batches):
+                x = chunk[features].to_numpy(dtype=float)
+                held = chunk["is_validation"].to_numpy(dtype=bool)
                 if held.any():
                     val_sum += float(((x[held] - net.forward(state.w, x[held])) ** 2).mean(axis=1).sum())
                     val_rows += int(held.sum())
-                x = rng.permutation(x[~held])
+                x = x[~held]
                 train_rows += len(x)
-                for at in range(0, len(x) if train else 0, BATCH_ROWS):
-                    mine.update(net.gradient(mine.w, x[at:at + BATCH_ROWS], rng), rate)
+                for _ in range(count):
+                    x = rng.permutation(x)
+                    for at in range(0, len(x), step):
+                        mine.update(net.gradient(mine.w, x[at:at + step], rng), rate)
             packed = np.concatenate([mine.w, mine.m, mine.v])
             yield pd.DataFrame({"task": [task], "train_rows": [train_rows], "val_rows": [val_rows],
                                 "val_sum": [val_sum], "step": [mine.step], "state": [packed.tobytes()]})
 
         states = table.mapInPandas(work, STATE_SCHEMA)
-        if many:
+        if tasks > MERGED_STATES:
             group = F.pmod("task", F.lit(MERGED_STATES))
             states = states.groupBy(group).applyInPandas(lambda rows: merge_states(rows.sort_values("task")), STATE_SCHEMA)
         return merge_states(states.toPandas().sort_values("task")).iloc[0]
@@ -215,35 +233,43 @@ def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epo
     state = State(net.initial(seed), zeros, zeros)
     model = Model(features, state.w)
     rate, best, since_best, since_gain, gain_mark = LEARNING_RATE, np.inf, 0, 0, np.inf
-    for epoch in range(1, epochs + 2):
-        result = run_epoch(state, rate, epoch, train=epoch <= epochs)
+    done, taken = 0, 0
+    while True:
+        count = min(local_epochs, epochs - done)
+        result = run_round(state, rate, done, count)
+        if not done and not result.train_rows + result.val_rows:
+            raise ValueError("no control wallets to train on")
         if result.train_rows == 0:
             raise ValueError("no training rows")
-        if epoch > 1:
+        if done:
             loss = float(result.val_sum / result.val_rows) if result.val_rows else 0.0
+            model.epochs.append(done)
             model.history.append(loss)
             model.rates.append(rate)
             if loss < best:
                 best, since_best, model.weights = loss, 0, state.w
             else:
-                since_best += 1
+                since_best += taken
                 if since_best >= PATIENCE:
                     break
             if loss < gain_mark * (1 - PLATEAU_THRESHOLD):
                 gain_mark, since_gain = loss, 0
             else:
-                since_gain += 1
+                since_gain += taken
                 if since_gain > PLATEAU_PATIENCE:
                     rate, since_gain = rate * PLATEAU_FACTOR, 0
+        if not count:
+            break
+        done, taken = done + count, count
         w, m, v = np.split(np.frombuffer(result.state), 3)
         state = State(w, m, v, float(result.step))
     return model
 
 
 def reconstruction_error(scaled: DataFrame, weights: np.ndarray, features: list[str] = MODEL_FEATURES,
-                         out: str = "anomaly_score_ae") -> DataFrame:
+                         out: str = "anomaly_score_ae", hidden: list[int] = HIDDEN) -> DataFrame:
     """Add the mean squared reconstruction error of each row."""
-    net = Network(len(features))
+    net = Network(len(features), hidden)
 
     @F.pandas_udf("double")
     def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

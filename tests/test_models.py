@@ -124,7 +124,7 @@ def test_network_size():
 
 def test_autoencoder_learns_and_repeats(spark, scaled):
     model = autoencoder.fit_autoencoder(scaled, epochs=12)
-    assert len(model.history) == 12 and model.history[-1] < model.history[0]
+    assert model.epochs == [5, 10, 12] and model.history[-1] < model.history[0]
     again = autoencoder.fit_autoencoder(scaled, epochs=12)
     assert again.history == model.history
     errors = autoencoder.reconstruction_error(scaled, model.weights)
@@ -133,11 +133,10 @@ def test_autoencoder_learns_and_repeats(spark, scaled):
 
 
 def test_autoencoder_in_several_tasks(spark, scaled, monkeypatch):
-    monkeypatch.setattr(autoencoder, "ROWS_PER_TASK", 80)
-    model = autoencoder.fit_autoencoder(scaled, epochs=8)
-    assert model.history[-1] < model.history[0]
+    model = autoencoder.fit_autoencoder(scaled, epochs=8, tasks=6, local_epochs=2)
+    assert model.epochs == [2, 4, 6, 8] and model.history[-1] < model.history[0]
     monkeypatch.setattr(autoencoder, "MERGED_STATES", 2)
-    merged = autoencoder.fit_autoencoder(scaled, epochs=8)
+    merged = autoencoder.fit_autoencoder(scaled, epochs=8, tasks=6, local_epochs=2)
     assert merged.history == pytest.approx(model.history)
     assert np.allclose(merged.weights, model.weights)
 
@@ -154,7 +153,7 @@ def test_saved_models_score_alike(spark, tmp_path):
     path = str(tmp_path / "autoencoder")
     first = rows(autoencoder.run_autoencoder(profiles, path, epochs=2))
     assert rows(autoencoder.score_saved_autoencoder(profiles, path)) == first
-    assert rows(spark.read.parquet(path + "/history"), "epoch", "learning_rate") == [(1, 0.001), (2, 0.001)]
+    assert rows(spark.read.parquet(path + "/history"), "epoch", "learning_rate") == [(2, 0.001)]
 
 
 def test_loco_with_a_model(spark):
@@ -168,7 +167,7 @@ def test_loco_with_a_model(spark):
 def test_early_stop(spark, scaled, monkeypatch):
     monkeypatch.setattr(autoencoder, "LEARNING_RATE", 0.0)
     monkeypatch.setattr(autoencoder, "PATIENCE", 3)
-    model = autoencoder.fit_autoencoder(scaled, epochs=30)
+    model = autoencoder.fit_autoencoder(scaled, epochs=30, local_epochs=1)
     assert len(model.history) == 4 and len(set(model.history)) == 1
 
 
