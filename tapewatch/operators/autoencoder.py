@@ -149,9 +149,12 @@ def load_weights(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def _training_table(scaled: DataFrame, features: list[str], tasks: int) -> DataFrame:
-    """Control rows dealt out evenly over the tasks; kept by the executors, and made again from files if one is lost."""
-    split = stage(split_controls(scaled).select("is_validation", *features), "training")
-    return split.repartition(tasks).persist()
+    """Control rows dealt out over the tasks by hash, in a fixed order.
+
+    The executors keep them; those of a lost one are made again from files.
+    """
+    split = stage(split_controls(scaled).select("taker", "is_validation", *features), "training")
+    return split.repartition(tasks, F.xxhash64("taker")).sortWithinPartitions("taker").drop("taker").persist()
 
 
 STATE_SCHEMA = "task int, train_rows long, val_rows long, val_sum double, step double, state binary"
