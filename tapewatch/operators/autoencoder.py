@@ -230,7 +230,10 @@ def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: i
         if tasks > MERGED_STATES:
             group = F.pmod("task", F.lit(MERGED_STATES))
             states = states.groupBy(group).applyInPandas(lambda rows: merge_states(rows.sort_values("task")), STATE_SCHEMA)
-        return merge_states(states.toPandas().sort_values("task")).iloc[0]
+        found = states.toPandas()
+        if found.empty:
+            raise ValueError("no control wallets to train on")
+        return merge_states(found.sort_values("task")).iloc[0]
 
     zeros = np.zeros(net.size)
     state = State(net.initial(seed), zeros, zeros)
@@ -240,8 +243,6 @@ def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: i
     while True:
         count = min(local_epochs, epochs - done)
         result = run_round(state, rate, done, count)
-        if not done and not result.train_rows + result.val_rows:
-            raise ValueError("no control wallets to train on")
         if result.train_rows == 0:
             raise ValueError("no training rows")
         if done:
