@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recording: list[list[str]] = []
+
 
 def build_session(name: str = "tapewatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for; `conf` overrides them."""
@@ -45,7 +50,38 @@ def checkpoint_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; one folder per application, to remove when it has ended."""
     application = f"tapewatch-{spark.sparkContext.applicationId}"
-    return os.path.join(checkpoint_root(spark), application, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), application, f"{name}-{uuid.uuid4().hex}")
+    _record(path)
+    return path
+
+
+def _record(path: str) -> None:
+    for paths in _recording:
+        paths.append(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collect the paths of tables staged within the block, to drop them with `drop_tables` later on."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording[:] = [p for p in _recording if p is not paths]
+
+
+def drop_tables(spark: SparkSession, paths: list[str], used_by: DataFrame | None = None) -> list[str]:
+    """Delete staged tables, except those that `used_by` reads; returns the paths that stay."""
+    def plain(path: str) -> str:
+        return re.sub("^file:/+", "/", path)
+
+    reads = [plain(f) for f in used_by.inputFiles()] if used_by is not None else []
+    kept = [p for p in paths if any(f.startswith(plain(p) + "/") for f in reads)]
+    for p in set(paths) - set(kept):
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return kept
 
 
 def stage(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:
