@@ -35,26 +35,29 @@ def _split(members: DataFrame, digit: list[str]) -> DataFrame:
     return members.join(counts, digit)
 
 
-def radix_groups(docs: DataFrame, payload: list[Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def radix_groups(docs: DataFrame, payload: list[Column], text: str = "text", doc_id: str = "doc_id",
+                 text_in: Column | None = None) -> DataFrame:
     """One row per document: the payload columns, `keep_id`, `group_size`, `kept`.
 
-    The payload is carried along with each document; its names must not begin with an underscore.
+    The payload is carried along with each document; its names must not begin with an underscore. `text_in` finds the
+    text in the payload, if it is there, so that it isn't carried twice.
     """
-    norm = normal_text(F.col(text))
     rows = docs.select(
         *payload, F.col(doc_id).cast("long").alias("_id"), F.length(F.coalesce(text, F.lit(""))).alias("_points"),
-        norm.cast("binary").alias("_bytes"))
-    carried = [c for c in rows.columns if c != "_bytes"]
-    length = F.octet_length("_bytes")
+        *([F.col(text).alias("_text")] if text_in is None else []), F.col(text).alias("_key"))
+    body = normal_text(F.col("_text") if text_in is None else text_in).cast("binary")
+    carried = [c for c in rows.columns if c not in ("_text", "_key")]
 
     # Level 1 from the source itself: the digit is the length and the first bytes.
-    first = rows.withColumn("_length", length).withColumn("_digit", F.substring("_bytes", 1, FIRST))
+    bytes_ = normal_text(F.col("_key")).cast("binary")
+    first = rows.withColumn("_length", F.octet_length(bytes_)).withColumn(
+        "_digit", F.substring(bytes_, 1, FIRST)).drop("_key")
     several = stage(first.groupBy("_length", "_digit").agg(F.count("*").alias("_n")).where("_n > 1").select(
         "_length", "_digit", F.lit(True).alias("_several")), "groups")
     width = FIRST * GROWTH
     level = stage(
         first.join(several, ["_length", "_digit"], "left")
-        .withColumn("_rid", F.monotonically_increasing_id())
+        .withColumn("_rid", F.monotonically_increasing_id()).withColumn("_bytes", body)
         .select(*carried, "_rid", "_several", "_length", *[
             F.when(F.col("_several"), part).alias(name) for name, part in (
                 ("_digit", F.col("_digit")), ("_next", F.substring("_bytes", FIRST + 1, width)),
@@ -96,11 +99,12 @@ def _decided(members: DataFrame, names: list[str]) -> DataFrame:
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, with all their columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return radix_groups(docs, [whole], text, doc_id).where("kept").select("row.*")
+    groups = radix_groups(docs, [whole], text, doc_id, F.col("row").getField(text))
+    return groups.where("kept").select("row.*")
 
 
 def op1_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays, its group's size and the digest of its normalised text."""
     docs = read_table(spark, sf_dir, "documents")
-    return radix_groups(docs, [F.col("doc_id"), F.sha2(normal_text(F.col("text")).cast("binary"), 256)
-                               .alias("text_sha256")]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    digest = F.sha2(normal_text(F.col("text")).cast("binary"), 256).alias("text_sha256")
+    return radix_groups(docs, [F.col("doc_id"), digest]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

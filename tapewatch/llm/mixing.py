@@ -68,25 +68,33 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
                          F.least(limit, F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add `source_size`, `target` and `taken` to rows of (source, size, weight, draw, rid).
+def exponential_key(draw: Column, weight: Column, seed: int) -> Column:
+    """-ln(u) / w with u from 53 bits of the hash of `draw`, in (0, 1)."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), draw), 11) + F.lit(0.5)) / F.lit(float(2 ** 53))
+    return -F.log(uniform) / F.coalesce(weight, F.lit(1.0))
 
-    `draw` is a hash that tells documents apart. `taken` is the document's size times how often it is in the mix.
-    """
-    # 53 bits of the hash, in (0, 1).
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw"), 11) + F.lit(0.5)) / F.lit(float(2 ** 53))
-    keyed = stage(rows.withColumn("_key", -F.log(uniform) / F.coalesce(F.col("weight"), F.lit(1.0))), "keyed")
+
+def _chosen(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Rows of (source, size, weight, draw, rid) with `_key`, `copies`, `taken`, and `_more` for those of the fraction."""
+    keyed = stage(rows.withColumn("_key", exponential_key(F.col("draw"), F.col("weight"), seed)), "keyed")
     ordered = running(keyed, [F.col("_key"), F.col("rid")], {"_before": "size"}, by=["source"])
     goals = stage(targets.withColumnRenamed("source", "_source"), "targets")
     joined = ordered.join(goals, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(1)
     left = F.col("target") - F.col("_epochs") * F.col("source_size")
     nearer = F.col("_before") + F.col("size") / 2 <= F.col("_left")
-    more = F.when((F.col("_left") > 0) & (F.col("_before") < F.col("_left")) & nearer, 1).otherwise(0)
     return (joined.withColumn("_epochs", epochs.cast("long")).withColumn("_left", left)
-            .withColumn("copies", (F.col("_epochs") + more).cast("long"))
-            .withColumn("taken", F.col("copies") * F.col("size"))
-            .drop("_key", "_before", "_source", "_epochs", "_left"))
+            .withColumn("_more", (F.col("_left") > 0) & (F.col("_before") < F.col("_left")) & nearer)
+            .withColumn("copies", (F.col("_epochs") + F.col("_more").cast("int")).cast("long"))
+            .withColumn("taken", F.col("copies") * F.col("size")))
+
+
+def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """Add `source_size`, `target` and `taken` to rows of (source, size, weight, draw, rid).
+
+    `draw` is a hash that tells documents apart. `taken` is the document's size times how often it is in the mix.
+    """
+    return _chosen(rows, targets, seed).drop("_key", "_before", "_source", "_epochs", "_left", "_more")
 
 
 def sized(docs: DataFrame, payload: Sequence[Column], doc_id: str, text: str, source: str) -> DataFrame:
@@ -97,15 +105,25 @@ def sized(docs: DataFrame, payload: Sequence[Column], doc_id: str, text: str, so
         quality(body).alias("weight"), F.xxhash64(F.col(doc_id), body).alias("draw")))
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                    seed: int = SEED) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns.
+
+    What a source takes of its last epoch are the documents with the least keys, so the largest key taken decides for
+    each document; documents aren't moved. Rows equal in id and text share a key and are taken together.
+    """
+    rows = sized(docs, [], doc_id, text, source)
+    chosen = _chosen(rows, source_targets(rows), seed)
+    limits = stage(chosen.groupBy("source").agg(
+        F.min("_epochs").alias("_epochs"), F.max(F.when(F.col("_more"), F.col("_key"))).alias("_last"))
+        .withColumnRenamed("source", "_source"), "limits")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = sized(docs, [whole], doc_id, text, source)
-    narrow = rows.drop("row")
-    chosen = stage(mix(narrow, source_targets(narrow)).where("copies > 0").select("rid", "copies"), "chosen")
-    taken = rows.select("rid", "row").join(chosen, "rid")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return taken.select("row", copies.alias("copy")).select("row.*")
+    key = exponential_key(F.xxhash64(F.col(doc_id), F.col(text)), quality(F.col(text)), seed)
+    keyed = docs.select(whole, F.col(source).cast("string").alias("_own"), key.alias("_key"))
+    copies = F.col("_epochs") + F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)).cast("int")
+    placed = keyed.join(limits, F.col("_own").eqNullSafe(F.col("_source"))).select("row", copies.alias("_copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return placed.where("_copies > 0").select("row", copy.alias("_copy")).select("row.*")
 
 
 def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,15 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")).distinct(), "links")
 
 
-def near_groups(docs: DataFrame, payload: Sequence[Column], text: str = "text", doc_id: str = "doc_id",
-                shingle: int = SHINGLE, distance: int = DISTANCE, tree: int = TREE) -> DataFrame:
-    """One row per document: the payload, `fp`, `component_id`, and `first`, true for one row per component.
-
-    The payload's names must not begin with an underscore.
-    """
-    rows = docs.select(*payload, F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    names = [c for c in rows.columns if not c.startswith("_")]
-    prints = numbered(with_fingerprints(rows, "_text", shingle), "_rid")
+def _decided(prints: DataFrame, distance: int, tree: int) -> DataFrame:
+    """For each fingerprint `fp` of (fp, _id, _rid) rows the first row `best` of its component."""
     order = F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_rid")
     nodes = stage(prints.groupBy("fp").agg(F.min(order).alias("best")), "nodes")
     stars = components(links(nodes, distance, tree))
@@ -210,17 +203,40 @@ def near_groups(docs: DataFrame, payload: Sequence[Column], text: str = "text",
         stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct()), "members")
     firsts = stage(member.join(nodes, "fp").groupBy("root").agg(F.min("best").alias("first")), "firsts")
     found = stage(member.join(firsts, "root").select("fp", "first"), "found")
-    decided = stage(nodes.join(found, "fp", "left").select(
+    return stage(nodes.join(found, "fp", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("first", "best").alias("_best")), "decided")
-    return prints.join(decided, F.col("fp") == F.col("_fp")).select(
+
+
+def _prints(docs: DataFrame, payload: Sequence[Column], text: str, doc_id: str, shingle: int) -> DataFrame:
+    rows = docs.select(*payload, F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    return numbered(with_fingerprints(rows, "_text", shingle), "_rid")
+
+
+def near_groups(docs: DataFrame, payload: Sequence[Column], text: str = "text", doc_id: str = "doc_id",
+                shingle: int = SHINGLE, distance: int = DISTANCE, tree: int = TREE) -> DataFrame:
+    """One row per document: the payload, `fp`, `component_id`, and `first`, true for one row per component.
+
+    The payload's names must not begin with an underscore.
+    """
+    prints = _prints(docs, payload, text, doc_id, shingle)
+    names = [c for c in prints.columns if not c.startswith("_") and c != "fp"]
+    return prints.join(_decided(prints, distance, tree), F.col("fp") == F.col("_fp")).select(
         *names, "fp", F.col("_best._id").alias("component_id"),
         (F.col("_rid") == F.col("_best._rid")).alias("first"))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component, with all its columns."""
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
+                     distance: int = DISTANCE, tree: int = TREE) -> DataFrame:
+    """One document of each component, with all its columns.
+
+    Only numbers of rows are joined with the decisions; the documents themselves then lose those that go.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return near_groups(docs, [whole], text, doc_id).where("first").select("row.*")
+    prints = _prints(docs, [whole], text, doc_id, shingle)
+    narrow = prints.select("fp", "_id", "_rid")
+    gone = stage(narrow.join(_decided(narrow, distance, tree), F.col("fp") == F.col("_fp"))
+                 .where(F.col("_rid") != F.col("_best._rid")).select("_rid"), "gone")
+    return prints.join(gone, "_rid", "left_anti").select("row.*")
 
 
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from tapewatch.session import stage
 
 #: Labelled documents per class in the fit, features besides group names, and their least significance.
 SAMPLE, FEATURES, SIGNIFICANT = 15_000, 2_000, 2.0
+#: Features that a task counts before it hands on the counts.
+HELD = 200_000
 #: Bytes of a word's beginning that are features, in ascending order.
 BEGINNINGS = (4, 5, 6, 7, 8)
 RIDGE, FAIR, STEPS = 1e-5, 1.0, 400
@@ -124,15 +126,21 @@ def _choose(rows: DataFrame, n_rows: dict[int, int], limit: int) -> list[bytes]:
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            seen = (Counter(), Counter())
-            for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                seen[toxic].update(features(words(text)))
+        def counted():
             names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([
+            return pa.RecordBatch.from_arrays([
                 pa.array(names, pa.binary()), *[pa.array([c[n] for n in names], pa.int64()) for c in seen]],
                 ["name", "clean", "toxic"])
 
+        seen = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
+                seen[toxic].update(features(words(text)))
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield counted()
+                    seen = (Counter(), Counter())
+        yield counted()
+
     sums = rows.mapInArrow(count, "name binary, clean long, toxic long").groupBy("name").agg(
         (F.sum("clean") + F.lit(0.5)).alias("c"), (F.sum("toxic") + F.lit(0.5)).alias("t"))
     odds = F.log(F.col("t") / (n_rows[1] + 1 - F.col("t"))) - F.log(F.col("c") / (n_rows[0] + 1 - F.col("c")))
