@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tapewatch.functions.ids import market_prefix
 from tapewatch.sources.trades import scan_trades
 
+#: Every `BLOCK` events have `MARKETS` markets of their own, of which the first `LEAKED` are leaked.
+BLOCK = 5_000
 MARKETS = 97
 LEAKED = 32
 FIRST_NEWS = 1_704_412_800
@@ -27,16 +29,28 @@ def _hex(*parts: Column) -> Column:
     return F.concat(F.lit("0x"), F.md5(F.concat(*parts)))
 
 
+def market_number(e: Column) -> Column:
+    return e % MARKETS + MARKETS * F.floor(e / F.lit(BLOCK))
+
+
+def is_leaked(m: Column) -> Column:
+    return m % MARKETS < LEAKED
+
+
+def case_number(m: Column) -> Column:
+    return m % MARKETS % 8 + 8 * F.floor(m / F.lit(MARKETS))
+
+
 def market_columns(m: Column) -> dict[str, Column]:
     """All columns of market number `m`."""
     cid = _hex(F.lit("mkt-"), m.cast("string"))
-    kind = m % 8 % 3
-    news = F.lit(FIRST_NEWS) + m * 21600
+    kind = m % MARKETS % 8 % 3
+    news = F.lit(FIRST_NEWS) + m % MARKETS * 21600
     return {
         "condition_id": cid,
         "market_id_prefix": F.substring(cid, 1, 10),
-        "is_leaked": F.when(m < LEAKED, 1).otherwise(0),
-        "case_id": F.when(m < LEAKED, F.concat(F.lit("case-"), (m % 8).cast("string"))).otherwise(""),
+        "is_leaked": F.when(is_leaked(m), 1).otherwise(0),
+        "case_id": F.when(is_leaked(m), F.concat(F.lit("case-"), case_number(m).cast("string"))).otherwise(""),
         "category": F.when(kind == 0, "regulatory_decision").when(kind == 1, "military_geopolitics")
         .otherwise("corporate_disclosure"),
         "tag": F.when(kind == 0, "Politics").when(kind == 1, "World").otherwise("Business"),
@@ -51,7 +65,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_markets(spark: SparkSession, sf: str) -> DataFrame:
-    m = events(spark, sf).select((F.col("event_id") % MARKETS).alias("m")).distinct()
+    m = events(spark, sf).select(market_number(F.col("event_id")).alias("m")).distinct()
     return m.select("m", *[c.alias(n) for n, c in market_columns(F.col("m")).items()])
 
 
@@ -60,8 +74,8 @@ def trades_of(source: DataFrame) -> DataFrame:
     m, e = F.col("m"), F.col("event_id")
     k = market_columns(m)
     buys = F.col("event_type").isin("purchase", "signup")
-    day = F.date_add(F.lit("2024-01-05").cast("date"), ((m - m % 4) / 4).cast("int"))
-    return source.withColumn("m", e % MARKETS).select(
+    day = F.date_add(F.lit("2024-01-05").cast("date"), F.floor(m % MARKETS / F.lit(4)).cast("int"))
+    return source.withColumn("m", market_number(e)).select(
         e.alias("trade_id"),
         F.when(m % 2 == 0, F.upper(k["condition_id"])).otherwise(k["condition_id"]).alias("condition_id"),
         _hex(F.lit("usr-"), F.col("user_id").cast("string"), F.lit("-"), (e % 2).cast("string")).alias("taker"),
@@ -83,7 +97,7 @@ def fx_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 def fx_cases(spark: SparkSession, sf: str) -> DataFrame:
     """The inventory as the reader gives it: one row per case with its markets in order."""
-    k = fx_markets(spark, sf).where(F.col("m") < LEAKED)
+    k = fx_markets(spark, sf).where(is_leaked(F.col("m")))
     m = F.col("m")
     market = F.struct(
         m.alias("m"),
@@ -94,7 +108,7 @@ def fx_cases(spark: SparkSession, sf: str) -> DataFrame:
         F.when(m % 3 == 0, "YES").when(m % 3 == 1, "NO").otherwise("INVALID").alias("resolution_outcome"),
         F.when(m % 5 == 0, "false").when(m % 5 == 1, "partial").otherwise("true").alias("trade_history_available"),
     )
-    grouped = k.groupBy("case_id", (m % 8).alias("c"), "category").agg(F.sort_array(F.collect_list(market)).alias("ms"))
+    grouped = k.groupBy("case_id", case_number(m).alias("c"), "category").agg(F.sort_array(F.collect_list(market)).alias("ms"))
     return grouped.select(
         "case_id", F.concat(F.lit("Case "), F.col("c").cast("string")).alias("title"), F.lit("2024-01-09").alias("date"),
         "category", F.transform("ms", lambda x: x.dropFields("m")).alias("markets"))
@@ -113,16 +127,16 @@ def fx_index(spark: SparkSession, sf: str) -> DataFrame:
     """The markets as a finished index."""
     return fx_markets(spark, sf).select(
         "market_id_prefix", "condition_id", "is_leaked", "case_id",
-        F.when(F.col("m") < LEAKED, F.concat(F.lit("Case "), (F.col("m") % 8).cast("string"))).otherwise("")
+        F.when(is_leaked(F.col("m")), F.concat(F.lit("Case "), case_number(F.col("m")).cast("string"))).otherwise("")
         .alias("case_title"), "category", "news_timestamp", "window_start_24h", "window_start_48h",
-        F.when(F.col("m") >= LEAKED, "").when(F.col("m") % 3 == 0, "YES").when(F.col("m") % 3 == 1, "NO")
+        F.when(~is_leaked(F.col("m")), "").when(F.col("m") % 3 == 0, "YES").when(F.col("m") % 3 == 1, "NO")
         .otherwise("INVALID").alias("resolution_outcome"),
-        ((F.col("m") >= LEAKED) | (F.col("m") % 5 != 0)).alias("trade_available"))
+        (~is_leaked(F.col("m")) | (F.col("m") % 5 != 0)).alias("trade_available"))
 
 
 def fx_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Full ids are known for every other leaked market."""
-    return fx_markets(spark, sf).where((F.col("m") < LEAKED) & (F.col("m") % 2 == 0)).select(
+    return fx_markets(spark, sf).where(is_leaked(F.col("m")) & (F.col("m") % 2 == 0)).select(
         "market_id_prefix", "condition_id")
 
 
@@ -131,8 +145,7 @@ def fx_scores(spark: SparkSession, sf: str) -> DataFrame:
     t = fx_trades(spark, sf).select(
         "taker", "usdc_amount", "block_timestamp", market_prefix(F.col("condition_id")).alias("market_id_prefix"))
     inside = (F.col("block_timestamp") >= F.col("window_start_48h")) & (F.col("block_timestamp") < F.col("news_timestamp"))
-    # 97 markets by definition of the fixture.
-    return t.join(F.broadcast(k), "market_id_prefix").where(inside).groupBy("taker").agg(
+    return t.join(k, "market_id_prefix").where(inside).groupBy("taker").agg(
         F.max("is_leaked").alias("is_leaked_market"), F.min("case_id").alias("case_id"),
         F.round(F.log(1 + F.sum(F.coalesce("usdc_amount", F.lit(0.0)))), 6).alias("score_a"),
         F.count("*").cast("double").alias("score_b"))

@@ -75,15 +75,15 @@ CTES = {
 SELECT m,
   concat('0x', md5(concat('mkt-', CAST(m AS VARCHAR(10))))) AS condition_id,
   substr(concat('0x', md5(concat('mkt-', CAST(m AS VARCHAR(10))))), 1, 10) AS market_id_prefix,
-  CASE WHEN m < 32 THEN 1 ELSE 0 END AS is_leaked,
-  CASE WHEN m < 32 THEN concat('case-', CAST(m % 8 AS VARCHAR(10))) ELSE '' END AS case_id,
-  CASE m % 8 % 3 WHEN 0 THEN 'regulatory_decision' WHEN 1 THEN 'military_geopolitics'
+  CASE WHEN m % 97 < 32 THEN 1 ELSE 0 END AS is_leaked,
+  CASE WHEN m % 97 < 32 THEN concat('case-', CAST(m % 97 % 8 + 8 * (m // 97) AS VARCHAR(10))) ELSE '' END AS case_id,
+  CASE m % 97 % 8 % 3 WHEN 0 THEN 'regulatory_decision' WHEN 1 THEN 'military_geopolitics'
                  ELSE 'corporate_disclosure' END AS category,
-  CASE m % 8 % 3 WHEN 0 THEN 'Politics' WHEN 1 THEN 'World' ELSE 'Business' END AS tag,
-  1704412800 + m * 21600 AS news_timestamp,
-  1704412800 + m * 21600 - 86400 AS window_start_24h,
-  1704412800 + m * 21600 - 172800 AS window_start_48h
-FROM (SELECT DISTINCT event_id % 97 AS m FROM events) z""",
+  CASE m % 97 % 8 % 3 WHEN 0 THEN 'Politics' WHEN 1 THEN 'World' ELSE 'Business' END AS tag,
+  1704412800 + m % 97 * 21600 AS news_timestamp,
+  1704412800 + m % 97 * 21600 - 86400 AS window_start_24h,
+  1704412800 + m % 97 * 21600 - 172800 AS window_start_48h
+FROM (SELECT DISTINCT event_id % 97 + 97 * (event_id // 5000) AS m FROM events) z""",
     "fx_trades": """
 SELECT e.event_id AS trade_id,
   CASE WHEN k.m % 2 = 0 THEN upper(k.condition_id) ELSE k.condition_id END AS condition_id,
@@ -97,19 +97,19 @@ SELECT e.event_id AS trade_id,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE k.tag END AS category,
   concat('market-', CAST(k.m AS VARCHAR(10))) AS market_slug,
   CASE WHEN k.m % 10 = 7 THEN NULL
-       WHEN k.m % 10 = 3 THEN CAST(DATE '2024-01-05' + CAST((k.m - k.m % 4) / 4 AS INT) AS VARCHAR(10))
+       WHEN k.m % 10 = 3 THEN CAST(DATE '2024-01-05' + CAST(k.m % 97 // 4 AS INT) AS VARCHAR(10))
        ELSE CAST(k.news_timestamp AS VARCHAR(10)) END AS resolved_at
-FROM events e JOIN fx_markets k ON e.event_id % 97 = k.m""",
+FROM events e JOIN fx_markets k ON e.event_id % 97 + 97 * (e.event_id // 5000) = k.m""",
     "fx_inventory": """
-SELECT m, CAST((m - m % 8) / 8 AS INT) AS ordinal, case_id,
-  concat('Case ', CAST(m % 8 AS VARCHAR(10))) AS title, '2024-01-09' AS date, category,
+SELECT m, CAST(m % 97 // 8 AS INT) AS ordinal, case_id,
+  concat('Case ', CAST(m % 97 % 8 + 8 * (m // 97) AS VARCHAR(10))) AS title, '2024-01-09' AS date, category,
   CASE WHEN m % 2 = 0 THEN upper(market_id_prefix) ELSE market_id_prefix END AS market_id_prefix,
   concat('Market ', CAST(m AS VARCHAR(10))) AS label,
   CASE m % 4 WHEN 0 THEN CAST(news_timestamp AS VARCHAR(10)) WHEN 1 THEN '2024-01-08T12:00:00Z'
              WHEN 2 THEN '2024-01-08' ELSE '' END AS resolution_date,
   CASE m % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'INVALID' END AS resolution_outcome,
   CASE m % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'partial' ELSE 'true' END AS trade_history_available
-FROM fx_markets WHERE m < 32""",
+FROM fx_markets WHERE m % 97 < 32""",
     "fx_flat": f"""
 SELECT case_id, ordinal, title AS case_title, category, lower(market_id_prefix) AS market_id_prefix, label,
   coalesce(nullif({parse_sql('resolution_date')}, 0), {parse_sql('date')}) AS news_timestamp,
@@ -120,13 +120,13 @@ SELECT CASE WHEN m % 3 = 0 THEN upper(condition_id) ELSE condition_id END AS con
   CASE WHEN m % 5 = 0 THEN NULL WHEN m % 2 = 0 THEN list_value(1, 0) ELSE list_value(0, 1) END AS payout_numerators,
   concat('q-', CAST(m AS VARCHAR(10))) AS question_id, 'oracle-a' AS oracle
 FROM fx_markets WHERE m % 7 <> 0""",
-    "fx_resolved": "SELECT market_id_prefix, condition_id FROM fx_markets WHERE m < 32 AND m % 2 = 0",
+    "fx_resolved": "SELECT market_id_prefix, condition_id FROM fx_markets WHERE m % 97 < 32 AND m % 2 = 0",
     "fx_index": """
 SELECT market_id_prefix, condition_id, is_leaked, case_id,
-  CASE WHEN m < 32 THEN concat('Case ', CAST(m % 8 AS VARCHAR(10))) ELSE '' END AS case_title, category,
+  CASE WHEN m % 97 < 32 THEN concat('Case ', CAST(m % 97 % 8 + 8 * (m // 97) AS VARCHAR(10))) ELSE '' END AS case_title, category,
   news_timestamp, window_start_24h, window_start_48h,
-  CASE WHEN m >= 32 THEN '' WHEN m % 3 = 0 THEN 'YES' WHEN m % 3 = 1 THEN 'NO' ELSE 'INVALID' END AS resolution_outcome,
-  (m >= 32 OR m % 5 <> 0) AS trade_available
+  CASE WHEN m % 97 >= 32 THEN '' WHEN m % 3 = 0 THEN 'YES' WHEN m % 3 = 1 THEN 'NO' ELSE 'INVALID' END AS resolution_outcome,
+  (m % 97 >= 32 OR m % 5 <> 0) AS trade_available
 FROM fx_markets""",
     "fx_scores": """
 SELECT taker, max(is_leaked) AS is_leaked_market, min(case_id) AS case_id,
@@ -442,8 +442,8 @@ WHERE lower(condition_id) IN (SELECT lower(condition_id) FROM fx_resolved)
    OR EXISTS (SELECT 1 FROM fx_inventory i WHERE lower(t.condition_id) LIKE lower(i.market_id_prefix) || '%')""",
         "fx_trades", "fx_resolved", "fx_inventory")
     put("route_prefix", """, listed AS (
-  SELECT market_id_prefix AS p, 2 * m + 1 AS ord FROM fx_markets WHERE m < 32
-  UNION ALL SELECT substr(market_id_prefix, 1, 6), 2 * m FROM fx_markets WHERE m < 32 AND m % 2 = 0)
+  SELECT market_id_prefix AS p, 2 * m + 1 AS ord FROM fx_markets WHERE m % 97 < 32
+  UNION ALL SELECT substr(market_id_prefix, 1, 6), 2 * m FROM fx_markets WHERE m % 97 < 32 AND m % 2 = 0)
 SELECT t.trade_id, coalesce((SELECT min_by(p, ord) FROM listed WHERE lower(t.condition_id) LIKE p || '%'),
   substr(lower(t.condition_id), 1, 10)) AS routed_prefix FROM fx_trades t""", "fx_trades")
     put("mins_before_news", """SELECT trade_id, market_id_prefix,

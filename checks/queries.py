@@ -197,7 +197,7 @@ def market_filter(spark, sf):
 @query
 def route_prefix(spark, sf):
     m = F.col("m")
-    leaked = fx.fx_markets(spark, sf).where(m < fx.LEAKED)
+    leaked = fx.fx_markets(spark, sf).where(fx.is_leaked(m))
     listed = leaked.select("market_id_prefix", (2 * m + 1).alias("ord")).unionByName(
         leaked.where(m % 2 == 0).select(F.substring("market_id_prefix", 1, 6).alias("market_id_prefix"),
                                         (2 * m).alias("ord")))
