@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,21 +38,38 @@ def build_session(name: str = "tapewatch", master: str | None = None, **conf: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapewatch-"))
-    return sc.getCheckpointDir().rstrip("/")
+    """The shared folder named by `spark.checkpoint.dir` or set on the context; without one there is nowhere to stage."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """In local mode, where one machine is all there is, stage to a folder of its own unless one is set already.
+
+    For tests and entry points; the library itself never calls it. The folder goes when the process ends.
+    """
+    context = spark.sparkContext
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir())
+    if unset and re.match(r"local(\[|$)", context.master):
+        folder = tempfile.mkdtemp(prefix="tapewatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+
+
+def application_folder(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_root(spark), f"tapewatch-{spark.sparkContext.applicationId}")
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; call it when their results have been written elsewhere."""
+    drop_tables(spark, [application_folder(spark)])
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; one folder per application, to remove when it has ended."""
-    application = f"tapewatch-{spark.sparkContext.applicationId}"
-    path = os.path.join(checkpoint_root(spark), application, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(application_folder(spark), f"{name}-{uuid.uuid4().hex}")
     _record(path)
     return path
 

@@ -292,7 +292,7 @@ def test_pipeline(spark, tmp_path):
     assert rows(run.summary, "model") == [("autoencoder",), ("ensemble",), ("isolation_forest",)]
     n = run.profiles.count()
     assert n == run.if_scores.count() == run.ae_scores.count() == run.ensemble.count() > 100
-    assert run.market_index.where("is_leaked = 1").count() == 32
+    assert run.market_index.where("is_leaked = 1").count() == 64
     assert run.market_index.where("is_leaked = 0").count() > 0
     assert run.resolutions.count() >= run.market_index.count()
     pipeline.save(run, str(tmp_path / "out"))
