@@ -18,7 +18,7 @@ from tapewatch.llm.mixing import mixed_documents
 from tapewatch.llm.packing import pack, token_pieces
 from tapewatch.llm.simhash import drop_near_copies
 from tapewatch.llm.toxicity import drop_toxic
-from tapewatch.session import drop_tables, recorded, stage
+from tapewatch.session import drop_tables, recorded, stage, use_local_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Tables staged by the stage called last.
@@ -32,6 +32,7 @@ def _clean(function: Stage) -> Stage:
     """
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_local_folder(spark)
         _left[:] = drop_tables(spark, _left, used_by=docs)
         with recorded() as paths:
             result = function(spark, docs, sf_dir)
@@ -73,6 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_local_folder(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
