@@ -16,9 +16,11 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker, about 170 bytes each.
-LIMIT = 1_200_000
+LIMIT = 500_000
 #: Texts are looked up together up to so many bytes, new words encoded together up to so many words.
 GROUP_BYTES, GROUP_WORDS = 4 << 20, 20_000
+#: Rows of an Arrow column that become Python objects at a time.
+SLICE = 128
 #: A character that is a token of its own between spaces; it tells words apart that are encoded together.
 MARK = "\x01"
 
@@ -121,8 +123,10 @@ def shared_encoder(path: str | None = None) -> WordEncoder:
     return WordEncoder(path)
 
 
-def utf8(column) -> list[bytes | None]:
-    """An Arrow string column as bytes, without decoding."""
+def utf8(column) -> Iterator[bytes | None]:
+    """An Arrow string column as bytes without decoding, a slice at a time."""
     import pyarrow as pa
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    data = column.cast(kind)
+    for at in range(0, len(data), SLICE):
+        yield from data.slice(at, SLICE).to_pylist()
