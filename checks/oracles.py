@@ -573,6 +573,10 @@ FROM curve_models WHERE {ON_ROC} UNION ALL SELECT DISTINCT model, CAST('inf' AS
 FROM curve_models""", "curve_models")
     put("pr_points", f"""SELECT score AS threshold, round(cum_pos / CAST(cum_n AS DOUBLE), 9) AS precision,
   round({TPR}, 9) AS recall FROM curve_a UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE""", "curve_a")
+    put("pr_points_models", f"""SELECT model, score AS threshold, round(cum_pos / CAST(cum_n AS DOUBLE), 9) AS precision,
+  round({TPR}, 9) AS recall FROM curve_models UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE
+FROM curve_models""", "curve_models")
+    put("skipped_files", "SELECT DISTINCT event_type FROM events")
     put("evaluate_model", f"SELECT {_metric_columns()} FROM metrics_models WHERE model = 'a'", "metrics_models")
     put("model_summary", f"SELECT {_metric_columns()} FROM metrics_models", "metrics_models")
     put("loco_eval", f""", ctrl AS ({SAMPLE.format(src='fx_scores')}),

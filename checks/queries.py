@@ -161,6 +161,22 @@ def tolerant_scan(spark, sf):
     return trades.tolerant_scan(spark, path, wanted)
 
 
+@query
+def skipped_files(spark, sf):
+    """One unreadable file per kind of event among readable ones, and their report."""
+    path = new_path(spark, "mixed")
+    rows = fx.events(spark, sf)
+    rows.write.parquet(f"{path}/good")
+    kinds = rows.select(F.col("event_type").alias("kind"), F.lit("no parquet").alias("value")).distinct()
+    kinds.repartitionByRange("kind").write.partitionBy("kind").text(f"{path}/bad")
+    fs = spark._jvm.org.apache.hadoop.fs
+    for file in spark.read.format("binaryFile").load(f"{path}/bad").select("path", "kind").toLocalIterator():
+        old = fs.Path(file.path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, fs.Path(f"{path}/bad/{file.kind}.parquet"))
+    found = trades.skipped_files(spark, path, fx.EVENT_SCHEMA)
+    return found.select(F.regexp_extract("path", "([^/]+)[.]parquet$", 1).alias("event_type"))
+
+
 # Projection and predicates -------------------------------------------------------------------
 
 
@@ -625,6 +641,14 @@ def roc_points_models(spark, sf):
     return rounded(metrics.roc_points(curve, "score", ["model"]), {"fpr": 9, "tpr": 9})
 
 
+@query
+def pr_points_models(spark, sf):
+    scores = stage(fx.fx_scores(spark, sf), "scores")
+    curve = curves.score_curve(metrics.align_models({"a": (scores, "score_a"), "b": (scores, "score_b")}),
+                               "score", LABEL, ["model"])
+    return rounded(metrics.pr_points(curve, "score", ["model"]), {"precision": 9, "recall": 9})
+
+
 @query
 def evaluate_model(spark, sf):
     return _report_rows(metrics.evaluate_model(fx.fx_scores(spark, sf), "score_a", name="a"))

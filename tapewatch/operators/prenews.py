@@ -9,7 +9,6 @@ from tapewatch.constants import PREFIX_LENGTH
 from tapewatch.functions.timestamps import utc_date
 from tapewatch.operators.joins import prefix_join, survey
 
-PRUNED_MARKETS = 2_000
 WINDOW_24H = "window_start_24h"
 WINDOW_48H = "window_start_48h"
 
@@ -36,9 +35,9 @@ def prenews_trades(trades: DataFrame, index: DataFrame, window_col: str = WINDOW
         ends = [utc_date(F.lit(facts.first)), utc_date(F.lit(facts.last - 1))]
         spanned = spanned.where(F.col(date_col).between(*ends))
     if prefix_col is not None and facts.lengths == [PREFIX_LENGTH]:
-        listed = dim.select("market_id_prefix").distinct().limit(PRUNED_MARKETS + 1).collect()
-        if len(listed) <= PRUNED_MARKETS:
-            spanned = spanned.where(F.col(prefix_col).isin([r[0] for r in listed]))
+        # The filter makes the planner prune the partitions by this join, for any number of markets.
+        listed = dim.select(F.col("market_id_prefix").alias("_listed")).where(F.length("_listed") > 0).distinct()
+        spanned = spanned.join(listed, F.col(prefix_col) == F.col("_listed"), "left_semi")
     return _joined(spanned, dim, have, taken, facts)
 
 

@@ -12,6 +12,7 @@ from checks import fixtures as fx
 from tapewatch.operators.controls import (case_clusters, category_tags, control_candidates, control_trades, hand_out, on_days,
                                           tag_category, wanted_days)
 from tapewatch.operators.market_index import build_market_index, leaked_markets, market_metadata, resolve_ids
+from tapewatch.operators.prenews import prenews_trades
 from tapewatch.plans import pipeline
 from tapewatch.session import checkpoint_root, stage
 from tapewatch.sources import inventory, sinks, trades
@@ -287,8 +288,12 @@ def test_append_refuses_null_keys(spark, tmp_path):
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     inv = inventory.flatten_inventory(fx.fx_cases(spark, sf))
-    run = pipeline.run(fx.fx_trades(spark, sf), inv, fx.fx_resolved(spark, sf), fx.fx_resolutions(spark, sf), epochs=3,
-                       model_path=str(tmp_path / "models"))
+    run = pipeline.run(fx.fx_trades(spark, sf), inv, None, fx.fx_resolutions(spark, sf), epochs=3,
+                       model_path=str(tmp_path / "models"), market_path=str(tmp_path / "markets"))
+    market_table = spark.read.parquet(str(tmp_path / "markets"))
+    pruned = plan(prenews_trades(market_table, run.market_index.limit(3), prefix_col="market_id_prefix"))
+    assert "dynamicpruning" in pruned
+    assert run.cases.select("model").distinct().count() == run.case_means.count() == 3
     assert rows(run.summary, "model") == [("autoencoder",), ("ensemble",), ("isolation_forest",)]
     n = run.profiles.count()
     assert n == run.if_scores.count() == run.ae_scores.count() == run.ensemble.count() > 100
@@ -298,6 +303,7 @@ def test_pipeline(spark, tmp_path):
     pipeline.save(run, str(tmp_path / "out"))
     assert rows(pipeline.load_and_evaluate(spark, str(tmp_path / "out"))) == rows(run.summary)
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "resolutions")).count() == run.resolutions.count()
+    assert pipeline.load_and_report(spark, str(tmp_path / "out"), fx.fx_resolutions(spark, sf)).count() == run.resolutions.count()
     with pytest.raises(Exception, match="nothing/if_scores"):
         pipeline.load_and_evaluate(spark, str(tmp_path / "nothing"))
     with pytest.raises(Exception, match="empty"):
