@@ -54,10 +54,12 @@ MAIN = frozenset("article main".split())
 ANY = frozenset("html body div section center table tbody thead tfoot tr td th ul ol li dl dt dd".split())  # hold anything
 #: Words of classes and ids of parts that are not main text.
 NAMED = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments cookie cookies consent "
-    "copyright disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing "
-    "sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+    "ad ads alert banner complementary consent contentinfo copyright dialog disclaimer footer gdpr header hidden login masthead "
+    "menu menus modal nav notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
+    "reply replies respond search share sharing signup skip social toolbar topbar widget widgets".split())
+#: Beginnings of such words.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
+HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""",
@@ -159,6 +161,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush(here)
         names = frozenset(w.lower() for m in ATTRIBUTE.finditer(token[3]) for w in NAME.findall(m[2] or m[3] or m[4] or "")
                           ) if "=" in token[3] else frozenset()
+        if ("hidden" in token[3] or "none" in token[3]) and HIDDEN.search(token[3]):
+            names = names | {"hidden"}
         parent = nodes[here]
         nodes.append(Node(tag, here, names, parent.inside_main or parent.tag in MAIN))
         if tag not in VOID and not token[3].endswith("/>"):
@@ -171,7 +175,7 @@ def known_boiler(node: Node) -> bool:
     """Prior knowledge: tags and names that mark other parts of a page. A header within the article is its title."""
     if node.tag in BOILER and not (node.tag in ("header", "figcaption") and node.inside_main):
         return True
-    return node.tag not in ("html", "body", *MAIN) and not node.names.isdisjoint(NAMED)
+    return node.tag not in ("html", "body", *MAIN) and any(w in NAMED or w.startswith(STEMS) for w in node.names)
 
 
 def prior(node: Node) -> float:

@@ -56,6 +56,8 @@ def test_marginals_are_those_of_all_labelings(model, monkeypatch):
      "T\nBody text is here."),
     (page("T", ["Body text is here."], "<form><p>Your name</p><input></form><aside>Note</aside><script>if (a<b) x()</script>"),
      "T\nBody text is here."),
+    (page("T", ["Body text is here."], "<ol id=commentlist><li>So true, I say, so true.</li></ol><p hidden>No</p><p style='display: none'>No</p>"
+          "<p style='overflow:hidden'>Yes, this too.</p>"), "T\nBody text is here.\nYes, this too."),
     ("<article><h1>Open</h1><p><b>Bold<br><p>Next <i>one<p>Last", "Open\nBold\nNext one\nLast"),
     ("<article><ul><li>One<li>Two</ul><table><tr><td>A<td>B</table><p>An end", "One\nTwo\nA\nB\nAn end"),
     ("<article><p>Cut &am", "Cut &am"), ("<article><p>x <a href='a>b'>y</a> z</p><!-- <p>no</p> --></article>", "x y z"),
