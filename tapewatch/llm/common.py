@@ -21,6 +21,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of whole texts that go to Python at a time.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in small batches, unless the session names a smaller number itself.
+
+    Batches of the usual 10 000 rows take up to 64 MB each, several at a time in the executor and its workers. The
+    setting stays, as plans read it when they run.
+    """
+    if int(spark.conf.get(BATCH_SETTING, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     """Write `df` once with a distinct number per row.
 

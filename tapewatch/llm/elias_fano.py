@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import partitions, read_table
+from tapewatch.llm.common import partitions, read_table, text_batches
 from tapewatch.llm.tokens import shared_encoder, utf8
 from tapewatch.session import new_path
 
@@ -151,6 +151,7 @@ def _segments(vocabulary: str | None, end: int):
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
               vocabulary: str | None = None, end: int = END) -> None:
     """Encode all texts and write them to `path` in ascending order of `doc_id`."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = [F.asc("doc_id"), F.xxhash64("text")]  # the hash only spreads rows that share a document id
     ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")

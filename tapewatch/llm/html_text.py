@@ -30,7 +30,7 @@ from math import exp, log, log1p
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import read_table
+from tapewatch.llm.common import read_table, text_batches
 from tapewatch.session import stage
 
 #: Labelled pages in the training, at most.
@@ -324,6 +324,7 @@ def extract(pages: DataFrame, model: Potentials, html: str = "html") -> DataFram
                 [*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 [*rest, "text", "n_chars"])
 
+    text_batches(pages.sparkSession)
     schema = pages.select(*rest).schema
     for name, kind in (("text", "string"), ("n_chars", "long")):
         schema = schema.add(name, kind)

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import numbered, read_table, running
+from tapewatch.llm.common import numbered, read_table, running, text_batches
 from tapewatch.llm.tokens import shared_encoder, utf8
 
 CAPACITY = 2048
@@ -47,6 +47,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(pieces, PIECE)
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import numbered, partitions, read_table
+from tapewatch.llm.common import numbered, partitions, read_table, text_batches
 from tapewatch.llm.tokens import utf8
 from tapewatch.session import stage
 
@@ -208,6 +208,7 @@ def _decided(prints: DataFrame, distance: int, tree: int) -> DataFrame:
 
 
 def _prints(docs: DataFrame, payload: Sequence[Column], text: str, doc_id: str, shingle: int) -> DataFrame:
+    text_batches(docs.sparkSession)
     rows = docs.select(*payload, F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     return numbered(with_fingerprints(rows, "_text", shingle), "_rid")
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import read_table, running
+from tapewatch.llm.common import read_table, running, text_batches
 from tapewatch.llm.tokens import shared_encoder, utf8
 from tapewatch.session import stage
 
@@ -29,6 +29,7 @@ def document_lengths(docs: DataFrame, text: str = "text", vocabulary: str | None
             counts = [len(ids) // 4 for ids in encoder.each(utf8(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["length"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lengths, "length long")
 
 

@@ -28,14 +28,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import read_table
+from tapewatch.llm.common import read_table, text_batches
 from tapewatch.llm.tokens import utf8
 from tapewatch.session import stage
 
 #: Labelled documents per class in the fit, features besides group names, and their least significance.
 SAMPLE, FEATURES, SIGNIFICANT = 15_000, 2_000, 2.0
 #: Features that a task counts before it hands on the counts.
-HELD = 200_000
+HELD = 100_000
 #: Bytes of a word's beginning that are features, in ascending order.
 BEGINNINGS = (4, 5, 6, 7, 8)
 RIDGE, FAIR, STEPS = 1e-5, 1.0, 400
@@ -224,6 +224,7 @@ def fit_weights(y: np.ndarray, lists: Sequence[Sequence[int]], swaps: Sequence[t
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE,
         fair: float = FAIR) -> Model:
     """Fit on the labelled documents outside the held-out fold. `labels` has the document id and `toxic` 0/1."""
+    text_batches(docs.sparkSession)
     rows, share = _sample(docs, labels, doc_id, text, limit)
     n_rows = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n_rows[0] or not n_rows[1]:
@@ -245,6 +246,7 @@ def with_scores(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = pa.array([model.score(t) for t in utf8(batch.column(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, "score"])
 
+    text_batches(rows.sparkSession)
     return rows.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(
         score, rows.select(*rest).schema.add("score", "double"))
 
