@@ -36,12 +36,12 @@ def ingest(trades: DataFrame, path: str, ids: DataFrame | None = None, prefixes:
     split over as many tasks and files as their rows need.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (dealt_by_market(stage(batch, "batch"), "market_id_prefix", rows_per_task).write.mode("overwrite")
+        kept = market_filter(batch, ids, prefixes).withColumn("market_id_prefix", market_prefix(F.col("condition_id")))
+        (dealt_by_market(stage(kept, "batch"), "market_id_prefix", rows_per_task).write.mode("overwrite")
          .option("partitionOverwriteMode", "static").partitionBy("market_id_prefix").parquet(f"{path}/{BATCH}={batch_id}"))
 
-    kept = market_filter(trades, ids, prefixes)
     return (
-        kept.withColumn("market_id_prefix", market_prefix(F.col("condition_id"))).writeStream.foreachBatch(write)
+        trades.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{path.rstrip('/')}/_checkpoint").trigger(availableNow=True).start()
     )
 
