@@ -100,11 +100,11 @@ def hand_out(offers: DataFrame) -> DataFrame:
     pair, refused = ["cluster_no", "market_id_prefix"], None
     while True:
         left = offers if refused is None else offers.join(refused, pair, "left_anti")
-        asked = stage(_first_offers(left), "asked")
-        holders = asked.groupBy("market_id_prefix").agg(F.min("cluster_no").alias("_holder"))
-        losers = stage(asked.join(holders, "market_id_prefix").where("cluster_no > _holder").select(*pair), "refused")
+        holder = F.min("cluster_no").over(Window.partitionBy("market_id_prefix"))  # a row per cluster at most
+        asked = stage(_first_offers(left).withColumn("_holder", holder), "asked")
+        losers = asked.where("cluster_no > _holder").select(*pair)
         if losers.isEmpty():
-            return asked
+            return asked.drop("_holder")
         refused = losers if refused is None else refused.union(losers)
 
 
