@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import numbered, read_table, running, text_batches
-from tapewatch.llm.tokens import shared_encoder, utf8
+from tapewatch.llm.tokens import LIMIT, shared_encoder, utf8
 
 CAPACITY = 2048
 END = 0
@@ -29,12 +29,12 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                 end: int = END, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece of at most `capacity` tokens of each document."""
+                 end: int = END, vocabulary: str | None = None, cached: int = LIMIT) -> DataFrame:
+    """One row per piece of at most `capacity` tokens of each document; `cached` words are kept per worker."""
     def pieces(batches):
         import pyarrow as pa
 
-        encoder, stop, step = shared_encoder(vocabulary), struct.pack("<I", end), 4 * capacity
+        encoder, stop, step = shared_encoder(vocabulary, cached), struct.pack("<I", end), 4 * capacity
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:

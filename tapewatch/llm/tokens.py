@@ -16,7 +16,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker, about 170 bytes each.
-LIMIT = 500_000
+LIMIT = 1_200_000
 #: Texts are looked up together up to so many bytes, new words encoded together up to so many words.
 GROUP_BYTES, GROUP_WORDS = 4 << 20, 20_000
 #: Rows of an Arrow column that become Python objects at a time.
@@ -118,9 +118,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str | None = None) -> WordEncoder:
+def shared_encoder(path: str | None = None, limit: int = LIMIT) -> WordEncoder:
     """One encoder per Python worker: its cache serves all tasks that the worker runs."""
-    return WordEncoder(path)
+    return WordEncoder(path, limit)
 
 
 def utf8(column) -> Iterator[bytes | None]:
