@@ -21,6 +21,8 @@ from tapewatch.llm.toxicity import drop_toxic
 from tapewatch.session import drop_tables, recorded, stage, use_local_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Words that a worker keeps for packing; less than alone, as workers also serve the other stages.
+CACHED_WORDS = 500_000
 #: Tables staged by the stage called last.
 _left: list[str] = []
 
@@ -63,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_clean
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(token_pieces(docs))
+    return pack(token_pieces(docs, cached=CACHED_WORDS))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing),
