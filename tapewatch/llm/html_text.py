@@ -7,9 +7,12 @@ text of nodes that are more likely content than not is returned.
 
 Potentials are trained: counts on pages labelled by their own markup (what one `article` or `main` element holds
 is content), on at most `SAMPLE` pages with the least hash of their id. Counts of a small sample of layouts
-say nothing about markup it doesn't hold, so well-known tags and names of menus, notices, adverts, comments and
-the like enter as prior evidence (`BOILER`, `NAMED`) that no number of children outweighs: many comments stay
-comments.
+say nothing about markup it doesn't hold, so well-known tags of menus, notes and the like enter as prior evidence
+(`BOILER`), and names of notices, adverts, comments and so on as bounded evidence (`NAMED`) for an element and each
+one inside it, so that many comments stay comments. Names say nothing where they are no names of a part: ids of
+headings, names of what a page has or hasn't (`ABOUT`), and names of an element that holds most of the page's text
+(and its title, if it isn't named by a layout). A form that holds most of the text is the page; captions and headers
+with a heading count as other parts only outside of an `article` or `main` element that the page has.
 
 Pages are parsed and solved one by one in the tasks, whole. Defined results: null and empty pages, and pages
 without content, give an empty text. Broken markup is repaired as browsers do in simple cases: paragraphs, list
@@ -35,9 +38,9 @@ from tapewatch.session import stage
 
 #: Labelled pages in the training, at most.
 SAMPLE = 2_000
-#: Nats of evidence: for what is known not to be content, for marked content and the page itself, and the most that a
-#: trained feature has, as the sample holds few layouts.
-KNOWN, MARKED, LIMIT = 1e6, 1e5, 2.0
+#: Nats of evidence: for what is known not to be content, for marked content and the page itself, the most that a
+#: trained feature has, as the sample holds few layouts, and against each element in a part named as another one.
+KNOWN, MARKED, LIMIT, OTHER = 1e6, 1e5, 2.0, 5.0
 #: Pseudo-counts of the trained tables, and that of content in other parts.
 PSEUDO, NEVER = 5.0, 1e-40
 # Elements of HTML by role.
@@ -49,8 +52,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
           "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "body": {"head"}}
 SCOPE = frozenset("html body table ul ol dl td th article section main div nav aside header footer form".split())
 KEEPS_P = frozenset("li dt dd option tr td th".split())  # inside a paragraph only in broken markup
-BOILER = frozenset("head nav aside footer form header button fieldset menu dialog figcaption input label".split())
+BOILER = frozenset("head nav aside footer button menu dialog input label".split())
+WRAPS = frozenset("form fieldset".split())  # other parts, unless they hold most of the text
+TITLES = frozenset("header figcaption".split())  # other parts outside the main element, if there is one
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ANY = frozenset("html body div section center table tbody thead tfoot tr td th ul ol li dl dt dd".split())  # hold anything
 #: Words of classes and ids of parts that are not main text.
 NAMED = frozenset(
@@ -59,6 +65,11 @@ NAMED = frozenset(
     "reply replies respond search share sharing signup skip social toolbar topbar widget widgets".split())
 #: Beginnings of such words.
 STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
+#: Of these, those that also name layouts; the others name a page only if its title is in it, as comments can be most of it.
+LAYOUT = frozenset("banner footer header masthead menu menus nav search toolbar topbar widget widgets".split())
+LAYOUT_STEMS = ("breadcrumb", "navbar", "navigation", "sidebar")
+#: Beginnings of names that tell what a page or post has, hasn't or is about.
+ABOUT = re.compile(r"(?:has|no|with|without|overflow|tag|category)(?=[-_A-Z])")
 HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -71,8 +82,10 @@ END_OF = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 class Node:
     tag: str
     parent: int
-    names: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()  # words of its names that mark other parts
     inside_main: bool = False
+    boiler: bool = False  # known not to be content, by more than its tag
+    other: bool = False  # named as another part than the main text, or inside of such or known boiler
     chars: int = 0
     linked: int = 0
     text: list[str] = field(default_factory=list)
@@ -159,28 +172,56 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         here = owner()
         flush(here)
-        names = frozenset(w.lower() for m in ATTRIBUTE.finditer(token[3]) for w in NAME.findall(m[2] or m[3] or m[4] or "")
-                          ) if "=" in token[3] else frozenset()
-        if ("hidden" in token[3] or "none" in token[3]) and HIDDEN.search(token[3]):
-            names = names | {"hidden"}
-        parent = nodes[here]
-        nodes.append(Node(tag, here, names, parent.inside_main or parent.tag in MAIN))
+        names = part_names(tag, token[3]) if "=" in token[3] else frozenset()
+        hidden = ("hidden" in token[3] or "none" in token[3]) and HIDDEN.search(token[3]) is not None
+        nodes.append(Node(tag, here, names, boiler=hidden))
         if tag not in VOID and not token[3].endswith("/>"):
             open_.append((tag, len(nodes) - 1))
     flush(owner())
+    find_parts(nodes)
     return nodes, blocks
 
 
+def part_names(tag: str, attributes: str) -> frozenset[str]:
+    """The words of an element's class, id and role that mark other parts. Ids of headings are made of their text."""
+    if tag in ("html", "body", *MAIN):
+        return frozenset()
+    words = [w.lower() for m in ATTRIBUTE.finditer(attributes) if tag not in HEADINGS or m[1].lower() != "id"
+             for name in (m[2] or m[3] or m[4] or "").split() if not ABOUT.match(name) for w in NAME.findall(name)]
+    return frozenset(w for w in words if w in NAMED or w.startswith(STEMS))
+
+
+def find_parts(nodes: list[Node]) -> None:
+    """Set what a node is by those around it: inside the main element, inside other parts, holder of most of the text."""
+    held = [0 if known_boiler(n) else n.chars - n.linked for n in nodes]  # text without links, of other parts no text
+    heading = [int(n.tag[1]) if n.tag in HEADINGS else 7 for n in nodes]  # the highest one held
+    for i in range(len(nodes) - 1, 0, -1):
+        if not known_boiler(nodes[i]):
+            held[nodes[i].parent] += held[i]
+            heading[nodes[i].parent] = min(heading[nodes[i].parent], heading[i])
+    for i, node in enumerate(nodes[1:], 1):
+        up = nodes[node.parent]
+        most = 2 * held[i] > held[0]
+        named = node.names and not (most and (heading[i] == 1 or all(w in LAYOUT or w.startswith(LAYOUT_STEMS) for w in node.names)))
+        node.boiler |= node.tag in WRAPS and not most
+        node.inside_main = up.inside_main or up.tag in MAIN
+        node.other = bool(up.other or named or known_boiler(node))
+    marked = any(n.tag in MAIN for n in nodes)
+    for i, node in enumerate(nodes):
+        if node.tag in TITLES and not node.inside_main:
+            node.boiler |= marked or (node.tag == "header" and heading[i] > 6)
+
+
 def known_boiler(node: Node) -> bool:
-    """Prior knowledge: tags and names that mark other parts of a page. A header within the article is its title."""
-    if node.tag in BOILER and not (node.tag in ("header", "figcaption") and node.inside_main):
-        return True
-    return node.tag not in ("html", "body", *MAIN) and any(w in NAMED or w.startswith(STEMS) for w in node.names)
+    """Prior knowledge: tags that mark other parts of a page."""
+    return node.boiler or node.tag in BOILER
 
 
 def prior(node: Node) -> float:
     """Nats of evidence for content that are known beforehand."""
-    return -KNOWN if known_boiler(node) else MARKED if node.tag in MAIN or node.parent < 0 else 0.0
+    if known_boiler(node):
+        return -KNOWN
+    return MARKED if node.tag in MAIN or node.parent < 0 else -OTHER * node.other
 
 
 def node_features(node: Node) -> list[str]:
@@ -197,6 +238,11 @@ def parent_kind(node: Node) -> str:
     return "main" if node.tag in MAIN or node.inside_main else "part"
 
 
+def pair_kind(parent: Node, child: Node) -> str:
+    """The kind of the parent; that an element is within the main one says little if it is named as another part."""
+    return "other" if child.other and not parent.other else parent_kind(parent)
+
+
 def label(nodes: list[Node]) -> list[int] | None:
     """Content (1) or not by the page's own markup, if it marks one main element; holders of content are content."""
     marked = [i for i, n in enumerate(nodes) if n.tag in MAIN and not n.inside_main]
@@ -204,7 +250,7 @@ def label(nodes: list[Node]) -> list[int] | None:
         return None
     y = [0] * len(nodes)
     for i, n in enumerate(nodes):
-        y[i] = int((i == marked[0] or (n.inside_main and y[n.parent])) and not known_boiler(n))
+        y[i] = int((i == marked[0] or (n.inside_main and y[n.parent])) and not (n.other or known_boiler(n)))
     up = nodes[marked[0]].parent
     while up >= 0:
         y[up] = 1
@@ -214,7 +260,7 @@ def label(nodes: list[Node]) -> list[int] | None:
 
 @dataclass
 class Potentials:
-    """Log evidence per feature for content against not, and log P(child | parent) per kind of parent."""
+    """Log evidence per feature for content against not, and log P(child | parent) per kind of parent (and of a part in it)."""
 
     evidence: dict[str, float]
     pair: dict[str, tuple[tuple[float, float], tuple[float, float]]]
@@ -227,11 +273,12 @@ class Potentials:
             no, yes = (counts.get(f"{y} {name}", 0) + PSEUDO for y in (0, 1))
             evidence[name] = max(-LIMIT, min(LIMIT, log(yes / total[1]) - log(no / total[0])))
         pair = {}
-        for kind in ("page", "main", "part"):
+        for kind in ("page", "main", "part", "other"):
             table = []
             for p in (0, 1):
                 # A part of something that isn't content is no content.
-                a, b = (PSEUDO, NEVER) if not p else {"page": (PSEUDO, PSEUDO), "part": (1.0, 9.0), "main": (1e-2, PSEUDO)}[kind]
+                a, b = (PSEUDO, NEVER) if not p else {"page": (PSEUDO, PSEUDO), "other": (PSEUDO, PSEUDO), "part": (1.0, 9.0),
+                                                         "main": (1e-2, PSEUDO)}[kind]
                 no, yes = counts.get(f"> {kind} {p}0", 0) + a, counts.get(f"> {kind} {p}1", 0) + b
                 table.append((log(no / (no + yes)), log(yes / (no + yes))))
             pair[kind] = (table[0], table[1])
@@ -248,7 +295,7 @@ def count_page(html: str) -> Counter:
     for i, node in enumerate(nodes):
         found.update(f"{y[i]} {name}" for name in ["nodes", *node_features(node)])
         if node.parent >= 0:
-            found[f"> {parent_kind(nodes[node.parent])} {y[node.parent]}{y[i]}"] += 1
+            found[f"> {pair_kind(nodes[node.parent], node)} {y[node.parent]}{y[i]}"] += 1
     return found
 
 
@@ -262,7 +309,7 @@ def marginals(nodes: list[Node], model: Potentials) -> list[float]:
     local = [[0.0, 0.0] for _ in range(n)]
     for i, node in enumerate(nodes):
         local[i][1] = prior(node) + sum(model.evidence.get(f, 0.0) for f in node_features(node))
-    pairs = [model.pair[parent_kind(nodes[node.parent])] if node.parent >= 0 else None for node in nodes]
+    pairs = [model.pair[pair_kind(nodes[node.parent], node)] if node.parent >= 0 else None for node in nodes]
     below = [x[:] for x in local]  # local evidence and messages from the children
     up = [(0.0, 0.0)] * n
     for i in range(n - 1, 0, -1):  # children come after their parents

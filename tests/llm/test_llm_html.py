@@ -99,3 +99,37 @@ def test_query_over_pages(spark, tmp_path):
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert h.extract(empty, h.train(empty)).count() == 0
+
+
+STORY = "A paragraph of the story, which is long enough to be one and goes on for a while."
+
+
+@pytest.mark.parametrize("name", ["related-work", "search", "response", "notice-of-changes", "header-files", "social-history"])
+def test_generated_ids_of_headings(model, name):
+    html = page("T", [STORY], f"<h2 id='{name}'>A heading</h2><p>{STORY}</p>")
+    assert h.main_text(html, model) == f"T\n{STORY}\nA heading\n{STORY}"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-sidebar", "has-header", "hasSidebar", "sidebar-layout",
+                                  "overflow-hidden"])
+def test_names_of_layouts(model, name):
+    html = (f"<body><div class='{name}'><div class=menu><a href=x>Menu</a></div><div class=story><h1>Head</h1><p>{STORY}</p>"
+            f"<p>{STORY}</p></div><div id=sidebar><p>{STORY}</p></div></div></body>")
+    assert h.main_text(html, model) == f"Head\n{STORY}\n{STORY}"
+
+
+def test_titles_captions_and_forms_without_main_element(model):
+    caption = "<figure><img src=x><figcaption>A caption of it</figcaption></figure>"
+    for html in (f"<body><div class=story><header><h1>Head</h1></header><p>{STORY}</p>{caption}</div><footer>End</footer></body>",
+                 f"<body><header>Site</header><form id=page><nav><a href=x>Home</a></nav><div><h1>Head</h1><p>{STORY}</p>{caption}"
+                 "</div><form><p>Your name</p></form><div class=footer>End</div></form></body>"):
+        assert h.main_text(html, model) == f"Head\n{STORY}\nA caption of it"
+
+
+@pytest.mark.parametrize("count", [1, 40])
+def test_named_parts_stay_out(model, count):
+    """However much they hold, beside the story and in it."""
+    part = f"<div class=comments><h2>Comments</h2>{f'<div><p>{STORY * 3}</p></div>' * count}</div>"
+    assert h.main_text(page("T", ["Body text is here."], part), model) == "T\nBody text is here."
+    assert h.main_text(f"<body><div><h1>T</h1><p>{STORY}</p></div>{part}</body>", model) == f"T\n{STORY}"
+    assert h.main_text(page("T", []).replace("Buy this now.", STORY * count), model) == "T"
