@@ -184,7 +184,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def part_names(tag: str, attributes: str) -> frozenset[str]:
     """The words of an element's class, id and role that mark other parts. Ids of headings are made of their text."""
-    if tag in ("html", "body", *MAIN):
+    if tag in ("html", "body"):
         return frozenset()
     words = [w.lower() for m in ATTRIBUTE.finditer(attributes) if tag not in HEADINGS or m[1].lower() != "id"
              for name in (m[2] or m[3] or m[4] or "").split() if not ABOUT.match(name) for w in NAME.findall(name)]
@@ -204,9 +204,9 @@ def find_parts(nodes: list[Node]) -> None:
         most = 2 * held[i] > held[0]
         named = node.names and not (most and (heading[i] == 1 or all(w in LAYOUT or w.startswith(LAYOUT_STEMS) for w in node.names)))
         node.boiler |= node.tag in WRAPS and not most
-        node.inside_main = up.inside_main or up.tag in MAIN
+        node.inside_main = up.inside_main or (up.tag in MAIN and not up.other)
         node.other = bool(up.other or named or known_boiler(node))
-    marked = any(n.tag in MAIN for n in nodes)
+    marked = any(n.tag in MAIN and not n.other for n in nodes)
     for i, node in enumerate(nodes):
         if node.tag in TITLES and not node.inside_main:
             node.boiler |= marked or (node.tag == "header" and heading[i] > 6)
@@ -221,7 +221,7 @@ def prior(node: Node) -> float:
     """Nats of evidence for content that are known beforehand."""
     if known_boiler(node):
         return -KNOWN
-    return MARKED if node.tag in MAIN or node.parent < 0 else -OTHER * node.other
+    return -OTHER if node.other else MARKED if node.tag in MAIN or node.parent < 0 else 0.0
 
 
 def node_features(node: Node) -> list[str]:
@@ -245,7 +245,7 @@ def pair_kind(parent: Node, child: Node) -> str:
 
 def label(nodes: list[Node]) -> list[int] | None:
     """Content (1) or not by the page's own markup, if it marks one main element; holders of content are content."""
-    marked = [i for i, n in enumerate(nodes) if n.tag in MAIN and not n.inside_main]
+    marked = [i for i, n in enumerate(nodes) if n.tag in MAIN and not n.inside_main and not n.other]
     if len(marked) != 1:
         return None
     y = [0] * len(nodes)

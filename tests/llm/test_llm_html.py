@@ -133,3 +133,22 @@ def test_named_parts_stay_out(model, count):
     assert h.main_text(page("T", ["Body text is here."], part), model) == "T\nBody text is here."
     assert h.main_text(f"<body><div><h1>T</h1><p>{STORY}</p></div>{part}</body>", model) == f"T\n{STORY}"
     assert h.main_text(page("T", []).replace("Buy this now.", STORY * count), model) == "T"
+
+
+@pytest.mark.parametrize("part", [
+    "<section class=comments>{}</section>", "<div id=related>{}</div>", "<aside>{}</aside>", "<footer><div>{}</div></footer>", "{}"])
+@pytest.mark.parametrize("count", [1, 40])
+def test_articles_of_other_parts(model, part, count):
+    """Comments and teasers that are articles: nested, beside the story, with and without a name of their own."""
+    for name in ["", " class='comment even'"] if part != "{}" else [" class='comment even'"]:
+        items = part.format(f"<article{name}><header>Ann</header><h3>Answer</h3><p>{STORY}</p></article>" * count)
+        assert h.main_text(page("T", ["Body text is here."], items), model) == "T\nBody text is here."
+        beside = page("T", ["Body text is here."]).replace("<footer>", f"{items}<footer>")
+        assert h.main_text(beside, model) == "T\nBody text is here."
+        assert h.count_page(beside)["1 tag article"] == 1
+        assert h.main_text(f"<main><h1>T</h1><p>{STORY}</p>{items}</main>", model) == f"T\n{STORY}"
+
+
+def test_names_of_the_article_itself(model):
+    html = page("T", [STORY]).replace("<article>", "<article class='post has-comments tag-advertising category-social'>")
+    assert h.main_text(html, model) == f"T\n{STORY}"
