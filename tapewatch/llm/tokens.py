@@ -8,6 +8,7 @@ doesn't hold it. `LIMIT` bounds the memory of the cache, not what is encoded.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -23,6 +24,17 @@ GROUP_BYTES, GROUP_WORDS = 4 << 20, 20_000
 SLICE = 128
 #: A character that is a token of its own between spaces; it tells words apart that are encoded together.
 MARK = "\x01"
+#: A-Z with combining marks, one of them (U+0300 to U+036F) such that the small letter may have a composed form.
+DECOMPOSED = re.compile(rb"[A-Z][\x80-\xff]*[\xcc\xcd]")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z as a-z where the ids are the same."""
+    if b"<|" in text:
+        return text.split()
+    if (b"\xcc" in text or b"\xcd" in text) and DECOMPOSED.search(text):
+        return [word if DECOMPOSED.search(word) else word.lower() for word in text.split()]
+    return text.lower().split()
 
 
 def vocabulary_path() -> str:
@@ -49,7 +61,8 @@ class WordEncoder:
 
     Holds for tokenizers that cut at white space and drop it. Only white space of `[\\x20\\x09-\\x0D]` cuts
     here; other white space stays inside a "word" and is left to the tokenizer. A-Z become a-z first, as the
-    vocabulary's normaliser does anyway, except in texts that may hold the string of a special token.
+    vocabulary's normaliser does anyway, except in texts that may hold the string of a special token, and in words
+    where it matters that the normaliser composes letters and marks first.
     """
 
     def __init__(self, path: str | None = None, limit: int = LIMIT):
@@ -105,7 +118,7 @@ class WordEncoder:
         size, get = 0, self.cache.__getitem__
         for text in texts:
             text = text or b""
-            group.append(list(map(get, (text if b"<|" in text else text.lower()).split())))
+            group.append(list(map(get, words_of(text))))
             size += len(text)
             if size >= GROUP_BYTES:
                 self._fill()

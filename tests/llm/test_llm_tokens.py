@@ -33,6 +33,18 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(tokenizer, text), repr(text)
 
 
+def test_capitals_with_marks_that_only_small_letters_compose_with(tokenizer, monkeypatch):
+    """Also with marks of other scripts in between, which don't keep the letter from composing."""
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 100)
+    encoder = tokens.WordEncoder(limit=50)
+    random.seed(6)
+    pairs = ["H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a"]
+    pieces = [*pairs, *(p[0] + m + p[1] for p in pairs for m in "\u05b0\u0323"), *"HTJWYhtjwy\u0331\u0308\u030c\u030a\u0344\u05b0é", *"  ,."]
+    texts = pairs + [p.lower() for p in pairs] + ["".join(random.choices(pieces, k=random.randint(1, 30))) for _ in range(3000)]
+    for text, got in zip(texts, encoder.each(t.encode() for t in texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids_of(tokenizer, text), ascii(text)
+
+
 def test_histogram_answers_for_every_limit(spark, odd_docs, tokenizer):
     sizes = [len(ids_of(tokenizer, r.text)) for r in odd_docs.collect()]
     histogram = token_counts.length_histogram(token_counts.document_lengths(odd_docs))
