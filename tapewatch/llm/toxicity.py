@@ -12,7 +12,8 @@ text. Scoring covers every whole text, with the weights (bounded by
 `FEATURES`) sent along with the tasks. Labels, language, source and ids are no inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of the intercept. A document id that is
-repeated in the labels counts as toxic if any of its rows says so; rows without id or label are not used.
+repeated in the labels counts as toxic if any of its rows says so; rows without id or label are not used. Of a
+labelled document id that is repeated the text of the least hash takes part in the fit (null only if all are).
 Without any labelled row, or with one class only, every score is the share of toxic labels (0 without any).
 Null ids are not held out. Repeated documents are scored each; an empty table gives no rows.
 """
@@ -113,11 +114,14 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: i
     for toxic in (0, 1):
         part = one.where(F.col("toxic") == toxic).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         picked = part if picked is None else picked.union(part)
-    # At most 2 x limit ids: bounded by a parameter.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(
+    # At most 2 x limit ids: bounded by a parameter, and one text for each. Repeats meet after partial minima.
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(stage(picked, "picked")), "_id")
+    rows = found.groupBy("_id", "toxic").agg(
+        F.min(F.struct(F.isnull("text").alias("none"), F.xxhash64("text").alias("hash"), "text")).alias("_least")
+    ).select("_least.text", "toxic")
     total = sum(counts.values()) or 1
-    return (stage(rows.select("text", "toxic"), "labelled"),
+    return (stage(rows, "labelled"),
             {toxic: counts.get(toxic, 0) / total for toxic in (0, 1)})
 
 

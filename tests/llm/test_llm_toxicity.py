@@ -89,6 +89,23 @@ def test_swaps_come_from_labelled_sentences(spark, make_docs):
     assert all(names[a[0]] == b"muslims" and names[b[0]] in toxicity.KIND[b"muslims"] for a, b in swaps)
 
 
+def test_repeated_ids_take_part_once(spark, make_docs, fitted):
+    """A third of all rows under one labelled id, with several texts, and null ones."""
+    rows, labels = corpus(300)
+    hot = next(i for i, _, toxic in labels if toxic and zlib.crc32(str(i).encode()) % 3 != 1)
+    more = [(hot, None)] * 3 + [(hot, f"again {k % 7}") for k in range(150)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got, share = toxicity._sample(make_docs(rows + more), table, "doc_id", "text", 1000)
+    got = got.collect()
+    used = [r for r in labels if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(got) == len(used) and sum(r.toxic for r in got) == sum(r[2] for r in used)
+    assert share[1] == sum(r[2] for r in used) / len(used)
+    texts = {t for i, t in rows + more if i == hot and t}
+    assert sum(r.text in texts for r in got) == 1 and all(r.text is not None for r in got)
+    reversed_ = toxicity._sample(make_docs((rows + more)[::-1]), table, "doc_id", "text", 1000)[0].collect()
+    assert sorted(got) == sorted(reversed_)
+
+
 def test_odd_documents(spark, odd_docs, fitted):
     model = fitted[2]
     scored = toxicity.with_scores(odd_docs.select("doc_id", "text"), model).collect()
