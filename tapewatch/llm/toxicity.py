@@ -6,7 +6,8 @@ difference that the swap makes to the score is penalised. So a score can't lean
 neutral mentions are not taken for toxic ones.
 
 The fit uses at most `SAMPLE` labelled documents per class (those with the least hash of their id), weighted
-back to the true share of their class; features are the `FEATURES` that are most significantly more frequent in
+back to the true share of their class. Swaps that change the same features are one pair with their number as its
+weight; the `PAIRS` most frequent pairs take part (ties: least hash), all if there are no more. Features are the `FEATURES` that are most significantly more frequent in
 toxic ones, and all group names. Weights are not negative: harmless words can't make up for toxic ones in a long
 text. Scoring covers every whole text, with the weights (bounded by
 `FEATURES`) sent along with the tasks. Labels, language, source and ids are no inputs of a score.
@@ -35,6 +36,8 @@ from tapewatch.session import stage
 
 #: Labelled documents per class in the fit, features besides group names, and their least significance.
 SAMPLE, FEATURES, SIGNIFICANT = 15_000, 2_000, 2.0
+#: Distinct pairs of what a swap adds and removes in the fit, at most; the driver holds them.
+PAIRS = 50_000
 #: Features that a task counts before it hands on the counts.
 HELD = 100_000
 #: Bytes of a word's beginning that are features, in ascending order.
@@ -153,8 +156,8 @@ def _choose(rows: DataFrame, n_rows: dict[int, int], limit: int) -> list[bytes]:
     return [bytes(r["name"]) for r in best.collect()]
 
 
-def _examples(rows: DataFrame, names: list[bytes]) -> tuple[list, list, list]:
-    """Per labelled document its class and features; per swapped sentence what the swap adds and removes."""
+def _examples(rows: DataFrame, names: list[bytes], limit: int = PAIRS) -> tuple[list, list, Counter]:
+    """Per labelled document its class and features; how many swaps of sentences add and remove which features."""
     index = {name: i for i, name in enumerate(names)}
     stems = stems_of(names)
 
@@ -183,11 +186,12 @@ def _examples(rows: DataFrame, names: list[bytes]) -> tuple[list, list, list]:
                 ["kind", "plus", "minus"])
 
     table = rows.mapInArrow(encode, "kind int, plus array<int>, minus array<int>")
-    pairs = table.where("kind = 2").distinct().orderBy(F.xxhash64("plus", "minus")).limit(SAMPLE)
+    pairs = table.where("kind = 2").groupBy("plus", "minus").agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), F.xxhash64("plus", "minus"), "plus", "minus").limit(limit)
     got = table.where("kind < 2").toArrow()
     swaps = pairs.toArrow()
-    return got.column("kind").to_pylist(), got.column("plus").to_pylist(), list(
-        zip(swaps.column("plus").to_pylist(), swaps.column("minus").to_pylist()))
+    return got.column("kind").to_pylist(), got.column("plus").to_pylist(), Counter(
+        {(tuple(a), tuple(b)): n for a, b, n in zip(*(swaps.column(c).to_pylist() for c in ("plus", "minus", "n")))})
 
 
 def _sparse(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +200,17 @@ def _sparse(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_weights(y: np.ndarray, lists: Sequence[Sequence[int]], swaps: Sequence[tuple], n: int, share: dict[int, float],
-                ridge: float = RIDGE, fair: float = FAIR, steps: int = STEPS) -> tuple[np.ndarray, float]:
+                ridge: float = RIDGE, fair: float = FAIR, steps: int = STEPS, times: Sequence[int] | None = None) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all examples at once, with a ridge and the counterfactual penalty.
 
+    A pair of `swaps` counts as often in the penalty as `times` says, once without it.
     After each step weights below zero are set to zero and the intercept to `FLOOR` at least.
     """
     at, col = _sparse(lists)
     weight = np.where(y == 1, share[1] / max(y.mean(), 1e-12), share[0] / max(1 - y.mean(), 1e-12)) / len(y)
     pa_, pc = _sparse([a for a, _ in swaps])
     ma, mc = _sparse([b for _, b in swaps])
+    often = np.ones(len(swaps)) if times is None else np.array(times, float)
     w = np.zeros(n + 1)
     w[n] = np.log(share[1] / share[0])
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -216,7 +222,7 @@ def fit_weights(y: np.ndarray, lists: Sequence[Sequence[int]], swaps: Sequence[t
         g[:n] += ridge * w[:n]
         if swaps:
             change = np.bincount(pa_, w[pc], len(swaps)) - np.bincount(ma, w[mc], len(swaps))
-            change *= 2 * fair / len(swaps)
+            change *= 2 * fair * often / often.sum()
             g += np.bincount(pc, change[pa_], n + 1) - np.bincount(mc, change[ma], n + 1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-10)
@@ -235,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model({}, 500.0 if n_rows[1] else -500.0)
     names = sorted({*_choose(rows, n_rows, FEATURES), *KIND})
     y, lists, swaps = _examples(rows, names)
-    weights, intercept = fit_weights(np.array(y, float), lists, swaps, len(names), share, fair=fair)
+    weights, intercept = fit_weights(np.array(y, float), lists, list(swaps), len(names), share, fair=fair,
+                                     times=list(swaps.values()))
     return Model({n: float(w) for n, w in zip(names, weights) if w}, intercept)
 
 

@@ -89,6 +89,27 @@ def test_swaps_come_from_labelled_sentences(spark, make_docs):
     assert all(names[a[0]] == b"muslims" and names[b[0]] in toxicity.KIND[b"muslims"] for a, b in swaps)
 
 
+def test_swaps_count_as_often_as_they_occur(spark, make_docs):
+    docs = make_docs([(k, "Some Muslims went. The end") for k in range(5)] + [(9, "The elderly. The old")]).withColumn("toxic", F.lit(0))
+    names = sorted(toxicity.KIND)
+    _, _, swaps = toxicity._examples(docs.select("text", "toxic"), names)
+    by = {name: [n for (a, _), n in swaps.items() if names[a[0]] == name] for name in (b"muslims", b"elderly", b"old")}
+    assert by == {b"muslims": [5] * len(toxicity.KIND[b"muslims"]), b"elderly": [1] * 3, b"old": [1] * 3}
+    assert sum(swaps.values()) == 5 * len(by[b"muslims"]) + 6
+    few = toxicity._examples(docs.select("text", "toxic"), names, limit=len(by[b"muslims"]))[2]
+    assert few == {pair: 5 for pair in few} and len(few) == len(by[b"muslims"])  # the frequent ones
+
+
+def test_a_weighted_pair_is_a_repeated_one():
+    rng = random.Random(2)
+    lists = [sorted(rng.sample(range(5), rng.randint(0, 3))) for _ in range(200)]
+    y, share = np.array([float(0 in x) for x in lists]), {0: 0.5, 1: 0.5}
+    pairs, times = [([0], [1]), ([1], [2]), ([3], [0])], [7, 1, 2]
+    weighted, base = toxicity.fit_weights(y, lists, pairs, 5, share, fair=0.1, times=times)
+    repeated, same = toxicity.fit_weights(y, lists, [p for p, n in zip(pairs, times) for _ in range(n)], 5, share, fair=0.1)
+    assert np.allclose(weighted, repeated, atol=1e-6) and np.isclose(base, same, atol=1e-6)
+
+
 def test_repeated_ids_take_part_once(spark, make_docs, fitted):
     """A third of all rows under one labelled id, with several texts, and null ones."""
     rows, labels = corpus(300)
