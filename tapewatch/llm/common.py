@@ -36,6 +36,12 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
+def usable(vector: str) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     """Write `df` once with a distinct number per row.
 

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapewatch.llm.elias_fano import op10_elias_fano
 from tapewatch.llm.exact_dedup import op1_radix_dedup
+from tapewatch.llm.hnsw import op13_hnsw
 from tapewatch.llm.html_text import op3_dom_messages
 from tapewatch.llm.mixing import op2_weighted_mix
 from tapewatch.llm.packing import op4_min_bin_slack
+from tapewatch.llm.periodic_runs import op11_recompression_runs
 from tapewatch.llm.sharding import op5_hilbert_sharding
 from tapewatch.llm.simhash import op8_simhash_bktree
 from tapewatch.llm.token_counts import op6_token_counts
 from tapewatch.llm.topk import op7_pivot_distance
 from tapewatch.llm.toxicity import op9_fair_toxicity
+from tapewatch.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_radix_dedup": op1_radix_dedup,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_fair_toxicity": op9_fair_toxicity,
     "op10_elias_fano": op10_elias_fano,
+    "op11_recompression_runs": op11_recompression_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hnsw": op13_hnsw,
 }
 
 ORACLES: dict[str, str] = {

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import numbered, read_table
+from tapewatch.llm.common import numbered, read_table, usable
 from tapewatch.session import stage
 
 K, SCALE, EVERY = 10, 1024, 100
@@ -35,11 +35,6 @@ BLOCK, GROUP = 1024, 1024
 FIRST = 8
 
 
-def _usable(vector: str) -> Column:
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
-
-
 def _quantise(scale: int):
     def run(batches):
         import pyarrow as pa
@@ -250,7 +245,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
           scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products for each row that satisfies `is_query`."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(vec_id).isNotNull() & _usable(vector)).select(
+    rows = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(
         F.col(vec_id).cast("long").alias("vec_id"), vector)
     table = numbered(rows.mapInArrow(_quantise(scale), "vec_id long, v binary, norm double, size int"))
     most, dim = table.agg(F.max("norm"), F.max("size")).first()
