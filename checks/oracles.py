@@ -65,6 +65,41 @@ def _layers_sql() -> str:
     return source
 
 
+#: Training rows of the fixed network, and those held back for validation.
+HELD_BACK = "CAST('0x' || substr(md5(concat('42-', taker)), 1, 7) AS BIGINT) < CAST(floor(0.2::DOUBLE * 268435456) AS BIGINT)"
+
+
+def _step_sql() -> str:
+    """Gradient of the fixed network by the chain rule, mean over the training rows, and one Adam step from it."""
+    widths = [2, *FIXED_LAYERS, 2]
+    last = len(widths) - 2
+    sizes = [a * b + b for a, b in zip(widths, widths[1:])]
+    start = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    w = [f"({(k * 7919 % 101 - 50)} / 250.0::DOUBLE)" for k in range(start[-1])]
+    source = f"""SELECT score_a / 10 AS h0_0, score_b / 10 AS h0_1 FROM fx_scores
+WHERE is_leaked_market = 0 AND NOT {HELD_BACK}"""
+    active = [i not in (len(FIXED_LAYERS) // 2, last) for i in range(last + 1)]
+    for i, (a, b) in enumerate(zip(widths, widths[1:])):
+        sums = [" + ".join([w[start[i] + a * b + j], *[f"h{i}_{n} * {w[start[i] + n * b + j]}" for n in range(a)]]) for j in range(b)]
+        cols = ", ".join(f"{f'greatest({t}, 0.0::DOUBLE)' if active[i] else t} AS h{i + 1}_{j}" for j, t in enumerate(sums))
+        source = f"SELECT *, {cols} FROM ({source}) f{i}"
+    grads = []
+    for i in reversed(range(last + 1)):
+        a, b = widths[i], widths[i + 1]
+        if i == last:
+            back = [f"h{i + 1}_{j} - h0_{j}" for j in range(b)]
+        else:
+            back = [" + ".join(f"d{i + 1}_{n} * {w[start[i + 1] + j * widths[i + 2] + n]}" for n in range(widths[i + 2])) for j in range(b)]
+        cols = ", ".join(f"{f'CASE WHEN h{i + 1}_{j} > 0 THEN {t} ELSE 0.0 END' if active[i] else t} AS d{i}_{j}" for j, t in enumerate(back))
+        source = f"SELECT *, {cols} FROM ({source}) b{i}"
+        grads = [f"avg(h{i}_{n} * d{i}_{j})" for n in range(a) for j in range(b)] + [f"avg(d{i}_{j})" for j in range(b)] + grads
+    values = ", ".join(f"{g} + 1e-5::DOUBLE * {k}" for g, k in zip(grads, w))
+    return f"""SELECT tasks, CAST(position AS INT) AS position, round(g, 9) AS gradient,
+  CASE WHEN tasks = 1 THEN round(w - 0.01::DOUBLE * g / (abs(g) + 1e-8::DOUBLE), 9) END AS weight
+FROM (SELECT unnest(range({len(w)})) AS position, unnest([{values}]) AS g, unnest([{", ".join(w)}]) AS w FROM ({source}) s) z,
+  (VALUES (1), (4)) t(tasks)"""
+
+
 def feature_list(prefix: str = "") -> str:
     return ", ".join(
         f"round({prefix}{f}, {ROUNDED[f]}) AS {f}" if f in ROUNDED else f"{prefix}{f}" for f in PROFILE_FEATURES)
@@ -616,6 +651,10 @@ FROM both_rows CROSS JOIN (VALUES ('once'), ('each')) t(turns)""", "fx_scores")
         f"FROM ({_layers_sql()}) z", "fx_scores")
     put("iforest_shape", """SELECT CAST(300 AS BIGINT) AS trees, least(n, 256) AS least_rows, least(n, 256) AS most_rows,
   CAST(0 AS BIGINT) AS broken FROM (SELECT count(*) AS n FROM profiles WHERE is_leaked_market = 0) z""", "profiles")
+    put("autoencoder_step_fixed", _step_sql(), "fx_scores")
+    put("autoencoder_history_fixed", f"""SELECT CAST(unnest([1, 2, 3]) AS INT) AS epoch, round(avg(e), 9) AS val_loss, 0.0::DOUBLE AS learning_rate
+FROM (SELECT l.taker, ((x0 - h0) * (x0 - h0) + (x1 - h1) * (x1 - h1)) / 2 AS e
+  FROM ({_layers_sql()}) l JOIN fx_scores s ON l.taker = s.taker WHERE is_leaked_market = 0) z WHERE {HELD_BACK}""", "fx_scores")
     put("autoencoder_shape", "SELECT CAST(6618 AS BIGINT) AS weights, CAST(6617 AS INTEGER) AS last, CAST(0 AS BIGINT) AS undefined "
         "FROM (SELECT count(*) AS n FROM events) z")
 
@@ -624,4 +663,15 @@ FROM both_rows CROSS JOIN (VALUES ('once'), ('each')) t(turns)""", "fx_scores")
   substr(lower(condition_id), 1, 10) AS market_id_prefix FROM fx_trades t
 WHERE EXISTS (SELECT 1 FROM fx_inventory i WHERE lower(t.condition_id) LIKE lower(i.market_id_prefix) || '%')""",
         "fx_trades", "fx_inventory")
+    hours = """SELECT substr(lower(condition_id), 1, 10) AS market_id_prefix, block_timestamp // 3600 * 3600 AS window_start,
+  block_timestamp // 3600 * 3600 + 3600 AS window_end, count(*) AS trades,
+  round(sum(coalesce(usdc_amount, 0)), 6) AS volume, max(coalesce(usdc_amount, 0)) AS largest FROM {} GROUP BY 1, 2, 3"""
+    put("market_volume", hours.format("fx_trades"), "fx_trades")
+    # The second batch meets the watermark of the first; the last watermark closes the hours that come out.
+    put("stream_market_volume", f""", arrivals AS (
+  SELECT *, trade_date < DATE '2024-01-20' AND trade_id % 7 <> 0 AS early FROM fx_trades),
+kept AS (SELECT * FROM arrivals WHERE early
+  OR block_timestamp // 3600 * 3600 + 3600 > (SELECT max(block_timestamp) - 3600 FROM arrivals WHERE early))
+SELECT * FROM ({hours.format("kept")}) z WHERE window_end <= (SELECT max(block_timestamp) - 3600 FROM arrivals)""",
+        "fx_trades")
     return sql

@@ -20,7 +20,7 @@ from tapewatch.operators import metrics, prenews, profiles, quality, resolutions
 from tapewatch.session import new_path, stage
 from tapewatch.sources import inventory as inv
 from tapewatch.sources import sinks, trades
-from tapewatch.streaming import ingest
+from tapewatch.streaming import ingest, volume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -564,14 +564,44 @@ def iforest_shape(spark, sf):
     return roots.withColumn("broken", broken.scalar())
 
 
+def _fixed_network(spark, sf):
+    """Two inputs from the scores, and weights by a rule."""
+    weights = np.array([(k * 7919 % 101 - 50) / 250 for k in range(autoencoder.Network(2, FIXED_LAYERS).size)])
+    scores = stage(fx.fx_scores(spark, sf), "scores")
+    return scores.select("taker", LABEL, (F.col("score_a") / 10).alias("x0"), (F.col("score_b") / 10).alias("x1")), weights
+
+
 @query
 def autoencoder_error_fixed(spark, sf):
-    weights = np.array([(k * 7919 % 101 - 50) / 250 for k in range(autoencoder.Network(2, FIXED_LAYERS).size)])
-    scaled = stage(fx.fx_scores(spark, sf), "scores").select("taker", (F.col("score_a") / 10).alias("x0"), (F.col("score_b") / 10).alias("x1"))
+    scaled, weights = _fixed_network(spark, sf)
     errors = autoencoder.reconstruction_error(scaled, weights, ["x0", "x1"], hidden=FIXED_LAYERS)
     return rounded(errors.select("taker", "anomaly_score_ae"), {"anomaly_score_ae": 9})
 
 
+@query
+def autoencoder_step_fixed(spark, sf):
+    """The gradient over all training rows, by one task and as the mean of four, and the weights one step further."""
+    scaled, weights = _fixed_network(spark, sf)
+    rows = []
+    for tasks in (1, 4):
+        model = autoencoder.fit_autoencoder(scaled, ["x0", "x1"], epochs=1, tasks=tasks, step_rows=1 << 30, rate=0.01,
+                                            dropout=0.0, hidden=FIXED_LAYERS, initial=weights)
+        gradient = model.last.m / (1 - autoencoder.ADAM_BETAS[0])
+        rows += [(tasks, i, float(g), float(w) if tasks == 1 else None)
+                 for i, (g, w) in enumerate(zip(gradient, model.weights))]
+    found = spark.createDataFrame(rows, "tasks int, position int, gradient double, weight double")
+    return rounded(found, {"gradient": 9, "weight": 9})
+
+
+@query
+def autoencoder_history_fixed(spark, sf):
+    """With a learning rate of zero the loss of every epoch is that of the given weights."""
+    scaled, weights = _fixed_network(spark, sf)
+    model = autoencoder.fit_autoencoder(scaled, ["x0", "x1"], epochs=3, local_epochs=1, rate=0.0, hidden=FIXED_LAYERS,
+                                        initial=weights)
+    return rounded(model.history_frame(spark), {"val_loss": 9})
+
+
 @query
 def autoencoder_shape(spark, sf):
     weights = _autoencoder(spark, sf).weights_frame(spark)
@@ -694,3 +724,23 @@ def stream_ingest(spark, sf):
             "trade_id", "condition_id", "taker", "usdc_amount", "block_timestamp")
         ingest.ingest(rows, path, prefixes=prefixes).awaitTermination()
     return ingest.read_ingested(spark, path)
+
+
+@query
+def market_volume(spark, sf):
+    return rounded(volume.market_volume(fx.fx_trades(spark, sf)), {"volume": 6})
+
+
+@query
+def stream_market_volume(spark, sf):
+    """The trades up to a day come first but for every seventh, then those left out and the days after.
+
+    What comes too late for its hour is dropped, and the last hours stay open.
+    """
+    folder, path = new_path(spark, "arrivals"), new_path(spark, "volume")
+    early = (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_id") % 7 != 0)
+    for part in (fx.events(spark, sf).where(early), fx.events(spark, sf).where(~early)):
+        part.write.mode("append").parquet(folder)
+        rows = fx.trades_of(ingest.stream_trades(spark, folder, fx.EVENT_SCHEMA))
+        volume.stream_volume(rows, path).awaitTermination()
+    return rounded(volume.read_volume(spark, path), {"volume": 6})

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,12 @@ PLATEAU_THRESHOLD = 1e-4
 ADAM_BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
-# Tasks and epochs per round. The result depends on both, so they are parameters and never follow the table's size.
+# Tasks and epochs per round. The result depends on both, so they are parameters and never follow the table's size:
+# a larger table may be given more tasks.
 TASKS = 4
 LOCAL_EPOCHS = 5
-# Rows a task holds, shuffles and passes over at a time.
-CHUNK_ROWS = 200_000
+# Rows that the validation loss is summed over at a time.
+LOSS_ROWS = 4096
 MERGED_STATES = 32
 
 # Workers get the functions of this module with the task, so the package need not be installed there.
@@ -75,8 +77,9 @@ class Network:
                 x = np.maximum(x, 0.0)
         return x
 
-    def gradient(self, w: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def gradient(self, w: np.ndarray, x: np.ndarray, rng: np.random.Generator, dropout: float | None = None) -> np.ndarray:
         """Gradient of the mean squared reconstruction error, with dropout in the encoder."""
+        dropout = DROPOUT if dropout is None else dropout
         layers, inputs, masks, h = self.layers(w), [], [], x
         for i, (m, b) in enumerate(layers):
             inputs.append(h)
@@ -84,8 +87,8 @@ class Network:
             mask = np.ones_like(h)
             if self._active(i):
                 mask = (h > 0).astype(float)
-                if i < DROPOUT_LAYERS:
-                    mask *= (rng.random(h.shape) >= DROPOUT) / (1.0 - DROPOUT)
+                if i < DROPOUT_LAYERS and dropout:
+                    mask *= (rng.random(h.shape) >= dropout) / (1.0 - dropout)
                 h = h * mask
             masks.append(mask)
         delta = 2.0 * (h - x) / x.size
@@ -124,6 +127,7 @@ class Model:
     history: list[float] = field(default_factory=list)
     rates: list[float] = field(default_factory=list)
     epochs: list[int] = field(default_factory=list)
+    last: State | None = None
 
     def weights_frame(self, spark: SparkSession) -> DataFrame:
         """(position, weight): 6 618 rows for ten features."""
@@ -149,12 +153,21 @@ def load_weights(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def _training_table(scaled: DataFrame, features: list[str], tasks: int) -> DataFrame:
-    """Control rows dealt out over the tasks by hash, in a fixed order.
+    """Control rows dealt out over the tasks by hash. The executors keep them; those of a lost one are made again from files."""
+    split = stage(split_controls(scaled).select("taker", "is_validation", *features), "training")
+    return split.repartition(tasks, F.xxhash64("taker")).persist()
+
 
-    The executors keep them; those of a lost one are made again from files.
+def _passes(table: DataFrame, first: int, count: int, seed: int) -> DataFrame:
+    """A task's training rows once per epoch, each time in another order, and its validation rows once.
+
+    The order comes from a hash, so it is the same however many rows are sent to Python at a time; sorting spills, so that a
+    task needs no memory for its rows.
     """
-    split = stage(split_controls(scaled).select("taker", "is_validation", *features), "training")
-    return split.repartition(tasks, F.xxhash64("taker")).sortWithinPartitions("taker").drop("taker").persist()
+    epochs = F.sequence(F.lit(first), F.lit(first + max(count, 1) - 1))
+    rows = table.withColumn("epoch", F.explode(F.when(F.col("is_validation"), F.array(F.lit(first))).otherwise(epochs)))
+    return rows.where("is_validation" if not count else "true").sortWithinPartitions(
+        "epoch", F.xxhash64("taker", "epoch", F.lit(seed)), "taker").drop("taker")
 
 
 STATE_SCHEMA = "task int, train_rows long, val_rows long, val_sum double, step double, state binary"
@@ -171,62 +184,88 @@ def merge_states(rows: pd.DataFrame) -> pd.DataFrame:
         "step": [float((share * rows["step"]).sum())], "state": [state.tobytes()]})
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
+class _Portions:
+    """Rows that come in pieces of any size, handed on so many at a time."""
+
+    def __init__(self, rows: int):
+        self.rows, self.rest = rows, None
+
+    def add(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        x = x if self.rest is None else np.concatenate([self.rest, x])
+        whole = len(x) // self.rows * self.rows
+        self.rest = x[whole:]
+        for at in range(0, whole, self.rows):
+            yield x[at:at + self.rows]
+
+    def end(self) -> Iterator[np.ndarray]:
+        if self.rest is not None and len(self.rest):
+            yield self.rest
+        self.rest = None
+
+
+def _portions(batches: Iterator[pa.RecordBatch], features: list[str], rows: int) -> Iterator[tuple[bool, np.ndarray]]:
+    """(is_validation, rows) in order: training rows as mini-batches, of which none holds rows of two epochs."""
+    train, held, epoch = _Portions(rows), _Portions(LOSS_ROWS), None
     for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= CHUNK_ROWS:
-            yield pd.concat(held)
-            held = []
-    if held:
-        yield pd.concat(held)
+        x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
+        checks = batch.column("is_validation").to_numpy(zero_copy_only=False)
+        epochs = batch.column("epoch").to_numpy(zero_copy_only=False)
+        for e in np.unique(epochs):
+            if e != epoch:
+                yield from ((False, p) for p in train.end())
+                epoch = e
+            yield from ((True, p) for p in held.add(x[checks & (epochs == e)]))
+            yield from ((False, p) for p in train.add(x[~checks & (epochs == e)]))
+    yield from ((False, p) for p in train.end())
+    yield from ((True, p) for p in held.end())
 
 
 def fit_autoencoder(scaled: DataFrame, features: list[str] = MODEL_FEATURES, epochs: int = EPOCHS,
-                    seed: int = SEED, tasks: int = TASKS, local_epochs: int = LOCAL_EPOCHS) -> Model:
+                    seed: int = SEED, tasks: int = TASKS, local_epochs: int = LOCAL_EPOCHS, step_rows: int | None = None,
+                    rate: float | None = None, dropout: float | None = None, hidden: list[int] = HIDDEN,
+                    initial: np.ndarray | None = None) -> Model:
     """Train on the control wallets of a scaled table; weights with the lowest validation loss win.
 
-    One Spark job per round: every task measures the validation loss of the weights it was given, takes
-    Adam steps over its shuffled training rows for `local_epochs` epochs, and returns its state. States are averaged
-    by row count: first in groups on the cluster, so that at most 32 of them (about 160 kB each) reach the
+    One Spark job per round: every task measures the validation loss of the weights it was given, takes Adam steps of
+    `step_rows` rows over its rows for `local_epochs` epochs, each in another order, and returns its state. States are
+    averaged by row count: first in groups on the cluster, so that at most 32 of them (about 160 kB each) reach the
     driver. The loss of a round is thus known one job later, which is when the learning rate and the early
-    stop, both counted in epochs, react.
+    stop, both counted in epochs, react. An epoch passes over all training rows once, at any size of the table, and a
+    task's memory does not grow with its rows. `initial` gives the weights to start from.
     """
     table = _training_table(scaled, features, tasks)
+    # Averaging smooths as a large batch does: with a quarter of its share of a batch, a task loses nothing by it.
+    step = step_rows or max(16, BATCH_ROWS // (4 * tasks))
+    net = Network(len(features), hidden)
+    start = net.initial(seed) if initial is None else np.asarray(initial, float)
     try:
-        return _fit(table, features, epochs, seed, tasks, local_epochs)
+        return _fit(table, features, net, start, epochs, seed, tasks, local_epochs, step,
+                    LEARNING_RATE if rate is None else rate, DROPOUT if dropout is None else dropout)
     finally:
         table.unpersist()
 
 
-def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: int, local_epochs: int) -> Model:
-    net = Network(len(features))
-    # Averaging smooths as a large batch does: with a quarter of its share of a batch, a task loses nothing by it.
-    step = max(16, BATCH_ROWS // (4 * tasks))
-
+def _fit(table: DataFrame, features: list[str], net: Network, start: np.ndarray, epochs: int, seed: int, tasks: int,
+         local_epochs: int, step: int, rate: float, dropout: float) -> Model:
     def run_round(state: State, rate: float, first: int, count: int) -> pd.Series:
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = State(state.w, state.m, state.v, state.step)
             task = TaskContext.get().partitionId()
             rng = np.random.default_rng([seed, first, task])
             train_rows, val_rows, val_sum = 0, 0, 0.0
-            for chunk in _chunks(batches):
-                x = chunk[features].to_numpy(dtype=float)
-                held = chunk["is_validation"].to_numpy(dtype=bool)
-                if held.any():
-                    val_sum += float(((x[held] - net.forward(state.w, x[held])) ** 2).mean(axis=1).sum())
-                    val_rows += int(held.sum())
-                x = x[~held]
-                train_rows += len(x)
-                for _ in range(count):
-                    x = rng.permutation(x)
-                    for at in range(0, len(x), step):
-                        mine.update(net.gradient(mine.w, x[at:at + step], rng), rate)
+            for is_validation, x in _portions(batches, features, step):
+                if is_validation:
+                    val_sum += float(((x - net.forward(state.w, x)) ** 2).mean(axis=1).sum())
+                    val_rows += len(x)
+                else:
+                    mine.update(net.gradient(mine.w, x, rng, dropout), rate)
+                    train_rows += len(x)
             packed = np.concatenate([mine.w, mine.m, mine.v])
-            yield pd.DataFrame({"task": [task], "train_rows": [train_rows], "val_rows": [val_rows],
-                                "val_sum": [val_sum], "step": [mine.step], "state": [packed.tobytes()]})
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                "task": np.array([task], np.int32), "train_rows": [train_rows // max(count, 1)], "val_rows": [val_rows],
+                "val_sum": [val_sum], "step": [float(mine.step)], "state": [packed.tobytes()]}), preserve_index=False)
 
-        states = table.mapInPandas(work, STATE_SCHEMA)
+        states = _passes(table, first, count, seed).mapInArrow(work, STATE_SCHEMA)
         if tasks > MERGED_STATES:
             group = F.pmod("task", F.lit(MERGED_STATES))
             states = states.groupBy(group).applyInPandas(lambda rows: merge_states(rows.sort_values("task")), STATE_SCHEMA)
@@ -236,14 +275,14 @@ def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: i
         return merge_states(found.sort_values("task")).iloc[0]
 
     zeros = np.zeros(net.size)
-    state = State(net.initial(seed), zeros, zeros)
+    state = State(start, zeros, zeros)
     model = Model(features, state.w)
-    rate, best, since_best, since_gain, gain_mark = LEARNING_RATE, np.inf, 0, 0, np.inf
+    best, since_best, since_gain, gain_mark = np.inf, 0, 0, np.inf
     done, taken = 0, 0
     while True:
         count = min(local_epochs, epochs - done)
         result = run_round(state, rate, done, count)
-        if result.train_rows == 0:
+        if count and result.train_rows == 0:
             raise ValueError("no training rows")
         if done:
             loss = float(result.val_sum / result.val_rows) if result.val_rows else 0.0
@@ -266,7 +305,7 @@ def _fit(table: DataFrame, features: list[str], epochs: int, seed: int, tasks: i
             break
         done, taken = done + count, count
         w, m, v = np.split(np.frombuffer(result.state), 3)
-        state = State(w, m, v, float(result.step))
+        model.last = state = State(w, m, v, float(result.step))
     return model
 
 

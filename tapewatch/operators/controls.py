@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.constants import CATEGORY_TAGS, CONTROL_MULTIPLIER, DEFAULT_TAGS, PREFIX_LENGTH
@@ -15,8 +20,10 @@ from tapewatch.operators.joins import lookup_join
 from tapewatch.operators.market_index import least_values
 from tapewatch.session import stage
 
-#: Groups in which the offers of one cluster are ranked before the best of all groups are.
-RANK_GROUPS = 64
+#: Markets that the clusters of a component choose together in a round, and tasks that join the conflicts of all others.
+TOGETHER, FORESTS = 2_000, 8
+
+register_pickle_by_value(sys.modules[__name__])
 
 
 def category_tags(category: Column) -> Column:
@@ -78,34 +85,140 @@ def wanted_days(clusters: DataFrame, days_ago: list[int]) -> list[dt.date]:
     return [r.day for r in days.where("day is not null").distinct().collect()]
 
 
-def _first_offers(offers: DataFrame) -> DataFrame:
-    """The first `n_needed` offers of each cluster, ranked within groups first so that none is large."""
-    order = [F.col("days_ago"), F.col("condition_id")]
-    group = F.pmod(F.xxhash64("condition_id"), F.lit(RANK_GROUPS))
-    part = F.row_number().over(Window.partitionBy("cluster_no", group).orderBy(*order))
-    some = offers.withColumn("place", part).where("place <= n_needed")
-    whole = F.row_number().over(Window.partitionBy("cluster_no").orderBy(*order))
-    return some.withColumn("place", whole).where("place <= n_needed").drop("place")
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to the pairs of a spanning forest: one fewer than there are clusters, at most."""
+    up: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            _unite(up, a, b)
+    pairs = [(a, _root(up, a)) for a in up]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int32()) for i in (0, 1)], ["a", "b"])
+
+
+def _root(up: dict[int, int], x: int) -> int:
+    while (above := up.setdefault(x, x)) != x:
+        up[x] = x = up[above]
+    return x
+
+
+def _unite(up: dict[int, int], a: int, b: int) -> None:
+    a, b = _root(up, a), _root(up, b)
+    up[max(a, b)] = min(a, b)
+
+
+def conflicts(offers: DataFrame) -> dict[int, int]:
+    """The component of each cluster that shares an offered market with others, by its lowest cluster number.
+
+    Each task reduces the clusters of its markets to a spanning forest; `FORESTS` tasks reduce these once more.
+    """
+    first = offers.groupBy("market_id_prefix").agg(F.min("cluster_no").alias("a")).withColumnRenamed("market_id_prefix", "_m")
+    pairs = offers.join(first, F.col("market_id_prefix") == F.col("_m")).where("cluster_no > a").select(
+        "a", F.col("cluster_no").alias("b"))
+    trees = pairs.mapInArrow(_forest, "a int, b int").distinct().repartition(FORESTS).mapInArrow(_forest, "a int, b int")
+    up: dict[int, int] = {}
+    for a, b in trees.collect():
+        _unite(up, a, b)
+    return {c: _root(up, c) for c in list(up)}
+
+
+@dataclass
+class Turn:
+    """A cluster's place in the order of choosing: its round, whom it shares markets with, and how far it may look."""
+
+    cluster_no: int
+    round: int
+    component: int
+    reach: int
+    alone: bool = True
 
 
-def hand_out(offers: DataFrame) -> DataFrame:
+def turns(asked: list[tuple[int, int]], component: dict[int, int], most: int) -> list[Turn]:
+    """Rounds of clusters (number, markets it can get), given in order.
+
+    In a component, clusters go together up to `most` markets in all. What a cluster takes is among its first offers:
+    as many as it wants, and those that the clusters before it in the round may have taken.
+    """
+    out: list[Turn] = []
+    last: dict[int, tuple[Turn, int]] = {}
+    for number, wanted in asked:
+        own = component.get(number, number)
+        before, sum_ = last.get(own, (None, 0))
+        if before is None or sum_ + wanted > most:
+            turn, sum_ = Turn(number, before.round + 1 if before else 0, own, wanted), 0
+        else:
+            turn = Turn(number, before.round, own, sum_ + wanted, alone=False)
+            before.alone = False
+        out.append(turn)
+        last[own] = (turn, sum_ + wanted)
+    return out
+
+
+def _in_turn(table: pa.Table) -> pa.Table:
+    """The offers that are taken when the clusters of a component choose one after the other."""
+    table = table.sort_by([("cluster_no", "ascending"), ("place", "ascending")])
+    taken: set[str] = set()
+    got: dict[int, int] = {}
+    kept = []
+    for i, (cluster, needed, market) in enumerate(zip(*(
+            table.column(c).to_pylist() for c in ("cluster_no", "n_needed", "market_id_prefix")))):
+        if got.get(cluster, 0) < needed and market not in taken:
+            taken.add(market)
+            got[cluster] = got.get(cluster, 0) + 1
+            kept.append(i)
+    return table.take(pa.array(kept, pa.int64()))
+
+
+def _first_offers(offers: DataFrame, reach: DataFrame) -> DataFrame:
+    """Each cluster's first `reach` offers with their `place`, by running counts over ordered parts of all offers.
+
+    No task holds a whole cluster: a part ends where the range does, and later parts start from the counts before.
+    """
+    ahead = ["days_ago", "condition_id", "market_id_prefix"]
+    rest = [c for c in offers.columns if c not in ("cluster_no", *ahead)]
+    lines = offers.select("cluster_no", F.struct(*ahead, *rest).alias("offer"), F.lit(1).alias("one"))
+    parts = split_by_range(lines, "offer", ["cluster_no"], descending=False)
+    placed = accumulate(parts, "offer", ["one"], ["cluster_no"], descending=False)
+    near = placed.join(reach, "cluster_no").where(F.col("cum_one") <= F.col("reach"))
+    return near.select("cluster_no", "offer.*", F.col("cum_one").alias("place"), "component", "alone")
+
+
+def hand_out(offers: DataFrame, most: int = TOGETHER) -> DataFrame:
     """Each cluster's first `n_needed` offers that no earlier cluster has taken.
 
-    In rounds: every cluster asks for the first markets that it wasn't refused; a market stays with the lowest
-    cluster number that asks, the others are refused; it ends when nobody is. As all markets prefer clusters
-    alike, this gives what clusters get that choose one after the other. A round works on the offers asked for
-    and the refusals, of which there are at most `n_needed` per cluster and round.
+    Clusters that share markets, directly or through others, form a component; components choose side by side. Within one,
+    clusters go together as long as they want at most `most` markets in all, so there are about as many rounds as the
+    largest component wants markets, by `most`. In a round a cluster can only get offers among its first ones (see
+    `turns`); these few are chosen from in turn by one task per component, at most `most` for each of at most `most`
+    clusters. A cluster that goes alone takes its first offers without any task seeing them all.
     """
+    spark = offers.sparkSession
     offers = stage(offers, "offers")
-    pair, refused = ["cluster_no", "market_id_prefix"], None
-    while True:
-        left = offers if refused is None else offers.join(refused, pair, "left_anti")
-        holder = F.min("cluster_no").over(Window.partitionBy("market_id_prefix"))  # a row per cluster at most
-        asked = stage(_first_offers(left).withColumn("_holder", holder), "asked")
-        losers = asked.where("cluster_no > _holder").select(*pair)
-        if losers.isEmpty():
-            return asked.drop("_holder")
-        refused = losers if refused is None else refused.union(losers)
+    # A row per cluster, that is per category and day.
+    asked = sorted((r.cluster_no, r.wanted) for r in offers.groupBy("cluster_no").agg(
+        F.least(F.max("n_needed").cast("long"), F.count("*")).alias("wanted")).collect())
+    small = sum(wanted for _, wanted in asked) <= most
+    order = turns(asked, dict.fromkeys((c for c, _ in asked), 0) if small else conflicts(offers), most)
+    schema = offers.withColumn("place", F.lit(1).cast("long")).schema
+    taken = None
+    for number in range(max((t.round for t in order), default=0) + 1):
+        now = [t for t in order if t.round == number]
+        reach = F.broadcast(spark.createDataFrame(  # a row per cluster
+            [(t.cluster_no, t.component, t.reach, t.alone) for t in now],
+            "cluster_no int, component int, reach long, alone boolean"))
+        left = offers if len(now) == len(order) else offers.join(reach.select("cluster_no"), "cluster_no", "left_semi")
+        if taken is not None:
+            left = left.join(taken.select("market_id_prefix"), "market_id_prefix", "left_anti").select(*offers.columns)
+        near = _first_offers(left, reach).select(*schema.names, "component", "alone")
+        if any(not t.alone for t in now):
+            near = stage(near, "near")
+            in_turn = near.where("not alone").drop("alone").groupBy("component").applyInArrow(
+                lambda table: _in_turn(table.drop(["component"])), schema)
+            got = near.where("alone").select(*schema.names).unionByName(in_turn)
+        else:
+            got = near.select(*schema.names)
+        got = stage(got, "taken")
+        taken = got if taken is None else taken.unionByName(got)
+    return taken.drop("place")
 
 
 def control_candidates(trades: DataFrame, clusters: DataFrame, leaked_prefixes: DataFrame) -> DataFrame:

@@ -141,6 +141,32 @@ def test_autoencoder_in_several_tasks(spark, scaled, monkeypatch):
     assert np.allclose(merged.weights, model.weights)
 
 
+@pytest.mark.parametrize("batch", [7, 200_000])
+def test_epochs_mean_the_same_however_rows_arrive(spark, scaled, batch):
+    """Weights don't depend on how many rows go to Python at a time, and each epoch passes over all rows once."""
+    want = autoencoder.fit_autoencoder(scaled, epochs=6, local_epochs=3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = autoencoder.fit_autoencoder(scaled, epochs=6, local_epochs=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert (got.weights == want.weights).all() and got.history == want.history
+
+
+def test_mini_batches_stay_within_an_epoch():
+    import pyarrow as pa
+    x = np.arange(23.0)
+    epoch, check = np.repeat([0, 1], [13, 10]).astype(np.int32), np.arange(23) % 6 == 5
+    for size in (1, 4, 23):
+        batches = [pa.RecordBatch.from_arrays([pa.array(v[i:i + size]) for v in (x, check, epoch)],
+                                              ["x", "is_validation", "epoch"]) for i in range(0, 23, size)]
+        got = list(autoencoder._portions(iter(batches), ["x"], 4))
+        assert [p[:, 0].tolist() for held, p in got if not held] == [
+            [0, 1, 2, 3], [4, 6, 7, 8], [9, 10, 12], [13, 14, 15, 16], [18, 19, 20, 21], [22]]
+        assert [p[:, 0].tolist() for held, p in got if held] == [[5, 11, 17]]
+
+
 def test_saved_models_score_alike(spark, tmp_path):
     profiles = wallets(spark, controls=300, leaked=20, outliers=2)
     path = str(tmp_path / "forest")
