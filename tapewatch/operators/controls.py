@@ -48,12 +48,12 @@ def case_clusters(inventory: DataFrame) -> DataFrame:
         "category", utc_date(F.col("news_timestamp")).alias("cluster_date")).agg(
         F.count("*").alias("n_markets"), F.min(place).alias("place"),
         F.min_by("news_timestamp", place).alias("cluster_news"))
-    # Numbered by a running count over ordered parts.
-    parts = split_by_range(clusters.withColumn("n", F.lit(1)), "place", [], descending=False)
-    numbers = stage(accumulate(parts, "place", ["n"], [], descending=False).select("place", "cum_n"), "numbers")
-    return clusters.join(numbers, "place").select(
-        F.col("cum_n").cast("int").alias("cluster_no"), "category", "cluster_date", "n_markets",
-        (F.col("n_markets") * CONTROL_MULTIPLIER).alias("n_needed"), "cluster_news")
+    # Numbered by a running count over ordered parts; the place comes first, so it decides the order.
+    line = F.struct("place", "category", "cluster_date", "n_markets", "cluster_news")
+    parts = split_by_range(clusters.select(line.alias("cluster"), F.lit(1).alias("n")), "cluster", [], descending=False)
+    return accumulate(parts, "cluster", ["n"], [], descending=False).select(
+        F.col("cum_n").cast("int").alias("cluster_no"), "cluster.category", "cluster.cluster_date", "cluster.n_markets",
+        (F.col("cluster.n_markets") * CONTROL_MULTIPLIER).alias("n_needed"), "cluster.cluster_news")
 
 
 def on_days(trades: DataFrame, days: list[dt.date]) -> DataFrame:
