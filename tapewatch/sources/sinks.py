@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewatch.functions.ids import market_prefix
-from tapewatch.operators.joins import row_hash
 from tapewatch.session import stage
-
-ROWS_PER_TASK = 2_000_000
+from tapewatch.sources.ledger import (MARKET, ROWS_PER_TASK, Ledger, commit, files_with, read_batches, read_ledger, united,
+                                      write_batch)
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
@@ -44,23 +45,15 @@ def write_prefixes(prefixes: DataFrame, resolved: DataFrame, path: str) -> None:
     prefix_document(prefixes, resolved).write.mode("overwrite").json(path)
 
 
-def dealt_by_market(rows: DataFrame, prefix_col: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Repartition a written table by market, those with more rows over several partitions by their count."""
-    counts = rows.groupBy(F.col(prefix_col).alias("_busy")).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
-    busy = stage(counts.select("_busy", F.ceil(F.col("_n") / F.lit(rows_per_task)).alias("_deals")), "busy")
-    dealt = rows.join(busy, F.col(prefix_col) == F.col("_busy"), "left").withColumn(
-        "_deal", F.coalesce(F.pmod(row_hash(rows), F.col("_deals")), F.lit(0)))
-    return dealt.repartition(prefix_col, "_deal").drop("_busy", "_deals", "_deal")
-
-
-def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: str = "market_id_prefix",
+def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: str = MARKET,
                      time_col: str = "block_timestamp", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Append trades to the partition of their market, once per `key`; returns the whole table.
 
     A trade already present is not written again, so a repeated run changes nothing; a NULL in `key` or in the prefix raises. Only
-    the markets of the batch are read again, and of these only the time span of the batch if the trades carry
-    `time_col`. A busy market is split over as many tasks and files as its rows need, a small one is written by one.
-    The returned table has the columns of all batches.
+    files are opened that may hold a trade of the batch, as the table's manifests tell: those of its markets whose
+    times, and values of the first key column, overlap with the batch's on some day. The same trade is taken to
+    have the same time. A busy market is split over as many tasks and files as its rows need, a small one is written by
+    one. The table has the columns of all batches.
     """
     spark = trades.sparkSession
     if prefix_col not in trades.columns:
@@ -68,31 +61,25 @@ def append_by_market(trades: DataFrame, path: str, key: list[str], prefix_col: s
     known = {k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"key column {k} must not be NULL"))).otherwise(F.col(k))
              for k in dict.fromkeys([prefix_col, *key])}
     fresh = stage(trades.withColumns(known).dropDuplicates(key), "fresh")
-    present = _table(spark, path)
-    if present is not None:
-        old = present
-        if time_col in fresh.columns and time_col in old.columns:
-            first, last = fresh.agg(F.min(time_col), F.max(time_col)).first()
-            if first is not None and not fresh.where(F.col(time_col).isNull()).limit(1).count():
-                old = old.where(F.col(time_col).between(first, last))
-        # The filter makes the planner prune the table's partitions by this join, for any number of markets.
-        touched = fresh.select(F.col(prefix_col)).where(F.length(prefix_col) >= 0).distinct()
+    ledger = read_ledger(spark, path)
+    near = [] if ledger is None else files_with(fresh, path, ledger, key[0], time_col)
+    if near:
         keys = list(dict.fromkeys([prefix_col, *key]))
-        fresh = fresh.join(old.join(touched, prefix_col, "left_semi").select(*keys), keys, "left_anti")
-        fresh = stage(fresh, "fresh")
-    (
-        dealt_by_market(fresh, prefix_col, rows_per_task)
-        .write.mode("append").option("maxRecordsPerFile", rows_per_task).partitionBy(prefix_col).parquet(path)
-    )
-    table = _table(spark, path)
-    return table if table is not None else trades.limit(0)
-
-
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table below `path` with the columns of all its files; None if there is none yet."""
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+        fresh = stage(fresh.join(read_batches(spark, path, ledger, near).select(*keys), keys, "left_anti"), "fresh")
+    schema = united(None if ledger is None else ledger.schema, fresh.schema)
+    state = replace(ledger, schema=schema) if ledger is not None else Ledger(schema, prefix_col)
+    if not fresh.isEmpty():
+        name = uuid.uuid4().hex
+        write_batch(fresh, path, name, prefix_col, key[0], time_col, rows_per_task)
+        state = replace(state, batches=[*state.batches, name])
+    if state != ledger:
+        state = commit(spark, path, state)
+    return read_batches(spark, path, state)
+
+
+def read_markets(spark: SparkSession, path: str) -> DataFrame:
+    """A table that `append_by_market` or `ingest` has written, as it is now; a missing one raises."""
+    ledger = read_ledger(spark, path)
+    if ledger is None:
+        raise FileNotFoundError(f"no table of markets at {path}")
+    return read_batches(spark, path, ledger)
