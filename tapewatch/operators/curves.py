@@ -1,16 +1,13 @@
-"""Running totals, ranks and quantiles over a whole table without one task seeing it all.
+"""Running totals and ranks over a whole table without one task seeing it all.
 
 Rows are first summed per distinct value, so ties cannot pile up. The distinct values are split by
 range into ordered parts, written once so that every later pass sees the same parts, and each part is
-accumulated by itself on top of the totals of the parts before it. Quantiles are bracketed instead.
+accumulated by itself on top of the totals of the parts before it.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.operators.joins import counted_join
@@ -73,90 +70,3 @@ def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
     """Columns to rows: (feature, value), values as double."""
     return df.select(*(keep or []), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         keep or [], cols, "feature", "value")
-
-
-#: Rank error of the sketches that bracket a quantile, and the most rows that are left between the brackets.
-SKETCH, FEW = 10_000, 100_000
-
-
-@dataclass
-class Bracket:
-    """Where a quantile lies: values from `low` to `high`, with `below` rows under them and `inside` within."""
-
-    feature: str
-    prob: float
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-    margin: float = 2.0 / SKETCH
-
-    def holds(self, value: Column) -> Column:
-        known = value.isNotNull()
-        return known if self.low is None else known & (value >= F.lit(self.low)) & (value <= F.lit(self.high))
-
-    def rest(self, total: int) -> tuple[int, int]:
-        """The positions of the two order statistics between which the quantile is interpolated."""
-        at = self.prob * (total - 1)
-        return math.floor(at), math.ceil(at)
-
-
-def _narrowed(df: DataFrame, brackets: list[Bracket], totals: dict[str, int]) -> None:
-    """Draw the brackets closer by a sketch of the values inside, and count what lies below and inside."""
-    wide = [b for b in brackets if b.inside > FEW and (b.low is None or b.low < b.high)]
-    sketches = []
-    for b in wide:
-        first, last = ((x - b.below) / max(b.inside - 1, 1) for x in b.rest(totals[b.feature]))
-        at = [min(1.0, max(0.0, first - b.margin)), min(1.0, max(0.0, last + b.margin))]
-        value = F.col(f"`{b.feature}`").cast("double")
-        sketches.append(F.percentile_approx(F.when(b.holds(value), value), at, SKETCH))
-    ends = df.agg(*sketches).first()
-    counts = []
-    for b, (low, high) in zip(wide, ends):
-        value = F.col(f"`{b.feature}`").cast("double")
-        counts += [F.count(F.when(value < F.lit(low), 1)),
-                   F.count(F.when((value >= F.lit(low)) & (value <= F.lit(high)), 1))]
-    found = list(df.agg(*counts).first())
-    for b, (low, high) in zip(wide, ends):
-        below, inside = found.pop(0), found.pop(0)
-        first, last = b.rest(totals[b.feature])
-        if below <= first and last < below + inside:
-            b.low, b.high, b.below, b.inside = low, high, below, inside
-        b.margin *= 4  # a sketch that missed is tried again with more room
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Linear-interpolation quantiles of several columns: (feature, prob, quantile), NULLs left out.
-
-    Each quantile is bracketed by a sketch, the rows below the bracket are counted, and this is repeated until few rows
-    lie inside (or only equal ones); those alone are sorted. So the table is read a few times and never
-    shuffled, and the result is exact. Only two numbers per column and probability come to the driver.
-    """
-    row = df.agg(*[F.count(F.col(f"`{c}`").cast("double")) for c in cols]).first()
-    totals = dict(zip(cols, row))
-    brackets = [Bracket(c, float(p), inside=totals[c]) for c in cols for p in probs if totals[c]]
-    while any(b.inside > FEW and (b.low is None or b.low < b.high) for b in brackets):
-        _narrowed(df, brackets, totals)
-    if not brackets:
-        return df.sparkSession.createDataFrame([], "feature string, prob double, quantile double")
-    inside = F.array(*[F.when(b.holds(F.col(f"`{b.feature}`").cast("double")), F.struct(
-        F.lit(b.feature).alias("feature"), F.lit(b.prob).alias("prob"), F.lit(b.below).cast("long").alias("below"),
-        F.lit(totals[b.feature]).cast("long").alias("total"), F.col(f"`{b.feature}`").cast("double").alias("value")))
-        for b in brackets])
-    steps = df.select(F.explode(F.array_compact(inside)).alias("at")).select("at.*").groupBy(
-        "feature", "prob", "below", "total", "value").agg(F.count("*").alias("n"))
-    # At most `FEW` values in a group.
-    upto = Window.partitionBy("feature", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.withColumn("cum_n", F.col("below") + F.sum("n").over(upto))
-    at = F.col("prob") * (F.col("total") - 1)
-    low, high = F.floor(at), F.ceil(at)
-
-    def holds(position: Column) -> Column:
-        return (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
-
-    picked = curve.where(holds(low) | holds(high)).groupBy("feature", "prob").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("lo"),
-        F.max(F.when(holds(high), F.col("value"))).alias("hi"),
-        F.max(at - low).alias("part"),
-    )
-    return picked.select("feature", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("quantile"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewatch.constants import PROFILE_FEATURES
-from tapewatch.operators.curves import exact_quantiles, unpivot
+from tapewatch.operators.curves import unpivot
 from tapewatch.operators.joins import lookup_join
+from tapewatch.operators.selection import exact_quantiles, first_counts, quantiles_of
 from tapewatch.session import stage
 
 
@@ -44,18 +45,29 @@ def stage_counts(trades: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, min, exact quartiles and max per numeric column."""
+    """Count, mean, sample deviation, min, exact quartiles and max per numeric column.
+
+    The columns are staged and read three times: moments come with the first counts of the quartiles.
+    """
     if cols is None:
         cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    long = unpivot(df, cols)
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("feature").agg(*[
+    table = stage(df.select(*[F.col(f"`{c}`") for c in cols]), "described")
+    value = F.col("value")
+    first = first_counts(table, cols, F.avg(value).alias("part_mean"), F.var_pop(value).alias("part_var"),
+                         F.min(value).alias("low"), F.max(value).alias("high"))
+    # Parts to the whole: deviations within the parts, and of the parts' means.
+    n, mean = F.col("n"), F.col("part_mean")
+    whole = first.groupBy("feature").agg(
+        F.sum("n").alias("n"), (F.sum(n * mean) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.min("low").alias("min"),
+        F.max("high").alias("max"))
+    gap = first.join(F.broadcast(whole.select("feature", F.col("mean").alias("all"))), "feature")  # a row per column
+    spread = gap.groupBy("feature").agg(F.sum(n * (F.col("part_var") + (mean - F.col("all")) ** 2)).alias("m2"))
+    quartiles = quantiles_of(table, first, [0.25, 0.5, 0.75]).groupBy("feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return moments.join(quartiles, "feature", "left").select(
-        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    std = F.when(n > 1, F.sqrt(F.col("m2") / (n - 1)))
+    return whole.join(spread, "feature").join(quartiles, "feature", "left").select(
+        "feature", "n", "mean", std.alias("std"), "min", "q25", "q50", "q75", "max")
 
 
 def feature_corr(df: DataFrame, cols: list[str] = PROFILE_FEATURES) -> DataFrame:

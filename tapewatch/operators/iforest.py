@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.constants import LABEL, MODEL_FEATURES
-from tapewatch.operators.curves import exact_quantiles, with_rank
+from tapewatch.operators.curves import with_rank
 from tapewatch.operators.sampling import SEED
 from tapewatch.operators.scaling import fit_scaler, is_control, model_input
+from tapewatch.operators.selection import exact_quantiles
 from tapewatch.session import stage
 
 # Trees, rows per tree, share of training rows taken as anomalous.

@@ -1,11 +1,15 @@
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from helpers import rows, scores
+from pyspark.sql import functions as F
 
-from tapewatch.operators import curves, ensemble, explore, metrics
+from tapewatch.operators import curves, ensemble, explore, metrics, selection
 from tapewatch.operators.loco import evaluate_cases, leave_one_case_out, loco_means
+from tapewatch.session import stage
 
 SIX = [(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 0), (0.4, 1), (0.1, 0)]
 
@@ -114,12 +118,41 @@ def test_quantiles_equal_numpy(spark):
     y = [rng.randrange(3) for _ in range(501)]
     df = spark.createDataFrame(list(zip(x, y)) + [(None, 7)], "x double, y int").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    got = {(r.feature, r.prob): r.quantile for r in curves.exact_quantiles(df, ["x", "y"], probs).collect()}
+    got = {(r.feature, r.prob): r.quantile for r in selection.exact_quantiles(df, ["x", "y"], probs).collect()}
     for p in probs:
         assert got["x", p] == pytest.approx(np.quantile(x, p))
         assert got["y", p] == pytest.approx(np.quantile(y + [7], p))
 
 
+def test_keys_order_as_doubles_do(spark):
+    rng = random.Random(12)
+    values = [struct.unpack(">d", rng.randbytes(8))[0] for _ in range(2000)]
+    values += [s * 2.0**e * m for s in (1, -1) for e in range(-1074, 1024, 7) for m in (1.0, 1 - 2**-53, 1 + 2**-52)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", selection.order_key(F.col("v")).alias("k")).collect()
+    assert all(selection.value_of(r.k) == r.v for r in got)
+    ordered = sorted(got, key=lambda r: r.k)
+    assert [r.v for r in ordered] == sorted(values)
+    nan = spark.sql("select double('nan') v union all select null").select(selection.order_key(F.col("v")).alias("k")).collect()
+    assert {r.k for r in nan} == {None, 0x7FF8000000000000}
+
+
+def test_quantiles_of_skewed_values(spark, monkeypatch):
+    """Heavy tails, ties of a third of all rows, neighbours in the last bit; three reads for any number of places."""
+    rng = random.Random(13)
+    x = [rng.choice([1.0, rng.lognormvariate(0, 20), -1e-300 * rng.random(), math.nextafter(1.0, 2.0)]) for _ in range(900)]
+    df = stage(spark.createDataFrame([(v,) for v in x], "x double").repartition(4), "skewed")
+    jobs, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: jobs.append(1) or collect(self))
+    probs = [i / 16 for i in range(17)]
+    got = {r.prob: r.quantile for r in selection.exact_quantiles(df, ["x"], probs).collect()}
+    assert [got[p] for p in probs] == pytest.approx(np.quantile(x, probs).tolist(), rel=1e-12)
+    assert len(jobs) == 5  # totals, one per digit, and the one above
+    assert selection.exact_quantiles(df.where("false"), ["x"], probs).count() == 0
+
+
 def test_histogram_equals_numpy(spark):
     rng = random.Random(9)
     values = {0: [rng.uniform(-3, 9) for _ in range(300)], 1: [2.5] * 7}
