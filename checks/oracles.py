@@ -612,6 +612,9 @@ FROM curve_models""", "curve_models")
   round({TPR}, 9) AS recall FROM curve_models UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE
 FROM curve_models""", "curve_models")
     put("skipped_files", "SELECT DISTINCT event_type FROM events")
+    put("damaged_files", """SELECT event_type, n AS rows_promised, CASE WHEN bad THEN 0 ELSE n END AS rows_read,
+  CASE WHEN bad THEN n ELSE 0 END AS rows_lost
+FROM (SELECT event_type, count(*) AS n, event_type IN ('purchase', 'click') AS bad FROM events GROUP BY 1) z""")
     put("evaluate_model", f"SELECT {_metric_columns()} FROM metrics_models WHERE model = 'a'", "metrics_models")
     put("model_summary", f"SELECT {_metric_columns()} FROM metrics_models", "metrics_models")
     put("loco_eval", f""", ctrl AS ({SAMPLE.format(src='fx_scores')}),
@@ -659,10 +662,11 @@ FROM (SELECT l.taker, ((x0 - h0) * (x0 - h0) + (x1 - h1) * (x1 - h1)) / 2 AS e
         "FROM (SELECT count(*) AS n FROM events) z")
 
     # Streaming
-    put("stream_ingest", """SELECT trade_id, condition_id, taker, usdc_amount, block_timestamp,
+    for key in ("stream_ingest", "compacted_markets"):
+        put(key, """SELECT trade_id, condition_id, taker, usdc_amount, block_timestamp,
   substr(lower(condition_id), 1, 10) AS market_id_prefix FROM fx_trades t
 WHERE EXISTS (SELECT 1 FROM fx_inventory i WHERE lower(t.condition_id) LIKE lower(i.market_id_prefix) || '%')""",
-        "fx_trades", "fx_inventory")
+            "fx_trades", "fx_inventory")
     hours = """SELECT substr(lower(condition_id), 1, 10) AS market_id_prefix, block_timestamp // 3600 * 3600 AS window_start,
   block_timestamp // 3600 * 3600 + 3600 AS window_end, count(*) AS trades,
   round(sum(coalesce(usdc_amount, 0)), 6) AS volume, max(coalesce(usdc_amount, 0)) AS largest FROM {} GROUP BY 1, 2, 3"""

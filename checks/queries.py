@@ -16,10 +16,10 @@ from tapewatch.functions.timestamps import SHORT_FORMATS, parse_timestamp
 from tapewatch.operators import autoencoder, controls, curves, ensemble, explore, iforest, loco
 from tapewatch.operators import market_filter as mf
 from tapewatch.operators import market_index as mi
-from tapewatch.operators import metrics, prenews, profiles, quality, resolutions, sampling, scaling
+from tapewatch.operators import metrics, prenews, profiles, quality, resolutions, sampling, scaling, selection
 from tapewatch.session import new_path, stage
 from tapewatch.sources import inventory as inv
-from tapewatch.sources import sinks, trades
+from tapewatch.sources import ledger, sinks, trades
 from tapewatch.streaming import ingest, volume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,10 +102,11 @@ def inventory_flatten(spark, sf):
 
 @query
 def resolved_ids(spark, sf):
+    """An object per line, written and read by many tasks."""
     path = new_path(spark, "resolved")
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.upper("market_id_prefix"), "condition_id")))
-    fx.fx_resolved(spark, sf).agg(F.to_json(pairs).alias("value")).write.text(path)
-    return inv.read_resolved_ids(spark, path)
+    pair = F.create_map(F.upper("market_id_prefix"), "condition_id")
+    fx.fx_resolved(spark, sf).select(F.to_json(pair).alias("value")).write.text(path)
+    return inv.read_resolved_ids(spark, path, lines=True)
 
 
 @query
@@ -177,6 +178,27 @@ def skipped_files(spark, sf):
     return found.select(F.regexp_extract("path", "([^/]+)[.]parquet$", 1).alias("event_type"))
 
 
+@query
+def damaged_files(spark, sf):
+    """A file per kind of event, of which the first values of purchases and clicks are overwritten, and what is lost."""
+    path = new_path(spark, "kinds")
+    rows = fx.events(spark, sf).withColumn("kind", F.col("event_type"))
+    rows.repartition("kind").write.option("compression", "none").partitionBy("kind").parquet(path)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for kind in ("purchase", "click"):
+        file = fs.Path(spark.read.parquet(f"{path}/kind={kind}").inputFiles()[0])
+        files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+        source = files.open(file)
+        data = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+        source.close()
+        data[40:200] = bytes(160)
+        out = files.create(file, True)
+        out.write(data)
+        out.close()
+    return trades.file_report(spark, path, fx.EVENT_SCHEMA).select(
+        F.regexp_extract("path", "kind=([^/]+)/", 1).alias("event_type"), "rows_promised", "rows_read", "rows_lost")
+
+
 # Projection and predicates -------------------------------------------------------------------
 
 
@@ -411,7 +433,7 @@ def feature_corr(spark, sf):
 
 @query
 def feature_quantiles(spark, sf):
-    return rounded(curves.exact_quantiles(features(spark, sf), PROFILE_FEATURES, [0.01, 0.99]), {"quantile": 9})
+    return rounded(selection.exact_quantiles(stage(features(spark, sf), "features"), PROFILE_FEATURES, [0.01, 0.99]), {"quantile": 9})
 
 
 HISTOGRAM = {"lo": 9, "hi": 9, "density": 9}
@@ -744,3 +766,19 @@ def stream_market_volume(spark, sf):
         rows = fx.trades_of(ingest.stream_trades(spark, folder, fx.EVENT_SCHEMA))
         volume.stream_volume(rows, path).awaitTermination()
     return rounded(volume.read_volume(spark, path), {"volume": 6})
+
+
+@query
+def compacted_markets(spark, sf):
+    """The stream's batches of a day each, merged into one, with the days after in a batch of their own."""
+    folder, path = new_path(spark, "arrivals"), new_path(spark, "streamed")
+    prefixes = stage(flat(spark, sf).select("market_id_prefix"), "prefixes")
+    day = F.col("ts").cast("date")
+    for number, part in enumerate((day < "2024-01-04", day.between("2024-01-04", "2024-01-06"), day > "2024-01-06")):
+        fx.events(spark, sf).where(part).write.mode("append").parquet(folder)
+        rows = fx.trades_of(ingest.stream_trades(spark, folder, fx.EVENT_SCHEMA)).select(
+            "trade_id", "condition_id", "taker", "usdc_amount", "block_timestamp")
+        ingest.ingest(rows, path, prefixes=prefixes).awaitTermination()
+        if number == 1:
+            ledger.compact(spark, path)
+    return ingest.read_ingested(spark, path)

@@ -85,6 +85,42 @@ def test_unreadable_files_are_passed_over_and_reported(spark, tmp_path):
     assert [r.path.endswith("broken.parquet") for r in skipped] == [True]
 
 
+def damage(path, at, size):
+    """Overwrite part of a file, and drop the checksum file beside it."""
+    data = bytearray(path.read_bytes())
+    data[at:at + size] = random.Random(3).randbytes(len(data[at:at + size]))
+    path.write_bytes(data)
+    path.with_name(f".{path.name}.crc").unlink()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.9])
+def test_lost_rows_of_damaged_files_are_reported(spark, tmp_path, share):
+    table = spark.range(200_000).selectExpr("id", "uuid() as note", "id % 7 as small", "array(id) as list")
+    table.repartition(3).write.parquet(str(tmp_path / "t"))
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    size = files[1].stat().st_size
+    damage(files[1], max(4, int(size * share)), 4_000)
+    read = trades.tolerant_scan(spark, str(tmp_path / "t"), table.schema).selectExpr("count(*)", "max(note)", "max(id)",
+                                                                                     "max(small)", "max(list)").first()[0]
+    lost = trades.skipped_files(spark, str(tmp_path / "t"), table.schema).collect()
+    assert [r.path for r in lost] == [str(files[1])]
+    assert lost[0].rows_lost == 200_000 - read == lost[0].rows_promised - lost[0].rows_read > 0
+    assert trades.file_report(spark, str(tmp_path / "t"), table.schema).where("rows_lost = 0").count() == 2
+
+
+def test_flipped_values_do_not_pass(spark, tmp_path):
+    """Damage that still decodes is found by the checksum of its page."""
+    spark.range(1000).selectExpr("cast(id as double) / 3 as x").coalesce(1).write.option("compression", "none").option(
+        "parquet.enable.dictionary", "false").parquet(str(tmp_path / "t"))
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    damage(file, 4_000, 8)
+    schema = spark.read.parquet(str(tmp_path / "t")).schema
+    assert spark.read.schema(schema).parquet(str(tmp_path / "t")).selectExpr("count(x)").first()[0] == 1000
+    report = trades.skipped_files(spark, str(tmp_path / "t"), schema).collect()
+    assert [(r.rows_promised, r.rows_read, r.rows_lost) for r in report] == [(1000, 0, 1000)]
+    assert trades.tolerant_scan(spark, str(tmp_path / "t"), schema).selectExpr("count(x)").first()[0] == 0
+
+
 def test_union_by_name(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, 0.5)], "k int, b double")
     assert rows(trades.union_by_name(a, b)) == [(1, "x", None), (2, None, 0.5)]
@@ -112,7 +148,7 @@ def test_append_is_repeatable_and_widens(spark, tmp_path):
     got = sinks.append_by_market(wider, path, ["id"])
     assert rows(got, "id", "market_id_prefix", "usd") == [
         (1, "0xaaaaaaaa", None), (2, "0xbbbbbbbb", None), (3, "0xbbbbbbbb", 2.0)]
-    pruned = plan(spark.read.parquet(path).where("market_id_prefix = '0xaaaaaaaa'"))
+    pruned = plan(sinks.read_markets(spark, path).where("market_id_prefix = '0xaaaaaaaa'"))
     assert "PartitionFilters: [isnotnull(market_id_prefix" in pruned
 
 
@@ -290,7 +326,7 @@ def test_pipeline(spark, tmp_path):
     inv = inventory.flatten_inventory(fx.fx_cases(spark, sf))
     run = pipeline.run(fx.fx_trades(spark, sf), inv, None, fx.fx_resolutions(spark, sf), epochs=3,
                        model_path=str(tmp_path / "models"), market_path=str(tmp_path / "markets"))
-    market_table = spark.read.parquet(str(tmp_path / "markets"))
+    market_table = sinks.read_markets(spark, str(tmp_path / "markets"))
     pruned = plan(prenews_trades(market_table, run.market_index.limit(3), prefix_col="market_id_prefix"))
     assert "dynamicpruning" in pruned
     assert run.cases.select("model").distinct().count() == run.case_means.count() == 3
