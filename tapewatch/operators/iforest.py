@@ -26,6 +26,8 @@ CONTAMINATION = 0.01
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, rows int, depth int"
 OVERSAMPLE = 4
+# Rows that a task scores under one of several forests.
+PORTION = 100_000
 
 # Workers get the functions of this module with the task, so the package need not be installed there.
 register_pickle_by_value(sys.modules[__name__])
@@ -44,24 +46,29 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def _shares(n: int, trees: int, rows: int) -> tuple[float, float]:
+    """Which rows are looked at, and which of them a tree takes, so that it gets about `OVERSAMPLE` times its rows."""
+    coarse = min(1.0, trees * OVERSAMPLE * rows / max(n, 1))
+    return coarse, min(1.0, OVERSAMPLE * rows / max(n, 1) / coarse)
+
+
 def tree_samples(controls: DataFrame, n: int, features: list[str], trees: int = TREES, rows: int = SAMPLE_ROWS,
-                 seed: int = SEED) -> DataFrame:
-    """About four times the rows each tree needs, as (tree, pick, features).
+                 seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """About four times the rows each tree needs, as (tree, pick, features); `draw` decides which rows are looked at.
 
     A row and a tree meet when a hash of both is small enough. With many rows, most are set aside by a
     first hash, so that the number of pairs looked at stays the same however large the table is.
     """
-    wanted = OVERSAMPLE * rows
-    coarse = min(1.0, trees * wanted / max(n, 1))
-    fine = min(1.0, wanted / max(n, 1) / coarse)
-    kept = controls.where(_unit(F.lit(seed), F.col("taker")) < coarse) if coarse < 1.0 else controls
+    coarse, fine = _shares(n, trees, rows)
+    drawn = controls.withColumn("draw", _unit(F.lit(seed), F.col("taker")))
+    kept = drawn.where(F.col("draw") < coarse) if coarse < 1.0 else drawn
 
     def pick(tree: Column) -> Column:
         return _unit(F.lit(seed + 1), F.col("taker"), tree)
 
     hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: pick(t) < fine)
-    pairs = kept.select("taker", F.array(*features).alias("x"), F.explode(hits).alias("tree"))
-    return pairs.select("tree", pick(F.col("tree")).alias("pick"), "x")
+    pairs = kept.select("taker", "draw", *keep, F.array(*features).alias("x"), F.explode(hits).alias("tree"))
+    return pairs.select("tree", pick(F.col("tree")).alias("pick"), "draw", *keep, "x")
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
@@ -99,18 +106,73 @@ def fit_forest(scaled: DataFrame, features: list[str] = MODEL_FEATURES, trees: i
     depth_limit = math.ceil(math.log2(max(used, 2)))
 
     def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        sample = sample.nsmallest(used, "pick")
-        x = np.stack(sample["x"].to_numpy())
-        nodes = grow_tree(x, np.random.default_rng([seed, tree]), depth_limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "rows", "depth"])
-        out.insert(0, "tree", tree)
-        return out
+        return _grown(int(key[0]), sample, used, depth_limit, seed)
 
-    samples = tree_samples(controls, n, features, trees, rows, seed)
+    samples = tree_samples(controls, n, features, trees, rows, seed).drop("draw")
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def _grown(tree: int, sample: pd.DataFrame, used: int, depth_limit: int, seed: int) -> pd.DataFrame:
+    x = np.stack(sample.nsmallest(used, "pick")["x"].to_numpy())
+    nodes = grow_tree(x, np.random.default_rng([seed, tree]), depth_limit)
+    out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "rows", "depth"])
+    out.insert(0, "tree", tree)
+    return out
+
+
+def fit_forests(scaled: DataFrame, turns: list[str], left_out: str | None = None, features: list[str] = MODEL_FEATURES,
+                trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """A forest per turn, all grown by one job: nodes with the column `turn`, as `fit_forest` grows them for each turn.
+
+    `left_out` names an array column with the turns that leave a row out. Rows are drawn once for all turns and repeated
+    only for the trees that may take them.
+    """
+    controls = scaled.where(is_control())
+    absent = F.col(left_out) if left_out else F.array().cast("array<string>")
+    controls = controls.withColumn("absent", F.coalesce(absent, F.array().cast("array<string>")))
+    total = controls.count()
+    # A row per turn.
+    out = {r.turn: r.n for r in controls.select(F.explode("absent").alias("turn")).groupBy("turn").agg(
+        F.count("*").alias("n")).collect()}
+    sizes = {t: total - out.get(t, 0) for t in turns}
+    sizes = {t: n for t, n in sizes.items() if n}
+    schema = f"turn string, {NODE_SCHEMA}"
+    if not sizes:
+        return scaled.sparkSession.createDataFrame([], schema)
+    samples = tree_samples(controls, min(sizes.values()), features, trees, rows, seed, keep=("absent",))
+    each = F.array(*[F.struct(F.lit(t).alias("turn"), *[F.lit(s).alias(c) for c, s in zip(("coarse", "fine"), _shares(n, trees, rows))])
+                     for t, n in sizes.items()])
+    taken = F.filter(each, lambda t: (F.col("draw") < t["coarse"]) & (F.col("pick") < t["fine"])
+                     & ~F.array_contains("absent", t["turn"]))
+    dealt = samples.select("tree", "pick", "x", F.explode(F.transform(taken, lambda t: t["turn"])).alias("turn"))
+
+    def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        turn, used = str(key[0]), min(sizes[str(key[0])], rows)
+        nodes = _grown(int(key[1]), sample, used, math.ceil(math.log2(max(used, 2))), seed)
+        nodes.insert(0, "turn", turn)
+        return nodes
+
+    return dealt.groupBy("turn", "tree").applyInPandas(grow, schema)
+
+
+def score_turns(rows: DataFrame, nodes: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
+    """(turn, taker, label, if_raw) of rows with a `turn`, under its forest. A forest goes to each portion of its rows."""
+    table = rows.select("turn", "taker", F.col(LABEL).cast("int").alias(LABEL), F.array(*features).alias("x"))
+    counts = stage(table.groupBy("turn").agg(F.ceil(F.count("*") / F.lit(PORTION)).cast("int").alias("portions")), "portions")
+    portions = F.broadcast(counts)  # a row per turn
+    dealt = table.join(portions, "turn").withColumn("portion", F.pmod(F.xxhash64("taker"), F.col("portions")).cast("int"))
+    trees = nodes.join(portions, "turn").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+
+    def score(key: tuple, part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        out = part[["turn", "taker", LABEL]].copy()
+        out["if_raw"] = Forest(forest).score(np.stack(part["x"].to_numpy())) if len(part) else np.zeros(0)
+        return out
+
+    return dealt.drop("portions").groupBy("turn", "portion").cogroup(
+        trees.drop("portions").groupBy("turn", "portion")).applyInPandas(
+        score, f"turn string, taker string, {LABEL} int, if_raw double")
+
+
 class Forest:
     """The forest as arrays: at most trees x 511 nodes whatever the data, so it can go out with the task."""
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tapewatch.constants import LABEL
 from tapewatch.operators.curves import accumulate, split_by_range
+from tapewatch.operators.iforest import TREES, fit_forests, score_turns
 from tapewatch.operators.joins import counted_join
+from tapewatch.operators.metrics import precision_at_k, roc_auc
 from tapewatch.operators.sampling import SEED, sample_controls
+from tapewatch.operators.scaling import model_input
 from tapewatch.session import new_path, stage
 
 logger = logging.getLogger(__name__)
@@ -94,6 +97,27 @@ def leave_one_case_out(profiles: DataFrame, train_fn: Callable[[DataFrame], Data
     return spark.read.schema(schema).parquet(path)
 
 
+def leave_one_case_out_forests(profiles: DataFrame, k: int = 20, trees: int = TREES, sample: int | None = None,
+                               seed: int = SEED) -> DataFrame:
+    """The same with a forest trained anew for each case: all forests are grown by one job and scored by one.
+
+    Equals `leave_one_case_out` with the forest as trainer and `refit=True`. Controls are scored once per case.
+    """
+    scaled = model_input(profiles)
+    # A row per case.
+    turns = sorted(r.case_id for r in leaked_cases(scaled).collect())
+    schema = f"case_id string, precision_at_{k} double, roc_auc double"
+    if not turns:
+        return profiles.sparkSession.createDataFrame([], schema)
+    nodes = stage(fit_forests(scaled, turns, trees=trees), "forests")
+    controls = sample_controls(scaled, sample, seed).withColumn("turn", F.explode(F.array(*[F.lit(t) for t in turns])))
+    own = scaled.where(F.col(LABEL) == 1).withColumn("turn", F.col("case_id")).where(F.coalesce("turn", F.lit("")) != "")
+    scored = stage(score_turns(controls.unionByName(own), nodes), "scored")
+    auc = roc_auc(scored, "if_raw", by=["turn"])
+    top = precision_at_k(scored, "if_raw", k_values=[k], by=["turn"])
+    return auc.join(top, "turn").select(F.col("turn").alias("case_id"), F.col("precision").alias(f"precision_at_{k}"), "roc_auc")
+
+
 def loco_means(results: DataFrame, k: int = 20) -> DataFrame:
     """Mean of the per-case metrics; undefined ones do not count."""
     return results.agg(F.avg(f"precision_at_{k}").alias("mean_precision"), F.avg("roc_auc").alias("mean_roc_auc"))

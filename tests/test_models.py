@@ -6,7 +6,8 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tapewatch.constants import MODEL_FEATURES
-from tapewatch.operators import autoencoder, iforest, sampling, scaling
+from tapewatch.operators import autoencoder, iforest, linear, sampling, scaling
+from tapewatch.session import stage
 
 SCHEMA = "taker string, is_leaked_market int, case_id string, " + ", ".join(f"{f} double" for f in MODEL_FEATURES)
 
@@ -200,3 +201,53 @@ def test_early_stop(spark, scaled, monkeypatch):
 def test_no_controls(spark, scaled):
     with pytest.raises(ValueError):
         autoencoder.fit_autoencoder(scaled.where("is_leaked_market = 1"), epochs=1)
+
+
+def test_forests_of_all_cases_equal_the_loop(spark):
+    from tapewatch.operators.loco import leave_one_case_out, leave_one_case_out_forests
+    profiles = wallets(spark, controls=300, leaked=40, outliers=9).withColumn(
+        "case_id", F.when(F.col("is_leaked_market") == 1, F.concat(F.lit("c"), F.pmod(F.xxhash64("taker"), F.lit(3)).cast("string"))).otherwise(""))
+    loop = leave_one_case_out(profiles, lambda p: iforest.run_isolation_forest(p, trees=25), "anomaly_score_if", refit=True)
+    want = {r.case_id: (r.precision_at_20, r.roc_auc) for r in loop.collect()}
+    got = {r.case_id: (r.precision_at_20, r.roc_auc) for r in leave_one_case_out_forests(profiles, trees=25).collect()}
+    assert got.keys() == want.keys() == {"c0", "c1", "c2"}
+    for case in want:
+        assert got[case] == pytest.approx(want[case])
+    assert leave_one_case_out_forests(profiles.where("is_leaked_market = 0"), trees=5).count() == 0
+
+
+def test_forests_leave_rows_out(spark, scaled, monkeypatch):
+    """Each turn's forest is the one grown without the rows that are tagged with it."""
+    tags = F.when(F.col("taker") < "w00150", F.array(F.lit("a"))).when(F.col("taker") > "w00380", F.array(F.lit("a"), F.lit("b")))
+    tagged = stage(scaled.withColumn("left_out", tags))
+    nodes = iforest.fit_forests(tagged, ["a", "b", "c"], "left_out", trees=12)
+    columns = [c for c in nodes.columns if c != "turn"]
+    for turn in "abc":
+        kept = tagged.where(~F.coalesce(F.array_contains("left_out", turn), F.lit(False)))
+        assert rows(nodes.where(F.col("turn") == turn).select(columns)) == rows(iforest.fit_forest(kept, trees=12))
+    monkeypatch.setattr(iforest, "PORTION", 50)
+    table = scaled.withColumn("turn", F.lit("c"))
+    got = iforest.score_turns(table, nodes)
+    want = iforest.raw_scores(scaled, nodes.where("turn = 'c'").drop("turn"))
+    assert dict(rows(got, "taker", "if_raw")) == pytest.approx(dict(rows(want, "taker", "if_raw")))
+
+
+def test_linear_error(spark, tmp_path):
+    profiles = wallets(spark, controls=300, leaked=20, outliers=4)
+    scaled = iforest.model_input(profiles)
+    matrix = linear.second_moments(scaled)
+    data = np.array([list(r) for r in scaled.where("is_leaked_market = 0").select(*MODEL_FEATURES).collect()])
+    assert matrix == pytest.approx(data.T @ data / len(data))
+    for count in (1, 5, 10):
+        d = linear.main_directions(matrix, count)
+        assert d @ d.T == pytest.approx(np.eye(count), abs=1e-12)
+        got = linear.linear_error(scaled, d).where("is_leaked_market = 0").select("anomaly_score_linear").collect()
+        left = data - data @ d.T @ d
+        assert sorted(r[0] for r in got) == pytest.approx(sorted((left**2).mean(axis=1)), abs=1e-12)
+        # What is left is the trace without the eigenvalues of the directions.
+        assert np.mean([r[0] for r in got]) * 10 == pytest.approx(np.trace(matrix) - np.linalg.eigvalsh(matrix)[::-1][:count].sum(), abs=1e-9)
+    path = str(tmp_path / "linear")
+    first = rows(linear.run_linear(profiles, path))
+    assert rows(linear.score_saved_linear(profiles, path)) == first and len(first) == profiles.count()
+    with pytest.raises(ValueError):
+        linear.second_moments(scaled.where("is_leaked_market = 1"))
