@@ -10,8 +10,10 @@ is content), on at most `SAMPLE` pages with the least hash of their id. Counts o
 say nothing about markup it doesn't hold, so well-known tags of menus, notes and the like enter as prior evidence
 (`BOILER`), and names of notices, adverts, comments and so on as bounded evidence (`NAMED`) for an element and each
 one inside it, so that many comments stay comments. Names say nothing where they are no names of a part: ids of
-headings, names of what a page has or hasn't (`ABOUT`), and names of an element that holds most of the page's text
-(and its title, if it isn't named by a layout). A form that holds most of the text is the page; captions and headers
+headings, names of what a page has or hasn't (`ABOUT`), names of an element that holds most of the page's text
+(and its title, if it isn't named by a layout; or is in the main element and named as a notice), and names of long
+paragraphs without links in the main element. A line of rights outside of it has twice that evidence against it, a block
+of several links and nothing else half of it. A form that holds most of the text is the page; captions and headers
 with a heading count as other parts only outside of an `article` or `main` element that the page has.
 
 Pages are parsed and solved one by one in the tasks, whole. Defined results: null and empty pages, and pages
@@ -26,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 from math import exp, log, log1p
 
@@ -40,14 +42,17 @@ from tapewatch.session import stage
 SAMPLE = 2_000
 #: Nats of evidence: for what is known not to be content, for marked content and the page itself, the most that a
 #: trained feature has, as the sample holds few layouts, and against each element in a part named as another one.
-KNOWN, MARKED, LIMIT, OTHER = 1e6, 1e5, 2.0, 5.0
+KNOWN, MARKED, LIMIT, OTHER = 1e6, 1e5, 2.5, 5.0
 #: Pseudo-counts of the trained tables, and that of content in other parts.
 PSEUDO, NEVER = 5.0, 1e-40
 # Elements of HTML by role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+                   "msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe title svg math select object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea iframe title svg annotation annotation-xml select object canvas audio "
+                "video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "body": {"head"}}
 SCOPE = frozenset("html body table ul ol dl td th article section main div nav aside header footer form".split())
@@ -68,6 +73,15 @@ STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "navig
 #: Of these, those that also name layouts; the others name a page only if its title is in it, as comments can be most of it.
 LAYOUT = frozenset("banner footer header masthead menu menus nav search toolbar topbar widget widgets".split())
 LAYOUT_STEMS = ("breadcrumb", "navbar", "navigation", "sidebar")
+#: Of these, those of readers' comments; and a word that names them only as a class.
+REPLIES, REPLIES_STEMS, REPLIES_CLASS = frozenset("reply replies respond".split()), ("comment", "disqus"), "discussion"
+#: Names that a section of the main element with most of the text may have.
+SECTIONS = frozenset("alert banner disclaimer notice notices promo promoted promotion".split())
+#: Lines of rights that stand in no named part.
+RIGHTS = re.compile(r"\ball rights reserved\b|^(?:©|copyright\b|\(c\) )", re.I)
+RIGHTS_CHARS = 200
+#: Characters of a paragraph that is taken for one of the main element's in spite of its name.
+PROSE = 60
 #: Beginnings of names that tell what a page or post has, hasn't or is about.
 ABOUT = re.compile(r"(?:has|no|with|without|overflow|tag|category)(?=[-_A-Z])")
 HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|display\s*:\s*none", re.I)
@@ -86,9 +100,10 @@ class Node:
     inside_main: bool = False
     boiler: bool = False  # known not to be content, by more than its tag
     other: bool = False  # named as another part than the main text, or inside of such or known boiler
+    rights: bool = False  # holds a line of rights
     chars: int = 0
     linked: int = 0
-    text: list[str] = field(default_factory=list)
+    links: int = 0
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -155,9 +170,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
             continue
         if tag in RAW:
-            if not token[3].endswith("/>"):
+            # Only elements of foreign markup are closed by a slash; others are if nothing else closes them.
+            closed = token[3].endswith("/>")
+            if not (closed and tag == "svg"):
                 end = END_OF[tag].search(html, at)
-                at = end.end() if end else len(html)
+                at = end.end() if end else at if closed else len(html)
             continue
         if tag == "br":
             run.append(" ")
@@ -169,6 +186,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag not in VOID:
                 open_.append((tag, owner()))
                 links += tag == "a"
+                nodes[owner()].links += tag == "a"
             continue
         here = owner()
         flush(here)
@@ -178,6 +196,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag not in VOID and not token[3].endswith("/>"):
             open_.append((tag, len(nodes) - 1))
     flush(owner())
+    for i, block in blocks:
+        nodes[i].rights |= len(block) <= RIGHTS_CHARS and RIGHTS.search(block) is not None
     find_parts(nodes)
     return nodes, blocks
 
@@ -187,8 +207,17 @@ def part_names(tag: str, attributes: str) -> frozenset[str]:
     if tag in ("html", "body"):
         return frozenset()
     words = [w.lower() for m in ATTRIBUTE.finditer(attributes) if tag not in HEADINGS or m[1].lower() != "id"
-             for name in (m[2] or m[3] or m[4] or "").split() if not ABOUT.match(name) for w in NAME.findall(name)]
-    return frozenset(w for w in words if w in NAMED or w.startswith(STEMS))
+             for name in (m[2] or m[3] or m[4] or "").split() if not ABOUT.match(name) for w in NAME.findall(name)
+             if w.lower() != REPLIES_CLASS or m[1].lower() == "class"]
+    return frozenset(w for w in words if w in NAMED or w == REPLIES_CLASS or w.startswith(STEMS))
+
+
+def of_layout(names: frozenset[str]) -> bool:
+    return all(w in LAYOUT or w.startswith(LAYOUT_STEMS) for w in names)
+
+
+def of_replies(names: frozenset[str]) -> bool:
+    return any(w in REPLIES or w == REPLIES_CLASS or w.startswith(REPLIES_STEMS) for w in names)
 
 
 def find_parts(nodes: list[Node]) -> None:
@@ -202,9 +231,12 @@ def find_parts(nodes: list[Node]) -> None:
     for i, node in enumerate(nodes[1:], 1):
         up = nodes[node.parent]
         most = 2 * held[i] > held[0]
-        named = node.names and not (most and (heading[i] == 1 or all(w in LAYOUT or w.startswith(LAYOUT_STEMS) for w in node.names)))
-        node.boiler |= node.tag in WRAPS and not most
         node.inside_main = up.inside_main or (up.tag in MAIN and not up.other)
+        page = heading[i] == 1 or of_layout(node.names) or (node.inside_main and node.names <= SECTIONS)
+        # A paragraph of the main element is one whatever it is called, if it reads like one.
+        prose = node.tag == "p" and node.inside_main and node.chars >= PROSE and not node.linked and not of_replies(node.names)
+        named = node.names and not (most and page) and not prose
+        node.boiler |= node.tag in WRAPS and not most
         node.other = bool(up.other or named or known_boiler(node))
     marked = any(n.tag in MAIN and not n.other for n in nodes)
     for i, node in enumerate(nodes):
@@ -221,14 +253,20 @@ def prior(node: Node) -> float:
     """Nats of evidence for content that are known beforehand."""
     if known_boiler(node):
         return -KNOWN
-    return -OTHER if node.other else MARKED if node.tag in MAIN or node.parent < 0 else 0.0
+    if node.rights and not node.inside_main:
+        return -2 * OTHER
+    if node.other:
+        return -OTHER
+    if node.links > 1 and node.linked == node.chars and not node.inside_main:
+        return -OTHER / 2
+    return MARKED if node.tag in MAIN or node.parent < 0 else 0.0
 
 
 def node_features(node: Node) -> list[str]:
     found = [] if node.tag in ANY else [f"tag {node.tag}"]
     if node.chars:
-        found.append(f"chars {min(4, node.chars.bit_length() // 2)}")
-        found.append(f"links {min(3, 4 * node.linked // node.chars)}")
+        # Together, as short texts are menus where they are links, and items of a list where they are not.
+        found.append(f"chars {min(4, node.chars.bit_length() // 2)} links {min(3, 4 * node.linked // node.chars)}")
     return found
 
 
@@ -359,8 +397,8 @@ def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit:
 
 
 def extract(pages: DataFrame, model: Potentials, html: str = "html") -> DataFrame:
-    """Replace the html column by `text` and `n_chars`; other columns pass through."""
-    rest = [c for c in pages.columns if c != html]
+    """Replace the html column by `text` and `n_chars`, also where such columns are there; others pass through."""
+    rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

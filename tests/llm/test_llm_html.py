@@ -152,3 +152,35 @@ def test_articles_of_other_parts(model, part, count):
 def test_names_of_the_article_itself(model):
     html = page("T", [STORY]).replace("<article>", "<article class='post has-comments tag-advertising category-social'>")
     assert h.main_text(html, model) == f"T\n{STORY}"
+
+
+FACTS = "".join(f"<li>Fact {i}</li>" for i in range(5))
+REFERENCES = "".join(f"<li><a href=x>Reference {i}</a></li>" for i in range(5))
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><div class=menu><a href=x>Menu</a></div><div><h1>Head</h1><p>{STORY}</p><ul>{FACTS}</ul><p>{STORY}</p></div></body>",
+     ["Head", STORY, *(f"Fact {i}" for i in range(5)), STORY]),
+    (page("T", [STORY], f"<ul>{REFERENCES}</ul>"), ["T", STORY, *(f"Reference {i}" for i in range(5))]),
+    ("<article><p>Energy <math><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>no</annotation></math> is here.</p></article>",
+     ["Energy E=m is here."]),
+    ("<article><p>One.</p><script src='a.js'/>var x=1;</script><p>Two.</p><script src='b.js'/><p>Three.</p></article>",
+     ["One.", "Two.", "Three."]),
+    (f"<article><h1>T</h1><p class=promo>{STORY}</p><p class=comment>{STORY}</p><p class=ad>Buy this now.</p><p>{STORY}</p></article>",
+     ["T", STORY, STORY]),
+    (f"<main><h1>T</h1><div class=notice-board><p>{STORY}</p><p>{STORY}</p></div></main>", ["T", STORY, STORY]),
+    (f"<main><h1>T</h1><p>{STORY}</p><div class=notice><p>{STORY}</p></div></main>", ["T", STORY]),
+    (f"<table><tr><td><a href=x>Home</a> <a href=y>Prod</a></td></tr><tr><td><h1>Head</h1><p>{STORY}</p></td></tr></table>",
+     ["Head", STORY]),
+    (f"<body><div><h1>Head</h1><p>{STORY}</p></div><div><p>All rights reserved.</p></div><p>&copy; 2020 Us</p></body>", ["Head", STORY]),
+    ("<article><h1>Head</h1><p>All rights reserved, it says.</p></article>", ["Head", "All rights reserved, it says."]),
+    (f"<body><div><h1>Head</h1><p>{STORY}</p></div><div class=discussion><p>{STORY}</p></div></body>", ["Head", STORY]),
+    (f"<article><section id=discussion><h2>Discussion</h2><p>{STORY}</p></section></article>", ["Discussion", STORY]),
+])
+def test_layouts_that_training_does_not_show(model, html, want):
+    assert h.main_text(html, model).split("\n") == want
+
+
+def test_clashing_columns_are_replaced(spark, model):
+    df = spark.createDataFrame([(1, "<article><p>x", "old", 99)], "page_id long, html string, text string, n_chars long")
+    assert [tuple(r) for r in h.extract(df, model).collect()] == [(1, "x", 1)]
