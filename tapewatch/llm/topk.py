@@ -14,7 +14,8 @@ queries; a task multiplies one block with one group and hands on only scores tha
 Defined results: rows without id, null vectors and vectors with null or non-finite components take no part.
 Shorter vectors are padded with zeros. A candidate never answers a query of its own id. Repeated ids: every row is a
 candidate, and each query row is answered by itself. Ties go to the smaller id. Scores beyond a long are cut to its
-range. Fewer candidates than k give fewer rows, an empty table none. Other columns are not read.
+range, components beyond a double after scaling to that of a double; where squares of components overflow, distances are
+measured in a larger unit, in which nothing may be excluded, and scores stay exact. Fewer candidates than k give fewer rows, an empty table none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ PIVOTS, CHOICE, RINGS = 64, 1024, 64
 BLOCK, GROUP = 1024, 1024
 #: Vectors that the annuli of the first round should hold, as a multiple of k.
 FIRST = 8
+MOST = float(np.finfo(np.float64).max)
 
 
 def _quantise(scale: int):
@@ -40,15 +42,17 @@ def _quantise(scale: int):
         import pyarrow as pa
 
         for batch in batches:
-            data, norms, sizes = [], [], []
+            data, norms, peaks, sizes = [], [], [], []
             for row in batch.column(1):
-                v = np.floor(scale * np.array(row.as_py(), np.float64))
+                with np.errstate(over="ignore"):
+                    v = np.clip(np.floor(scale * np.array(row.as_py(), np.float64)), -MOST, MOST)
+                    norms.append(float(v @ v))
                 data.append(v.astype("<f8").tobytes())
-                norms.append(float(v @ v))
+                peaks.append(float(np.abs(v).max(initial=0)))
                 sizes.append(len(v))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(data, pa.binary()), pa.array(norms, pa.float64()), pa.array(sizes, pa.int32())],
-                ["vec_id", "v", "norm", "size"])
+                batch.column(0), pa.array(data, pa.binary()), pa.array(norms, pa.float64()), pa.array(peaks, pa.float64()),
+                pa.array(sizes, pa.int32())], ["vec_id", "v", "norm", "peak", "size"])
 
     return run
 
@@ -73,30 +77,34 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 class Geometry:
-    """Pivots in the space with the added component, and distances to them."""
+    """Pivots in the space with the added component, and distances to them; all vectors are multiplied by `factor`."""
 
-    def __init__(self, pivots: np.ndarray, most: float):
-        self.dim, self.most = pivots.shape[1], most
+    def __init__(self, pivots: np.ndarray, most: float, factor: float = 1.0):
+        self.dim, self.most, self.factor = pivots.shape[1], most, factor
         self.pivots = pivots
         self.norms = (pivots ** 2).sum(axis=1)
         self.extra = np.sqrt(np.maximum(0.0, most - self.norms))
 
     def of_vectors(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.factor
         extra = np.sqrt(np.maximum(0.0, self.most - (x ** 2).sum(axis=1)))
         return np.sqrt(np.maximum(0.0, 2 * self.most - 2 * (x @ self.pivots.T + extra[:, None] * self.extra)))
 
     def of_queries(self, q: np.ndarray) -> np.ndarray:
+        q = q * self.factor
         return np.sqrt(np.maximum(0.0, (q ** 2).sum(axis=1)[:, None] + self.most - 2 * q @ self.pivots.T))
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products as integers, cut to the range of a long."""
-    top = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if top < 2 ** 53:
-        return (q @ x.T).astype(np.int64)
-    whole = [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
+    """Exact inner products as integers, cut to the range of a long; pairs too large for doubles are multiplied as integers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = np.outer(np.abs(q).max(axis=1, initial=0), np.abs(x).max(axis=1, initial=0)) * max(1, q.shape[1])
+        large = top >= 2 ** 53
+        out = np.where(large, 0, q @ x.T).astype(np.int64)
     low, high = -2 ** 63, 2 ** 63 - 1
-    return np.array([[min(max(s, low), high) for s in line] for line in whole], np.int64).reshape(len(q), len(x))
+    for i, j in zip(*np.nonzero(large)):
+        out[i, j] = min(max(sum(int(a) * int(b) for a, b in zip(q[i], x[j])), low), high)
+    return out
 
 
 def _assign(geometry: Geometry):
@@ -176,9 +184,9 @@ def _visits(geometry: Geometry, annuli: list, k: int, first: bool):
                 part = batch.slice(at, 256)
                 q = _matrix(vectors[at:at + 256], geometry.dim)
                 d = geometry.of_queries(q)[:, pivot]
-                norm = (q ** 2).sum(axis=1)[:, None] + geometry.most
+                norm = ((q * geometry.factor) ** 2).sum(axis=1)[:, None] + geometry.most
                 gap = np.maximum(0.0, np.maximum(d - high, low - d))
-                best = (norm - gap ** 2) / 2 + 1e-9 * norm + 1e-3  # no vector there has a larger inner product
+                best = (norm - gap ** 2) / 2 + 1e-9 * norm + 1e-3 * geometry.factor  # no vector there has a larger inner product
                 if first:
                     order = np.argsort(-best, axis=1, kind="stable")
                     before = np.cumsum(n[order], axis=1) - n[order]
@@ -186,7 +194,7 @@ def _visits(geometry: Geometry, annuli: list, k: int, first: bool):
                     cell = order[query, place]
                 else:
                     bound = part.column("bound").to_numpy(zero_copy_only=False)
-                    query, cell = np.nonzero(best >= bound[:, None].astype(np.float64))
+                    query, cell = np.nonzero(best >= bound[:, None].astype(np.float64) * geometry.factor * geometry.factor)
                 taken = pa.RecordBatch.from_arrays([part.column(c) for c in ("rid", "vec_id", "v", "bound")],
                                                    ["rid", "vec_id", "v", "bound"]).take(pa.array(query))
                 yield pa.RecordBatch.from_arrays(
@@ -247,12 +255,15 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     spark = vectors.sparkSession
     rows = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(
         F.col(vec_id).cast("long").alias("vec_id"), vector)
-    table = numbered(rows.mapInArrow(_quantise(scale), "vec_id long, v binary, norm double, size int"))
-    most, dim = table.agg(F.max("norm"), F.max("size")).first()
+    table = numbered(rows.mapInArrow(_quantise(scale), "vec_id long, v binary, norm double, peak double, size int"))
+    most, peak, dim = table.agg(F.max("norm"), F.max("peak"), F.max("size")).first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = [bytes(r["v"]) for r in table.orderBy(F.xxhash64("vec_id", "rid")).limit(CHOICE).select("v").collect()]
-    geometry = Geometry(choose_pivots(_matrix(sample, max(dim, 1)), PIVOTS), float(most))
+    # Squares that overflow: all is measured in units of the largest component's power of two, with the largest norm possible.
+    factor = 1.0 if np.isfinite(most) else float(np.ldexp(1.0, -int(np.frexp(peak)[1])))
+    geometry = Geometry(choose_pivots(_matrix(sample, max(dim, 1)) * factor, PIVOTS),
+                        float(most) if factor == 1.0 else float(dim), factor)
     index, annuli, _ = build_index(table, geometry)
     queries = stage(table.where(is_query).select("rid", "vec_id", "v").withColumn(
         "bound", F.lit(-2 ** 63).cast("long")), "queries")

@@ -55,6 +55,22 @@ def test_large_components_stay_exact():
     assert topk.scores(q, x).tolist() == [[2**60 + 3, 2**63 - 1], [2**63 - 1, 2**63 - 1]]
 
 
+def test_components_whose_squares_overflow(spark):
+    """A huge component takes nothing from the answers between small vectors; products beyond a long tie."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    rows[7] = (7, [1e160, 0.0, 1.0, -1.0])
+    rows[250] = (250, [-3e307, 1.7e308, 0.0, 0.0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = np.finfo(float).max
+    data = {i: [int(min(max(np.floor(1024.0 * c) if abs(c) < 1e300 else c * np.inf, -most), most)) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 100, 200):
+        score = {i: min(max(sum(a * b for a, b in zip(data[q], v)), -2**63), 2**63 - 1) for i, v in data.items() if i != q}
+        want += [(q, n + 1, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:10])]
+    assert answers(topk.top_k(df, F.col("vec_id") % 100 == 0)) == want
+
+
 def test_few_and_no_vectors(spark):
     assert answers(topk.top_k(table(spark, [(0, [1.0], 1)]), F.col("vec_id") % 100 == 0)) == []
     assert topk.top_k(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
