@@ -247,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def with_scores(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Replace the text column by `score`; other columns pass through."""
-    rest = [c for c in rows.columns if c != text]
+    """Replace the text column by `score`, also where there is such a column; others pass through."""
+    rest = [c for c in rows.columns if c not in (text, "score")]
 
     def score(batches):
         import pyarrow as pa
@@ -264,11 +264,18 @@ def with_scores(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
+    """The documents that score below the threshold, with all their columns; each goes to Python once and back if it stays."""
     model = fit(docs, labels, doc_id, text)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = with_scores(docs.select(whole, F.col(text).alias("text")), model)
-    return scored.where(F.col("score") < threshold).select("row.*")
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < threshold for t in utf8(batch.column(at))], pa.bool_()))
+
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
