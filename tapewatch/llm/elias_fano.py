@@ -26,15 +26,17 @@ from pyspark.sql import functions as F
 
 from tapewatch.llm.common import partitions, read_table, text_batches
 from tapewatch.llm.tokens import shared_encoder, utf8
-from tapewatch.session import new_path
+from tapewatch.session import drop_tables, new_path
 
 END = 1
 #: A segment is closed with so many ids or documents, or with a longer single text.
 SEGMENT_IDS, SEGMENT_DOCS = 256 * 1024, 64 * 1024
 #: Every so many ones of the upper bits their position is kept.
 SAMPLE = 64
-SEGMENT = ("part int, segment int, n_docs long, n_null long, n_ids long, start_in_part long, width int, "
-           "ids binary, starts binary, doc_ids binary")
+SEGMENT = ("part int, segment int, n_docs long, n_null long, n_ids long, start_in_part long, first_id long, last_id long, "
+           "width int, ids binary, starts binary, doc_ids binary")
+#: Bytes of a row group of files that hold ids.
+BLOCK = 16 << 20
 
 
 class EliasFano:
@@ -105,25 +107,43 @@ class EliasFano:
         return self._value(np.flatnonzero(np.unpackbits(self.high, bitorder="little")), 0)
 
 
-def _segments(vocabulary: str | None, end: int):
+def _encoded(vocabulary: str | None):
+    """Texts to their ids, two bytes each where all fit."""
+    def encode(batches):
+        import pyarrow as pa
+
+        encoder = shared_encoder(vocabulary)
+        for batch in batches:
+            ids = [np.frombuffer(i, "<u4") for i in encoder.each(utf8(batch.column("text")))]
+            width = [2 if not len(i) or i.max() < 2 ** 16 else 4 for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("spread"), pa.array(width, pa.int32()),
+                 pa.array([i.astype(f"<u{w}").tobytes() for i, w in zip(ids, width)], pa.binary())],
+                ["doc_id", "spread", "width", "ids"])
+
+    return encode
+
+
+def _segments(end: int):
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), shared_encoder(vocabulary)
-        stop = struct.pack("<I", end)
+        shared_encoder.cache_clear()  # the words of the stage before are needed no more
+        part = TaskContext.get().partitionId()
         number = done = 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         keys: list[int | None] = []
         starts: list[int] = [0]
 
         def segment():
             nonlocal number, done
-            data = np.frombuffer(b"".join(ids), "<u4")
-            width = 2 if len(data) and data.max() < 2**16 else 4
+            data = np.concatenate(ids)
+            width = 2 if data.max() < 2**16 else 4
             known = np.array([k for k in keys if k is not None], np.int64)
             row = {"part": part, "segment": number, "n_docs": len(keys), "n_null": len(keys) - len(known),
-                   "n_ids": len(data), "start_in_part": done, "width": width,
+                   "n_ids": len(data), "start_in_part": done, "first_id": int(known[0]) if len(known) else None,
+                   "last_id": int(known[-1]) if len(known) else None, "width": width,
                    "ids": data.astype(f"<u{width}").tobytes(),
                    "starts": EliasFano.encode(np.array(starts, np.int64)).pack(),
                    "doc_ids": EliasFano.encode(known).pack()}
@@ -136,10 +156,11 @@ def _segments(vocabulary: str | None, end: int):
                 for k, v in row.items()], list(row))
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), encoder.each(utf8(batch.column(1))), strict=True):
-                ids.append(text + stop)
-                keys.append(key)
-                starts.append(starts[-1] + len(text) // 4 + 1)
+            for i in range(batch.num_rows):
+                width, own = batch.column("width")[i].as_py(), batch.column("ids")[i].as_py()
+                keys.append(batch.column("doc_id")[i].as_py())
+                ids.append(np.append(np.frombuffer(own, f"<u{width}"), [end]).astype("<u4"))
+                starts.append(starts[-1] + len(ids[-1]))
                 if starts[-1] >= SEGMENT_IDS or len(keys) >= SEGMENT_DOCS:
                     yield segment()
         if keys:
@@ -148,30 +169,49 @@ def _segments(vocabulary: str | None, end: int):
     return write
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("parquet.block.size", BLOCK).parquet(path)
+
+
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
               vocabulary: str | None = None, end: int = END) -> None:
-    """Encode all texts and write them to `path` in ascending order of `doc_id`."""
-    text_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = [F.asc("doc_id"), F.xxhash64("text")]  # the hash only spreads rows that share a document id
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
-    (ranged.mapInArrow(_segments(vocabulary, end), SEGMENT)
-     .write.option("parquet.block.size", 16 << 20).parquet(path))
+    """Encode all texts and write them to `path` in ascending order of `doc_id`.
+
+    Texts are encoded where they are read, and written as ids; only these are sorted, and sorting them again after the
+    loss of an executor encodes nothing twice.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("spread"), body.alias("text"))
+    encoded = new_path(spark, "encoded")
+    schema = "doc_id long, spread long, width int, ids binary"
+    _write(rows.mapInArrow(_encoded(vocabulary), schema), encoded)
+    order = [F.asc("doc_id"), F.asc("spread")]  # the hash only spreads rows that share a document id
+    ranged = spark.read.schema(schema).parquet(encoded).repartitionByRange(partitions(spark), *order)
+    _write(ranged.sortWithinPartitions(*order, "width", "ids").mapInArrow(_segments(end), SEGMENT), path)
+    drop_tables(spark, [encoded])
+
+
+def _rows(batches):
+    """A segment at a time as Python values."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
 def _documents(batches):
     import pyarrow as pa
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            starts = EliasFano.unpack(row["starts"]).all()
-            ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").data.cast("B")
-            crc = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            known = EliasFano.unpack(row["doc_ids"]).all().tolist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([None] * row["n_null"] + known, pa.int64()), pa.array(starts[:-1] + row["base"]),
-                pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
+    for row in _rows(batches):
+        starts = EliasFano.unpack(row["starts"]).all()
+        ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").data.cast("B")
+        crc = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        known = EliasFano.unpack(row["doc_ids"]).all().tolist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array([None] * row["n_null"] + known, pa.int64()), pa.array(starts[:-1] + row["base"]),
+            pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
+            ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -187,25 +227,30 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The ids of single documents, by binary search over the ids and two selects per document."""
+    """The ids of single documents, by binary search over the ids and two selects per document.
+
+    Only segments whose first and last id leave room for one of the documents are read.
+    """
     def lookup(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, starts = EliasFano.unpack(row["doc_ids"]), EliasFano.unpack(row["starts"])
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-                for wanted in doc_ids:
-                    a = bisect_left(range(keys.n), wanted, key=keys.select)
-                    while a < keys.n and keys.select(a) == wanted:
-                        i = a + row["n_null"]
-                        part = ids[starts.select(i):starts.select(i + 1)].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([wanted], pa.int64()), pa.array([part.tolist()], pa.list_(pa.int64()))],
-                            ["doc_id", "ids"])
-                        a += 1
-
-    segments = spark.read.schema(SEGMENT).parquet(path).select("n_null", "width", "ids", "starts", "doc_ids")
+        for row in _rows(batches):
+            keys, starts = EliasFano.unpack(row["doc_ids"]), EliasFano.unpack(row["starts"])
+            ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+            for wanted in doc_ids:
+                a = bisect_left(range(keys.n), wanted, key=keys.select)
+                while a < keys.n and keys.select(a) == wanted:
+                    i = a + row["n_null"]
+                    part = ids[starts.select(i):starts.select(i + 1)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([wanted], pa.int64()), pa.array([part.tolist()], pa.list_(pa.int64()))],
+                        ["doc_id", "ids"])
+                    a += 1
+
+    near = F.lit(False)
+    for wanted in doc_ids:
+        near = near | ((F.col("first_id") <= wanted) & (F.col("last_id") >= wanted))
+    segments = spark.read.schema(SEGMENT).parquet(path).where(near).select("n_null", "width", "ids", "starts", "doc_ids")
     return segments.mapInArrow(lookup, "doc_id long, ids array<long>")
 
 
