@@ -654,6 +654,8 @@ FROM both_rows CROSS JOIN (VALUES ('once'), ('each')) t(turns)""", "fx_scores")
         f"FROM ({_layers_sql()}) z", "fx_scores")
     put("iforest_shape", """SELECT CAST(300 AS BIGINT) AS trees, least(n, 256) AS least_rows, least(n, 256) AS most_rows,
   CAST(0 AS BIGINT) AS broken FROM (SELECT count(*) AS n FROM profiles WHERE is_leaked_market = 0) z""", "profiles")
+    put("saved_models", """SELECT unnest(['forest', 'autoencoder', 'linear']) AS model, count(*) AS wallets, CAST(0 AS BIGINT) AS differing
+FROM raw_profiles""", "raw_profiles")
     put("linear_error_fixed", """SELECT taker, round((power(x0 - 0.6::DOUBLE * p, 2) + power(x1 - 0.8::DOUBLE * p, 2)) / 2, 9) AS anomaly_score_linear
 FROM (SELECT taker, score_a / 10 AS x0, score_b / 10 AS x1, 0.6::DOUBLE * score_a / 10 + 0.8::DOUBLE * score_b / 10 AS p FROM fx_scores) z""",
         "fx_scores")

@@ -643,6 +643,25 @@ def linear_directions(spark, sf):
     return spark.createDataFrame(rows, "measure string, value double").withColumn("value", F.round("value", 6) + 0.0)
 
 
+@query
+def saved_models(spark, sf):
+    """Wallets scored by each model when it is trained, and how many of them the saved model scores otherwise."""
+    table, found = stage(wallet_profiles(spark, sf), "profiles"), None
+    runs = {
+        "forest": (lambda path: iforest.run_isolation_forest(table, path, trees=30), iforest.score_saved_forest, "if"),
+        "autoencoder": (lambda path: autoencoder.run_autoencoder(table, path, epochs=2), autoencoder.score_saved_autoencoder, "ae"),
+        "linear": (lambda path: linear.run_linear(table, path), linear.score_saved_linear, "linear")}
+    for name, (run, reload, suffix) in runs.items():
+        path, score = new_path(spark, "model"), F.col(f"anomaly_score_{suffix}")
+        first = stage(run(path).select("taker", score.alias("a"), F.col(f"rank_{suffix}").alias("rank_a")), "scores")
+        again = reload(table, path).select("taker", score.alias("b"), F.col(f"rank_{suffix}").alias("rank_b"))
+        other = ~(F.col("a").eqNullSafe(F.col("b")) & F.col("rank_a").eqNullSafe(F.col("rank_b")))
+        part = first.join(again, "taker", "full").agg(
+            F.lit(name).alias("model"), F.count("a").alias("wallets"), F.count_if(other).alias("differing"))
+        found = part if found is None else found.unionByName(part)
+    return found.select("model", "wallets", "differing")
+
+
 @query
 def autoencoder_shape(spark, sf):
     weights = _autoencoder(spark, sf).weights_frame(spark)

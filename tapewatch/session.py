@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -37,6 +38,25 @@ def build_session(name: str = "tapewatch", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so that it need not be installed there or on their path.
+
+    Entry points call it; with a session of one's own, call it once before the first job. The driver serves the file.
+    """
+    context, name = spark.sparkContext, f"{__package__}.zip"
+    if not any(f.endswith(f"/{name}") for f in context.listFiles):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="tapewatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, name)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for at, _, files in os.walk(os.path.join(root, __package__)):
+                for file in files:
+                    if file.endswith(".py"):
+                        archive.write(os.path.join(at, file), os.path.relpath(os.path.join(at, file), root))
+        context.addPyFile(path)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir` or set on the context; without one there is nowhere to stage."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
