@@ -67,3 +67,58 @@ def test_no_python_in_the_plan(spark, odd_docs, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     text = sharding.op5_hilbert_sharding(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
+
+
+def plain_curve(cells, bits):
+    """The index of a cell by rotations and Gray codes, level by level, without tables."""
+    n, entry, direction, index = len(cells), 0, 0, 0
+    mask = 2 ** n - 1
+
+    def turned(x, k):
+        k %= n
+        return (x << k | x >> n - k) & mask
+
+    for b in reversed(range(bits)):
+        corner = turned(sum((c >> b & 1) << i for i, c in enumerate(cells)) ^ entry, n - (direction + 1) % n)
+        digit = corner
+        for shift in range(1, n):
+            digit ^= corner >> shift
+        index = index << n | digit
+        first = 0 if not digit else (digit - 1) // 2 * 2
+        ones, rest = 0, digit if digit % 2 else digit - 1
+        while digit and rest & 1:
+            ones, rest = ones + 1, rest >> 1
+        entry ^= turned(first ^ first >> 1, direction + 1)
+        direction = (direction + ones + 1) % n
+    return index
+
+
+def test_query_against_a_plain_curve(spark):
+    """Cells, curve and cut computed row by row in plain Python, over the whole table."""
+    sf, bits = "/root/testdata/sf0.001", sharding.BITS
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for d in docs:
+        data = (d["text"] or "").encode()
+        d |= {"size": len(data) + 8, "crc": zlib.crc32(data)}
+    sizes = sorted(d["size"] for d in docs)
+    cuts = [sizes[max(0, -(-i * len(docs) // 2 ** bits) - 1)] for i in range(1, 2 ** bits)]
+
+    def value_cells(name):
+        counts, before, out = Counter(d[name] for d in docs if d[name] is not None), 0, {None: 0}
+        total = sum(counts.values())
+        for value in sorted(counts, key=lambda v: v.encode()):
+            out[value] = min(2 ** bits - 1, int((before + counts[value] / 2) * 2 ** bits / total))
+            before += counts[value]
+        return out
+
+    sources, langs = value_cells("source"), value_cells("lang")
+    for d in docs:
+        d["curve"] = plain_curve([sources[d["source"]], langs[d["lang"]], sum(c <= d["size"] for c in cuts)], bits)
+    docs.sort(key=lambda d: (d["curve"], d["crc"], d["doc_id"]))
+    want, slots = {}, Counter()
+    for place, d in enumerate(docs):
+        shard = place * sharding.SHARDS // len(docs)
+        want[d["doc_id"]] = (d["size"], d["crc"], d["curve"], shard, slots[shard])
+        slots[shard] += 1
+    got = {r.doc_id: (r.size, r.text_crc32, r.curve, r.shard, r.slot) for r in sharding.op5_hilbert_sharding(spark, sf).collect()}
+    assert got == want
