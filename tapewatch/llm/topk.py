@@ -8,8 +8,9 @@ their triangle-inequality bounds. First come the nearest ones until they hold en
 score is a bound, and of all other annuli only those are visited whose bound allows that score or a better one.
 All bounds have a margin for rounding, scores are exact integers.
 
-Queries and vectors meet by an equality join on the annulus, as packed blocks of vectors and packed groups of
-queries; a task multiplies one block with one group and hands on only scores that reach the bound.
+Queries are packed in groups and vectors in blocks, some blocks of neighbouring annuli to a bucket. They meet per bucket
+and group: the group's vectors come once, the blocks with a bit for each query that visits them. A task multiplies one
+block at a time and hands on only the best scores that reach the bound.
 
 Defined results: rows without id, null vectors and vectors with null or non-finite components take no part.
 Shorter vectors are padded with zeros. A candidate never answers a query of its own id. Repeated ids: every row is a
@@ -20,6 +21,8 @@ measured in a larger unit, in which nothing may be excluded, and scores stay exa
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,12 @@ from tapewatch.session import stage
 K, SCALE, EVERY = 10, 1024, 100
 #: Pivots, vectors that they are chosen from, and annuli per pivot at most.
 PIVOTS, CHOICE, RINGS = 64, 1024, 64
-#: Vectors in a block and queries in a group, expected.
-BLOCK, GROUP = 1024, 1024
+#: Vectors in a block, blocks in a bucket, and queries in a group, expected.
+BLOCK, BUCKET, GROUP = 1024, 16, 8192
+#: Keys that the blocks of an annulus, and the buckets that a group visits, are dealt over at most.
+SALTS = 32
+#: Scores that a task holds before it drops all but the best.
+HELD = 1 << 20
 #: Vectors that the annuli of the first round should hold, as a multiple of k.
 FIRST = 8
 MOST = float(np.finfo(np.float64).max)
@@ -123,30 +130,39 @@ def _assign(geometry: Geometry):
     return run
 
 
-def _packed(id_column: str, columns: str):
-    """Rows of a group to one row with the ids and vectors one after the other."""
+def _packed(keys: tuple[str, ...], dim: int, columns: dict[str, str]):
+    """Rows of a group to one row: vectors and `columns` one after the other, in order of `rid`."""
     def run(table):
         import pyarrow as pa
 
+        table = table.sort_by("rid")
         first = table.slice(0, 1)
-        ids = table.column(id_column).to_numpy().astype("<i8").tobytes()
-        out = {"pivot": first.column("pivot"), "ring": first.column("ring"), "ids": pa.array([ids], pa.binary()),
-               "vectors": pa.array([b"".join(_padded(table))], pa.binary())}
-        if columns == "queries":
-            out["rows"] = pa.array([table.column("rid").to_numpy().astype("<i8").tobytes()], pa.binary())
-            out["bounds"] = pa.array([table.column("bound").to_numpy().astype("<i8").tobytes()], pa.binary())
-        return pa.table(out)
-
-    def _padded(table):
-        vectors = table.column("v").to_pylist()
-        longest = 8 * table.column("dim")[0].as_py()
-        return [v.ljust(longest, b"\0") for v in vectors]
+        out = {k: first.column(k) for k in keys}
+        for name, column in columns.items():
+            out[name] = pa.array([table.column(column).to_numpy().astype("<i8").tobytes()], pa.binary())
+        vectors = b"".join(v.ljust(8 * dim, b"\0") for v in table.column("v").to_pylist())
+        return pa.table(out | {"vectors": pa.array([vectors], pa.binary())})
 
     return run
 
 
-def build_index(vectors: DataFrame, geometry: Geometry) -> tuple[DataFrame, list, DataFrame]:
-    """Blocks (pivot, ring, ids, vectors), the annuli (pivot, ring, low, high, n), and the vectors with cells."""
+@dataclass
+class Annulus:
+    """Vectors nearest to a pivot within a range of distances from it: their number, and the blocks they are in."""
+
+    pivot: int
+    ring: int
+    low: float
+    high: float
+    n: int
+    blocks: int = 1
+    first: int = 0  # blocks of the annuli before
+    buckets: tuple[int, int] = (0, 0)  # the first and the last that hold some of them
+
+
+def build_index(vectors: DataFrame, geometry: Geometry) -> tuple[DataFrame, list[Annulus]]:
+    """Blocks (annulus, block, bucket, ids, vectors), where a bucket holds `BUCKET` blocks in order; and the annuli."""
+    spark = vectors.sparkSession
     cells = stage(vectors.select("vec_id", "v", "rid").mapInArrow(
         _assign(geometry), "vec_id long, v binary, rid long, pivot int, dist double"), "cells")
     span = cells.groupBy("pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
@@ -157,93 +173,145 @@ def build_index(vectors: DataFrame, geometry: Geometry) -> tuple[DataFrame, list
         rings.alias("rings")), "pivots"))
     ring = F.least(F.floor((F.col("dist") - F.col("low")) / F.col("width")), F.col("rings") - 1).cast("int")
     placed = cells.join(width, "pivot").withColumn("ring", ring).drop("low", "width", "rings")
-    annuli = stage(placed.groupBy("pivot", "ring").agg(
-        F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")), "annuli")
-    blocks = annuli.select("pivot", "ring", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks"))
     # At most `PIVOTS` x `RINGS` annuli.
-    dealt = placed.join(F.broadcast(blocks), ["pivot", "ring"]).withColumn(
-        "block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("dim", F.lit(geometry.dim))
-    packed = dealt.groupBy("pivot", "ring", "block").applyInArrow(
-        _packed("vec_id", "vectors"), "pivot int, ring int, ids binary, vectors binary")
-    return stage(packed, "index"), annuli.orderBy("pivot", "ring").collect(), placed
-
-
-def _visits(geometry: Geometry, annuli: list, k: int, first: bool):
+    counted = placed.groupBy("pivot", "ring").agg(
+        F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")).orderBy("pivot", "ring")
+    annuli = [Annulus(r.pivot, r.ring, r.low, r.high, r.n, -(-r.n // BLOCK)) for r in counted.collect()]
+    blocks = 0
+    for a in annuli:
+        a.first, a.buckets = blocks, (blocks // BUCKET, (blocks + a.blocks - 1) // BUCKET)
+        blocks += a.blocks
+    table = F.broadcast(spark.createDataFrame(
+        [(a.pivot, a.ring, i, a.blocks, a.first) for i, a in enumerate(annuli)],
+        "pivot int, ring int, annulus int, blocks long, first long"))
+    dealt = placed.join(table, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn(
+        "bucket", F.floor((F.col("first") + F.col("block")) / F.lit(BUCKET)))
+    keys = ("annulus", "block", "bucket")
+    packed = dealt.groupBy(*keys).applyInArrow(
+        _packed(keys, geometry.dim, {"ids": "vec_id"}), "annulus int, block long, bucket long, ids binary, vectors binary")
+    return stage(packed, "index"), annuli
+
+
+def visited(geometry: Geometry, annuli: list[Annulus], q: np.ndarray, bounds: np.ndarray, k: int, first: bool) -> np.ndarray:
     """Which annuli each query visits: by bound, the first ones only or all that can still hold a result."""
-    pivot = np.array([a["pivot"] for a in annuli], np.int64)
-    ring = np.array([a["ring"] for a in annuli], np.int32)
-    low, high = np.array([a["low"] for a in annuli]), np.array([a["high"] for a in annuli])
-    n = np.array([a["n"] for a in annuli], np.int64)
+    pivot, n = np.array([a.pivot for a in annuli], np.int64), np.array([a.n for a in annuli], np.int64)
+    low, high = np.array([a.low for a in annuli]), np.array([a.high for a in annuli])
+    d = geometry.of_queries(q)[:, pivot]
+    norm = ((q * geometry.factor) ** 2).sum(axis=1)[:, None] + geometry.most
+    gap = np.maximum(0.0, np.maximum(d - high, low - d))
+    best = (norm - gap ** 2) / 2 + 1e-9 * norm + 1e-3 * geometry.factor  # no vector there has a larger inner product
+    if not first:
+        return best >= bounds[:, None].astype(np.float64) * geometry.factor * geometry.factor
+    order = np.argsort(-best, axis=1, kind="stable")
+    before = np.cumsum(n[order], axis=1) - n[order]
+    out = np.zeros(best.shape, bool)
+    np.put_along_axis(out, order, before < FIRST * k, axis=1)
+    return out
+
 
+def _visits(geometry: Geometry, annuli: list[Annulus], k: int, first: bool):
+    """Per packed group of queries a row for each annulus that some of them visit, with a bit per query."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                q = _matrix(vectors[at:at + 256], geometry.dim)
-                d = geometry.of_queries(q)[:, pivot]
-                norm = ((q * geometry.factor) ** 2).sum(axis=1)[:, None] + geometry.most
-                gap = np.maximum(0.0, np.maximum(d - high, low - d))
-                best = (norm - gap ** 2) / 2 + 1e-9 * norm + 1e-3 * geometry.factor  # no vector there has a larger inner product
-                if first:
-                    order = np.argsort(-best, axis=1, kind="stable")
-                    before = np.cumsum(n[order], axis=1) - n[order]
-                    query, place = np.nonzero(before < FIRST * k)
-                    cell = order[query, place]
-                else:
-                    bound = part.column("bound").to_numpy(zero_copy_only=False)
-                    query, cell = np.nonzero(best >= bound[:, None].astype(np.float64) * geometry.factor * geometry.factor)
-                taken = pa.RecordBatch.from_arrays([part.column(c) for c in ("rid", "vec_id", "v", "bound")],
-                                                   ["rid", "vec_id", "v", "bound"]).take(pa.array(query))
+            for row in batch.to_pylist():
+                q = np.frombuffer(row["vectors"], "<f8").reshape(-1, geometry.dim)
+                bounds = np.frombuffer(row["bounds"], "<i8")
+                which = np.concatenate([visited(geometry, annuli, q[i:i + 256], bounds[i:i + 256], k, first)
+                                        for i in range(0, len(q), 256)])
+                at = np.flatnonzero(which.any(axis=0))
+                masks = [np.packbits(which[:, i]).tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(pivot[cell].astype(np.int32)), pa.array(ring[cell])],
-                    ["rid", "vec_id", "v", "bound", "pivot", "ring"])
+                    [pa.array(np.full(len(at), row["g"], np.int32)), pa.array(at.astype(np.int32)),
+                     *[pa.array([annuli[i].buckets[end] for i in at], pa.int64()) for end in (0, 1)],
+                     pa.array([min(SALTS, annuli[i].blocks) for i in at], pa.int32()), pa.array(masks, pa.binary())],
+                    ["g", "annulus", "from", "to", "salts", "mask"])
 
     return run
 
 
+class _Best:
+    """The k best scores per query row, of many blocks."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size > HELD:
+            self.held = [self.all()]
+            self.size = len(self.held[0][0])
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        row, ids, score = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((ids, ~score, row))  # the least long has no negative
+        row, ids, score = row[order], ids[order], score[order]
+        start = np.searchsorted(row, row)
+        top = np.arange(len(row)) - start < self.k
+        return row[top], ids[top], score[top]
+
+
 def _multiply(k: int, dim: int):
-    """The k best of a block for each query of a group, as far as they reach the query's bound."""
+    """Units of a group of queries and then blocks to the k best of each query, as far as they reach its bound."""
     def run(batches):
         import pyarrow as pa
 
+        def answers():
+            row, ids, score = best.all()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows[row]), pa.array(own[row]), pa.array(ids), pa.array(score)], ["rid", "query_id", "vec_id", "score"])
+
+        best = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
-                rows, bounds = np.frombuffer(row["rows"], "<i8"), np.frombuffer(row["bounds"], "<i8")
-                x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), dim)
-                q = np.frombuffer(row["queries"], "<f8").reshape(len(qids), dim)
-                order = np.argsort(ids, kind="stable")
-                ids, s = ids[order], scores(q, x[order])
-                good = (s >= bounds[:, None]) & (ids[None, :] != qids[:, None])
-                out: list[list] = [[], [], [], []]
-                for i in range(len(qids)):
-                    hit = np.flatnonzero(good[i])
-                    hit = hit[np.argsort(-s[i, hit], kind="stable")[:k]]
-                    for column, value in zip(out, (np.full(len(hit), rows[i]), np.full(len(hit), qids[i]), ids[hit], s[i, hit])):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out],
-                    ["rid", "query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                part = {name: batch.column(name)[i].as_py() for name in ("kind", "ids", "vectors", "rows", "bounds", "mask")}
+                ids = np.frombuffer(part["ids"], "<i8")
+                x = np.frombuffer(part["vectors"], "<f8").reshape(len(ids), dim)
+                if part["kind"] == 0:
+                    if best is not None:
+                        yield answers()
+                    best, own, q = _Best(k), ids, x
+                    rows, bounds = (np.frombuffer(part[name], "<i8") for name in ("rows", "bounds"))
+                    continue
+                asking = np.flatnonzero(np.unpackbits(np.frombuffer(part["mask"], np.uint8), count=len(rows)))
+                for some in np.array_split(asking, -(-len(asking) // 256)):
+                    s = scores(q[some], x)
+                    good = (s >= bounds[some][:, None]) & (ids[None, :] != own[some][:, None])
+                    at, hit = np.nonzero(good)
+                    best.add(some[at], ids[hit], s[at, hit])
+        if best is not None:
+            yield answers()
 
     return run
 
 
-def _round(queries: DataFrame, index: DataFrame, geometry: Geometry, annuli: list, k: int, first: bool) -> DataFrame:
-    """The k best candidates of each query row in the annuli that it visits, with `rank`."""
-    visits = stage(queries.select("rid", "vec_id", "v", "bound").mapInArrow(
-        _visits(geometry, annuli, k, first), "rid long, vec_id long, v binary, bound long, pivot int, ring int"), "visits")
-    groups = stage(visits.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups")), "groups")
-    packed = (visits.join(F.broadcast(groups), ["pivot", "ring"])  # a row per annulus
-              .withColumn("group", F.pmod(F.xxhash64("rid"), F.col("groups"))).withColumn("dim", F.lit(geometry.dim))
-              .groupBy("pivot", "ring", "group").applyInArrow(
-                  _packed("vec_id", "queries"),
-                  "pivot int, ring int, ids binary, vectors binary, rows binary, bounds binary"))
-    packed = stage(packed, "queries").select(
-        "pivot", "ring", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), "rows", "bounds")
-    found = index.join(packed, ["pivot", "ring"]).mapInArrow(
+def _round(queries: DataFrame, index: DataFrame, geometry: Geometry, annuli: list[Annulus], groups: int, k: int,
+           first: bool) -> DataFrame:
+    """The k best candidates of each query row (rid, vec_id, v, bound) in the annuli that it visits, with `rank`.
+
+    Queries are packed in groups once. A unit is a bucket of blocks and a group that visits some of them: the group's
+    vectors come once per unit, the blocks with a bit per query that visits them.
+    """
+    packed = stage(queries.withColumn("g", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(
+        _packed(("g",), geometry.dim, {"ids": "vec_id", "rows": "rid", "bounds": "bound"}),
+        "g int, ids binary, rows binary, bounds binary, vectors binary"), "groups")
+    visits = stage(packed.mapInArrow(
+        _visits(geometry, annuli, k, first), "g int, annulus int, from long, to long, salts int, mask binary"), "visits")
+    # Annuli with many blocks, and groups that visit many buckets, are dealt out over several keys.
+    spread = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salts = F.lit(min(SALTS, 1 + annuli[-1].buckets[1]))
+    blocks = index.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(spread, ["annulus", "salt"])
+    pairs = visits.select("g", F.explode(F.sequence("from", "to")).alias("bucket")).distinct()
+    asked = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).join(
+        pairs.withColumn("salt", F.pmod("bucket", salts).cast("int")), ["g", "salt"])
+    none = F.lit(None).cast("binary")
+    units = asked.select("bucket", "g", F.lit(0).alias("kind"), "ids", "vectors", "rows", "bounds", none.alias("mask")).unionByName(
+        blocks.select("bucket", "g", F.lit(1).alias("kind"), "ids", "vectors", none.alias("rows"), none.alias("bounds"), "mask"))
+    found = units.repartition("bucket", "g").sortWithinPartitions("bucket", "g", "kind").mapInArrow(
         _multiply(k, geometry.dim), "rid long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -264,13 +332,14 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     factor = 1.0 if np.isfinite(most) else float(np.ldexp(1.0, -int(np.frexp(peak)[1])))
     geometry = Geometry(choose_pivots(_matrix(sample, max(dim, 1)) * factor, PIVOTS),
                         float(most) if factor == 1.0 else float(dim), factor)
-    index, annuli, _ = build_index(table, geometry)
+    index, annuli = build_index(table, geometry)
     queries = stage(table.where(is_query).select("rid", "vec_id", "v").withColumn(
         "bound", F.lit(-2 ** 63).cast("long")), "queries")
-    first = stage(_round(queries, index, geometry, annuli, k, first=True).where(F.col("rank") == k).select(
+    groups = max(1, -(-queries.count() // GROUP))
+    first = stage(_round(queries, index, geometry, annuli, groups, k, first=True).where(F.col("rank") == k).select(
         "rid", F.col("score").alias("_bound")), "bounds")
     bounded = queries.join(first, "rid", "left").withColumn("bound", F.coalesce("_bound", "bound")).drop("_bound")
-    return _round(bounded, index, geometry, annuli, k, first=False).select(
+    return _round(bounded, index, geometry, annuli, groups, k, first=False).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tapewatch.llm import topk
+from tapewatch.session import stage
 
 
 def table(spark, rows):
@@ -29,6 +30,8 @@ def answers(df):
 def test_top_k_is_exact(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BLOCK", 40)
     monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "BUCKET", 3)
+    monkeypatch.setattr(topk, "HELD", 50)
     monkeypatch.setattr(topk, "PIVOTS", 7)
     rng = np.random.default_rng(3)
     n = 700
@@ -43,6 +46,24 @@ def test_top_k_is_exact(spark, monkeypatch, kind):
     assert got == brute(rows, lambda q: q % 50 == 0)
 
 
+def test_equal_vectors_are_spread_over_buckets(spark, monkeypatch):
+    """A third of all rows in one annulus: its blocks lie in many buckets, and none of its keys holds more than a few."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "BUCKET", 2)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 6)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table_ = stage(table(spark, [(i, v, 0) for i, v in rows]))
+    assert answers(topk.top_k(table_, F.col("vec_id") % 100 == 0)) == brute(rows, lambda q: q % 100 == 0)
+    vectors = topk.numbered(table_.mapInArrow(topk._quantise(1024), "vec_id long, v binary, norm double, peak double, size int"))
+    geometry = topk.Geometry(topk.choose_pivots(np.floor(1024 * x[:50].astype(float)), 8), float((np.floor(1024 * x.astype(float))**2).sum(axis=1).max()))
+    index, annuli = topk.build_index(vectors.select("vec_id", "v", "rid"), geometry)
+    sizes = index.groupBy("bucket").agg(F.sum(F.length("ids") / 8).alias("n"), F.count("*").alias("blocks")).collect()
+    assert sum(r.n for r in sizes) == 1500 and max(r.n for r in sizes) < 150 and max(r.blocks for r in sizes) <= 2
+    assert max(a.n for a in annuli) >= 500
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, [0.5, -1.0]), (1, [3.0]), (2, []), (3, [2.0, 2.0]), (3, [2.0, 2.0]), (200, [1.0, 1.0])]
     odd = [(4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [9.0, 9.0])]
@@ -78,7 +99,6 @@ def test_few_and_no_vectors(spark):
 
 def test_far_annuli_are_skipped():
     """Queries within a tight cluster visit few of the annuli."""
-    import pyarrow as pa
     rng = np.random.default_rng(8)
     centers = np.round(1000 * rng.normal(size=(20, 8)))
     x = np.round(np.repeat(centers, 50, axis=0) + 5 * rng.normal(size=(1000, 8)))
@@ -86,11 +106,9 @@ def test_far_annuli_are_skipped():
     d = geometry.of_vectors(x)
     near = d.argmin(axis=1)
     own = d[np.arange(1000), near]
-    annuli = [{"pivot": p, "ring": 0, "low": own[near == p].min(), "high": own[near == p].max(), "n": int((near == p).sum())}
+    annuli = [topk.Annulus(p, 0, own[near == p].min(), own[near == p].max(), int((near == p).sum()))
               for p in sorted(set(near.tolist()))]
     q = x[np.argmax((x**2).sum(axis=1))][None, :]
     best = np.sort(topk.scores(q, x)[0])[-10]
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([q.astype("<f8").tobytes()], pa.binary()),
-                                        pa.array([int(best)])], ["rid", "vec_id", "v", "bound"])
-    visited = sum(b.num_rows for b in topk._visits(geometry, annuli, 10, False)(iter([batch])))
+    visited = topk.visited(geometry, annuli, q, np.array([best]), 10, False).sum()
     assert 1 <= visited <= 5
