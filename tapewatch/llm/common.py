@@ -21,6 +21,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a part that is accumulated by itself.
+PART_ROWS = 4096
 #: Rows of whole texts that go to Python at a time.
 BATCH_ROWS = 1_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -62,14 +64,17 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def running(df: DataFrame, order: list[Column], sums: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Add, per group `by`, the total of each column over the rows *before* this one in `order`.
 
-    `sums` maps new names to summed columns. `df` should be a written table (it is read twice). Rows are split
-    by range of (by, order) into parts, the parts written once with their number; totals per part and group
-    are accumulated (a row per part and group), and each part is then accumulated by itself. A group may
-    span any number of parts, so a hot one is no problem; `order` should be without ties for the same result
-    on every run. NULL is a group of its own.
+    `sums` maps new names to summed columns. `df` should be a written table (it is read several times). Rows are split
+    by range of (by, order) into parts of about `PART_ROWS` rows, two per task slot of a shuffle at most; the parts are
+    written once with their number; totals per part and group are accumulated (a row per part and group), and each part
+    is then accumulated by itself. A group may span any number of parts, so a hot one is no problem; `order` should be
+    without ties for the same result on every run. NULL is a group of its own. A table of one part is accumulated at once.
     """
     by = list(by)
-    n = 2 * partitions(df.sparkSession)
+    n = min(2 * partitions(df.sparkSession), -(-df.count() // PART_ROWS))
+    if n <= 1:
+        line = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(k) for k, c in sums.items()])
     keys = [F.col(b) for b in by] + order
     parts = stage(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "parts")
     totals = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
