@@ -6,10 +6,11 @@ ones form components. Equal fingerprints collapse to one node first, so copies c
 Search: the bits are cut into blocks, two more than the distance allows to be hit, so that two linked
 fingerprints agree on at least two whole blocks. Every choice of two blocks is a shard key, and only nodes that
 share a key can be linked. The nodes of a shard form a BK-tree, whose children hang at their integer distance
-from the parent; a search follows only edges within the radius. Shards above `TREE` nodes are dealt over several
-trees, and each tree is sent to each bounded group of searching nodes. (Sending every tree to all tasks
-would need a broadcast that grows with the corpus; here a tree goes where its key is.) A task hands out
-a spanning forest of the links it finds, never all pairs, and holds one tree and one group at a time.
+from the parent; a search follows only edges within the radius. Shards above `TREE` nodes are split by two more blocks,
+cut from their other bits in the same way; those that are still above it are dealt over several trees, and each
+tree is sent to each bounded group of searching nodes. (Sending every tree to all tasks would need a broadcast that
+grows with the corpus; here a tree goes where its key is.) A task hands out a spanning forest of the links it finds,
+never all pairs, and holds one tree and one group at a time.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -70,14 +71,38 @@ def with_fingerprints(rows: DataFrame, text: str, shingle: int = SHINGLE) -> Dat
     return rows.select(*rest, text).mapInArrow(prints, schema)
 
 
+def _pairs_of_blocks(bits: Column, width: int, distance: int) -> tuple[list[tuple[Column, Column]], list[Column]]:
+    """The blocks that a number of `width` bits is cut into, by twos; and for each choice the other blocks as one number."""
+    blocks = distance + 2
+    edges = [width * i // blocks for i in range(blocks + 1)]
+    sizes = [b - a for a, b in zip(edges, edges[1:])]
+    cut = [F.shiftrightunsigned(bits, a).bitwiseAND((1 << n) - 1) for a, n in zip(edges, sizes)]
+    pairs, rest = [], []
+    for pair in combinations(range(blocks), 2):
+        pairs.append((cut[pair[0]], cut[pair[1]]))
+        others = F.lit(0).cast("long")
+        for i in range(blocks):
+            if i not in pair:
+                others = F.shiftleft(others, sizes[i]).bitwiseOR(cut[i])
+        rest.append(others)
+    return pairs, rest
+
+
 def shard_keys(distance: int) -> list[Column]:
     """One key per choice of two blocks; fingerprints within the distance share at least one."""
-    blocks = distance + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    cut = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
-    width = max(b - a for a, b in zip(edges, edges[1:]))
-    return [F.lit(i << 2 * width).cast("long").bitwiseOR(F.shiftleft(cut[a], width)).bitwiseOR(cut[b])
-            for i, (a, b) in enumerate(combinations(range(blocks), 2))]
+    width = -(-64 // (distance + 2))
+    pairs, _ = _pairs_of_blocks(F.col("fp"), 64, distance)
+    return [F.lit(i << 2 * width).cast("long").bitwiseOR(F.shiftleft(a, width)).bitwiseOR(b) for i, (a, b) in enumerate(pairs)]
+
+
+def finer_keys(distance: int) -> list[Column]:
+    """Keys for the nodes of a crowded `key`: the bits outside of its two blocks are cut into blocks again, and by the
+    same reason two linked fingerprints of the key share a choice of two of these."""
+    width = -(-64 // (distance + 2))
+    _, rest = _pairs_of_blocks(F.col("fp"), 64, distance)
+    choice = F.shiftrightunsigned("key", 2 * width).cast("int")
+    pairs, _ = _pairs_of_blocks(F.element_at(F.array(*rest), choice + 1), 64 - 2 * (64 // (distance + 2)), distance)
+    return [F.xxhash64("key", F.lit(i), a, b) for i, (a, b) in enumerate(pairs)]
 
 
 class BKTree:
@@ -155,10 +180,18 @@ def _search(distance: int):
 def links(nodes: DataFrame, distance: int = DISTANCE, tree: int = TREE) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that connect all those within the distance."""
     keyed = nodes.select("fp", F.explode(F.array(*shard_keys(distance))).alias("key"))
-    several = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """Keys that more than one node has, and how many."""
+        return stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+
+    several = shared(keyed)
+    placed = keyed.join(several, "key")
+    if not several.where(F.col("n") > tree).isEmpty():
+        finer = placed.where(F.col("n") > tree).select("fp", F.explode(F.array(*finer_keys(distance))).alias("key"))
+        placed = placed.where(F.col("n") <= tree).unionByName(finer.join(shared(finer), "key"))
     trees = F.ceil(F.col("n") / F.lit(tree))
-    dealt = keyed.join(several, "key").select(
-        "key", "fp", trees.alias("trees"), F.pmod(F.xxhash64("fp"), trees).alias("own"))
+    dealt = placed.select("key", "fp", trees.alias("trees"), F.pmod(F.xxhash64("fp"), trees).alias("own"))
     # Unit (key, t, g): the nodes of group g search tree t, for t <= g; for t = g the tree searches itself.
     as_member = F.transform(F.sequence("own", F.col("trees") - 1), lambda g: F.struct(
         F.col("own").alias("t"), g.alias("g"), F.lit(0).alias("role")))
