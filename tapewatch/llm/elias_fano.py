@@ -170,7 +170,7 @@ def _segments(end: int):
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.write.option("parquet.block.size", BLOCK).parquet(path)
+    rows.write.option("parquet.block.size", BLOCK).option("compression", "zstd").parquet(path)
 
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
