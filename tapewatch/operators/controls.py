@@ -209,13 +209,15 @@ def hand_out(offers: DataFrame, most: int = TOGETHER) -> DataFrame:
         if taken is not None:
             left = left.join(taken.select("market_id_prefix"), "market_id_prefix", "left_anti").select(*offers.columns)
         near = _first_offers(left, reach).select(*schema.names, "component", "alone")
-        if any(not t.alone for t in now):
-            near = stage(near, "near")
-            in_turn = near.where("not alone").drop("alone").groupBy("component").applyInArrow(
-                lambda table: _in_turn(table.drop(["component"])), schema)
-            got = near.where("alone").select(*schema.names).unionByName(in_turn)
-        else:
-            got = near.select(*schema.names)
+        alone = {t.alone for t in now}
+        near = stage(near, "near") if len(alone) > 1 else near
+        parts = []
+        if True in alone:
+            parts.append(near.where("alone").select(*schema.names))
+        if False in alone:
+            parts.append(near.where("not alone").drop("alone").groupBy("component").applyInArrow(
+                lambda table: _in_turn(table.drop(["component"])), schema))
+        got = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else near.select(*schema.names)
         got = stage(got, "taken")
         taken = got if taken is None else taken.unionByName(got)
     return taken.drop("place")

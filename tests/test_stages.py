@@ -9,6 +9,7 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from tapewatch.operators import controls
 from tapewatch.operators.controls import (case_clusters, category_tags, control_candidates, control_trades, hand_out, on_days,
                                           tag_category, wanted_days)
 from tapewatch.operators.market_index import build_market_index, leaked_markets, market_metadata, resolve_ids
@@ -241,19 +242,57 @@ def test_leaked_markets_do_not_use_up_the_offers(spark):
     assert rows(chosen, "market_id_prefix") == [("0xbbbbbb00",), ("0xbbbbbb01",), ("0xbbbbbb02",)]
 
 
-def test_hand_out_equals_choosing_in_turn(spark):
+def offered(spark, offers, needed):
+    return spark.createDataFrame([(c, p, needed[c], *o) for (c, p), o in offers.items()],
+                                 "cluster_no int, market_id_prefix string, n_needed int, days_ago int, condition_id string")
+
+
+def chosen_in_turn(offers, needed):
+    taken, found = set(), []
+    for c in sorted(needed):
+        free = sorted((o, p) for (k, p), o in offers.items() if k == c and p not in taken)[:needed[c]]
+        found += [(c, p) for _, p in free]
+        taken |= {p for _, p in free}
+    return sorted(found)
+
+
+@pytest.mark.parametrize("most", [2_000, 12])
+def test_hand_out_equals_choosing_in_turn(spark, most):
     rng = random.Random(6)
     offers = {(c, f"p{rng.randrange(60):02d}"): (rng.choice([0, 7]), f"x{rng.randrange(10**6)}") for c in range(1, 13)
               for _ in range(30)}
     needed = {c: rng.randrange(1, 9) for c in range(1, 13)}
-    df = spark.createDataFrame([(c, p, needed[c], *o) for (c, p), o in offers.items()],
-                               "cluster_no int, market_id_prefix string, n_needed int, days_ago int, condition_id string")
-    taken, want = set(), []
-    for c in sorted(needed):
-        free = sorted((o, p) for (k, p), o in offers.items() if k == c and p not in taken)[:needed[c]]
-        want += [(c, p) for _, p in free]
-        taken |= {p for _, p in free}
-    assert rows(hand_out(df), "cluster_no", "market_id_prefix") == sorted(want)
+    got = hand_out(offered(spark, offers, needed), most)
+    assert rows(got, "cluster_no", "market_id_prefix") == chosen_in_turn(offers, needed)
+
+
+@pytest.mark.parametrize("most", [2_000, 200])
+def test_hand_out_along_a_chain_of_conflicts(spark, most):
+    """200 clusters, each of which shares markets with the next; a few rounds, whatever the depth of the chain."""
+    rng = random.Random(8)
+    offers = {(c, f"p{3 * c + i:04d}"): (rng.choice([0, 7]), f"x{rng.randrange(10**6)}") for c in range(1, 201) for i in range(7)}
+    needed = {c: rng.randrange(2, 6) for c in range(1, 201)}
+    df = offered(spark, offers, needed)
+    assert rows(hand_out(df, most), "cluster_no", "market_id_prefix") == chosen_in_turn(offers, needed)
+    assert set(controls.conflicts(df).values()) == {1}
+    rounds = max(t.round for t in controls.turns([(c, n) for c, n in sorted(needed.items())], dict.fromkeys(needed, 1), most)) + 1
+    assert rounds == 1 if most == 2_000 else rounds <= 5
+
+
+def test_components_choose_side_by_side(spark):
+    """Clusters without a market in common need no round after another, nor a task that sees a whole cluster."""
+    offers = {(c, f"p{c % 3}-{c // 3 % 20 + i}"): (0, f"x{c}-{i}") for c in range(60) for i in range(4)}
+    offers |= {(100, f"q{i}"): (0, f"x{i:03d}") for i in range(300)}
+    needed = dict.fromkeys(range(60), 2) | {100: 250}
+    df = offered(spark, offers, needed)
+    component = controls.conflicts(df)
+    assert component.keys() == set(range(60)) and {c % 3 for c in set(component.values())} == {0, 1, 2} and len(set(component.values())) == 3
+    order = controls.turns([(c, needed[c]) for c in sorted(needed)], component, 20)
+    assert max(t.round for t in order) == 1 and [t.alone for t in order if t.cluster_no == 100] == [True]
+    for turn in order:
+        assert turn.reach <= 20 or turn.alone
+    assert rows(hand_out(df, 20), "cluster_no", "market_id_prefix") == chosen_in_turn(offers, needed)
+    assert hand_out(df.limit(0)).count() == 0
 
 
 def test_control_scans_read_the_wanted_days_only(spark, tmp_path):
