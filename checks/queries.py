@@ -810,7 +810,7 @@ def stream_market_volume(spark, sf):
     for part in (fx.events(spark, sf).where(early), fx.events(spark, sf).where(~early)):
         part.write.mode("append").parquet(folder)
         rows = fx.trades_of(ingest.stream_trades(spark, folder, fx.EVENT_SCHEMA))
-        volume.stream_volume(rows, path).awaitTermination()
+        volume.stream_volume(rows, path, partitions=8).awaitTermination()
     return rounded(volume.read_volume(spark, path), {"volume": 6})
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field, replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,7 +177,7 @@ def files_with(rows: DataFrame, path: str, ledger: Ledger, key: str | None, time
     for low, high in (("first_time", "last_time"), ("low", "high")):
         meet = meet & F.coalesce((F.col(low) <= F.col(f"_{high}")) & (F.col(f"_{low}") <= F.col(high)), F.lit(True))
     found = manifest(rows.sparkSession, path, ledger).join(wanted, (F.col("market") == F.col("_market")) & meet, "left_semi")
-    return sorted(r.file for r in found.select("file").collect())
+    return sorted(unquote(r.file) for r in found.select("file").collect())
 
 
 def to_merge(sizes: dict[str, int]) -> list[str]:

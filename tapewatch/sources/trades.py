@@ -80,7 +80,9 @@ def file_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     `tolerant_scan` gives, with all values of all columns decoded. Both are counted where the files are read.
     """
     scan = tolerant_scan(spark, path, schema)
-    file = F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path")
+    plain_path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    # Paths come with escaped characters; a plus sign is one of its own there.
+    file = F.url_decode(F.replace(plain_path, F.lit("+"), F.lit("%2B"))).alias("path")
     maps = [F.size(f"`{f.name}`") for f in schema if isinstance(f.dataType, T.MapType)]
     plain = [F.col(f"`{f.name}`") for f in schema if not isinstance(f.dataType, T.MapType)]
     # A scan of no column takes its number of rows from the footers; a digest of all columns needs every page.
@@ -89,7 +91,7 @@ def file_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     decoded = digest.groupBy("path").agg((F.count_if(F.col("digest") % 2 == 0) + F.count_if(F.col("digest") % 2 != 0)).alias("rows_read"))
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+        .option("pathGlobFilter", "*.parquet").load(path).select(file)
     )
     found = listed.join(promised, "path", "left").join(decoded, "path", "left")
     return found.select("path", "rows_promised", F.coalesce("rows_read", F.lit(0)).alias("rows_read"),

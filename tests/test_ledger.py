@@ -61,6 +61,14 @@ def test_spans_of_numeric_keys(spark, tmp_path):
     assert [near([50]), near([105]), near([105, 250]), near([300])] == [0, 1, 2, 0]
 
 
+def test_markets_with_odd_names(spark, tmp_path):
+    path = str(tmp_path / "a b+c%20d")
+    for _ in range(2):
+        odd = trades(spark, [1, 2]).withColumn("market_id_prefix", F.when(F.col("trade_id") == 1, "x y+z%20/ü").otherwise("plain"))
+        got = sinks.append_by_market(odd, path, ["trade_id"])
+    assert rows(got, "trade_id", "market_id_prefix") == [(1, "x y+z%20/ü"), (2, "plain")]
+
+
 def test_trades_without_time_may_be_anywhere(spark, tmp_path):
     path = str(tmp_path / "m")
     for i in range(3):

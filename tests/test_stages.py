@@ -109,6 +109,14 @@ def test_lost_rows_of_damaged_files_are_reported(spark, tmp_path, share):
     assert trades.file_report(spark, str(tmp_path / "t"), table.schema).where("rows_lost = 0").count() == 2
 
 
+def test_report_of_files_with_odd_names(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    spark.range(5).coalesce(1).write.parquet(str(folder))
+    report = trades.file_report(spark, str(folder), spark.range(1).schema).collect()
+    assert [(r.rows_promised, r.rows_read, r.rows_lost) for r in report] == [(5, 5, 0)]
+    assert report[0].path.startswith(str(folder)) and trades.skipped_files(spark, str(folder), spark.range(1).schema).count() == 0
+
+
 def test_flipped_values_do_not_pass(spark, tmp_path):
     """Damage that still decodes is found by the checksum of its page."""
     spark.range(1000).selectExpr("cast(id as double) / 3 as x").coalesce(1).write.option("compression", "none").option(

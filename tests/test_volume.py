@@ -47,6 +47,8 @@ def test_one_trade_more_closes_no_window_twice(spark, tmp_path):
     """Fed trade by trade in order, the stream gives the closed windows of the whole table."""
     data = [(f"0xaaaaaaa{i % 3}", float(i), i * 1_700) for i in range(12)]
     for at in range(0, 12, 4):
-        got = feed(spark, tmp_path, data[at:at + 4], lateness="30 minutes")
+        got = feed(spark, tmp_path, data[at:at + 4], lateness="30 minutes", partitions=2)
+    assert spark.conf.get(volume.PARTITIONS) == "4"
+    assert len([p for p in (tmp_path / "out" / "_checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]) == 2
     closed = volume.market_volume(spark.createDataFrame(data, SCHEMA)).where(F.col("window_end") <= 11 * 1_700 - 1_800)
     assert got == rows(closed, *COLUMNS) and len(got) > 8
