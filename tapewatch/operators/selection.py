@@ -76,12 +76,13 @@ def order_statistics(df: DataFrame, first: DataFrame, wanted: list[tuple[str, in
     for level in (1, 0):
         # Rows with the leading bits found so far, counted by their next bits.
         groups = sorted({(feature, lead) for (feature, _), (lead, _) in zip(wanted, placed)})
-        keys = {feature: order_key(F.col(f"`{feature}`").cast("double")) for feature, _ in groups}
-        hits = [F.when(F.shiftright(keys[feature], (level + 1) * DIGIT) == lead, F.struct(
+        names = {feature: f"key{i}" for i, feature in enumerate(sorted({f for f, _ in groups}))}
+        keys = df.select(*[order_key(F.col(f"`{feature}`").cast("double")).alias(name) for feature, name in names.items()])
+        hits = [F.when(F.shiftright(names[feature], (level + 1) * DIGIT) == lead, F.struct(
             F.lit(str(i)).alias("group"),
-            F.shiftright(keys[feature], level * DIGIT).bitwiseAND((1 << DIGIT) - 1).alias("digit")))
+            F.shiftright(names[feature], level * DIGIT).bitwiseAND((1 << DIGIT) - 1).alias("digit")))
             for i, (feature, lead) in enumerate(groups)]
-        counts = df.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).groupBy("hit.group", "hit.digit").agg(
+        counts = keys.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).groupBy("hit.group", "hit.digit").agg(
             F.count("*").alias("n"))
         number = {group: str(i) for i, group in enumerate(groups)}
         asked = [(number[feature, lead], place) for (feature, _), (lead, place) in zip(wanted, placed)]
