@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +14,16 @@ from tapewatch.constants import LABEL
 from tapewatch.operators.curves import accumulate, split_by_range
 from tapewatch.operators.iforest import TREES, fit_forests, score_turns
 from tapewatch.operators.joins import counted_join
-from tapewatch.operators.metrics import precision_at_k, roc_auc
+from tapewatch.operators.metrics import precision_at_k, roc_auc, top_k
 from tapewatch.operators.sampling import SEED, sample_controls
 from tapewatch.operators.scaling import model_input
 from tapewatch.session import new_path, stage
 
 logger = logging.getLogger(__name__)
 
+# Cases whose scores are written and evaluated together when each is trained by itself.
+TURNS = 32
+
 
 def leaked_cases(profiles: DataFrame) -> DataFrame:
     """Cases that have wallets with the positive label; wallets without a case do not make one."""
@@ -26,40 +31,41 @@ def leaked_cases(profiles: DataFrame) -> DataFrame:
 
 
 def evaluate_cases(scores: DataFrame, score: str, k: int = 20, sample: int | None = None,
-                   seed: int = SEED) -> DataFrame:
+                   seed: int = SEED, by: list[str] | None = None) -> DataFrame:
     """Precision@k and ROC-AUC of each case's wallets against all controls, or the same `sample` of them.
 
-    The controls are not repeated per case. For ROC-AUC a wallet needs to know how many controls score
+    With `by`, wallets of a group meet the controls of their group only. The controls are not repeated per case. For ROC-AUC a wallet needs to know how many controls score
     below it, which one running count over all scores tells. For precision@k it needs the controls
     ahead of it, of which only the k best matter.
     """
+    by = by or []
     known = scores.where(F.col(score).isNotNull())
-    controls = stage(sample_controls(known, sample, seed).select("taker", F.col(score).alias("score")), "controls")
+    controls = stage(sample_controls(known, sample, seed, by).select(*by, "taker", F.col(score).alias("score")), "controls")
     wallets = known.where((F.col(LABEL) == 1) & (F.coalesce("case_id", F.lit("")) != "")).select(
-        "case_id", "taker", F.col(score).alias("score"))
-
-    both = wallets.select("score", F.lit(0).alias("is_control"), F.lit(1).alias("is_wallet")).unionByName(
-        controls.select("score", F.lit(1).alias("is_control"), F.lit(0).alias("is_wallet")))
-    steps = both.groupBy("score").agg(F.sum("is_control").alias("c"), F.sum("is_wallet").alias("w"))
-    parts = split_by_range(steps, "score", [], descending=True)
-    below = accumulate(parts, "score", ["c", "w"], [], descending=True).where("w > 0").select(
-        "score", "w", "total_c",
-        ((F.col("total_c") - F.col("cum_c") + F.col("c") / 2.0) / F.nullif("total_c", F.lit(0))).alias("beaten"))
-    placed = counted_join(wallets, below, ["score"], parts.where("w > 0").select("score", "w"), "w")
-    auc = placed.groupBy("case_id").agg(
-        F.avg("beaten").alias("roc_auc"), F.count("*").alias("n_wallets"), F.max("total_c").alias("n_controls"))
-
-    best = controls.orderBy(F.desc("score"), "taker").limit(k).agg(
-        F.collect_list(F.struct("score", "taker")).alias("best"))
-    window = Window.partitionBy("case_id").orderBy(F.desc("score"), F.asc("taker"))
-    ahead = F.size(F.filter("best", lambda c: (c["score"] > F.col("score")) | (
-        (c["score"] == F.col("score")) & (c["taker"] < F.col("taker")))))
+        *by, "case_id", "taker", F.col(score).alias("score"))
+
+    both = wallets.select(*by, "score", F.lit(0).alias("is_control"), F.lit(1).alias("is_wallet")).unionByName(
+        controls.select(*by, "score", F.lit(1).alias("is_control"), F.lit(0).alias("is_wallet")))
+    steps = both.groupBy(*by, "score").agg(F.sum("is_control").alias("c"), F.sum("is_wallet").alias("w"))
+    parts = split_by_range(steps, "score", by, descending=True)
+    below = accumulate(parts, "score", ["c", "w"], by, descending=True).where("w > 0").select(
+        *by, "score", "w", "total_c", (2 * (F.col("total_c") - F.col("cum_c")) + F.col("c")).cast("decimal(20,0)").alias("beaten"))
+    placed = counted_join(wallets, below, [*by, "score"], parts.where("w > 0").select(*by, "score", "w"), "w")
+    # Whole numbers, twice the controls beaten, so that the order of rows does not change the sum.
+    pairs = F.nullif(F.max("total_c") * 2.0 * F.count("*"), F.lit(0.0))
+    auc = placed.groupBy(*by, "case_id").agg(
+        (F.sum("beaten").cast("double") / pairs).alias("roc_auc"), F.count("*").alias("n_wallets"), F.max("total_c").alias("n_controls"))
+
+    best = top_k(controls, "score", k, by).groupBy(*by).agg(F.collect_list(F.struct("score", "taker")).alias("best"))
+    window = Window.partitionBy(*by, "case_id").orderBy(F.desc("score"), F.asc("taker"))
+    ahead = F.when(F.col("best").isNull(), 0).otherwise(F.size(F.filter("best", lambda c: (c["score"] > F.col("score")) | (
+        (c["score"] == F.col("score")) & (c["taker"] < F.col("taker"))))))
     top = wallets.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
-    hits = top.withColumn("best", best.scalar()).where(F.col("place") + ahead <= k).groupBy("case_id").agg(
-        F.count("*").alias("hits"))
+    met = top.join(best, by, "left") if by else top.withColumn("best", best.scalar())
+    hits = met.where(F.col("place") + ahead <= k).groupBy(*by, "case_id").agg(F.count("*").alias("hits"))
     size = F.least(F.lit(k), F.col("n_wallets") + F.col("n_controls"))
-    return auc.join(hits, "case_id", "left").select(
-        "case_id", (F.coalesce("hits", F.lit(0)) / size.cast("double")).alias(f"precision_at_{k}"), "roc_auc")
+    return auc.join(hits, [*by, "case_id"], "left").select(
+        *by, "case_id", (F.coalesce("hits", F.lit(0)) / size.cast("double")).alias(f"precision_at_{k}"), "roc_auc")
 
 
 def leave_one_case_out(profiles: DataFrame, train_fn: Callable[[DataFrame], DataFrame], score: str, k: int = 20,
@@ -69,31 +75,54 @@ def leave_one_case_out(profiles: DataFrame, train_fn: Callable[[DataFrame], Data
 
     Models train on control wallets only, which belong to no case, so every turn has the same training
     rows and one training serves all cases. `refit=True` calls `train_fn` per case all the same, with the
-    other cases' leaked wallets left out; each result is written before the next turn. A case whose training fails
-    is logged, passed to `on_error`, and has a row with `error` and no metrics.
+    other cases' leaked wallets left out. The scores of `TURNS` cases are written and evaluated by the same jobs, and their
+    results are written before the next ones. A case whose training fails is logged, passed to `on_error`, and has a row
+    with `error` and no metrics. Each turn scores all controls, so scores to evaluate are cases x controls.
     `train_fn` gets profiles and returns (taker, score); labels are taken from the profiles.
     """
     spark, labels = profiles.sparkSession, profiles.select("taker", LABEL, "case_id")
     schema = f"case_id string, precision_at_{k} double, roc_auc double, error string"
 
-    def evaluated(rows: DataFrame) -> DataFrame:
-        scored = labels.join(stage(train_fn(rows).select("taker", score), "scored"), "taker")
-        return evaluate_cases(scored, score, k, sample).withColumn("error", F.lit(None).cast("string"))
+    def evaluated(turns: list[tuple[str, DataFrame]]) -> DataFrame:
+        """Metrics of cases from the scores of their turns."""
+        tagged = [df.select(F.lit(case).alias("turn"), "taker", score) for case, df in turns]
+        scored = stage(labels.join(reduce(DataFrame.unionByName, tagged), "taker"), "scored")
+        own = scored.where((F.col(LABEL) == 0) | (F.col("case_id") == F.col("turn")))
+        metrics = evaluate_cases(own, score, k, sample, by=["turn"]).drop("turn")
+        return stage(metrics.withColumn("error", F.lit(None).cast("string")), "turns")
 
     if not refit:
-        return evaluated(profiles)
+        scored = labels.join(stage(train_fn(profiles).select("taker", score), "scored"), "taker")
+        return evaluate_cases(scored, score, k, sample).withColumn("error", F.lit(None).cast("string"))
     path = new_path(spark, "turns")
     spark.createDataFrame([], schema).write.parquet(path)
-    for row in leaked_cases(profiles).orderBy("case_id").toLocalIterator():
-        turn = profiles.where((F.col(LABEL) == 0) | (F.col("case_id") == row.case_id))
+
+    def failed(case: str, error: Exception) -> None:
+        logger.warning("case %s: training failed: %s", case, error)
+        if on_error is not None:
+            on_error(case, error)
+        spark.createDataFrame([(case, None, None, str(error)[:1000])], schema).write.mode("append").parquet(path)
+
+    cases = (row.case_id for row in leaked_cases(profiles).orderBy("case_id").toLocalIterator())
+    while batch := list(islice(cases, TURNS)):
+        turns = []
+        for case in batch:
+            try:
+                rows = profiles.where((F.col(LABEL) == 0) | (F.col("case_id") == case))
+                turns.append((case, train_fn(rows).select("taker", score)))
+            except Exception as error:  # a trainer may fail in any way; the other cases go on
+                failed(case, error)
         try:
-            result = stage(evaluated(turn).where(F.col("case_id") == row.case_id), "turn")
-        except Exception as error:  # a trainer may fail in any way; the other cases go on
-            logger.warning("case %s: training failed: %s", row.case_id, error)
-            if on_error is not None:
-                on_error(row.case_id, error)
-            result = spark.createDataFrame([(row.case_id, None, None, str(error)[:1000])], schema)
-        result.write.mode("append").parquet(path)
+            results = [evaluated(turns)] if turns else []
+        except Exception:  # one of them fails when it runs: each by itself
+            results = []
+            for turn in turns:
+                try:
+                    results.append(evaluated([turn]))
+                except Exception as error:
+                    failed(turn[0], error)
+        for result in results:
+            result.write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

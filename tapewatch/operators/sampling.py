@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.operators.scaling import is_control
@@ -17,10 +17,16 @@ def _digest(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col("taker")))
 
 
-def sample_controls(profiles: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    """At most `size` control wallets: those with the least digests; all of them without a size."""
+def sample_controls(profiles: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = SEED,
+                    by: list[str] | None = None) -> DataFrame:
+    """At most `size` control wallets (per group): those with the least digests; all of them without a size."""
     controls = profiles.where(is_control())
-    return controls if size is None else controls.orderBy(_digest(seed), "taker").limit(size)
+    if size is None:
+        return controls
+    if not by:
+        return controls.orderBy(_digest(seed), "taker").limit(size)
+    window = Window.partitionBy(*by).orderBy(_digest(seed), "taker")
+    return controls.withColumn("_place", F.row_number().over(window)).where(F.col("_place") <= size).drop("_place")
 
 
 def split_controls(profiles: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:

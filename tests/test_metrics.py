@@ -247,3 +247,34 @@ def test_loco_trains_once_or_per_case(spark):
     assert each == [once[0], ("c2", None, None, "no luck"), once[2]]
     means = loco_means(leave_one_case_out(table, lambda p: p.select("taker", "score"), "score")).first()
     assert means.mean_roc_auc == pytest.approx(sum(r[2] for r in once) / 3)
+
+
+def test_loco_evaluates_cases_together(spark, monkeypatch):
+    """Tables written do not grow with the cases; one whose trainer fails when it runs does not stop the others."""
+    from pyspark.sql import functions as F
+
+    from tapewatch.operators import loco
+    cases = [f"c{i:02d}" for i in range(12)]
+    rng = random.Random(3)
+    data = [(f"w{i:03d}", int(i % 2), cases[i // 2 % 12] if i % 2 else "", float(rng.randrange(30))) for i in range(240)]
+    table, staged, stage = spark.createDataFrame(data, LOCO), [], loco.stage
+    monkeypatch.setattr(loco, "stage", lambda df, name="stage": staged.append(name) or stage(df, name))
+
+    def train(rows_in):
+        return rows_in.select("taker", "score")
+
+    once = rows(leave_one_case_out(table, train, "score"))
+    staged.clear()
+    assert rows(leave_one_case_out(table, train, "score", refit=True)) == once and len(once) == 12
+    assert len(staged) < 6
+    sampled = rows(leave_one_case_out(table, train, "score", sample=40))
+    assert rows(leave_one_case_out(table, train, "score", refit=True, sample=40)) == sampled != once
+
+    def fails_later(rows_in):
+        return rows_in.select("taker", F.when(F.col("case_id") == "c07", F.raise_error(F.lit("no luck"))).otherwise(
+            F.col("score")).cast("double").alias("score"))
+
+    failed = []
+    got = rows(leave_one_case_out(table, fails_later, "score", refit=True, on_error=lambda c, e: failed.append(c)))
+    assert failed == ["c07"] and [r[0] for r in got] == cases
+    assert [r for r in got if r[0] != "c07"] == [r for r in once if r[0] != "c07"] and got[7][1:3] == (None, None)
