@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewatch.constants import LABEL, MODEL_FEATURES
 from tapewatch.operators.curves import with_rank
@@ -25,7 +27,10 @@ SAMPLE_ROWS = 256
 CONTAMINATION = 0.01
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, rows int, depth int"
+_NODE_COLUMNS = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
 OVERSAMPLE = 4
+# Turns whose trees of one number are grown by one task.
+TURNS_PER_TASK = 500
 # Rows that a task scores under one of several forests.
 PORTION = 100_000
 
@@ -120,57 +125,115 @@ def _grown(tree: int, sample: pd.DataFrame, used: int, depth_limit: int, seed: i
     return out
 
 
-def fit_forests(scaled: DataFrame, turns: list[str], left_out: str | None = None, features: list[str] = MODEL_FEATURES,
-                trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
-    """A forest per turn, all grown by one job: nodes with the column `turn`, as `fit_forest` grows them for each turn.
+def fit_turns(scaled: DataFrame, turns: list[str] | DataFrame, left_out: str | None = None, features: list[str] = MODEL_FEATURES,
+              trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """The trees of a forest per turn, all grown by one job: nodes with `sample`, and on each root the `turns` of the tree.
 
-    `left_out` names an array column with the turns that leave a row out. Rows are drawn once for all turns and repeated
-    only for the trees that may take them.
+    `turns` are names, or a table with the column `turn`. `left_out` names an array column with the turns that leave a
+    row out. The rows that a tree may take go once to each `TURNS_PER_TASK` turns, and every turn draws its own from
+    them. A tree follows from its number and its rows, so turns that draw the same rows share one; `sample` tells the rows.
     """
     controls = scaled.where(is_control())
     absent = F.col(left_out) if left_out else F.array().cast("array<string>")
     controls = controls.withColumn("absent", F.coalesce(absent, F.array().cast("array<string>")))
     total = controls.count()
-    # A row per turn.
-    out = {r.turn: r.n for r in controls.select(F.explode("absent").alias("turn")).groupBy("turn").agg(
-        F.count("*").alias("n")).collect()}
-    sizes = {t: total - out.get(t, 0) for t in turns}
-    sizes = {t: n for t, n in sizes.items() if n}
-    schema = f"turn string, {NODE_SCHEMA}"
-    if not sizes:
+    schema = f"sample string, {NODE_SCHEMA}, turns array<string>"
+    names = turns if isinstance(turns, DataFrame) else scaled.sparkSession.createDataFrame([(t,) for t in turns], "turn string")
+    gone = controls.select(F.explode("absent").alias("turn")).groupBy("turn").agg(F.count("*").alias("gone"))
+    sizes = stage(names.select("turn").distinct().join(gone, "turn", "left").select(
+        "turn", (F.lit(total) - F.coalesce("gone", F.lit(0))).alias("n")).where("n > 0"), "sizes")
+    least, count = sizes.agg(F.min("n"), F.count("*")).first()
+    if not count:
         return scaled.sparkSession.createDataFrame([], schema)
-    samples = tree_samples(controls, min(sizes.values()), features, trees, rows, seed, keep=("absent",))
-    each = F.array(*[F.struct(F.lit(t).alias("turn"), *[F.lit(s).alias(c) for c, s in zip(("coarse", "fine"), _shares(n, trees, rows))])
-                     for t, n in sizes.items()])
-    taken = F.filter(each, lambda t: (F.col("draw") < t["coarse"]) & (F.col("pick") < t["fine"])
-                     & ~F.array_contains("absent", t["turn"]))
-    dealt = samples.select("tree", "pick", "x", F.explode(F.transform(taken, lambda t: t["turn"])).alias("turn"))
+    parts = math.ceil(count / TURNS_PER_TASK)
+    samples = tree_samples(controls, least, features, trees, rows, seed, keep=("absent",)).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    wanted = sizes.withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(parts)).cast("int")).withColumn(
+        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+
+    def grow(key: tuple, sample: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        found = _drawn(sample, asking, trees, rows)
+        if not found:
+            return pd.DataFrame(columns=["sample", *_NODE_COLUMNS, "turns"])
+        return pd.concat([_shared(int(key[0]), name, part, used, of, seed) for name, (part, used, of) in found.items()])
+
+    return samples.groupBy("tree", "part").cogroup(wanted.groupBy("tree", "part")).applyInPandas(grow, schema)
+
+
+def _drawn(sample: pd.DataFrame, asking: pd.DataFrame, trees: int, rows: int) -> dict[str, tuple[pd.DataFrame, int, list[str]]]:
+    """The different samples of a tree by their digests: rows, how many a tree takes of them, and the turns that draw them."""
+    asked, without = set(asking["turn"]), {}
+    for i, turns in enumerate(sample["absent"]):
+        for turn in asked.intersection(turns):
+            without.setdefault(turn, []).append(i)
+    named, found = {}, {}
+    for turn, n in zip(asking["turn"], asking["n"]):
+        key = int(n), tuple(without.get(turn, ()))
+        if key not in named:
+            coarse, fine = _shares(key[0], trees, rows)
+            taken = ((sample["draw"] < coarse) & (sample["pick"] < fine)).to_numpy(dtype=bool, copy=True)
+            taken[list(key[1])] = False
+            used = min(key[0], rows)
+            part = sample[taken].nsmallest(used, "pick")
+            text = b"".join(np.asarray(x, dtype=float).tobytes() for x in part["x"])
+            named[key] = hashlib.sha256(f"{used} ".encode() + text).hexdigest() if len(part) else None
+            if len(part):
+                found.setdefault(named[key], (part, used, []))
+        if named[key] is not None:
+            found[named[key]][2].append(turn)
+    return found
+
+
+def _shared(tree: int, name: str, part: pd.DataFrame, used: int, turns: list[str], seed: int) -> pd.DataFrame:
+    nodes = _grown(tree, part, used, math.ceil(math.log2(max(used, 2))), seed)
+    nodes.insert(0, "sample", name)
+    nodes["turns"] = [turns if node == 0 else None for node in nodes["node"]]
+    return nodes
+
+
+def turn_trees(grown: DataFrame) -> DataFrame:
+    """(turn, tree, sample) of the trees that `fit_turns` has grown."""
+    return grown.where("node = 0").select(F.explode("turns").alias("turn"), "tree", "sample")
+
+
+def distinct_nodes(grown: DataFrame) -> DataFrame:
+    """The nodes of each tree once, also where turns of several tasks share it."""
+    return grown.drop("turns").dropDuplicates(["tree", "sample", "node"])
+
+
+def fit_forests(scaled: DataFrame, turns: list[str] | DataFrame, left_out: str | None = None, features: list[str] = MODEL_FEATURES,
+                trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """A forest per turn, all grown by one job: nodes with the column `turn`, as `fit_forest` grows them for each turn."""
+    grown = stage(fit_turns(scaled, turns, left_out, features, trees, rows, seed), "grown")
+    return turn_trees(grown).join(distinct_nodes(grown), ["tree", "sample"]).select("turn", *_NODE_COLUMNS)
 
-    def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        turn, used = str(key[0]), min(sizes[str(key[0])], rows)
-        nodes = _grown(int(key[1]), sample, used, math.ceil(math.log2(max(used, 2))), seed)
-        nodes.insert(0, "turn", turn)
-        return nodes
 
-    return dealt.groupBy("turn", "tree").applyInPandas(grow, schema)
+def distinct_forests(grown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turn, forest), and the nodes of each forest; turns all of whose trees are the same have one forest."""
+    each = F.sort_array(F.collect_list(F.concat_ws(":", "tree", "sample")))
+    trees = turn_trees(grown)
+    forests = stage(trees.groupBy("turn").agg(F.sha2(F.array_join(each, ","), 256).alias("forest")), "forests")
+    one = forests.groupBy("forest").agg(F.min("turn").alias("turn"))
+    nodes = trees.join(one, "turn").join(distinct_nodes(grown), ["tree", "sample"])
+    return forests, nodes.select("forest", *_NODE_COLUMNS)
 
 
-def score_turns(rows: DataFrame, nodes: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
-    """(turn, taker, label, if_raw) of rows with a `turn`, under its forest. A forest goes to each portion of its rows."""
-    table = rows.select("turn", "taker", F.col(LABEL).cast("int").alias(LABEL), F.array(*features).alias("x"))
+def score_turns(rows: DataFrame, nodes: DataFrame, features: list[str] = MODEL_FEATURES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(turn, taker, label, `keep`, if_raw) of rows with a `turn`, under its forest. A forest goes to each portion of its rows."""
+    table = rows.select("turn", "taker", F.col(LABEL).cast("int").alias(LABEL), *keep, F.array(*features).alias("x"))
     counts = stage(table.groupBy("turn").agg(F.ceil(F.count("*") / F.lit(PORTION)).cast("int").alias("portions")), "portions")
     portions = F.broadcast(counts)  # a row per turn
     dealt = table.join(portions, "turn").withColumn("portion", F.pmod(F.xxhash64("taker"), F.col("portions")).cast("int"))
     trees = nodes.join(portions, "turn").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
 
     def score(key: tuple, part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        out = part[["turn", "taker", LABEL]].copy()
+        out = part[["turn", "taker", LABEL, *keep]].copy()
         out["if_raw"] = Forest(forest).score(np.stack(part["x"].to_numpy())) if len(part) else np.zeros(0)
         return out
 
     return dealt.drop("portions").groupBy("turn", "portion").cogroup(
         trees.drop("portions").groupBy("turn", "portion")).applyInPandas(
-        score, f"turn string, taker string, {LABEL} int, if_raw double")
+        score, T.StructType([*table.drop("x").schema, T.StructField("if_raw", T.DoubleType())]))
 
 
 class Forest:

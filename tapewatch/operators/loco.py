@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tapewatch.constants import LABEL
 from tapewatch.operators.curves import accumulate, split_by_range
-from tapewatch.operators.iforest import TREES, fit_forests, score_turns
+from tapewatch.operators.iforest import TREES, distinct_forests, fit_turns, score_turns
 from tapewatch.operators.joins import counted_join
-from tapewatch.operators.metrics import precision_at_k, roc_auc, top_k
+from tapewatch.operators.metrics import top_k
 from tapewatch.operators.sampling import SEED, sample_controls
 from tapewatch.operators.scaling import model_input
 from tapewatch.session import new_path, stage
@@ -130,21 +130,22 @@ def leave_one_case_out_forests(profiles: DataFrame, k: int = 20, trees: int = TR
                                seed: int = SEED) -> DataFrame:
     """The same with a forest trained anew for each case: all forests are grown by one job and scored by one.
 
-    Equals `leave_one_case_out` with the forest as trainer and `refit=True`. Controls are scored once per case.
+    Equals `leave_one_case_out` with the forest as trainer and `refit=True`. Controls are scored once per forest that
+    differs from the others: cases whose forests came out the same share the scores of their controls.
     """
     scaled = model_input(profiles)
-    # A row per case.
-    turns = sorted(r.case_id for r in leaked_cases(scaled).collect())
+    turns = stage(leaked_cases(scaled).select(F.col("case_id").alias("turn")), "turns")
     schema = f"case_id string, precision_at_{k} double, roc_auc double"
-    if not turns:
+    if turns.isEmpty():
         return profiles.sparkSession.createDataFrame([], schema)
-    nodes = stage(fit_forests(scaled, turns, trees=trees), "forests")
-    controls = sample_controls(scaled, sample, seed).withColumn("turn", F.explode(F.array(*[F.lit(t) for t in turns])))
-    own = scaled.where(F.col(LABEL) == 1).withColumn("turn", F.col("case_id")).where(F.coalesce("turn", F.lit("")) != "")
-    scored = stage(score_turns(controls.unionByName(own), nodes), "scored")
-    auc = roc_auc(scored, "if_raw", by=["turn"])
-    top = precision_at_k(scored, "if_raw", k_values=[k], by=["turn"])
-    return auc.join(top, "turn").select(F.col("turn").alias("case_id"), F.col("precision").alias(f"precision_at_{k}"), "roc_auc")
+    forests, nodes = distinct_forests(stage(fit_turns(scaled, turns, trees=trees), "grown"))
+    # Without controls there is no forest, and all cases are scored alike.
+    models = turns.join(forests, "turn", "left").select("turn", F.coalesce("forest", F.lit("")).alias("forest"))
+    controls = sample_controls(scaled, sample, seed).crossJoin(F.broadcast(models.select("forest").distinct()))
+    own = scaled.where(F.col(LABEL) == 1).join(models, F.col("case_id") == F.col("turn")).drop("turn")
+    rows = controls.unionByName(own).withColumnRenamed("forest", "turn")
+    scored = stage(score_turns(rows, nodes.withColumnRenamed("forest", "turn"), keep=("case_id",)), "scored")
+    return evaluate_cases(scored, "if_raw", k, by=["turn"]).drop("turn")
 
 
 def loco_means(results: DataFrame, k: int = 20) -> DataFrame:

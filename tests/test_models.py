@@ -251,3 +251,24 @@ def test_linear_error(spark, tmp_path):
     assert rows(linear.score_saved_linear(profiles, path)) == first and len(first) == profiles.count()
     with pytest.raises(ValueError):
         linear.second_moments(scaled.where("is_leaked_market = 1"))
+
+
+def test_controls_are_scored_once_per_different_forest(spark, monkeypatch):
+    from tapewatch.operators import loco
+    profiles = wallets(spark, controls=300, leaked=40, outliers=9).withColumn(
+        "case_id", F.when(F.col("is_leaked_market") == 1, F.concat(F.lit("c"), F.pmod(F.xxhash64("taker"), F.lit(3)).cast("string"))).otherwise(""))
+    scored, score = [], loco.score_turns
+    monkeypatch.setattr(loco, "score_turns", lambda rows_in, *args, **more: scored.append(rows_in.count()) or score(rows_in, *args, **more))
+    assert loco.leave_one_case_out_forests(profiles, trees=5).count() == 3
+    assert scored == [profiles.count()]
+
+
+def test_turns_share_the_trees_of_the_same_rows(spark, scaled, monkeypatch):
+    monkeypatch.setattr(iforest, "TURNS_PER_TASK", 1)
+    tags = F.when(F.col("taker") < "w00150", F.array(F.lit("b"), F.lit("d")))
+    grown = stage(iforest.fit_turns(stage(scaled.withColumn("left_out", tags)), ["a", "b", "c", "d"], "left_out", trees=6))
+    forests, nodes = iforest.distinct_forests(grown)
+    of = dict(rows(forests, "turn", "forest"))
+    assert of["a"] == of["c"] != of["b"] == of["d"] and nodes.select("forest").distinct().count() == 2
+    whole = rows(iforest.fit_forest(scaled, trees=6))
+    assert rows(nodes.where(F.col("forest") == of["a"]).drop("forest")) == whole
