@@ -141,7 +141,9 @@ def leave_one_case_out_forests(profiles: DataFrame, k: int = 20, trees: int = TR
     forests, nodes = distinct_forests(stage(fit_turns(scaled, turns, trees=trees), "grown"))
     # Without controls there is no forest, and all cases are scored alike.
     models = turns.join(forests, "turn", "left").select("turn", F.coalesce("forest", F.lit("")).alias("forest"))
-    controls = sample_controls(scaled, sample, seed).crossJoin(F.broadcast(models.select("forest").distinct()))
+    each = models.agg(F.collect_set("forest").alias("each"))
+    controls = sample_controls(scaled, sample, seed).withColumn("each", each.scalar()).withColumn(
+        "forest", F.explode("each")).drop("each")
     own = scaled.where(F.col(LABEL) == 1).join(models, F.col("case_id") == F.col("turn")).drop("turn")
     rows = controls.unionByName(own).withColumnRenamed("forest", "turn")
     scored = stage(score_turns(rows, nodes.withColumnRenamed("forest", "turn"), keep=("case_id",)), "scored")
