@@ -278,3 +278,71 @@ def test_loco_evaluates_cases_together(spark, monkeypatch):
     got = rows(leave_one_case_out(table, fails_later, "score", refit=True, on_error=lambda c, e: failed.append(c)))
     assert failed == ["c07"] and [r[0] for r in got] == cases
     assert [r for r in got if r[0] != "c07"] == [r for r in once if r[0] != "c07"] and got[7][1:3] == (None, None)
+
+
+def test_wallets_searched_equal_sorted(spark, monkeypatch):
+    """Counting controls between the wallets gives what running totals over sorted scores give, also for odd scores."""
+    from pyspark.sql import functions as F
+
+    from tapewatch.operators import loco
+    rng, nan = random.Random(5), float("nan")
+    data = []
+    for turn in (3, 0, 7, 9):
+        for i in range(60):
+            case = rng.choice(["", "", f"c{turn}", f"d{turn}"]) if turn != 7 else f"c{turn}"  # group 7 has no controls
+            value = rng.choice([0.0, -0.0, nan, float("inf"), -1.5, 2.25, 1e-300, None, rng.random(), float(rng.randrange(4))])
+            data.append((turn, f"w{rng.randrange(50):02d}", rng.randrange(50), 0 if case == "" else 1, case, value))
+    data += [(11, "w00", 1, 0, "", 1.0), (9, "w01", 2, 1, "", 5.0), (9, "w02", 3, 1, None, 5.0)]
+    table = spark.createDataFrame(data, "turn int, taker string, place long, is_leaked_market int, case_id string, score double")
+    for sample in (None, 7):
+        for k in (20, 3):
+            want = rows(evaluate_cases(table.withColumn("taker", F.lpad("place", 4, "0")) if sample is None else table.withColumn(
+                "place", F.substring("taker", 2, 2).cast("long")), "score", k, sample, by=["turn"]))
+            given = table if sample is None else table.withColumn("place", F.substring("taker", 2, 2).cast("long"))
+            spread = given.repartition(3)
+            with monkeypatch.context() as patch:
+                patch.setattr(loco, "stage", None)  # nothing is written
+                got = rows(evaluate_cases(spread, "score", k, sample, by=["turn"], place="place"))
+            assert str(got) == str(want) and len(got) == 7
+            with monkeypatch.context() as patch:
+                patch.setattr(loco, "SEARCHED", 5)  # too many wallets: sorted as without places
+                assert str(rows(evaluate_cases(spread, "score", k, sample, by=["turn"], place="place"))) == str(want)
+    whole = spread.withColumn("score", F.col("score").cast("decimal(20,3)")).where("score IS NOT NULL")
+    assert rows(evaluate_cases(whole, "score", 20, by=["turn"], place="place")) == rows(
+        evaluate_cases(whole.withColumn("score", F.col("score").cast("double")), "score", 20, by=["turn"], place="place"))
+
+
+def test_loco_turns_go_side_by_side(spark, monkeypatch):
+    """Batches of turns keep each to its case, scores are dropped once used, and repeated wallets count as before."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tapewatch.operators import loco
+    from tapewatch.session import application_folder
+    monkeypatch.setattr(loco, "TURNS", 2)
+    monkeypatch.setattr(loco, "SHARED", 2)
+    monkeypatch.setattr(loco, "FILE_ROWS", 50)
+    data = loco_table(8, 150)
+    data = [(w, y, f"{c}'\"{i % 4}" if c else c, s) for i, (w, y, c, s) in enumerate(data)]
+    data += data[:20] + [(None, 0, "", 3.0), (None, 1, "c1'\"0", 9.0), ("none", 1, None, 4.0), ("void", None, "c2'\"1", 4.0)]
+    table, seen = spark.createDataFrame(data, LOCO), []
+
+    def train(rows_in):
+        seen.append(sorted(map(str, rows_in.collect())))
+        return rows_in.dropDuplicates(["taker"]).select("taker", "score")
+
+    once = rows(leave_one_case_out(table, train, "score"))
+    cases = sorted({r[2] for r in data if r[1] == 1 and r[2]})
+    assert [r[0] for r in once] == cases and len(cases) == 12
+    seen.clear()
+    staged = set(os.listdir(application_folder(spark)))
+    each = rows(leave_one_case_out(table, train, "score", refit=True))
+    assert each == once
+    assert seen == [sorted(map(str, table.where((F.col("is_leaked_market") == 0) | (F.col("case_id") == c)).collect())) for c in cases]
+    new = {name.split("-")[0] for name in os.listdir(application_folder(spark)) if name not in staged}
+    assert "scored" not in new and "controls" not in new
+    # A score that no double holds, and a table too large to be broadcast.
+    monkeypatch.setattr(loco, "is_small", lambda df: False)
+    exact = table.withColumn("score", F.col("score").cast("decimal(30,5)"))
+    assert rows(leave_one_case_out(exact, lambda p: p.dropDuplicates(["taker"]).select("taker", "score"), "score", refit=True)) == once
